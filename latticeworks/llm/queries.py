@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, ogg, packing, separators, warc
+from . import langid, neardup, ogg, packing, separators, toxicity, warc
 
 QUERIES = {
     "op1_token_separators": separators.op1_token_separators,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_language_id": langid.op4_language_id,
     "op6_warc_archive": warc.op6_warc_archive,
     "op7_pack_sequences": packing.op7_pack_sequences,
     "op8_ogg_media": ogg.op8_ogg_media,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL = {"op6_warc_archive": warc.ORACLE}
+ORACLE_SQL = {"op3_near_duplicates": neardup.ORACLE, "op6_warc_archive": warc.ORACLE}
