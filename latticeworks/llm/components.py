@@ -29,7 +29,7 @@ def components(edges: DataFrame, work: Workspace, name: str = "cc", rounds: int
     Loops and null ends are ignored. Stops when a round changes nothing.
     """
     now = work.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    mark = None
+    mark = (0, None)
     for i in range(1, rounds + 1):
         # larger neighbours go to the smallest of the neighbourhood
         pairs, least = _star(_both(now), work, f"{name}-{i}a")
