@@ -1 +1 @@
-
+"""Column expressions: geometry, tapers, basis functions."""

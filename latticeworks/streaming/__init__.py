@@ -1 +1 @@
-
+"""Additive statistics over micro-batches."""
