@@ -1,9 +1,9 @@
-"""Connected components by alternating star contraction.
+"""Connected components by least labels and pointer jumping.
 
-Every round replaces edges by edges to the smallest neighbour, first among larger neighbours of each node and then among smaller
-ones; when no edge changes, each component is a star around its smallest node. Rounds are written to the shared folder, so that a
-lost executor costs one round. No node's neighbours are ever gathered: a round takes grouped minima and joins them back, and both
-sides of those joins are stored tables, which lets Spark split the share of a node with very many neighbours.
+Every node starts with the smallest id among itself and its neighbours. A round passes labels along edges, keeps the least, and then
+replaces each label by its label's label, so that long chains shrink by half or more each time. It ends when no label changes. Every
+round is a written table, so that a lost executor costs one round. A node's neighbours are never gathered: a round takes grouped
+minima, which tasks pre-aggregate, and joins between stored tables, of which Spark can split a hot node's share.
 """
 
 from __future__ import annotations
@@ -14,38 +14,24 @@ from pyspark.sql import functions as F
 from .store import Workspace
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _star(pairs: DataFrame, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
-    least = work.put(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least")
-    return pairs, least
-
-
 def components(edges: DataFrame, work: Workspace, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b), of any ordered type; component is the smallest node reachable.
 
-    Loops and null ends are ignored. Stops when a round changes nothing.
+    Loops and null ends are ignored; repeated edges are harmless.
     """
-    now = work.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    mark = (0, None)
+    ends = edges.where("a <> b")
+    both = work.put(ends.select("a", "b").unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
+    labels = work.put(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).select("node", F.least("node", "component").alias("component")), f"{name}-0")
+    before = None
     for i in range(1, rounds + 1):
-        # larger neighbours go to the smallest of the neighbourhood
-        pairs, least = _star(_both(now), work, f"{name}-{i}a")
-        large = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = work.put(large, f"{name}-{i}b")
-        # smaller neighbours and the node itself go to the smallest of them
-        pairs, least = _star(large, work, f"{name}-{i}c")
-        own = least.where("a > m").select("a", F.col("m").alias("b"))
-        small = pairs.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(own).distinct()
-        after = work.put(small, f"{name}-{i}")
-        state = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        work.drop(f"{name}-{i}a-least", f"{name}-{i}b", f"{name}-{i}c-least", f"{name}-{i - 1}")
-        now = after
-        if (state.n, state.h) == mark:
-            break
-        mark = (state.n, state.h)
-    else:
-        raise RuntimeError(f"not converged after {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        state = labels.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first()
+        if not state[0] or state == before:
+            work.drop(f"{name}-edges")
+            return labels
+        before = state
+        passed = both.join(labels, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "component").unionAll(labels)
+        least = work.put(passed.groupBy("node").agg(F.min("component").alias("component")), f"{name}-{i}-least")
+        jump = least.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = work.put(least.join(jump, "component").select("node", F.col("further").alias("component")), f"{name}-{i}")
+        work.drop(f"{name}-{i - 1}", f"{name}-{i}-least")
+    raise RuntimeError(f"not converged after {rounds} rounds")

@@ -68,7 +68,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id, keys, compact) of docs (doc_id, text)."""
+    """(doc_id, n_shingles, set_id, packed, compact) of docs (doc_id, text)."""
 
     def make(batches):
         for b in batches:
@@ -78,13 +78,19 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lone = not len(s) or doc is None
                 ids.append(hashlib.blake2b(f"{doc}".encode() if lone else s.tobytes(), digest_size=16, person=b"lone" if lone else b"").digest())
                 sig = None if lone else signature(s)
-                keys.append([] if lone else bands(sig).view(np.int64))
+                keys.append(b"" if lone else bands(sig).tobytes())
                 compact.append(b"" if lone else sig.astype(np.uint8).tobytes())
-            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), flat, pa.array(compact, pa.binary())], ["doc_id", "n_shingles", "set_id", "keys", "compact"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.binary()), pa.array(compact, pa.binary())], ["doc_id", "n_shingles", "set_id", "packed", "compact"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(make, "doc_id long, n_shingles long, set_id binary, keys array<bigint>, compact binary")
+    return own.mapInArrow(make, "doc_id long, n_shingles long, set_id binary, packed binary, compact binary")
+
+
+def _spread(batches):
+    """A row for each bucket of a document."""
+    for b in batches:
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(keys)], ["doc_id", "key"])
 
 
 def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -97,7 +103,7 @@ def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents in ids (doc_id); most others are sieved out before their text is looked at."""
+    """(doc_id, shingles) of the documents in ids (doc_id) and a few others: most are sieved out before their text is looked at."""
     spark = docs.sparkSession
     sieve = spark.sparkContext.broadcast(_bitmap(ids))
 
@@ -110,37 +116,64 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), flat], ["doc_id", "shingles"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(make, "doc_id long, shingles array<bigint>").join(ids, "doc_id", "left_semi")
+    return own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(make, "doc_id long, shingles array<bigint>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Of pairs (a, b) those whose full sets are similar."""
-    ids = work.put(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), f"{name}-ids")
-    sets = work.put(sets_of(docs, ids), f"{name}-sets")
+    sets = work.put(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     found = work.put(both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b"), f"{name}-links")
-    work.drop(f"{name}-sets", f"{name}-ids")
+    work.drop(f"{name}-sets")
     return found
 
 
-def _compare(batches):
-    """Pairs of a group's minor entries with its entries of other components whose compact signatures agree enough."""
-    table = pa.Table.from_batches(list(batches))
-    minor = np.array(table.column("side").to_pylist(), bool)
-    doc, label = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("compact").to_pylist()), np.uint8).reshape(-1, BINS)
-    others = np.flatnonzero(~minor)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in np.flatnonzero(minor):
-        near = others[(label[others] != label[i]) & ((sig[others] == sig[i]).sum(1) >= MAYBE * BINS)]
-        a.append(np.minimum(doc[near], doc[i]))
-        b.append(np.maximum(doc[near], doc[i]))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+class _Group:
+    """The entries of one block pair of a bucket, and which of them may be similar."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.table = table
+        self.side = np.array(table.column("side").to_pylist(), bool)
+        self.label = table.column("label").to_numpy()
+        self.compact = np.frombuffer(b"".join(table.column("compact").to_pylist()), np.uint8).reshape(-1, BINS)
+        self.keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.int64).reshape(-1, BANDS)
+        self.band = int((self.keys[0] == table.column("key")[0].as_py()).argmax()) if len(self.keys) else 0
+
+    def near(self):
+        """(minor entry, entries of other components that may be similar); a pair is met in the first bucket that it shares."""
+        others = np.flatnonzero(~self.side)
+        for i in np.flatnonzero(self.side):
+            found = others[self.label[others] != self.label[i]]
+            found = found[(self.keys[found] == self.keys[i]).argmax(1) == self.band] if len(found) else found
+            found = found[(self.compact[found] == self.compact[i]).sum(1) >= MAYBE * BINS]
+            if len(found):
+                yield i, found
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    seen = [np.append(found, i) for i, found in _Group(table).near()]
+    return pa.table({"doc_id": table.column("doc_id").take(pa.array(np.unique(np.concatenate(seen)) if seen else [], pa.int64()))})
 
 
-def leftovers(entries: DataFrame, labels: DataFrame, compact: DataFrame, work: Workspace, name: str = "rest") -> DataFrame:
-    """Pairs (a, b) of different components in a common bucket that step 2 has not compared and that may be similar."""
+def _links(table: pa.Table) -> pa.Table:
+    group, doc, sets = _Group(table), table.column("doc_id").to_numpy(), table.column("shingles")
+    full = [np.array(x.values.to_numpy()) for x in sets]
+    a, b = [], []
+    for i, found in group.near():
+        for j in found:
+            common = len(np.intersect1d(full[i], full[j], assume_unique=True))
+            if 100 * common >= PERCENT * (len(full[i]) + len(full[j]) - common):
+                a.append(min(doc[i], doc[j]))
+                b.append(max(doc[i], doc[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def leftovers(entries: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, work: Workspace, name: str = "rest") -> DataFrame:
+    """Links (a, b) between different components in a common bucket, which step 2 has not compared.
+
+    Near misses can be as many as the square of a group, so pairs are compared inside tasks and only links leave them.
+    """
     own = work.put(entries.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")), f"{name}-entries")
     parts = own.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels")).where("labels > 1")
@@ -149,36 +182,38 @@ def leftovers(entries: DataFrame, labels: DataFrame, compact: DataFrame, work: W
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     members = dealt.select("key", "doc_id", "label", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), block("nb").alias("b"))
     minors = dealt.where("minor").select("key", "doc_id", "label", F.lit(True).alias("side"), block("nm").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
-    groups = work.put(members.unionByName(minors), f"{name}-groups")
-    full = groups.join(compact, "doc_id")
-    found = full.groupBy("key", "m", "b").applyInArrow(lambda t: pa.Table.from_batches(list(_compare(t.to_batches())), schema=PAIR), "a long, b long")
-    found = work.put(found.distinct(), f"{name}-pairs")
-    work.drop(f"{name}-entries", f"{name}-mixed", f"{name}-groups")
+    full = members.unionByName(minors).join(reps.select("doc_id", "packed", "compact"), "doc_id")
+    ids = work.put(full.groupBy("key", "m", "b").applyInArrow(_candidates, "doc_id long").distinct(), f"{name}-ids")
+    sets = work.put(sets_of(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
+    found = work.put(full.join(sets, "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long"), f"{name}-links")
+    work.drop(f"{name}-entries", f"{name}-mixed", f"{name}-ids", f"{name}-sets")
     return found
 
 
-PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     work = Workspace(docs.sparkSession, "neardup")
     sigs = work.put(signatures(docs), "signatures")
     classes = work.put(sigs.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes, (sigs.set_id == classes.set_id) & (sigs.doc_id == classes.rep), "left_semi")
-    reps = work.put(reps.where("size(keys) > 0").select("doc_id", "keys", "compact"), "reps")
-    spread = reps.select("doc_id", F.explode("keys").alias("key"))
+    reps = work.put(reps.where("length(packed) > 0").select("doc_id", "packed", "compact"), "reps")
+    spread = reps.mapInArrow(_spread, "doc_id long, key long")
     centres = work.put(spread.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
     entries = work.put(spread.join(centres, "key"), "entries")
     stars = work.put(entries.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     links = confirm(stars, docs, work, "star")
-    # rows of one document id with several sets: their classes join
-    joined = sigs.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"), F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL AND x <> y").select("doc_id")
-    joined = sigs.join(joined, "doc_id", "left_semi").join(classes, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    same = work.put(joined, "same")
-    first = work.put(components(links.unionAll(same), work, "first"), "labels")
-    rest = confirm(leftovers(entries, first, reps.select("doc_id", "compact"), work), docs, work, "rest")
-    last = components(rest.unionAll(first.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))), work, "last")
+    twice = work.put(sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id"), "twice")
+    if not twice.isEmpty():  # rows of one document id with several sets: their classes join
+        same = sigs.join(twice, "doc_id", "left_semi").join(classes, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        links = work.put(links.unionAll(same), "links")
+    first = components(links, work, "first")
+    rest = leftovers(entries, first, reps, docs, work)
+    # the few links found last join whole components
+    a, b = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    raised = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(raised, work, "last")
+    last = first.select("node", F.col("component").alias("c")).unionAll(top.select("node", F.col("node").alias("c"))).join(top.select(F.col("node").alias("c"), F.col("component").alias("t")), "c", "left")
+    last = last.groupBy("node").agg(F.min(F.coalesce("t", "c")).alias("component"))
     named = work.put(classes.join(last, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id")), "named")
     work.drop("reps", "entries", "centres", "stars")
     out = sigs.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
