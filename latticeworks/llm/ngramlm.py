@@ -26,9 +26,9 @@ from .store import Workspace
 from .text import hashed_words, mix
 
 #: Words whose exact counts are broadcast at most (16 bytes each), grams of a filter part, hash functions, bits of the whole filter.
-HEAD, PART, HASHES, MOST_BITS = 1 << 20, 1 << 20, 4, 1 << 31
+HEAD, PART, HASHES, MOST_BITS = 1 << 20, 1 << 19, 4, 1 << 31
 #: Weight of the unigram estimate, grams that a task holds before it passes them on.
-MU, HOLD = 200.0, 4_000_000
+MU, HOLD = 200.0, 1_500_000
 START, STOP = np.uint64(0x51A7C0DE00000001), np.uint64(0xE0D0000000000002)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,23 +111,24 @@ class CountFilter:
     parts: int
     bits: np.ndarray
     start: np.ndarray
-    raw: np.ndarray
+    raw: bytes  # as bytes a worker loads it without a second copy
 
     @classmethod
     def of(cls, parts: int, made: list[tuple[int, int, bytes]]) -> CountFilter:
         bits, start, at = np.ones(parts, np.uint64), np.zeros(parts, np.int64), 1
         for part, n, raw in made:
             bits[part], start[part], at = n, at, at + len(raw)
-        return cls(parts, bits, start, np.frombuffer(b"\0" + b"".join(raw for *_, raw in made), np.uint8))
+        return cls(parts, bits, start, b"".join([b"\0", *(raw for *_, raw in made)]))
 
     def count(self, h: np.ndarray) -> np.ndarray:
+        raw = np.frombuffer(self.raw, np.uint8)
         part = (h.view(np.int64) % self.parts).astype(np.int64)
         start, bits = self.start[part], self.bits[part]
         level, live = np.zeros(len(h), np.int64), np.flatnonzero(start > 0)
         while len(live):
             for k in range(HASHES):
                 p = _positions(h[live], level[live] + 1, bits[live], k).astype(np.int64)
-                live = live[(self.raw[start[live] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
+                live = live[(raw[start[live] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
             level[live] += 1
             live = live[level[live] < 60]
         return np.where(level > 0, np.where(level > 1, 2.0 ** (level - 0.5), 1.0), 0.0)  # middle of a level's range
