@@ -38,7 +38,7 @@ def gram_rows(design: DataFrame, by: list[str] | None = None) -> DataFrame:
             for k, name in enumerate(names):
                 own = x[at == k]
                 g = (own.T @ own)[i, j]
-                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(i)) for v in name), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g)], [*by, "i", "j", "g"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(i), b.schema.field(n).type) for n, v in enumerate(name)), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g)], [*by, "i", "j", "g"])
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields] + [GRAM_DDL])
     return design.select(*by, "phi", "t").mapInArrow(reduce, schema).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
@@ -123,25 +123,23 @@ class Rvm:
             self.log.append({"step": step, "beta": b, "n_active": int(on.sum()), "mse": sse / m.n})
             if best is None or sse < best[0]:
                 best = (sse, new, a.copy(), b, cov)
-            if step and (self.converged(new, w, self) if self.converged else np.abs(new - w).sum() < self.tol):
+            if step and (self.converged(new, w, self) if self.converged else not self.sequential and np.abs(new - w).sum() < self.tol):
                 break
             w = new
             ga = m.gram[:, on] @ cov
             q = b * m.xty - b * b * ga @ m.xty[on]
             s = b * np.diag(m.gram) - b * b * (ga * m.gram[:, on]).sum(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
+            with np.errstate(all="ignore"):
                 scale = np.where(on, a / (a - s), 1.0)
             sq, ss = q * scale, s * scale
             keep = sq * sq > ss
-            with np.errstate(divide="ignore", invalid="ignore"):
+            with np.errstate(all="ignore"):
                 after = np.where(keep, ss * ss / np.maximum(sq * sq - ss, 1e-300), np.inf)
             if self.sequential:
-                gain = np.where(keep, sq * sq / np.maximum(ss, 1e-300) - 1 - np.log(np.maximum(sq * sq / np.maximum(ss, 1e-300), 1e-300)), np.where(on, 1.0, -np.inf))
-                moved = np.where(np.isfinite(a) & np.isfinite(after), np.abs(np.log(np.maximum(after, 1e-300)) - np.log(np.maximum(a, 1e-300))) > 1e-8, np.isfinite(a) != np.isfinite(after))
-                if moved.any():
-                    k = int(np.argmax(np.where(moved, gain, -np.inf)))
-                    if np.isfinite(after[k]) or on.sum() > 1:
-                        a[k] = after[k]
+                k, gain = self._best_step(a, after, q, s)
+                if gain <= self.tol:
+                    break
+                a[k] = after[k]
             else:
                 if not np.isfinite(after).any():
                     after[int(np.argmax(sq * sq / np.maximum(ss, 1e-300)))] = 1.0
@@ -157,6 +155,21 @@ class Rvm:
         return self
 
 
+    @staticmethod
+    def _best_step(a: np.ndarray, after: np.ndarray, q: np.ndarray, s: np.ndarray) -> tuple[int, float]:
+        """The column whose alpha gains most evidence when it alone is set to its best value, and twice that gain."""
+        on, keep = np.isfinite(a), np.isfinite(after)
+        with np.errstate(all="ignore"):
+            add = (q * q - s) / s + np.log(s / (q * q))
+            d = 1 / after - 1 / a
+            change = np.where(d == 0, 0.0, q * q / (s + 1 / d) - np.log1p(s * d))
+            drop = q * q / (s - a) - np.log(1 - s / a) if on.sum() > 1 else np.full(len(a), -np.inf)
+        gain = np.where(keep & ~on, add, np.where(keep & on, change, np.where(on, drop, -np.inf)))
+        gain = np.where(np.isnan(gain), -np.inf, gain)
+        k = int(gain.argmax())
+        return k, float(gain[k])
+
+
 def orthogonal_matching_pursuit(m: Moments, n_columns: int) -> np.ndarray:
     """Weights with at most n_columns non-zero, on moments alone."""
     chosen: list[int] = []

@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import density, features, geometry, tables  # noqa: E402, F401  (they register their queries)
+from . import density, eam, features, geometry, ingest, regression, tables  # noqa: E402, F401  (they register their queries)
