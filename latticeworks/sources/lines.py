@@ -10,7 +10,7 @@ NUMBER = r"[-+]?\d+\.?\d*(?:[eEdD][-+]?\d+)?"
 
 def read_lines(spark: SparkSession, paths: str | list[str], extensions: list[str] | None = None) -> DataFrame:
     """(file, name, ext, pos, line): name is the file's up to the first dot, ext what follows, in lower case."""
-    raw = spark.read.option("wholetext", True).text(paths).select("value", F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     raw = raw.withColumn("name", F.regexp_extract("file", r"^([^.]*)", 1)).withColumn("ext", F.lower(F.regexp_extract("file", r"^[^.]*\.(.*)$", 1)))
     if extensions:
         raw = raw.where(F.col("ext").isin(*extensions))

@@ -65,7 +65,7 @@ def log_structures(lines: DataFrame) -> DataFrame:
     atoms = last(of("atoms").where(line.rlike(row))).withColumn("sp", F.regexp_extract("line", row, 1)).withColumn("v", F.slice(numbers(line), 2, 3))
     push = r"^\s*\*\s+([A-Z][A-Za-z]?)\s+\d+\s+[-\d.]+\s+[-\d.]+\s+[-\d.]+"
     forces = last(of("forces").where(line.rlike(push))).withColumn("v", F.slice(numbers(line), 2, 3))
-    stress = last(of("stress").where(line.rlike(r"^\s*\*\s+[xyz]\s"))).withColumn("v", F.slice(numbers(line), 1, 3))
+    stress = last(of("stress").where(line.rlike(r"^\s*\*\s+[xyz]\s+[-\d]"))).withColumn("v", F.slice(numbers(line), 1, 3))
     value = lambda text: F.max_by(F.element_at(numbers(F.regexp_extract("line", r"=(.*)$", 1)), 1), F.when(line.contains(text), F.col("pos")))
     energy = run.groupBy("file").agg(*(value(t).alias(n) for n, t in ENERGIES.items()), value("Final Enthalpy").alias("enthalpy"), F.max(F.regexp_extract("line", r"Space group of crystal =\s*\d+:\s*([^,]+)", 1)).alias("spacegroup"))
     energy = energy.withColumn("energy", F.coalesce(F.when(F.col("sedc_zero_k").isNotNull() & F.col("basis").isNotNull(), F.col("basis")), "sedc_zero_k", "zero_k", "plain", "total")).select("file", "energy", "enthalpy", F.nullif("spacegroup", F.lit("")).alias("spacegroup"))

@@ -32,7 +32,7 @@ def config_text(structures: DataFrame) -> DataFrame:
 
 def write_texts(texts: DataFrame, path: str) -> None:
     """A folder for each name with its text in it."""
-    texts.write.mode("overwrite").partitionBy("name").option("lineSep", "").text(path)
+    texts.write.mode("overwrite").partitionBy("name").text(path)
 
 
 def grid_report(grid: DataFrame) -> DataFrame:
