@@ -86,16 +86,25 @@ def signatures(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(make, "doc_id long, n_shingles long, set_id binary, packed binary, compact binary")
 
 
-def _spread(batches):
-    """A row for each bucket of a document."""
-    for b in batches:
-        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(keys)], ["doc_id", "key"])
+def _spread(sieve=None):
+    """A row for each bucket of a document; with a sieve most buckets that no other document shares are left out."""
+
+    def run(batches):
+        for b in batches:
+            keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            docs = np.repeat(b.column(0).to_numpy(), BANDS)
+            if sieve is not None:
+                h = (keys % FILTER_BITS).astype(np.int64)
+                on = (sieve.value[h // 32] >> (h % 32).astype(np.uint32) & 1).astype(bool)
+                docs, keys = docs[on], keys[on]
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys)], ["doc_id", "key"])
+
+    return run
 
 
-def _bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+def _bitmap(ids: DataFrame, value: str = "xxhash64(doc_id)", bits: int = FILTER_BITS) -> np.ndarray:
     """A filter of fixed size that has every id's bit set; of no use, but right, when it is full."""
-    h = f"pmod(xxhash64(doc_id), {bits})"
+    h = f"pmod({value}, {bits})"
     words = ids.selectExpr(f"cast({h} div 32 AS int) AS w", f"shiftleft(1L, cast({h} % 32 AS int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 32, np.uint32)
     out[words.column("w").to_numpy()] = words.column("bit").to_numpy().astype(np.uint32)
@@ -182,10 +191,10 @@ def leftovers(entries: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     members = dealt.select("key", "doc_id", "label", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), block("nb").alias("b"))
     minors = dealt.where("minor").select("key", "doc_id", "label", F.lit(True).alias("side"), block("nm").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
-    full = members.unionByName(minors).join(reps.select("doc_id", "packed", "compact"), "doc_id")
-    ids = work.put(full.groupBy("key", "m", "b").applyInArrow(_candidates, "doc_id long").distinct(), f"{name}-ids")
+    base, signed = members.unionByName(minors), reps.select("doc_id", "packed", "compact")
+    ids = work.put(base.join(signed, "doc_id").groupBy("key", "m", "b").applyInArrow(_candidates, "doc_id long").distinct(), f"{name}-ids")
     sets = work.put(sets_of(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
-    found = work.put(full.join(sets, "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long"), f"{name}-links")
+    found = work.put(base.join(ids, "doc_id", "left_semi").join(signed.join(sets, "doc_id"), "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long"), f"{name}-links")
     work.drop(f"{name}-entries", f"{name}-mixed", f"{name}-ids", f"{name}-sets")
     return found
 
@@ -197,9 +206,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = work.put(sigs.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes, (sigs.set_id == classes.set_id) & (sigs.doc_id == classes.rep), "left_semi")
     reps = work.put(reps.where("length(packed) > 0").select("doc_id", "packed", "compact"), "reps")
-    spread = reps.mapInArrow(_spread, "doc_id long, key long")
-    centres = work.put(spread.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
-    entries = work.put(spread.join(centres, "key"), "entries")
+    centres = work.put(reps.mapInArrow(_spread(), "doc_id long, key long").groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(centres, "key"))
+    entries = work.put(reps.mapInArrow(_spread(shared), "doc_id long, key long").join(centres, "key"), "entries")
     stars = work.put(entries.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
     links = confirm(stars, docs, work, "star")
     twice = work.put(sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id"), "twice")
