@@ -14,11 +14,11 @@ from latticeworks.llm.store import Workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without text, without letters, or whose language the classifier cannot tell (score below a half)."""
+    """Rejects documents without text or without letters, to which no language is given."""
     model = langid.fit(docs.where(~langid.is_held_out(0, 5)))
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
