@@ -39,7 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
             for b in batches:
                 ids.append(b.column(0))
                 for x in b.column(1):
-                    yield enc.encode(x.as_py()).tobytes()
+                    yield enc.encode(x.as_py(), special=False).tobytes()  # the end id stands for nothing else
                     yield stop
 
         made = chunks()

@@ -26,11 +26,11 @@ class Encoder:
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """The ids of a whole text; none for a null."""
+    def encode(self, text: str | None, special: bool = True) -> np.ndarray:
+        """The ids of a whole text; none for a null. special: whether a special token's string gives its id, as in `tokenizers`, or is ordinary text."""
         if not text:
             return np.zeros(0, self.dtype)
-        if any(s in text for s in self.special):
+        if special and any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, self.dtype)
         return self.bpe.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(self.dtype)
 
