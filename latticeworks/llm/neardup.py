@@ -161,8 +161,9 @@ class _Group:
 
 
 def _candidates(table: pa.Table) -> pa.Table:
+    """The entries of a group that are in some pair that may be similar."""
     seen = [np.append(found, i) for i, found in _Group(table).near()]
-    return pa.table({"doc_id": table.column("doc_id").take(pa.array(np.unique(np.concatenate(seen)) if seen else [], pa.int64()))})
+    return table.select(["key", "m", "b", "side", "doc_id", "label"]).take(pa.array(np.unique(np.concatenate(seen)) if seen else [], pa.int64()))
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -192,9 +193,12 @@ def leftovers(entries: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     members = dealt.select("key", "doc_id", "label", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), block("nb").alias("b"))
     minors = dealt.where("minor").select("key", "doc_id", "label", F.lit(True).alias("side"), block("nm").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
     base, signed = members.unionByName(minors), reps.select("doc_id", "packed", "compact")
-    ids = work.put(base.join(signed, "doc_id").groupBy("key", "m", "b").applyInArrow(_candidates, "doc_id long").distinct(), f"{name}-ids")
+    held = base.join(signed, "doc_id").groupBy("key", "m", "b").applyInArrow(_candidates, "key long, m int, b int, side boolean, doc_id long, label long")
+    held = work.put(held, f"{name}-held")
+    ids = work.put(held.select("doc_id").distinct(), f"{name}-ids")
     sets = work.put(sets_of(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
-    found = work.put(base.join(ids, "doc_id", "left_semi").join(signed.join(sets, "doc_id"), "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long"), f"{name}-links")
+    found = work.put(held.join(signed.join(sets, "doc_id"), "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long"), f"{name}-links")
+    work.drop(f"{name}-held")
     work.drop(f"{name}-entries", f"{name}-mixed", f"{name}-ids", f"{name}-sets")
     return found
 
