@@ -29,14 +29,14 @@ def _points(spark, sf_dir):
 
 
 @query(with_views("points", """, n AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY point_id) - 1 AS pos FROM points), g AS (SELECT structure_id, count(*) AS n FROM points GROUP BY 1),
-d AS (SELECT structure_id, CAST(draw AS INTEGER) AS draw, CAST(floor((((draw * 31 + structure_id) * 7919 + 104729) % 1000003 + 0.5) / 1000003 * n) AS BIGINT) AS pos FROM (SELECT structure_id, n, unnest(range(least(5, n))) AS draw FROM g))
+d AS (SELECT structure_id, CAST(draw AS INTEGER) AS draw, CAST(floor((((draw * 31 + structure_id) * 7919 + 104729) % 1000003 + 0.5::DOUBLE) / 1000003 * n) AS BIGINT) AS pos FROM (SELECT structure_id, n, unnest(range(least(5, n))) AS draw FROM g))
 SELECT d.structure_id, d.draw, n.point_id FROM d JOIN n USING (structure_id, pos)"""))
 def sample_points_random(spark, sf_dir):
     return s.with_replacement(_points(spark, sf_dir), "structure_id", "point_id", 5).select("structure_id", "draw", "point_id")
 
 
 @query(with_views("points", """, w AS (SELECT *, density - min(density) OVER (PARTITION BY structure_id) AS w FROM points),
-r AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY CASE WHEN w > 0 THEN round(-ln(((point_id * 7919 + 104729) % 1000003 + 0.5) / 1000003) / w, 9) ELSE 'inf'::DOUBLE END, point_id) AS n FROM w)
+r AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY CASE WHEN w > 0 THEN round(-ln(((point_id * 7919 + 104729) % 1000003 + 0.5::DOUBLE) / 1000003) / w, 9) ELSE 'inf'::DOUBLE END, point_id) AS n FROM w)
 SELECT structure_id, point_id FROM r WHERE n <= 4"""))
 def sample_points_importance(spark, sf_dir):
     return s.by_importance(_points(spark, sf_dir), "structure_id", "point_id", "density", 4).select("structure_id", "point_id")

@@ -38,11 +38,11 @@ def features_fourier(spark, sf_dir):
     return long_form(v.table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), b.fourier_features(x, 5).alias("x")), "obs_id")
 
 
-@query(f"""WITH x AS (SELECT event_id AS obs_id, {X} / 2.7 AS x FROM events)
+@query(f"""WITH x AS (SELECT event_id AS obs_id, {X} / sqrt(7.3) AS x FROM events)
 SELECT obs_id, CAST(t.k AS INTEGER) AS k, round(t.value, 6) + 0.0 AS value FROM (SELECT obs_id, unnest([{{'k': 0, 'value': 1.0::DOUBLE}}, {{'k': 1, 'value': x}}, {{'k': 2, 'value': 2 * x * x - 1}},
 {{'k': 3, 'value': 4 * x ** 3 - 3 * x}}, {{'k': 4, 'value': 8 * x ** 4 - 8 * x * x + 1}}, {{'k': 5, 'value': 16 * x ** 5 - 20 * x ** 3 + 5 * x}}]) AS t FROM x)""")
 def features_chebyshev(spark, sf_dir):
-    x = (F.col("value") / 100 - 2.31) / 2.7
+    x = (F.col("value") / 100 - 2.31) / F.sqrt(F.lit(7.3))
     return long_form(v.table(spark, sf_dir, "events").select(F.col("event_id").alias("obs_id"), b.chebyshev_features(x, 6).alias("x")), "obs_id")
 
 
