@@ -35,8 +35,8 @@ def sample_points_random(spark, sf_dir):
     return s.with_replacement(_points(spark, sf_dir), "structure_id", "point_id", 5).select("structure_id", "draw", "point_id")
 
 
-@query(with_views("points", """, w AS (SELECT *, density - min(density) OVER (PARTITION BY structure_id) AS w FROM points),
-r AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY CASE WHEN w > 0 THEN round(-ln(((point_id * 7919 + 104729) % 1000003 + 0.5::DOUBLE) / 1000003) / w, 9) ELSE 'inf'::DOUBLE END, point_id) AS n FROM w)
+@query(with_views("points", """, above AS (SELECT *, density - min(density) OVER (PARTITION BY structure_id) AS gain FROM points),
+r AS (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY CASE WHEN gain > 0 THEN round(-ln(((point_id * 7919 + 104729) % 1000003 + 0.5::DOUBLE) / 1000003) / gain, 9) ELSE 'inf'::DOUBLE END, point_id) AS n FROM above)
 SELECT structure_id, point_id FROM r WHERE n <= 4"""))
 def sample_points_importance(spark, sf_dir):
     return s.by_importance(_points(spark, sf_dir), "structure_id", "point_id", "density", 4).select("structure_id", "point_id")
