@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latticeworks.functions import geometry as g
-from latticeworks.functions.basis import PI, damping
+from latticeworks.functions.basis import damping
 from latticeworks.operators import eam as e
 from latticeworks.operators import regression as rg
 from latticeworks.operators import tables as tb
