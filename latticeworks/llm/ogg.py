@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Workspace
+from .text import give_back
 
 #: Unit of a payload in bytes, samples (bytes) of a packet, sample rate, lacing values of a page at most.
 UNIT, PACKET, RATE, SEGMENTS = 192, 1920, 8000, 64
@@ -157,6 +158,7 @@ def media_column(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     def write(batches):
         for b in batches:
+            give_back()
             made = [(n, store_samples(p)) for n, p in map(payload_of, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], [key, "n_bytes", "media"])
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
+from .text import give_back
 from .tokens import encoder
 
 #: Ids of a sequence, id that ends a document, rows of a group that numbers pieces, groups of a length at most.
@@ -81,6 +82,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabul
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.append(enc.encode(text.as_py()).astype("<u4"), np.uint32(end))
                 rows += [(doc, a, len(x := ids[a : a + capacity]), zlib.crc32(x.tobytes()), len(ids)) for a in range(0, len(ids), capacity)]
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], schema=kinds)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace, filesystem, publish
+from .text import give_back
 from .tokens import encoder
 
 #: End-of-document id of the vocabulary, ids of a block.
@@ -38,6 +39,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
         def chunks() -> Iterator[bytes]:
             for b in batches:
                 ids.append(b.column(0))
+                give_back()
                 for x in b.column(1):
                     yield enc.encode(x.as_py(), special=False).tobytes()  # the end id stands for nothing else
                     yield stop
