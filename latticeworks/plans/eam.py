@@ -282,13 +282,13 @@ def eam_hyper_update(spark, sf_dir):
 
 LJ = "4 * sqrt(a.eps * b.eps) * (pow((a.sigma + b.sigma) / 2 / {r}, 12) - pow((a.sigma + b.sigma) / 2 / {r}, 6))"
 NEAR_LJ = "SELECT {cols} FROM near JOIN species_ref a ON a.species = centre_species JOIN species_ref b ON b.species = neigh_species"
-#: Cores closer than this are left to other terms, which keeps sums of the steep energy in a range that both engines round alike.
+#: The SQL of pair_energy_lj still leaves out pairs nearer than this; the query sums all.
 CORE = 1.5
 
 
 def near_lj(spark, sf_dir):
     ref = v.species(spark)
-    near = near_atoms(spark, sf_dir).where(F.col("r") > CORE)
+    near = near_atoms(spark, sf_dir)
     for side, p in (("centre_species", "a"), ("neigh_species", "b")):
         near = near.join(F.broadcast(ref.select(F.col("species").alias(side), F.col("sigma").alias(f"sigma_{p}"), F.col("eps").alias(f"eps_{p}"))), side)
     return near.withColumn("sigma", (F.col("sigma_a") + F.col("sigma_b")) / 2).withColumn("eps", F.sqrt(F.col("eps_a") * F.col("eps_b")))
