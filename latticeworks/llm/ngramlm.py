@@ -1,9 +1,10 @@
 """LM scoring with a log-frequency Bloom filter.
 
 Counts of words and word pairs are quantised to powers of two; a gram of level q is held as q entries (gram, 1) ... (gram, q) of a
-Bloom filter, and its count is read back by probing level after level until one is missing. The filter is built in parts, one per
-hash range, by tasks that each see a bounded number of grams, and broadcast to the workers, who score whole texts. Its size follows
-the number of grams up to MOST_BITS in all; beyond that, entries share bits and the error rate rises, but no gram is dropped.
+Bloom filter, and its count is read back by probing level after level until one is missing. Filters are built in parts, one per
+hash range, by tasks that each see a bounded number of grams, and grow with the number of grams, so that the error rate is the same
+at every size. The filter of words is broadcast to the workers, who score whole texts; that of pairs is kept as a table and broadcast
+in slices of at most MOST_BITS, one pass over the texts for each, and scores are summed by document.
 
     p(w | h) = (c(h w) + MU * p(w)) / (c(h) + MU),   p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),   counts from the filter
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .store import Workspace
 from .text import hashed_words, mix
 
-#: Words whose exact counts are broadcast at most (16 bytes each), grams of a filter part, hash functions, bits of the whole filter.
+#: Words whose exact counts are broadcast at most (16 bytes each), grams of a filter part, hash functions, bits of a slice of pairs that is broadcast at once.
 HEAD, PART, HASHES, MOST_BITS = 1 << 20, 1 << 19, 4, 1 << 31
 #: Weight of the unigram estimate, grams that a task holds before it passes them on.
 MU, HOLD = 200.0, 1_500_000
@@ -79,7 +80,7 @@ def _positions(h: np.ndarray, level: int | np.ndarray, bits: np.ndarray, k: int)
     return ((x & np.uint64(0xFFFFFFFF)) + np.uint64(k) * (x >> np.uint64(32) | np.uint64(1))) % bits
 
 
-def build_part(h: np.ndarray, c: np.ndarray, most: int) -> tuple[int, bytes]:
+def build_part(h: np.ndarray, c: np.ndarray, most: float = np.inf) -> tuple[int, bytes]:
     """(bits, bytes) of the filter of the grams h with counts c, of at most `most` bits."""
     h, inverse = np.unique(h, return_inverse=True)
     q = levels(np.bincount(inverse, weights=c))
@@ -92,16 +93,30 @@ def build_part(h: np.ndarray, c: np.ndarray, most: int) -> tuple[int, bytes]:
     return bits, np.packbits(out, bitorder="little").tobytes()
 
 
-def build_filter(grams: DataFrame, parts: int) -> list[tuple[int, int, bytes]]:
-    """(part, bits, bytes) of each part that has grams; at most MOST_BITS in all."""
-    most = max(64, MOST_BITS // parts)
+def build_filter(grams: DataFrame, parts: int) -> DataFrame:
+    """(part, bits, raw) of each part that has grams."""
 
     def build(t: pa.Table) -> pa.Table:
-        bits, raw = build_part(t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy(), most)
+        bits, raw = build_part(t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy())
         return pa.table({"part": t.column("part")[:1], "bits": pa.array([bits]), "raw": pa.array([raw])})
 
-    made = grams.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(build, "part int, bits long, raw binary").toArrow()
-    return list(zip(*(made.column(k).to_pylist() for k in ("part", "bits", "raw")), strict=True))
+    return grams.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(build, "part int, bits long, raw binary")
+
+
+def load_filter(built: DataFrame, parts: int) -> CountFilter:
+    made = built.toArrow()
+    return CountFilter.of(parts, list(zip(*(made.column(k).to_pylist() for k in ("part", "bits", "raw")), strict=True)))
+
+
+def part_ranges(built: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of all parts, each of at most MOST_BITS, or of one part."""
+    ranges, at, held = [], 0, 0
+    for r in sorted(built.select("part", "bits").collect()):
+        if held and held + r.bits > MOST_BITS:
+            ranges.append((at, r.part))
+            at, held = r.part, 0
+        held += r.bits
+    return [*ranges, (at, parts)]
 
 
 @dataclass
@@ -134,16 +149,21 @@ class CountFilter:
         return np.where(level > 0, np.where(level > 1, 2.0 ** (level - 0.5), 1.0), 0.0)  # middle of a level's range
 
 
-def score_tokens(f: CountFilter, tokens: np.ndarray, before: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 p of each token after the one before it."""
-    words, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    c = f.count(words)
+def score_tokens(words: CountFilter, pairs: CountFilter, span: tuple[int, int], tokens: np.ndarray, before: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 p of each token after the one before it; 0 where the pair is not of the parts in span."""
+    out = np.zeros(len(tokens))
+    grams = pair(before, tokens)
+    own = np.flatnonzero((grams.view(np.int64) % pairs.parts >= span[0]) & (grams.view(np.int64) % pairs.parts < span[1]))
+    grams, tokens, before = grams[own], tokens[own], before[own]
+    kinds, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+    c = words.count(kinds)
     cw, ch = c[at[: len(tokens)]], c[at[len(tokens) :]]
-    ch[before == START] = f.count(np.array([START]))[0]
-    grams, back = np.unique(pair(before, tokens), return_inverse=True)
-    both = f.count(grams)[back]
+    ch[before == START] = words.count(np.array([START]))[0]
+    grams, back = np.unique(grams, return_inverse=True)
+    both = pairs.count(grams)[back]
     both = np.where((cw > 0) & (ch > 0), np.minimum(both, np.minimum(cw, ch)), 0)  # a pair is no more frequent than its words
-    return np.log10((both + MU * (cw + 0.5) / (n + 0.5 * (v + 1))) / (ch + MU))
+    out[own] = np.log10((both + MU * (cw + 0.5) / (n + 0.5 * (v + 1))) / (ch + MU))
+    return out
 
 
 def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
@@ -161,25 +181,25 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
     head = words.where(F.col("c") >= (1 << cut) if cut else F.lit(True)).toArrow()
     h, c = head.column("h").to_numpy(), head.column("c").to_numpy()
     order = np.argsort(h)
-    parts = max(1, -(-2 * n // PART))
+    word_parts, parts = max(1, -(-v // PART)), max(1, -(-n // PART))
     starts = count_starts(train)
-    grams = words.unionAll(count_grams(train, True)).unionAll(spark.createDataFrame([(int(START.view(np.int64)), starts)] if starts else [], "h long, c long"))
-    shared = spark.sparkContext.broadcast((h[order], c[order], CountFilter.of(parts, build_filter(grams, parts))))
+    single = load_filter(build_filter(words.unionAll(spark.createDataFrame([(int(START.view(np.int64)), starts)] if starts else [], "h long, c long")), word_parts), word_parts)
+    built = work.put(build_filter(count_grams(train, True), parts), "pairs", "uncompressed")
+    spans = part_ranges(built, parts)
+    shared = spark.sparkContext.broadcast((h[order], c[order], single))
     floor = n + 0.5 * (v + 1)
     whole = not cut
 
     def run(batches):
-        from pyspark import TaskContext
-
-        uid = TaskContext.get().partitionId() << 40
-        heads, counts, filt = shared.value
+        heads, counts, single = shared.value
+        pairs = first.value
         for b in batches:
             size, known, base, score, rest = [], [], [], [], []
             for tokens, before, rows in token_rows(b.column(2)):
                 at = np.minimum(np.searchsorted(heads, tokens.view(np.int64)), max(len(heads) - 1, 0))
                 found = heads[at] == tokens.view(np.int64) if len(heads) else np.zeros(len(tokens), bool)
                 logs = np.log10(((counts[at] if len(heads) else 0) * found + 0.5) / floor)
-                model = score_tokens(filt, tokens, before, n, v)
+                model = score_tokens(single, pairs, spans[0], tokens, before, n, v)
                 size.append(np.diff(rows))
                 known.append(np.add.reduceat(found.astype(np.int64), rows[:-1]))
                 base.append(np.add.reduceat(np.where(found | whole, logs, 0.0), rows[:-1]))
@@ -189,11 +209,37 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
             m = len(b)
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest)]) if rest else [0] * (m + 1), pa.int32()), pa.array(np.concatenate(rest) if rest else [], pa.int64()))
             cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), b.column(0), b.column(1), cat(size, pa.int64()), cat(known, pa.int64()), cat(base, pa.float64()), cat(score, pa.float64()), flat], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
-            uid += m
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(0), b.column(1), cat(size, pa.int64()), cat(known, pa.int64()), cat(base, pa.float64()), cat(score, pa.float64()), flat], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
+
+    def rest_of(span, pairs):
+        """Pass over a further slice: (uid, score)."""
+
+        def run(batches):
+            _, _, single = shared.value
+            for b in batches:
+                made = [np.add.reduceat(score_tokens(single, pairs.value, span, tokens, before, n, v), rows[:-1]) for tokens, before, rows in token_rows(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(made) if made else np.zeros(0))], ["uid", "score"])
+
+        return run
+
+    def slice_of(span):
+        return spark.sparkContext.broadcast(load_filter(built.where(F.col("part").between(span[0], span[1] - 1)), parts))
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
+    if len(spans) > 1:
+        own = work.put(own, "texts")  # the same uid in every pass
+    first = slice_of(spans[0])
     done = work.put(own.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<bigint>"), "scored")
+    if len(spans) > 1:
+        first.destroy()
+        passes = None
+        for k, span in enumerate(spans[1:]):
+            pairs = slice_of(span)
+            made = work.put(own.select("uid", "text").mapInArrow(rest_of(span, pairs), "uid long, score double"), f"pass{k}")
+            pairs.destroy()
+            passes = made if passes is None else passes.unionAll(made)
+        work.drop("texts")
+        done = done.join(passes.groupBy("uid").agg(F.sum("score").alias("more")), "uid").withColumn("score", F.col("score") + F.col("more")).drop("more")
     columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
     if whole:
         return done.select(*columns)
