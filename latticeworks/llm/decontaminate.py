@@ -3,10 +3,11 @@
 Words lose punctuation at their ends and case, and become templates: what starts with a digit is a number, a capitalised word
 inside a sentence is a name, and a word from UNITS after a number is a unit. Windows of WINDOW template words of every benchmark
 item and of every document are hashed and joined. A window's placeholders bind the item's values to the document's; a question that
-was only re-parameterised binds each value to one other value throughout, so windows that break the majority binding of a value, in
-either direction, do not count. A document holds an item if the windows that count are at least SHARE of the item's.
+was only re-parameterised binds each value to one other value throughout a copy, so windows that break the majority binding of a
+value, in either direction, among the windows at the same offset do not count; windows with the item's own values always do. A
+document holds an item if the windows that count, of all copies, are at least SHARE of the item's.
 
-Windows need LITERALS words that are no placeholders. Items of fewer than WINDOW but at least SHORTEST words are one window of
+Windows need LITERALS words that are no placeholders. Items without such a window are found by windows of their own words. Items of fewer than WINDOW but at least SHORTEST words are one window of
 their own length; shorter ones are too short to be told from ordinary text and are never found.
 
 Defined results: null and empty texts hold nothing; rows that share a doc_id are one document; rows with a null doc_id cannot be
@@ -50,7 +51,7 @@ _UNITS = _unit_hashes()
 
 
 def templates(column: pa.Array):
-    """For slices of a column: (first row, lower-case bytes, word starts, word ends, template words, placeholder kinds (0: none), row boundaries)."""
+    """For slices of a column: (first row, lower-case bytes, word starts, word ends, template words, placeholder kinds (0: none), row boundaries, hashes of the words)."""
     for row, buf, bounds in slices(column):
         low = LOWER[buf]
         starts, ends, rows = word_spans(low, bounds)
@@ -61,7 +62,7 @@ def templates(column: pa.Array):
             at = np.flatnonzero((ends - starts > 1) & TRIM[low[ends - 1]])
             ends[at] -= 1
         if not len(starts):
-            yield row, low, starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), rows
+            yield row, low, starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), rows, np.zeros(0, np.uint64)
             continue
         words = hash_spans(low, starts, ends, 5)
         number = _DIGIT[low[starts]]
@@ -74,7 +75,7 @@ def templates(column: pa.Array):
         unit = np.zeros(len(starts), bool)
         unit[1:] = number[:-1] & (_UNITS[np.minimum(np.searchsorted(_UNITS, words[1:]), len(_UNITS) - 1)] == words[1:])
         kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.uint8)
-        yield row, low, starts, ends, np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words))), kind, rows
+        yield row, low, starts, ends, np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words))), kind, rows, words
 
 
 def windows(words: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,30 +88,38 @@ def windows(words: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(total ^ np.uint64(width * 0x51ED27)), literal[width : width + n] - literal[:n] >= min(LITERALS, width - 1)
 
 
+#: Slots of a window of an item's own words, which has no placeholders, and what tells its hash from that of a template.
+EXACT, SALT = ["="], np.uint64(0x2545F4914F6CDD1D)
 HIT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("slots", pa.list_(pa.string()))])
 HIT_DDL = "id long, at long, h long, n long, slots array<string>"
 
 
-def _rows(batches, widths, keep):
-    """Windows of texts (id, text): id, first word, hash, windows of the text, values of the placeholders (kind and value)."""
+def _rows(batches, widths, keep, exact=()):
+    """Windows of texts (id, text): id, first word, hash, windows of the text, values of the placeholders (kind and value).
+
+    exact: widths of the windows of own words; of items (keep is None) they are made where no template window is."""
     for b in batches:
         ids = b.column(0).to_pylist()
         out = []
-        for row, low, starts, ends, words, kind, rows in templates(b.column(1)):
-            for width in widths:
-                h, good = windows(words, kind, width)
+        for row, low, starts, ends, words, kind, rows, own in templates(b.column(1)):
+            size, found = np.diff(rows), np.zeros(len(rows) - 1, bool)
+            for width, literal in [*((w, False) for w in widths), *((w, True) for w in exact)]:
+                h, good = windows(own ^ SALT, np.zeros(len(own), np.uint8), width) if literal else windows(words, kind, width)
                 if not len(h):
                     continue
                 of = np.searchsorted(rows, np.arange(len(h)), side="right") - 1
                 good &= np.arange(len(h)) + width <= rows[of + 1]
                 if keep is None:  # items: a short one has one window of its own length
-                    size = rows[of + 1] - rows[of]
-                    good &= (size >= width) if width == WINDOW else (size == width)
+                    good &= (size[of] >= width) if width == WINDOW else (size[of] == width)
+                    if literal:
+                        good &= ~found[of]
+                    else:
+                        found[of[good]] = True
                 else:
                     good &= keep(h)
                 per = np.bincount(of[good], minlength=len(rows)) if keep is None else None
                 for i in np.flatnonzero(good).tolist():
-                    slots = [f"{kind[j]}:{low[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace')}" for j in range(i, i + width) if kind[j]]
+                    slots = EXACT if literal else [f"{kind[j]}:{low[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace')}" for j in range(i, i + width) if kind[j]]
                     out.append((ids[row + of[i]], i - int(rows[of[i]]), int(h[i : i + 1].view(np.int64)[0]), int(per[of[i]]) if per is not None else 0, slots))
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, HIT, strict=True)], schema=HIT)
 
@@ -123,7 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "decontaminate")
     own = items.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("id"), F.col("text").cast("string").alias("text")).distinct()
     every = list(range(SHORTEST, WINDOW + 1))
-    index = work.put(own.mapInArrow(lambda b: _rows(b, every, None), HIT_DDL), "index")
+    index = work.put(own.mapInArrow(lambda b: _rows(b, every, None, every), HIT_DDL), "index")
     place = f"pmod(h, {FILTER_BITS})"
     bits = index.selectExpr(f"cast({place} div 32 AS int) AS w", f"shiftleft(1L, cast({place} % 32 AS int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
     sieve = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -132,22 +141,24 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Dat
     sizes = index.groupBy("id", "n").agg(F.max(F.size("slots")).alias("s")).where("n = 1").limit(1).count()
     widths = every if sizes else [WINDOW]  # short items have one window
 
+    exact = every if index.where(F.array_contains("slots", EXACT[0])).limit(1).count() else []
+
     def keep(h: np.ndarray) -> np.ndarray:
         p = (h.view(np.int64) % FILTER_BITS).astype(np.int64)
         return (shared.value[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = work.put(texts.mapInArrow(lambda b: _rows(b, widths, keep), HIT_DDL), "hits")
-    found = hits.select(F.col("id").alias("doc_id"), "h", F.col("slots").alias("d")).join(index.select(F.col("id").alias("item_id"), "h", F.col("at").alias("i"), F.col("n").alias("windows"), F.col("slots").alias("q")), "h")
-    found = found.where(F.size("d") == F.size("q")).groupBy("doc_id", "item_id", "i", "windows", "q", "d").agg(F.count("*").alias("m"))
-    plain = found.where(F.size("q") == 0).select("doc_id", "item_id", "i", "windows", F.lit(False).alias("changed"))
-    bound = found.where(F.size("q") > 0)
-    votes = bound.select("doc_id", "item_id", "m", F.explode(F.arrays_zip("q", "d")).alias("p")).groupBy("doc_id", "item_id", F.col("p.q").alias("q"), F.col("p.d").alias("d")).agg(F.sum("m").alias("m"))
-    to = votes.groupBy("doc_id", "item_id", "q").agg(F.max_by("d", F.struct("m", "d")).alias("best"))
-    back = votes.groupBy("doc_id", "item_id", F.col("d").alias("best")).agg(F.max_by("q", F.struct("m", "q")).alias("from"))
-    binding = to.join(back, ["doc_id", "item_id", "best"]).where(F.col("from") == F.col("q")).groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("q", "best"))).alias("binding"))
-    fits = bound.join(binding, ["doc_id", "item_id"]).where(F.forall(F.arrays_zip("q", "d"), lambda p: F.coalesce(F.col("binding")[p["q"]] == p["d"], F.lit(False))))
-    fits = fits.select("doc_id", "item_id", "i", "windows", (F.col("q") != F.col("d")).alias("changed"))
+    hits = work.put(texts.mapInArrow(lambda b: _rows(b, widths, keep, exact), HIT_DDL), "hits")
+    found = hits.select(F.col("id").alias("doc_id"), "at", "h", F.col("slots").alias("d")).join(index.select(F.col("id").alias("item_id"), "h", F.col("at").alias("i"), F.col("n").alias("windows"), F.col("slots").alias("q")), "h")
+    found = found.where(F.size("d") == F.size("q")).select("doc_id", "item_id", (F.col("at") - F.col("i")).alias("off"), "i", "windows", "q", "d")
+    plain = found.where(F.col("q") == F.col("d")).select("doc_id", "item_id", "i", "windows", F.lit(False).alias("changed"))
+    bound, copy = found.where(F.size("q") > 0), ["doc_id", "item_id", "off"]
+    votes = bound.select(*copy, F.explode(F.arrays_zip("q", "d")).alias("p")).groupBy(*copy, F.col("p.q").alias("q"), F.col("p.d").alias("d")).agg(F.count("*").alias("m"))
+    to = votes.groupBy(*copy, "q").agg(F.max_by("d", F.struct("m", "d")).alias("best"))
+    back = votes.groupBy(*copy, F.col("d").alias("best")).agg(F.max_by("q", F.struct("m", "q")).alias("from"))
+    binding = to.join(back, [*copy, "best"]).where(F.col("from") == F.col("q")).groupBy(*copy).agg(F.map_from_entries(F.collect_list(F.struct("q", "best"))).alias("binding"))
+    fits = bound.where(F.col("q") != F.col("d")).join(binding, copy).where(F.forall(F.arrays_zip("q", "d"), lambda p: F.coalesce(F.col("binding")[p["q"]] == p["d"], F.lit(False))))
+    fits = fits.select("doc_id", "item_id", "i", "windows", F.lit(True).alias("changed"))
     counted = plain.unionAll(fits).groupBy("doc_id", "item_id", "windows").agg(F.countDistinct("i").alias("matched"), F.bool_or("changed").alias("changed"))
     return counted.where(F.col("matched") >= share * F.col("windows")).select("doc_id", F.when(F.col("item_id") >= 0, F.col("item_id")).alias("item_id"), "matched", "windows", "changed")
 

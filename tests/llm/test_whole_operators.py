@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from latticeworks.llm import ngramlm
+from latticeworks.llm import decontaminate, ngramlm
 
 
 def test_lm_filter_is_not_capped(spark, monkeypatch):
@@ -19,3 +19,14 @@ def test_lm_filter_is_not_capped(spark, monkeypatch):
     assert made[0].keys() == made[1].keys() and len(made[0]) == 82
     for k, want in made[0].items():
         assert made[1][k] == pytest.approx(want, abs=1e-9)
+
+
+def test_copies_bind_their_own_values(spark):
+    """An exact copy and a changed one in one document, and an item of names and numbers alone."""
+    q = "take 3 red cubes and 5 blue balls from box"
+    other = q.replace("3", "4").replace("5", "2")
+    named = "Anna Berta Clara Dora Emma Frieda Gerda Hanna 17 19 23 29"
+    rows = [(1, f"{q} . {other}"), (2, f"so {named} it is"), (3, "so " + named.replace("Dora", "Paula").replace("23", "24") + " it is")]
+    items = spark.createDataFrame([(1, q), (2, named)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1): 3, (2, 2): 5}
