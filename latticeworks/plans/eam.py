@@ -206,6 +206,17 @@ def energy_moments(spark, sf_dir) -> rg.Moments:
     return rg.Moments.of(rg.gram_rows(phi.join(target, "structure_id").select("phi", F.col("formation").alias("t"))))
 
 
+def force_moments(spark, sf_dir) -> rg.Moments:
+    """Of the forces of all atoms on three axes, each with weight 1 / N_s for its structure's atoms; rows without neighbours are zeros."""
+    every = v.atoms(spark, sf_dir)
+    size = every.groupBy("structure_id").agg(F.count("*").alias("n_atoms"))
+    phi = e.dense(force_design(spark, sf_dir), [*e.ATOM, "axis"], N_COLUMNS)
+    target = every.select(*e.ATOM, F.posexplode(F.array("fx", "fy", "fz")).alias("axis", "f")).join(size, "structure_id")
+    weight, zeros = 1 / F.sqrt("n_atoms"), F.array(*[F.lit(0.0)] * N_COLUMNS)
+    rows = target.join(phi, [*e.ATOM, "axis"], "left").select(F.transform(F.coalesce("phi", zeros), lambda x: x * weight).alias("phi"), (F.col("f") * weight).alias("t"))
+    return rg.Moments.of(rg.gram_rows(rows))
+
+
 ERR_SQL = rho_views(f""", {DESIGN_SQL}, target AS (SELECT s.structure_id, round(s.energy / count(*) - sum(e_ref) / count(*), 9) + 0.0 AS t FROM structures s JOIN atoms USING (structure_id) JOIN species_ref USING (species) GROUP BY s.structure_id, s.energy),
 pred AS (SELECT structure_id, sum(value * w) AS y FROM design JOIN weights USING (col) GROUP BY structure_id)
 """)
@@ -222,8 +233,7 @@ def eam_errors(spark, sf_dir):
 @query(ERR_SQL + f"SELECT round(-0.5 * {ALPHA} * (SELECT sum(w * w) FROM weights) - 0.5 * {BETA_E} * sum((t - y) ** 2) + 0.5 * (count(*) + 27) * ln(2 * pi()) + 0.5 * 27 * ln({ALPHA}) + count(*) * ln({BETA_E}), 2) + 0.0 AS log_joint FROM target JOIN pred USING (structure_id)")
 def eam_log_joint(spark, sf_dir):
     m = energy_moments(spark, sf_dir)
-    zero = rg.Moments(np.zeros_like(m.gram), np.zeros_like(m.xty), 0.0, 0.0, m.n)
-    value = e.log_joint(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, 1.0, m, zero, m.n)
+    value = e.log_joint(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, force_moments(spark, sf_dir), m.n)
     return spark.createDataFrame([(round(value, 2) + 0.0,)], "log_joint double")
 
 
@@ -258,25 +268,26 @@ ZEROS = "SELECT CAST(i AS INTEGER) AS i, 0.0::DOUBLE AS residual FROM (SELECT un
 def eam_map_fit(spark, sf_dir):
     """Weights that maximise the log-joint, given as the residual of their normal equations."""
     m = energy_moments(spark, sf_dir)
-    w = e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m)
-    return _residual(spark, BETA_E * m.gram @ w + ALPHA * w, BETA_E * m.xty)
+    f = force_moments(spark, sf_dir)
+    w = e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, f)
+    return _residual(spark, (BETA_E * m.gram + BETA_F * f.gram) @ w + ALPHA * w, BETA_E * m.xty + BETA_F * f.xty)
 
 
 @query(ZEROS.format(n=N_COLUMNS - 9))
 def eam_frozen_fit(spark, sf_dir):
     """Like-pair weights are held, embedding and unlike pairs are fitted: residuals of the free columns."""
-    m = energy_moments(spark, sf_dir)
+    m, f = energy_moments(spark, sf_dir), force_moments(spark, sf_dir)
     held = {c: WEIGHTS[c] for kind, key, start in BLOCKS if kind == "pair" and key[0] == key[-1] for c in range(start, start + K)}
-    w = e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, frozen=held)
+    w = e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, f, held)
     free = [c for c in range(N_COLUMNS) if c not in held]
-    return _residual(spark, (BETA_E * m.gram @ w + ALPHA * w)[free], BETA_E * m.xty[free])
+    return _residual(spark, ((BETA_E * m.gram + BETA_F * f.gram) @ w + ALPHA * w)[free], (BETA_E * m.xty + BETA_F * f.xty)[free])
 
 
 @query()
 def eam_hyper_update(spark, sf_dir):
     """Noise and prior that maximise the log-joint at the fitted weights, over alternating rounds."""
     m = energy_moments(spark, sf_dir)
-    rows = [(r["run"], k, float(r["w"][k]), float(r["beta_e"]), float(r["mse"])) for r in e.alternating_fit(m, keep=2) for k in range(N_COLUMNS)]
+    rows = [(r["run"], k, float(r["w"][k]), float(r["beta_e"]), float(r["mse"])) for r in e.alternating_fit(m, force_moments(spark, sf_dir), keep=2) for k in range(N_COLUMNS)]
     return spark.createDataFrame(rows, "run int, col int, w double, beta_e double, mse double")
 
 
