@@ -27,7 +27,7 @@ END, BLOCK = 50256, 1 << 20
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k", end: int = END) -> DataFrame:
-    """Writes one file for each partition of docs (doc_id, text); returns the writer's note (doc_id, path, ordinal)."""
+    """Writes one file for each partition of docs (doc_id, text); returns the writer's note (doc_id, path, ordinal, bytes)."""
 
     def write(batches):
         from pyspark import TaskContext
@@ -46,14 +46,14 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_
 
         made = chunks()
         if (first := next(made, None)) is not None:
-            publish(path, (x for g in ([first], made) for x in g))
+            path, size = publish(path, (x for g in ([first], made) for x in g))
             at = 0
             for column in ids:
-                yield pa.RecordBatch.from_arrays([column, pa.array([path] * len(column)), pa.array(np.arange(at, at + len(column)))], ["doc_id", "path", "ordinal"])
+                yield pa.RecordBatch.from_arrays([column, pa.array([path] * len(column)), pa.array(np.arange(at, at + len(column))), pa.array([size] * len(column), pa.int64())], ["doc_id", "path", "ordinal", "bytes"])
                 at += len(column)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(write, "doc_id long, path string, ordinal long")
+    return own.mapInArrow(write, "doc_id long, path string, ordinal long, bytes long")
 
 
 def blocks_of(files: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
@@ -105,12 +105,6 @@ def scan_separators(files: DataFrame, work: Workspace, width: int, end: int = EN
     return docs.unionByName(tails)
 
 
-def file_sizes(paths: DataFrame, folder: str) -> DataFrame:
-    """(path, bytes) of the token files in a folder, as its listing has them."""
-    spark = paths.sparkSession
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", F.col("length").alias("bytes"))
-
-
 def op1_token_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, its place in the token files and the tokens that the scan counted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -118,8 +112,6 @@ def op1_token_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = work.put(write_token_files(docs, f"{work.path}/flat"), "written")
     width = encoder().dtype.itemsize
     name = F.regexp_extract("path", r"([^/]+)\.bin$", 1)
-    if not written.head(1):
-        return written.select("doc_id", F.lit("").alias("file"), "ordinal", F.col("ordinal").alias("start"), F.col("ordinal").alias("n_tokens"))
-    found = scan_separators(file_sizes(written, f"{work.path}/flat"), work, width)
+    found = scan_separators(written.groupBy("path").agg(F.max("bytes").alias("bytes")), work, width)
     own = written.select("doc_id", name.alias("file"), "ordinal")
     return own.join(found.select(name.alias("file"), "ordinal", "start", "n_tokens"), ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")

@@ -2,16 +2,19 @@
 
 An archive starts with a skippable frame (0x184D2A5D) that embeds the dictionary; every record follows as a frame of its own, so
 that any record can be read from its offset alone. The dictionary is built from a bounded sample of the records to be archived.
+What is read back is measured on the stored bodies; a revisit has none, so its header's digest and length count.
 Of records with equal payloads of at least `least` bytes, that with the largest page id is stored as a response and the others as
 revisits that refer to it, without a body.
 
 Defined results: a null html is an empty payload; a null url is an empty target; rows repeated with all their values are stored
-as often as they occur; where every page id of a group is null, all its rows are responses. An empty table gives no archives.
+as often as they occur; where every page id of a group is null, all its rows are responses. An empty table gives no archives. An
+archive that is cut off or has a record whose body is not what its header says is an error, and reading it ends the job.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator
@@ -89,6 +92,20 @@ def archive(dictionary: bytes, records: Iterator[bytes]) -> Iterator[bytes]:
         yield pack.compress(r)
 
 
+def frames(stream: io.RawIOBase, unpack: zstandard.ZstdDecompressor, chunk: int = 1 << 18) -> Iterator[bytes]:
+    """The content of each frame; a frame without its end is an error."""
+    data = stream.read(chunk)
+    while data:
+        one, parts = unpack.decompressobj(), []
+        while not one.eof:
+            if not data and not (data := stream.read(chunk)):
+                raise ValueError("the archive is cut off")
+            parts.append(one.decompress(data))
+            data = one.unused_data if one.eof else b""
+        yield b"".join(parts)
+        data = data or stream.read(chunk)
+
+
 def read_archive(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive, one at a time, with the dictionary from its leading frame."""
     head, made = stream.read(8), None
@@ -96,26 +113,36 @@ def read_archive(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         made = zstandard.ZstdCompressionDict(stream.read(int.from_bytes(head[4:8], "little")))
     else:
         stream.seek(0)
-    yield from parse_records(zstandard.ZstdDecompressor(dict_data=made).stream_reader(stream, read_across_frames=True))
+    for frame in frames(stream, zstandard.ZstdDecompressor(dict_data=made)):
+        yield from parse_records(io.BytesIO(frame))
 
 
 def with_roles(pages: DataFrame, work: Workspace, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) with payload_digest and, for revisits, refers_to."""
+    """pages (page_id, url, html) with payload_digest and, for revisits, refers_to.
+
+    Only digests of several payloads are joined, so that pages are not shuffled where those fit a broadcast; small payloads, of which
+    many are equal, get a join key of their own.
+    """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("payload_digest", F.sha1("html"))
-    shared = own.where(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
+    large = F.octet_length("html") >= least
+    shared = own.where(large).groupBy(F.col("payload_digest").alias("key")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
     shared = work.put(shared, "shared")
-    return own.join(shared, "payload_digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    keyed = own.withColumn("key", F.when(large, F.col("payload_digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    return keyed.join(shared, "key", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id", "key")
 
 
-def sample_payloads(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_RECORD) -> list[bytes]:
-    """At most `rows` payloads of at most `most` bytes, chosen by a hash of the page id: bounded, whatever the table's size.
+def sample_records(pages: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_RECORD) -> list[bytes]:
+    """At most `rows` records of pages (page_id, url, html) with payloads of at most `most` bytes, chosen by a hash of the page id:
+    bounded, whatever the table's size.
 
     Rows are thinned by the hash before they are ranked, so that no task ranks more than it must.
     """
-    small = pages.where(F.octet_length("html").between(1, most)).select("html", F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)).alias("h"))
+    small = pages.where(F.octet_length("html").between(1, most)).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    small = small.withColumn("h", F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)))
     share = min(1.0, 1.5 * rows / max(1, pages.count()))
-    return [r.html.encode() for r in small.where(F.col("h") < int(share * (1 << 30))).orderBy("h", "html").limit(rows).select("html").collect()]
+    chosen = small.where(F.col("h") < int(share * (1 << 30))).orderBy("h", "html", "url").limit(rows).withColumn("sha1", F.sha1("html")).collect()
+    return [record(r.page_id, r.url, r.html.encode(), r.sha1, None) for r in chosen]
 
 
 def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
@@ -136,15 +163,28 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes) -> DataFram
         made = records()
         if (first := next(made, None)) is not None:
             path = f"{folder}/part-{TaskContext.get().partitionId():05d}.warc.zst"
-            size = publish(path, archive(dictionary, (x for g in ([first], made) for x in g)))
+            path, size = publish(path, archive(dictionary, (x for g in ([first], made) for x in g)))
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
     return pages.select("page_id", "url", "html", "payload_digest", "refers_to").mapInArrow(write, "path string, records long, bytes long")
 
 
+def measured(head: dict[str, str], body: bytes) -> tuple:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of a record."""
+    number = lambda k: int(head[k]) if head.get(k) else None
+    said = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
+    if head["warc-type"] == "revisit":
+        return number("x-page-id"), number("x-payload-length"), said, "revisit", number("x-refers-to-page")
+    digest = hashlib.sha1(body).hexdigest()
+    if digest != said:
+        raise ValueError(f"record {head.get('warc-record-id')} has digest {digest}, its header says {said}")
+    return number("x-page-id"), len(body), digest, head["warc-type"], None
+
+
 def read_archives(paths: DataFrame, batch: int = 2000) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives in column `path`."""
     kinds = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], schema=kinds)
 
     def read(batches):
         for b in batches:
@@ -152,22 +192,21 @@ def read_archives(paths: DataFrame, batch: int = 2000) -> DataFrame:
                 fs, place = filesystem(path)
                 rows = []
                 with fs.open_input_file(place) as f:
-                    for head, _ in read_archive(f):
-                        number = lambda k: int(head[k]) if head.get(k) else None  # noqa: B023, E731
-                        rows.append((number("x-page-id"), number("x-payload-length"), base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex(), head["warc-type"], number("x-refers-to-page")))
+                    for head, body in read_archive(f):
+                        rows.append(measured(head, body))
                         if len(rows) == batch:
-                            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], kinds)
+                            yield made(rows)
                             rows = []
-                yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], kinds)
+                yield made(rows)
 
     return paths.select("path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "warc")
-    pages = with_roles(spark.read.parquet(f"{sf_dir}/pages.parquet"), work)
-    dictionary = train(sample_payloads(pages.select("page_id", "html")))
-    written = work.put(write_archives(pages, f"{work.path}/archives", dictionary), "written")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    dictionary = train(sample_records(pages))
+    written = work.put(write_archives(with_roles(pages, work), f"{work.path}/archives", dictionary), "written")
     return read_archives(written.repartition(spark.sparkContext.defaultParallelism * 2))
 
 
