@@ -4,11 +4,12 @@ Rules (host, path prefix) judge a URL by its host and path. Redirect (meta refre
 connected components over those edges pass a block on to every URL that no rule names. An allow takes precedence: a URL's own rule
 always wins, and a component in which any URL is allowed by a rule passes no block on.
 
-A URL is known by its host and path, which is all that rules look at. Targets are resolved against the page: absolute, `//host/..`,
-`/path` or relative to the page's folder; a fragment or query alone is the page itself.
+A URL is known by its host and path, which is all that rules look at; as a node of the links its path is rid of `.` and `..`
+segments, and an empty one is `/`. Targets are resolved against the page: absolute (a scheme and `://` in front), `//host/..`, `/path`
+or relative to the page's folder; a fragment or query alone is the page itself, and other schemes (`mailto:` and the like) are no link.
 
 Defined results: a null url or one without `://` has empty host and path, no rule, no edges and verdict allow; a null html has no
-edges; repeated rows are judged alike. Of several refresh or canonical tags of one kind the first counts.
+edges; repeated rows are judged alike. Of several refresh or canonical tags of one kind the first counts. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .store import Workspace
 
 #: (host, path prefix, verdict); a rule's name is its host and path.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-#: Rules are part of the expression; longer lists would not be.
-MOST_RULES = 1000
+#: So many rules are part of the expression; a longer list is joined by host and path prefix.
+INLINE = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,8 +37,6 @@ def path_of(url: Column) -> Column:
 
 def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """The longest rule that fits as a struct (size, rule, verdict), or null. Of equally long ones allow wins over block."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     fits = [F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), F.struct(F.lit(len(h + p)).alias("size"), F.lit(v == "allow").alias("allow"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in rules]
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,allow:boolean,rule:string,verdict:string>")
 
@@ -49,32 +48,64 @@ def targets(html: Column) -> Column:
     return F.array(F.regexp_extract(link, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1), F.regexp_extract(meta, r"""(?i)\burl\s*=\s*['"]?([^"'\s>]+)""", 1))
 
 
+def without_dots(path: Column) -> Column:
+    """A path rid of `.` and `..` segments; an empty one is `/`."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), lambda a, x: F.when(x == ".", a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.size(a) - 1)).otherwise(a)).otherwise(F.concat(a, F.array(x))))
+    open_ = F.element_at(parts, -1).isin(".", "..")
+    clean = F.array_join(F.when(open_, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), clean).otherwise(path)
+
+
 def resolved(target: Column, host: Column, path: Column) -> Column:
-    """(host, path) of a target seen from a page, as host and path in one string."""
+    """The node of a target seen from a page; null where the target is no link."""
     plain = F.regexp_extract(target, r"^[^?#]*", 0)
+    there = F.concat(F.lit("x:"), target)
+    folder = F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.when(path.contains("/"), F.lit("")).otherwise(F.lit("/")))
     return (
-        F.when(target.contains("://"), F.concat(host_of(target), path_of(target)))
-        .when(target.startswith("//"), F.concat(host_of(F.concat(F.lit("x:"), target)), path_of(F.concat(F.lit("x:"), target))))
-        .when(plain == "", F.concat(host, path))
-        .when(plain.startswith("/"), F.concat(host, plain))
-        .otherwise(F.concat(host, F.regexp_replace(path, r"[^/]*$", ""), F.when(path.contains("/"), F.lit("")).otherwise(F.lit("/")), plain))
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(host_of(target), without_dots(path_of(target))))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(host_of(there), without_dots(path_of(there))))
+        .when(plain == "", F.concat(host, without_dots(path)))
+        .when(plain.startswith("/"), F.concat(host, without_dots(plain)))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, plain))))
     )
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def with_rule(urls: DataFrame, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """urls (host, path and others) with m, the longest rule that fits (see matched). rules: a list, or a table (host, prefix, verdict).
+
+    A long list is hashed by host and prefix: each distinct URL looks up the suffixes of its host with its prefixes of those lengths that
+    rules have, so that neither rules nor URLs are compared with each other.
+    """
+    if isinstance(rules, list):
+        if len(rules) <= INLINE:
+            return urls.withColumn("m", matched(F.col("host"), F.col("path"), rules))
+        rules = urls.sparkSession.createDataFrame(rules, "host string, prefix string, verdict string")
+    listed = rules.select(F.col("host").alias("h"), F.col("prefix").alias("p"), (F.col("verdict") == "allow").alias("allow"), "verdict").distinct()
+    lengths = [r.n for r in listed.select(F.length("p").alias("n")).distinct().collect()]  # no more than a path has characters
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    looked = urls.select("host", "path").distinct().withColumn("h", F.explode(suffixes)).withColumn("n", F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))))
+    fits = looked.withColumn("p", F.substr("path", F.lit(1), F.col("n"))).join(listed, ["h", "p"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("h") + F.length("p")).alias("size"), "allow", F.concat("h", "p").alias("rule"), "verdict")).alias("m"))
+    return urls.join(best, ["host", "path"], "left")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages (page_id, url, html)."""
     work = Workspace(pages.sparkSession, "urls")
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
-    node = F.concat("host", "path")
+    node = F.concat("host", without_dots(F.col("path")))
     edges = own.where("host <> '' OR path <> ''").select("host", "path", F.explode(F.array_distinct(F.filter(targets(F.col("html")), lambda t: t != ""))).alias("target"))
-    edges = work.put(edges.select(node.alias("a"), resolved(F.col("target"), F.col("host"), F.col("path")).alias("b")).where("a <> b AND b <> ''").distinct(), "edges")
+    edges = work.put(edges.select(node.alias("a"), resolved(F.col("target"), F.col("host"), F.col("path")).alias("b")).where("a <> b").distinct(), "edges")
     groups = work.put(components(edges, work), "groups")
     there = F.regexp_extract("node", r"^[^/]*", 0)
-    verdict = matched(there, F.substr(F.col("node"), F.length(there) + 1), rules)["verdict"]
-    decided = groups.withColumn("v", verdict).groupBy("component").agg(F.bool_or(F.col("v") == "allow").alias("allowed"), F.bool_or(F.col("v") == "block").alias("blocked"))
+    ruled = with_rule(groups.select("node", "component", there.alias("host"), F.substr(F.col("node"), F.length(there) + 1).alias("path")), rules).withColumn("v", F.col("m.verdict"))
+    decided = ruled.groupBy("component").agg(F.bool_or(F.col("v") == "allow").alias("allowed"), F.bool_or(F.col("v") == "block").alias("blocked"))
     blocked = work.put(groups.join(decided.where("blocked AND NOT coalesce(allowed, false)"), "component", "left_semi").select("node"), "blocked")
-    judged = own.select("page_id", "host", "path", matched(F.col("host"), F.col("path"), rules).alias("m"), node.alias("node"))
+    judged = with_rule(own.select("page_id", "host", "path"), rules).withColumn("node", node)
     judged = judged.join(blocked.withColumn("alias", F.lit(True)), "node", "left")
     return judged.select("page_id", "host", "path", F.col("m.rule").alias("rule"), F.coalesce(F.col("m.verdict"), F.when(F.col("alias"), F.lit("block")), F.lit("allow")).alias("verdict"))
 
@@ -83,18 +114,22 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+_NORM = r"""CASE WHEN {p} = '' THEN '/' WHEN regexp_matches({p}, '/\.\.?(/|$)') THEN array_to_string(list_concat(list_reduce(list_concat([['']], list_transform(string_split({p}, '/')[2:], lambda x: [x])),
+    lambda a, b: CASE WHEN b[1] = '.' THEN a WHEN b[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[1:len(a) - 1] ELSE a END ELSE list_concat(a, b) END), CASE WHEN string_split({p}, '/')[-1] IN ('.', '..') THEN [''] ELSE [] END), '/') ELSE {p} END"""
 ORACLE = r"""
 WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+q AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+p AS (SELECT *, host || PATH_NORM AS node FROM q),
 rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-raw AS (SELECT host, path, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+raw AS (SELECT host, path, node, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
                regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS t
         FROM p WHERE host <> '' OR path <> ''),
-abs AS (SELECT host, path, CASE WHEN t LIKE '%://%' THEN substr(t, strpos(t, '://') + 3) WHEN t LIKE '//%' THEN substr(t, 3)
+abs AS (SELECT node, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(t, strpos(t, '://') + 3) WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN t LIKE '//%' THEN substr(t, 3)
                WHEN regexp_extract(t, '^[^?#]*') = '' THEN host || path WHEN t LIKE '/%' THEN host || regexp_extract(t, '^[^?#]*')
                ELSE host || regexp_replace(path, '[^/]*$', '') || CASE WHEN path LIKE '%/%' THEN '' ELSE '/' END || regexp_extract(t, '^[^?#]*') END AS r FROM raw WHERE t <> ''),
-e AS (SELECT DISTINCT host || path AS a, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS b FROM abs),
+cut AS (SELECT node AS a, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM abs WHERE r IS NOT NULL),
+e AS (SELECT DISTINCT a, host || PATH_NORM AS b FROM cut),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c AS (SELECT a AS n, a AS m FROM s UNION SELECT c.n, s.b FROM c JOIN s ON c.m = s.a),
 known AS (SELECT host, path FROM p UNION SELECT regexp_extract(a, '^[^/]*'), substr(a, length(regexp_extract(a, '^[^/]*')) + 1) FROM s),
@@ -102,5 +137,5 @@ ruled AS (SELECT k.host, k.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule
           FROM known k JOIN rules r ON (k.host = r.h OR ends_with(k.host, '.' || r.h)) AND starts_with(k.path, r.p) GROUP BY k.host, k.path),
 alias AS (SELECT c.n FROM c JOIN ruled r ON c.m = r.host || r.path GROUP BY c.n HAVING bool_or(r.verdict = 'block') AND NOT bool_or(r.verdict = 'allow'))
 SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, CASE WHEN a.n IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM p LEFT JOIN ruled r USING (host, path) LEFT JOIN alias a ON a.n = p.host || p.path
-"""
+FROM p LEFT JOIN ruled r USING (host, path) LEFT JOIN alias a ON a.n = p.node
+""".replace("PATH_NORM", _NORM.replace("{p}", "path"))
