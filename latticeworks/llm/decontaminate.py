@@ -4,29 +4,41 @@ Words lose punctuation at their ends and case, and become templates: what starts
 inside a sentence is a name, and a word from UNITS after a number is a unit. Windows of WINDOW template words of every benchmark
 item and of every document are hashed and joined. A window's placeholders bind the item's values to the document's; a question that
 was only re-parameterised binds each value to one other value throughout a copy, so windows that break the majority binding of a
-value, in either direction, among the windows at the same offset do not count; windows with the item's own values always do. A
-document holds an item if the windows that count, of all copies, are at least SHARE of the item's.
+value, in either direction, among the windows at the same offset do not count (of values that are bound equally often the one that
+sorts last wins); windows with the item's own values always do. Template windows need LITERALS words that are no placeholders.
 
-Windows need LITERALS words that are no placeholders. Items without such a window are found by windows of their own words. Items of fewer than WINDOW but at least SHORTEST words are one window of
-their own length; shorter ones are too short to be told from ordinary text and are never found.
+Beside them run windows of the words themselves, without letter case and placeholders: a copy in other letter case has other names,
+and an item may be all placeholders. A document holds an item if the windows of one of the two kinds that count, of all copies, are at
+least SHARE of the item's of that kind. Items of fewer than WINDOW words are one window of their own length: a template from SHORTEST
+words on, own words anywhere from ANYWHERE words on; a shorter item is found where it is a whole line, or several, of a text.
+
+Items that differ in values alone are one template, known by its smallest item_id; each is still found by its own words. Only pairs of
+document and item that share one of the item's rarer windows (all but so many as SHARE needs) are compared, so that a window of many
+items and many documents does not multiply them.
 
 Defined results: null and empty texts hold nothing; rows that share a doc_id are one document; rows with a null doc_id cannot be
-named and are not reported; repeated benchmark rows count once, a null item_id is an item like any other.
+named and are not reported; repeated benchmark rows count once, a null item_id is an item like any other (it takes the place of the
+least long, which is no id). Other columns play no part.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Workspace
 from .text import LOWER, hash_spans, mix, slices, word_spans
 from .toxicity import TRIM
 
-#: Words of a window, words of it that are no placeholders at least, shortest item, share of an item's windows.
-WINDOW, LITERALS, SHORTEST, SHARE = 8, 4, 5, 0.3
+#: Words of a window, words of it that are no placeholders at least, shortest template, shortest item that is found anywhere, share of an item's windows.
+WINDOW, LITERALS, SHORTEST, ANYWHERE, SHARE = 8, 4, 5, 4, 0.3
+#: Kinds of windows: of template words, of own words, of own words that are whole lines.
+TEMPLATE, OWN, LINE = 0, 1, 2
+NO_ID = -(1 << 63)
 #: Bits of the filter that keeps windows of no item inside the task.
 FILTER_BITS = 1 << 24
 #: Units of measure and currency.
@@ -51,7 +63,7 @@ _UNITS = _unit_hashes()
 
 
 def templates(column: pa.Array):
-    """For slices of a column: (first row, lower-case bytes, word starts, word ends, template words, placeholder kinds (0: none), row boundaries, hashes of the words)."""
+    """For slices of a column: (first row, lower-case bytes, word starts, word ends, template words, placeholder kinds (0: none), row boundaries, hashes of the words, which open a line)."""
     for row, buf, bounds in slices(column):
         low = LOWER[buf]
         starts, ends, rows = word_spans(low, bounds)
@@ -62,20 +74,23 @@ def templates(column: pa.Array):
             at = np.flatnonzero((ends - starts > 1) & TRIM[low[ends - 1]])
             ends[at] -= 1
         if not len(starts):
-            yield row, low, starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), rows, np.zeros(0, np.uint64)
+            yield row, low, starts, ends, np.zeros(0, np.uint64), np.zeros(0, np.uint8), rows, np.zeros(0, np.uint64), np.zeros(0, bool)
             continue
         words = hash_spans(low, starts, ends, 5)
         number = _DIGIT[low[starts]]
         opening = np.ones(len(starts), bool)  # first of a text, line or sentence
         lines = np.cumsum(low == 10)
-        opening[1:] = _STOP[buf[raw_ends[:-1] - 1]] | (lines[starts[1:]] != lines[starts[:-1]])
-        opening[rows[:-1][rows[:-1] < len(starts)]] = True
+        fresh = np.ones(len(starts), bool)
+        fresh[1:] = lines[starts[1:]] != lines[starts[:-1]]
+        fresh[rows[:-1][rows[:-1] < len(starts)]] = True
+        opening[1:] = _STOP[buf[raw_ends[:-1] - 1]]
+        opening |= fresh
         second = low[np.minimum(starts + 1, len(low) - 1)]
         name = _UPPER[buf[starts]] & ~opening & (ends - starts > 1) & (buf[np.minimum(starts + 1, len(buf) - 1)] == second)
         unit = np.zeros(len(starts), bool)
         unit[1:] = number[:-1] & (_UNITS[np.minimum(np.searchsorted(_UNITS, words[1:]), len(_UNITS) - 1)] == words[1:])
         kind = np.where(number, 1, np.where(unit, 3, np.where(name, 2, 0))).astype(np.uint8)
-        yield row, low, starts, ends, np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words))), kind, rows, words
+        yield row, low, starts, ends, np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, words))), kind, rows, words, fresh
 
 
 def windows(words: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,79 +103,98 @@ def windows(words: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(total ^ np.uint64(width * 0x51ED27)), literal[width : width + n] - literal[:n] >= min(LITERALS, width - 1)
 
 
-#: Slots of a window of an item's own words, which has no placeholders, and what tells its hash from that of a template.
-EXACT, SALT = ["="], np.uint64(0x2545F4914F6CDD1D)
-HIT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("slots", pa.list_(pa.string()))])
-HIT_DDL = "id long, at long, h long, n long, slots array<string>"
+#: What tells the hash of a window of own words from that of a template.
+SALT = [np.uint64(0), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)]
+HIT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("width", pa.int32()), ("cls", pa.int64()), ("slots", pa.list_(pa.string()))])
+HIT_DDL = "id long, at long, h long, n long, kind int, width int, cls long, slots array<string>"
+#: Kind and width of every window that an item may have.
+EVERY = [*((TEMPLATE, w) for w in range(SHORTEST, WINDOW + 1)), *((OWN, w) for w in range(ANYWHERE, WINDOW + 1)), *((LINE, w) for w in range(1, ANYWHERE))]
 
 
-def _rows(batches, widths, keep, exact=()):
-    """Windows of texts (id, text): id, first word, hash, windows of the text, values of the placeholders (kind and value).
-
-    exact: widths of the windows of own words; of items (keep is None) they are made where no template window is."""
+def _rows(batches, sorts, keep=None):
+    """Windows of texts (id, text): id, first word, hash, windows of the text of that kind, kind, width, template class, and the values
+    of the placeholders (kind and value). With keep those of documents, else those of items."""
     for b in batches:
-        ids = b.column(0).to_pylist()
-        out = []
-        for row, low, starts, ends, words, kind, rows, own in templates(b.column(1)):
-            size, found = np.diff(rows), np.zeros(len(rows) - 1, bool)
-            for width, literal in [*((w, False) for w in widths), *((w, True) for w in exact)]:
-                h, good = windows(own ^ SALT, np.zeros(len(own), np.uint8), width) if literal else windows(words, kind, width)
+        ids, out = b.column(0).to_pylist(), []
+        for row, low, starts, ends, words, kind, rows, own, fresh in templates(b.column(1)):
+            size, none = np.diff(rows), np.zeros(len(own), np.uint8)
+            value = lambda j: f"{kind[j]}:{low[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace')}"  # noqa: B023, E731
+            classes = [_class(words[i:j], [value(k) for k in range(i, j) if kind[k]]) for i, j in zip(rows[:-1], rows[1:], strict=True)] if keep is None else None
+            for sort, width in sorts:
+                h, good = windows(words, kind, width) if sort == TEMPLATE else windows(own ^ SALT[sort], none, width)
                 if not len(h):
                     continue
-                of = np.searchsorted(rows, np.arange(len(h)), side="right") - 1
-                good &= np.arange(len(h)) + width <= rows[of + 1]
+                at = np.arange(len(h))
+                of = np.searchsorted(rows, at, side="right") - 1
+                good = (good if sort == TEMPLATE else np.ones(len(h), bool)) & (at + width <= rows[of + 1])
+                if sort == LINE:
+                    last = at + width == rows[of + 1]
+                    last[: len(fresh) - width] |= fresh[width:][: len(last)]
+                    good &= fresh[: len(h)] & last
                 if keep is None:  # items: a short one has one window of its own length
                     good &= (size[of] >= width) if width == WINDOW else (size[of] == width)
-                    if literal:
-                        good &= ~found[of]
-                    else:
-                        found[of[good]] = True
+                    per = np.bincount(of[good], minlength=len(rows))
                 else:
                     good &= keep(h)
-                per = np.bincount(of[good], minlength=len(rows)) if keep is None else None
                 for i in np.flatnonzero(good).tolist():
-                    slots = EXACT if literal else [f"{kind[j]}:{low[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace')}" for j in range(i, i + width) if kind[j]]
-                    out.append((ids[row + of[i]], i - int(rows[of[i]]), int(h[i : i + 1].view(np.int64)[0]), int(per[of[i]]) if per is not None else 0, slots))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, HIT, strict=True)], schema=HIT)
+                    r = of[i]
+                    slots = [value(j) for j in range(i, i + width) if kind[j]] if sort == TEMPLATE else []
+                    out.append((ids[row + r], i - int(rows[r]), int(h[i : i + 1].view(np.int64)[0]), int(per[r]) if keep is None else 0, sort, width, classes[r] if keep is None else 0, slots))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(HIT), HIT, strict=True)], schema=HIT)
+
 
+def _class(words: np.ndarray, values: list[str]) -> int:
+    """The same for items of the same template words in which the same values are equal."""
+    first: dict[str, int] = {}
+    pattern = [first.setdefault(v, len(first)) for v in values]
+    return int.from_bytes(blake2b(words.tobytes() + b"|" + np.array(pattern, np.int32).tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+
+def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, work: Workspace | None = None) -> DataFrame:
     """(doc_id, item_id, matched, windows, changed) of each document (doc_id, text) and the item (item_id, text) it holds.
 
-    matched: distinct windows of the item that count; changed: whether a bound value differs.
+    matched: distinct windows of the item that count, of the kind of which the larger share does; changed: whether the item is held
+    with changed values only.
     """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "decontaminate")
-    own = items.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("id"), F.col("text").cast("string").alias("text")).distinct()
-    every = list(range(SHORTEST, WINDOW + 1))
-    index = work.put(own.mapInArrow(lambda b: _rows(b, every, None, every), HIT_DDL), "index")
+    spark, work = docs.sparkSession, work or Workspace(docs.sparkSession, "decontaminate")
+    own = items.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text")).distinct()
+    made = work.put(own.mapInArrow(lambda b: _rows(b, EVERY), HIT_DDL), "windows")
+    first = made.where(F.col("kind") == TEMPLATE).groupBy("cls").agg(F.min("id").alias("id"))
+    made = made.join(F.broadcast(first), ["cls", "id"], "left_semi").where(F.col("kind") == TEMPLATE).unionByName(made.where(F.col("kind") != TEMPLATE))
+    often = made.groupBy("h").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("item_id", "kind").orderBy("often", "i"))
+    index = made.join(often, "h").select(F.col("id").alias("item_id"), "h", F.col("at").alias("i"), F.col("n").alias("windows"), "kind", "width", F.col("slots").alias("q"), "often")
+    index = work.put(index.withColumn("rare", place <= F.col("windows") - F.greatest(F.lit(1), F.ceil(F.col("windows") * share)) + 1).drop("often"), "index")
+
     place = f"pmod(h, {FILTER_BITS})"
     bits = index.selectExpr(f"cast({place} div 32 AS int) AS w", f"shiftleft(1L, cast({place} % 32 AS int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
     sieve = np.zeros(FILTER_BITS // 32, np.uint32)
     sieve[bits.column("w").to_numpy()] = bits.column("bit").to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(sieve)
-    sizes = index.groupBy("id", "n").agg(F.max(F.size("slots")).alias("s")).where("n = 1").limit(1).count()
-    widths = every if sizes else [WINDOW]  # short items have one window
-
-    exact = every if index.where(F.array_contains("slots", EXACT[0])).limit(1).count() else []
+    sorts = sorted((r.kind, r.width) for r in index.select("kind", "width").distinct().collect())
 
     def keep(h: np.ndarray) -> np.ndarray:
         p = (h.view(np.int64) % FILTER_BITS).astype(np.int64)
         return (shared.value[p >> 5] >> (p & 31).astype(np.uint32) & 1).astype(bool)
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = work.put(texts.mapInArrow(lambda b: _rows(b, widths, keep, exact), HIT_DDL), "hits")
-    found = hits.select(F.col("id").alias("doc_id"), "at", "h", F.col("slots").alias("d")).join(index.select(F.col("id").alias("item_id"), "h", F.col("at").alias("i"), F.col("n").alias("windows"), F.col("slots").alias("q")), "h")
-    found = found.where(F.size("d") == F.size("q")).select("doc_id", "item_id", (F.col("at") - F.col("i")).alias("off"), "i", "windows", "q", "d")
-    plain = found.where(F.col("q") == F.col("d")).select("doc_id", "item_id", "i", "windows", F.lit(False).alias("changed"))
+    hits = work.put(texts.mapInArrow(lambda b: _rows(b, sorts, keep), HIT_DDL), "hits").select(F.col("id").alias("doc_id"), "at", "h", F.col("slots").alias("d"))
+    shared.destroy()
+    pairs = hits.select("doc_id", "h").distinct().join(index.where("rare").select("h", "item_id", "kind"), "h").select("doc_id", "item_id", "kind").distinct()
+    found = pairs.join(index, ["item_id", "kind"]).join(hits, ["doc_id", "h"]).where(F.size("d") == F.size("q"))
+    found = work.put(found.select("doc_id", "item_id", "kind", (F.col("at") - F.col("i")).alias("off"), "i", "windows", "q", "d"), "found")
+    plain = found.where(F.col("q") == F.col("d")).select("doc_id", "item_id", "kind", "i", "windows", F.lit(False).alias("changed"))
     bound, copy = found.where(F.size("q") > 0), ["doc_id", "item_id", "off"]
     votes = bound.select(*copy, F.explode(F.arrays_zip("q", "d")).alias("p")).groupBy(*copy, F.col("p.q").alias("q"), F.col("p.d").alias("d")).agg(F.count("*").alias("m"))
     to = votes.groupBy(*copy, "q").agg(F.max_by("d", F.struct("m", "d")).alias("best"))
     back = votes.groupBy(*copy, F.col("d").alias("best")).agg(F.max_by("q", F.struct("m", "q")).alias("from"))
     binding = to.join(back, [*copy, "best"]).where(F.col("from") == F.col("q")).groupBy(*copy).agg(F.map_from_entries(F.collect_list(F.struct("q", "best"))).alias("binding"))
     fits = bound.where(F.col("q") != F.col("d")).join(binding, copy).where(F.forall(F.arrays_zip("q", "d"), lambda p: F.coalesce(F.col("binding")[p["q"]] == p["d"], F.lit(False))))
-    fits = fits.select("doc_id", "item_id", "i", "windows", F.lit(True).alias("changed"))
-    counted = plain.unionAll(fits).groupBy("doc_id", "item_id", "windows").agg(F.countDistinct("i").alias("matched"), F.bool_or("changed").alias("changed"))
-    return counted.where(F.col("matched") >= share * F.col("windows")).select("doc_id", F.when(F.col("item_id") >= 0, F.col("item_id")).alias("item_id"), "matched", "windows", "changed")
+    fits = fits.select("doc_id", "item_id", "kind", "i", "windows", F.lit(True).alias("changed"))
+    counted = plain.unionAll(fits).groupBy("doc_id", "item_id", "kind", "windows").agg(F.countDistinct("i").alias("matched"), F.bool_or("changed").alias("changed"))
+    counted = counted.where(F.col("matched") >= share * F.col("windows"))
+    best = counted.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "windows"), F.struct(F.col("matched") / F.col("windows"), -F.col("kind"))).alias("b"), F.bool_and("changed").alias("changed"))
+    return best.select("doc_id", F.when(F.col("item_id") != NO_ID, F.col("item_id")).alias("item_id"), "b.matched", "b.windows", "changed")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
