@@ -6,7 +6,9 @@ reassembles packets from lacing values, separates logical streams and derives ti
 and `media_features` reads such a column back.
 
 Defined results: a null text is an empty payload (192 blanks after padding); equal texts give equal bytes, whatever their row;
-a page whose checksum fails is skipped and counted, and the packets that it cuts are dropped. Other columns pass through untouched.
+a page whose checksum fails is skipped and counted, and the packets that it cuts are dropped: features are then those of the samples
+that are left, and the description counts the bad pages. A null file has null digests and the description `none`; one without a
+readable stream has no samples. Other columns play no part and are not returned.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,7 @@ UNIT, PACKET, RATE, SEGMENTS = 192, 1920, 8000, 64
 CONTINUED, FIRST, LAST = 1, 2, 4
 HEAD = struct.Struct("<4sBBqIIIB")
 INTRO = struct.Struct("<8sIHHQ")
+MAGIC = b"\x7fsample8"
 _FLIP = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
@@ -130,22 +134,24 @@ def store_samples(payload: bytes) -> bytes:
         own, ends, total = packets[k::2], [0], 0
         for p in own:
             ends.append(total := total + len(p))
-        streams.append(((base + k) & 0xFFFFFFFF, [INTRO.pack(b"\x7fsample8", RATE, k, 2, total), *own], ends))
+        streams.append(((base + k) & 0xFFFFFFFF, [INTRO.pack(MAGIC, RATE, k, 2, total), *own], ends))
     return mux(streams)
 
 
 def load_samples(media: bytes) -> tuple[bytes, str]:
-    """(samples, description) of a file from store_samples, from nothing but its bytes."""
+    """(samples, description) of a file from store_samples, from nothing but its bytes; of a damaged one what is left."""
     streams, bad = demux(media)
-    if bad or len(streams) != 2:
-        raise ValueError(f"{bad} bad pages, {len(streams)} streams")
-    by = {INTRO.unpack(s.packets[0])[2]: s for s in streams}
-    rate = INTRO.unpack(streams[0].packets[0])[1]
-    a, b = by[0].packets[1:], by[1].packets[1:]
-    packets = [x for pair in zip(a, b, strict=False) for x in pair] + a[len(b) :]
-    last = max(s.seconds(rate) for s in streams)
+    by, rate = {}, RATE
+    for s in streams:
+        if s.packets and len(s.packets[0]) == INTRO.size and s.packets[0][:8] == MAGIC:
+            _, rate, place, _, _ = INTRO.unpack(s.packets[0])
+            by.setdefault(place, s)
+    a, b = (by[k].packets[1:] if k in by else [] for k in (0, 1))
+    packets = [x for pair in zip_longest(a, b) for x in pair if x is not None]
+    last = max((s.seconds(rate) for s in by.values()), default=0.0)
     samples = b"".join(packets)
-    return samples, f"streams=2;pages={sum(s.pages for s in streams)};packets={len(packets)};last_ms={round(last * 1000)};mean={sum(samples) * 1000 // max(1, len(samples))}"
+    damage = f";bad={bad}" if bad else ""
+    return samples, f"streams={len(by)};pages={sum(s.pages for s in by.values())};packets={len(packets)};last_ms={round(last * 1000)};mean={sum(samples) * 1000 // max(1, len(samples))}{damage}"
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -176,6 +182,9 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = []
             for doc, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 m = m.as_py()
+                if m is None:
+                    rows.append((doc, n, *[None] * 5, "none"))
+                    continue
                 p, feature = load_samples(m)
                 rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             if rows:
