@@ -12,6 +12,7 @@ table gives no rows. The driver sees one count per length and the plan, both bou
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -23,7 +24,7 @@ from .store import Workspace
 from .text import give_back
 from .tokens import encoder
 
-#: Ids of a sequence, id that ends a document, rows of a group that numbers pieces, groups of a length at most.
+#: Ids of a sequence, id that ends a document, rows of a group that numbers pieces; with more than GROUPS of those groups, there are as many as rows in each.
 CAPACITY, END, GROUP_ROWS, GROUPS = 1024, 0, 512, 4096
 
 
@@ -89,11 +90,17 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabul
     return own.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+def n_groups(n: int) -> int:
+    """Groups that number n pieces of a length: none large, nor so many that their running total is."""
+    few = -(-n // GROUP_ROWS)
+    return max(1, few if few <= GROUPS else max(GROUPS, math.isqrt(n)))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset. `pieces` is read three times: pass a stored table."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    groups = spark.createDataFrame([(k, max(1, min(GROUPS, -(-n // GROUP_ROWS)))) for k, n in counts.items()], "length long, n_groups long")
+    groups = spark.createDataFrame([(k, n_groups(n)) for k, n in counts.items()], "length long, n_groups long")
     uses = spark.createDataFrame(plan(counts, capacity), "length long, lo long, hi long, copies long, sequence0 long, offset0 long")
     dealt = pieces.join(F.broadcast(groups), "length").withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "n_groups")).drop("n_groups")
     base = dealt.groupBy("length", "g").agg(F.count("*").alias("n"))
