@@ -80,32 +80,32 @@ def _positions(h: np.ndarray, level: int | np.ndarray, bits: np.ndarray, k: int)
     return ((x & np.uint64(0xFFFFFFFF)) + np.uint64(k) * (x >> np.uint64(32) | np.uint64(1))) % bits
 
 
-def build_part(h: np.ndarray, c: np.ndarray, most: float = np.inf) -> tuple[int, bytes]:
+def build_part(h: np.ndarray, c: np.ndarray, most: float = np.inf, hashes: int = HASHES) -> tuple[int, bytes]:
     """(bits, bytes) of the filter of the grams h with counts c, of at most `most` bits."""
     h, inverse = np.unique(h, return_inverse=True)
     q = levels(np.bincount(inverse, weights=c))
     entries = np.repeat(h, q)
     level = np.arange(len(entries)) - np.repeat(np.cumsum(q) - q, q) + 1
-    bits = int(max(64, min(most, np.ceil(len(entries) * HASHES / np.log(2)))))
+    bits = int(max(64, min(most, np.ceil(len(entries) * hashes / np.log(2)))))
     out = np.zeros(-(-bits // 8) * 8, bool)
-    for k in range(HASHES):
+    for k in range(hashes):
         out[_positions(entries, level, np.uint64(bits), k).astype(np.int64)] = True
     return bits, np.packbits(out, bitorder="little").tobytes()
 
 
-def build_filter(grams: DataFrame, parts: int) -> DataFrame:
+def build_filter(grams: DataFrame, parts: int, hashes: int = HASHES) -> DataFrame:
     """(part, bits, raw) of each part that has grams."""
 
     def build(t: pa.Table) -> pa.Table:
-        bits, raw = build_part(t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy())
+        bits, raw = build_part(t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy(), hashes=hashes)
         return pa.table({"part": t.column("part")[:1], "bits": pa.array([bits]), "raw": pa.array([raw])})
 
     return grams.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(build, "part int, bits long, raw binary")
 
 
-def load_filter(built: DataFrame, parts: int) -> CountFilter:
+def load_filter(built: DataFrame, parts: int, hashes: int = HASHES) -> CountFilter:
     made = built.toArrow()
-    return CountFilter.of(parts, list(zip(*(made.column(k).to_pylist() for k in ("part", "bits", "raw")), strict=True)))
+    return CountFilter.of(parts, list(zip(*(made.column(k).to_pylist() for k in ("part", "bits", "raw")), strict=True)), hashes)
 
 
 def part_ranges(built: DataFrame, parts: int) -> list[tuple[int, int]]:
@@ -127,13 +127,14 @@ class CountFilter:
     bits: np.ndarray
     start: np.ndarray
     raw: bytes  # as bytes a worker loads it without a second copy
+    hashes: int = HASHES
 
     @classmethod
-    def of(cls, parts: int, made: list[tuple[int, int, bytes]]) -> CountFilter:
+    def of(cls, parts: int, made: list[tuple[int, int, bytes]], hashes: int = HASHES) -> CountFilter:
         bits, start, at = np.ones(parts, np.uint64), np.zeros(parts, np.int64), 1
         for part, n, raw in made:
             bits[part], start[part], at = n, at, at + len(raw)
-        return cls(parts, bits, start, b"".join([b"\0", *(raw for *_, raw in made)]))
+        return cls(parts, bits, start, b"".join([b"\0", *(raw for *_, raw in made)]), hashes)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         raw = np.frombuffer(self.raw, np.uint8)
@@ -141,7 +142,7 @@ class CountFilter:
         start, bits = self.start[part], self.bits[part]
         level, live = np.zeros(len(h), np.int64), np.flatnonzero(start > 0)
         while len(live):
-            for k in range(HASHES):
+            for k in range(self.hashes):
                 p = _positions(h[live], level[live] + 1, bits[live], k).astype(np.int64)
                 live = live[(raw[start[live] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
             level[live] += 1
@@ -166,7 +167,7 @@ def score_tokens(words: CountFilter, pairs: CountFilter, span: tuple[int, int],
     return out
 
 
-def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, held_out, text), counts from train (text)."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "lm")
     words = work.put(count_grams(train, False).groupBy("h").agg(F.sum("c").alias("c")), "words")
@@ -183,8 +184,8 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
     order = np.argsort(h)
     word_parts, parts = max(1, -(-v // PART)), max(1, -(-n // PART))
     starts = count_starts(train)
-    single = load_filter(build_filter(words.unionAll(spark.createDataFrame([(int(START.view(np.int64)), starts)] if starts else [], "h long, c long")), word_parts), word_parts)
-    built = work.put(build_filter(count_grams(train, True), parts), "pairs", "uncompressed")
+    single = load_filter(build_filter(words.unionAll(spark.createDataFrame([(int(START.view(np.int64)), starts)] if starts else [], "h long, c long")), word_parts, hashes), word_parts, hashes)
+    built = work.put(build_filter(count_grams(train, True), parts, hashes), "pairs", "uncompressed")
     spans = part_ranges(built, parts)
     shared = spark.sparkContext.broadcast((h[order], c[order], single))
     floor = n + 0.5 * (v + 1)
@@ -223,15 +224,15 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
         return run
 
     def slice_of(span):
-        return spark.sparkContext.broadcast(load_filter(built.where(F.col("part").between(span[0], span[1] - 1)), parts))
+        return spark.sparkContext.broadcast(load_filter(built.where(F.col("part").between(span[0], span[1] - 1)), parts, hashes))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
     if len(spans) > 1:
         own = work.put(own, "texts")  # the same uid in every pass
     first = slice_of(spans[0])
     done = work.put(own.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<bigint>"), "scored")
+    first.destroy()
     if len(spans) > 1:
-        first.destroy()
         passes = None
         for k, span in enumerate(spans[1:]):
             pairs = slice_of(span)
@@ -240,6 +241,8 @@ def score_documents(docs: DataFrame, train: DataFrame) -> DataFrame:
             passes = made if passes is None else passes.unionAll(made)
         work.drop("texts")
         done = done.join(passes.groupBy("uid").agg(F.sum("score").alias("more")), "uid").withColumn("score", F.col("score") + F.col("more")).drop("more")
+    shared.destroy()
+    work.drop("pairs")
     columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
     if whole:
         return done.select(*columns)
