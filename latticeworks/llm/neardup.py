@@ -7,8 +7,9 @@
    Candidates are confirmed on the full sets, and confirmed links give components.
 3. A star can miss a link between two of its ends. So in each bucket that still holds several components, every entry outside
    the bucket's main component is compared with all entries of other components, block by block inside tasks on compact
-   signatures; only pairs that may be similar leave a task, and are confirmed on full sets too. Links of both steps give the
-   final components.
+   signatures; only pairs that may be similar leave a task, and are confirmed on full sets too. A bucket too large for that is
+   replaced by groups of its entries' rarest shingles, where every similar pair meets and others do not (see rare_groups). Links
+   of both steps give the final components.
 
 Similar means 100 * |intersection| >= 75 * |union|. A pair at exactly 0.75 shares none of the buckets with a chance of about
 4e-6 (1 - 0.75^ROWS)^BANDS, one at 0.8 of about 4e-9; everything after the buckets is exact but for a signature bound of 0.58,
@@ -29,14 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .sieve import passes
+from .sieve import sieve as sieve_of
 from .store import Workspace
 from .text import mix, shingle_sets
 
 #: Words of a shingle, similarity in hundredths, values of a band, bands; bound on compact signatures; entries of a block.
 WIDTH, PERCENT, ROWS, BANDS, MAYBE, BLOCK = 5, 75, 6, 64, 0.58, 512
 BINS = ROWS * BANDS
-#: Bits of the filter that keeps texts out of the second pass that belong to no candidate pair.
-FILTER_BITS = 1 << 23
+#: Pairs of blocks of a bucket that are compared at most, ends of a block of a star.
+MOST_BLOCKS, STAR = 16, 256
 
 
 @lru_cache(maxsize=1)
@@ -94,47 +97,69 @@ def _spread(sieve=None):
             keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
             docs = np.repeat(b.column(0).to_numpy(), BANDS)
             if sieve is not None:
-                h = (keys % FILTER_BITS).astype(np.int64)
-                on = (sieve.value[h // 32] >> (h % 32).astype(np.uint32) & 1).astype(bool)
+                on = passes(sieve.value, keys)
                 docs, keys = docs[on], keys[on]
             yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys)], ["doc_id", "key"])
 
     return run
 
 
-def _bitmap(ids: DataFrame, value: str = "xxhash64(doc_id)", bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of fixed size that has every id's bit set; of no use, but right, when it is full."""
-    h = f"pmod({value}, {bits})"
-    words = ids.selectExpr(f"cast({h} div 32 AS int) AS w", f"shiftleft(1L, cast({h} % 32 AS int)) AS bit").groupBy("w").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(bits // 32, np.uint32)
-    out[words.column("w").to_numpy()] = words.column("bit").to_numpy().astype(np.uint32)
-    return out
-
-
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents in ids (doc_id) and a few others: most are sieved out before their text is looked at."""
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(_bitmap(ids))
+def put_sets(docs: DataFrame, ids: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Stores (doc_id, shingles) of the documents in ids (doc_id) and a few others: most are sieved out before their text is looked at."""
+    sieve = sieve_of(ids, "doc_id")
 
     def make(batches):
         for b in batches:
-            h = b.column(2).to_numpy().astype(np.int64)
-            b = b.filter(pa.array((sieve.value[h // 32] >> (h % 32).astype(np.uint32) & 1).astype(bool)))
+            if sieve is not None:
+                b = b.filter(pa.array(passes(sieve.value, b.column(0).to_numpy())))
             made = list(shingle_sets(b.column(1), WIDTH))
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), pa.array(np.concatenate(made).view(np.int64) if made else [], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], ["doc_id", "shingles"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h")).mapInArrow(make, "doc_id long, shingles array<bigint>")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar."""
-    sets = work.put(sets_of(docs, pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b"))), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    found = work.put(both.where(100 * common >= PERCENT * (F.size("x") + F.size("y") - common)).select("a", "b"), f"{name}-links")
-    work.drop(f"{name}-sets")
+    if sieve is None:
+        own = own.join(ids.select("doc_id"), "doc_id", "left_semi")
+    sets = work.put(own.mapInArrow(make, "doc_id long, shingles array<bigint>"), name)
+    if sieve is not None:
+        sieve.destroy()
+    return sets
+
+
+def _maybe(batches):
+    """Of pairs with both compact signatures those that may be similar."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (3, 4))
+        yield b.select(["a", "b", "blocks"]).filter(pa.array((x == y).sum(1) >= MAYBE * BINS))
+
+
+def _star_links(table: pa.Table) -> pa.Table:
+    """Of one block of a star the ends whose full sets are similar to the centre's."""
+    hub, doc, sets = table.column("hub").to_numpy(zero_copy_only=False), table.column("doc_id").to_numpy(), table.column("shingles")
+    centre = int(np.flatnonzero(hub)[0])
+    x, found = np.array(sets[centre].values.to_numpy()), []
+    for i in np.flatnonzero(~hub):
+        y = sets[int(i)].values.to_numpy()
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * common >= PERCENT * (len(x) + len(y) - common):
+            found.append(doc[i])
+    return pa.table({"a": pa.array(np.full(len(found), doc[centre]), pa.int64()), "b": pa.array(found, pa.int64())})
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """Of stars (a: centre, b, n: entries of the bucket) the links (a, b) whose full sets are similar.
+
+    Compact signatures go first. Then the ends of a star are dealt into blocks of about STAR, and the centre's set is copied once for
+    each block, not for each end.
+    """
+    signed = reps.select("doc_id", "compact")
+    both = pairs.join(signed.select(F.col("doc_id").alias("b"), F.col("compact").alias("y")), "b").join(signed.select(F.col("doc_id").alias("a"), F.col("compact").alias("x")), "a")
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / STAR, F.lit(1.0))))).cast("int")
+    near = work.put(both.select("a", "b", blocks.alias("blocks"), "x", "y").mapInArrow(_maybe, "a long, b long, blocks int"), f"{name}-near")
+    sets = put_sets(docs, near.select(F.col("a").alias("doc_id")).unionAll(near.select("b")).distinct(), work, f"{name}-sets")
+    ends = near.select("a", "blocks", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("doc_id"), F.lit(False).alias("hub"))
+    hubs = ends.select("a", "blocks", "block").distinct().select("*", F.col("a").alias("doc_id"), F.lit(True).alias("hub"))
+    found = work.put(ends.unionAll(hubs).join(sets.dropDuplicates(["doc_id"]), "doc_id").groupBy("a", "blocks", "block").applyInArrow(_star_links, "a long, b long"), f"{name}-links")
+    work.drop(f"{name}-sets", f"{name}-near")
     return found
 
 
@@ -147,14 +172,16 @@ class _Group:
         self.label = table.column("label").to_numpy()
         self.compact = np.frombuffer(b"".join(table.column("compact").to_pylist()), np.uint8).reshape(-1, BINS)
         self.keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.int64).reshape(-1, BANDS)
-        self.band = int((self.keys[0] == table.column("key")[0].as_py()).argmax()) if len(self.keys) else 0
+        at = np.flatnonzero(self.keys[0] == table.column("key")[0].as_py()) if len(self.keys) else []
+        self.band = int(at[0]) if len(at) else None  # none: the group is that of a rare shingle
 
     def near(self):
         """(minor entry, entries of other components that may be similar); a pair is met in the first bucket that it shares."""
         others = np.flatnonzero(~self.side)
         for i in np.flatnonzero(self.side):
             found = others[self.label[others] != self.label[i]]
-            found = found[(self.keys[found] == self.keys[i]).argmax(1) == self.band] if len(found) else found
+            if self.band is not None and len(found):
+                found = found[(self.keys[found] == self.keys[i]).argmax(1) == self.band]
             found = found[(self.compact[found] == self.compact[i]).sum(1) >= MAYBE * BINS]
             if len(found):
                 yield i, found
@@ -179,16 +206,43 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def rare_groups(entries: DataFrame, docs: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """(key, doc_id, label, index) from entries (doc_id, label): groups by rare shingles, in which every similar pair of entries meets.
+
+    Shingles are ordered by how many entries have them. Two similar sets, the shorter y and the longer x, must share a shingle among the
+    first |y| - ceil(2t / (1 + t) |y|) + 1 of y (index) and the first |x| - ceil(t |x|) + 1 of x, t = PERCENT / 100. What is common to
+    entries that are not similar comes last in that order, so such entries do not meet, however many they are.
+    """
+    sets = put_sets(docs, entries.select("doc_id"), work, f"{name}-bigsets").join(entries, "doc_id").dropDuplicates(["doc_id"])
+    tokens = sets.select("doc_id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = tokens.groupBy("key").agg(F.count("*").alias("df"))
+    sorted_ = tokens.join(often, "key").groupBy("doc_id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
+    long = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)).cast("int") + 1
+    rare = sorted_.select("doc_id", "label", short.alias("short"), F.posexplode(F.slice("order", F.lit(1), long)).alias("pos", "x"))
+    rare = work.put(rare.where("x.df > 1").select(F.col("x.key").alias("key"), "doc_id", "label", (F.col("pos") < F.col("short")).alias("index")), f"{name}-rare")
+    groups = rare.groupBy("key").agg(F.max("index").alias("i"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("i AND lo <> hi").select("key")
+    return work.put(rare.join(groups, "key"), f"{name}-groups")
+
+
 def leftovers(entries: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, work: Workspace, name: str = "rest") -> DataFrame:
     """Links (a, b) between different components in a common bucket, which step 2 has not compared.
 
-    Near misses can be as many as the square of a group, so pairs are compared inside tasks and only links leave them.
+    Near misses can be as many as the square of a group, so pairs are compared inside tasks and only links leave them. Buckets in which
+    more than MOST_BLOCKS pairs of blocks would be compared give way to the groups of their entries' rare shingles.
     """
     own = work.put(entries.select("key", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")), f"{name}-entries")
+    counted = lambda n: F.ceil(n / BLOCK).cast("int")
     parts = own.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = work.put(mixed.select("key", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("nm")), f"{name}-mixed")
-    dealt = own.join(mixed, "key").withColumn("minor", F.col("label") != F.col("main"))
+    mixed = work.put(mixed.select("key", "main", counted(F.col("all")).alias("nb"), counted(F.col("all") - F.col("most")).alias("nm")), f"{name}-mixed")
+    big = F.col("nb").cast("long") * F.col("nm") > MOST_BLOCKS
+    dealt = own.join(mixed.where(~big), "key").select("key", "doc_id", "label", (F.col("label") != F.col("main")).alias("minor"), "nb", "nm")
+    hot = work.put(own.join(mixed.where(big), "key", "left_semi").select("doc_id", "label").distinct(), f"{name}-hot")
+    if not hot.isEmpty():
+        rare = rare_groups(hot, docs, work, name)
+        sized = rare.groupBy("key").agg(counted(F.count("*")).alias("nb"), counted(F.count_if("index")).alias("nm"))
+        dealt = dealt.unionByName(rare.join(sized, "key").select("key", "doc_id", "label", F.col("index").alias("minor"), "nb", "nm"))
     block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     members = dealt.select("key", "doc_id", "label", F.lit(False).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), block("nb").alias("b"))
     minors = dealt.where("minor").select("key", "doc_id", "label", F.lit(True).alias("side"), block("nm").alias("m"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
@@ -196,25 +250,26 @@ def leftovers(entries: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     held = base.join(signed, "doc_id").groupBy("key", "m", "b").applyInArrow(_candidates, "key long, m int, b int, side boolean, doc_id long, label long")
     held = work.put(held, f"{name}-held")
     ids = work.put(held.select("doc_id").distinct(), f"{name}-ids")
-    sets = work.put(sets_of(docs, ids).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-sets")
-    found = work.put(held.join(signed.join(sets, "doc_id"), "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long"), f"{name}-links")
-    work.drop(f"{name}-held")
-    work.drop(f"{name}-entries", f"{name}-mixed", f"{name}-ids", f"{name}-sets")
+    sets = put_sets(docs, ids, work, f"{name}-sets").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = work.put(held.join(signed.join(sets, "doc_id"), "doc_id").groupBy("key", "m", "b").applyInArrow(_links, "a long, b long").distinct(), f"{name}-links")
+    work.drop(*(f"{name}-{x}" for x in ("held", "entries", "mixed", "ids", "sets", "hot", "bigsets", "rare", "groups")))
     return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
-    work = Workspace(docs.sparkSession, "neardup")
+def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text). The result reads tables of `work`."""
+    work = work or Workspace(docs.sparkSession, "neardup")
     sigs = work.put(signatures(docs), "signatures")
     classes = work.put(sigs.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes, (sigs.set_id == classes.set_id) & (sigs.doc_id == classes.rep), "left_semi")
     reps = work.put(reps.where("length(packed) > 0").select("doc_id", "packed", "compact"), "reps")
-    centres = work.put(reps.mapInArrow(_spread(), "doc_id long, key long").groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "centres")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(centres, "key"))
+    centres = work.put(reps.mapInArrow(_spread(), "doc_id long, key long").groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
+    shared = sieve_of(centres, "key")
     entries = work.put(reps.mapInArrow(_spread(shared), "doc_id long, key long").join(centres, "key"), "entries")
-    stars = work.put(entries.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = confirm(stars, docs, work, "star")
+    if shared is not None:
+        shared.destroy()
+    stars = work.put(entries.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n")), "stars")
+    links = confirm(stars, reps, docs, work, "star")
     twice = work.put(sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id"), "twice")
     if not twice.isEmpty():  # rows of one document id with several sets: their classes join
         same = sigs.join(twice, "doc_id", "left_semi").join(classes, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
