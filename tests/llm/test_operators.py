@@ -134,6 +134,35 @@ def test_url_filter(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_targets(spark):
+    """Queries that hold a URL, dot segments, other schemes and empty paths; the SQL agrees."""
+    link = "<link rel=canonical href='{}'>".format
+    rows = [
+        (1, "http://good.example.edu/a", link("/go?next=http://spam.org/es/1")), (2, "http://q.org/fr/a/b", link("../../es/9")), (3, "http://r.org/fr/./x", link("HTTPS://R.org/es/./y/../z")),
+        (4, "http://m.edu/x", link("mailto:a@spam.org/es/1")), (5, "http://m.edu/y", link("javascript:go")), (6, "http://b.org", link("//c.org/es/")), (7, "http://d.edu/u", link("http://b.org/")),
+        (8, "http://up.edu/a", link("../../../b")), (9, "http://up.edu/b", link("http://t.org/es/../es/..")), (10, "http://t.org/", ""), (11, "http://h.edu/p", link("#top")), (12, "http://h.edu/" + "p" * 30000, link("q" * 30000)),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages).collect()}
+    assert {r[0]: r[4] for r in got} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "allow", 9: "allow", 10: "allow", 11: "allow", 12: "allow"}
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("pages", pages.toArrow())
+    assert set(c.sql(urlfilter.ORACLE).fetchall()) == {(r[0], r[1], r[2], r[3], r[4]) for r in got}
+
+
+def test_long_rule_lists(spark):
+    """A list that is joined gives what the same list as an expression gives."""
+    hosts = ["a.com", "b.a.com", "com", "org", "x.org", "y.x.org"]
+    rules = [(h, p, v) for i, h in enumerate(hosts) for j, p in enumerate(["/", "/en/", "/en/7", "/" + "z" * 9000]) for v in [["block", "allow"][(i + j) % 2]]] + [("com", "/en/", "allow")]
+    rows = [(i, f"http://{h}{p}", None) for i, (h, p) in enumerate((h, p) for h in [*hosts, "c.b.a.com", "edu", ""] for p in ["", "/", "/en", "/en/", "/en/71", "/de", "/" + "z" * 9001])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, urlfilter.judge(pages, rules).collect()), key=repr)
+    table = spark.createDataFrame(rules, "host string, prefix string, verdict string")
+    assert sorted(map(tuple, urlfilter.judge(pages, table).collect()), key=repr) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5001 + i) for i in range(300)] + [(7, 7), (None, 3)]
@@ -197,7 +226,7 @@ def test_near_duplicates(spark):
 def test_leftover_links_inside_buckets(spark, monkeypatch):
     """Links that no star has: entries are compared in blocks, and only links come out."""
     rows = near_copies(5, 6, 20)
-    monkeypatch.setattr(neardup, "confirm", lambda pairs, docs, work, name: pairs.limit(0))
+    monkeypatch.setattr(neardup, "confirm", lambda pairs, reps, docs, work, name: pairs.select("a", "b").limit(0))
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
     assert got == {d: x[1] for d, x in brute_duplicates(rows).items()}
 
