@@ -2,7 +2,7 @@
 
 Energies and forces are linear in the weights, so structures and atoms become design rows once and every fit, score and prediction
 works on sums over columns. near: neighbours of every atom (structure_id, centre_id, centre_species, neigh_index, neigh_species, r,
-ux, uy, uz). rho: (structure_id, atom_index, species, rho). columns: (kind, key, start) of the weights' blocks.
+ux, uy, uz), read once by each operator. rho: (structure_id, atom_index, species, rho). columns: (kind, key, start) of the weights' blocks.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeworks.functions.basis import PI, cos_k, sin_k, taper, taper_slope
+from latticeworks.functions.basis import PI, cos_k, damping, sin_k, taper, taper_slope
+from latticeworks.operators.neighbours import atom_centres, k_nearest, neighbours
 from latticeworks.operators.regression import Moments
+from latticeworks.operators.structures import element_groups, select_structures
+from latticeworks.sources.store import stored
 
 ATOM = ["structure_id", "atom_index"]
 
@@ -50,8 +53,13 @@ def pair_key() -> Column:
 
 def embedding_density(near_with_y: DataFrame, atoms: DataFrame) -> DataFrame:
     """rho of every atom: the sum of y over its neighbours, 0 without any."""
-    sums = near_with_y.groupBy("structure_id", F.col("centre_id").alias("atom_index")).agg(F.sum("y").alias("rho"))
-    return atoms.select(*ATOM, "species").join(sums, ATOM, "left").select(*ATOM, "species", F.coalesce("rho", F.lit(0.0)).alias("rho"))
+    every = near_with_y.select("structure_id", F.col("centre_id").alias("atom_index"), F.col("centre_species").alias("species"), "y").unionByName(atoms.select(*ATOM, "species", F.lit(0.0).alias("y")))
+    return every.groupBy(*ATOM, "species").agg(F.sum("y").alias("rho"))
+
+
+def with_density(near_with_y: DataFrame) -> DataFrame:
+    """near with rho of its centre."""
+    return near_with_y.withColumn("rho", F.sum("y").over(Window.partitionBy("structure_id", "centre_id")))
 
 
 def density_bounds(rho: DataFrame) -> DataFrame:
@@ -69,39 +77,80 @@ def padded(bounds: DataFrame, share: float = 0.1) -> DataFrame:
     return bounds.select("species", (F.col("lo") - span).alias("lo"), (F.col("hi") + span).alias("hi"))
 
 
-def _columns(sums: DataFrame, by: list[str], columns: DataFrame, kind: str, key: Column, k: int) -> DataFrame:
-    own = columns.where(F.col("kind") == kind).select(F.col("key").alias("_key"), "start")
-    spread = sums.withColumn("_key", key).join(F.broadcast(own), "_key")
-    return spread.select(*by, F.posexplode(F.array(*(f"f{n}" for n in range(k)))).alias("n", "value"), "start").select(*by, (F.col("start") + F.col("n")).cast("int").alias("col"), "value")
+def energy_sums(near: DataFrame, atoms: DataFrame, form: Form) -> DataFrame:
+    """(structure_id, kind, key, f0.., n_atoms): sums of every block's terms per structure, from one pass over near (with y).
+
+    Pair terms and densities are summed by atom first; then each atom gives its embedding terms and its pair sums.
+    """
+    terms = range(form.k)
+    rows = near.select("structure_id", F.col("centre_id").alias("atom_index"), F.col("centre_species").alias("species"), pair_key().alias("pair"), "y", *((0.5 * form.pair(n)).alias(f"f{n}") for n in terms))
+    every = rows.unionByName(atoms.select(*ATOM, "species", F.lit(None).cast("string").alias("pair"), F.lit(0.0).alias("y"), *(F.lit(0.0).alias(f"f{n}") for n in terms)))
+    sums = every.groupBy(*ATOM, "species", "pair").agg(F.sum("y").alias("y"), *(F.sum(f"f{n}").alias(f"f{n}") for n in terms))
+    fields = [F.col(f"f{n}") for n in terms]
+    whole = sums.groupBy(*ATOM, "species").agg(F.sum("y").alias("rho"), F.collect_list(F.when(F.col("pair").isNotNull(), F.struct(F.lit("pair").alias("kind"), F.col("pair").alias("key"), *fields, F.lit(0).alias("n_atoms")))).alias("pairs"))
+    own = F.struct(F.lit("emb").alias("kind"), F.col("species").alias("key"), *(form.emb(n).alias(f"f{n}") for n in terms), F.lit(1).alias("n_atoms"))
+    blocks = whole.select("structure_id", F.inline(F.concat(F.array(own), "pairs")))
+    return blocks.groupBy("structure_id", "kind", "key").agg(*(F.sum(f"f{n}").alias(f"f{n}") for n in terms), F.sum("n_atoms").alias("n_atoms"))
 
 
-def energy_design(near: DataFrame, rho: DataFrame, columns: DataFrame, form: Form) -> DataFrame:
+def energy_design(near: DataFrame, atoms: DataFrame, columns: DataFrame, form: Form) -> DataFrame:
     """(structure_id, col, value): energy per atom of each structure is the sum of value times weight."""
-    size = rho.groupBy("structure_id").agg(F.count("*").alias("n_atoms"))
-    emb = rho.groupBy("structure_id", "species").agg(*(F.sum(form.emb(n)).alias(f"f{n}") for n in range(form.k)))
-    pair = near.groupBy("structure_id", pair_key().alias("pair")).agg(*((0.5 * F.sum(form.pair(n))).alias(f"f{n}") for n in range(form.k)))
-    rows = _columns(emb, ["structure_id"], columns, "emb", F.col("species"), form.k).unionByName(_columns(pair, ["structure_id"], columns, "pair", F.col("pair"), form.k))
-    return rows.join(size, "structure_id").select("structure_id", "col", (F.col("value") / F.col("n_atoms")).alias("value"))
+    sums = energy_sums(near, atoms, form).withColumn("size", F.sum("n_atoms").over(Window.partitionBy("structure_id")))
+    keyed = sums.join(F.broadcast(columns), ["kind", "key"])
+    spread = keyed.select("structure_id", F.posexplode(F.array(*(F.col(f"f{n}") for n in range(form.k)))).alias("n", "value"), "start", "size")
+    return spread.select("structure_id", (F.col("start") + F.col("n")).cast("int").alias("col"), (F.col("value") / F.col("size")).alias("value"))
+
+
+AXES = "xyz"
 
 
-def force_design(near: DataFrame, rho: DataFrame, columns: DataFrame, form: Form) -> DataFrame:
-    """(structure_id, atom_index, axis, col, value): forces of each atom. near carries dy, the slope of the neighbour's function, and
-    dy_centre, that of the centre's function at the same distance."""
+def force_sums(near: DataFrame, form: Form) -> DataFrame:
+    """(structure_id, atom_index, kind, key, f0x, f0y ..): sums of every block's terms per atom and axis, from one pass over near (with y
+    and dy, value and slope of the neighbour's function).
+
+    A neighbour's own embedding pushes the centre by what the mirrored pair holds: that pair's centre is the neighbour, its density is
+    known there, and its neighbour, the centre here, gets the opposite of what it gets itself.
+    """
     terms = range(form.k)
-    axes = F.posexplode(F.array("ux", "uy", "uz")).alias("axis", "u")
-    by = [*ATOM, "axis"]
-    moved = near.withColumnRenamed("centre_id", "atom_index")
-    # the atom's own embedding: (sum f'(r) u) times the slope at its density
-    push = moved.select(*ATOM, "dy", axes).groupBy(*by).agg(F.sum(F.col("dy") * F.col("u")).alias("push"))
-    own = push.join(rho, ATOM).select(*by, "species", *((F.col("push") * form.emb_slope(n)).alias(f"f{n}") for n in terms))
-    # its neighbours' embedding, through its own function
-    other = moved.join(rho.select("structure_id", F.col("atom_index").alias("neigh_index"), "rho"), ["structure_id", "neigh_index"])
-    other = other.select(*ATOM, "neigh_species", *((F.col("dy_centre") * form.emb_slope(n)).alias(f"g{n}") for n in terms), axes)
-    other = other.groupBy(*by, "neigh_species").agg(*(F.sum(F.col(f"g{n}") * F.col("u")).alias(f"f{n}") for n in terms))
-    pair = moved.select(*ATOM, pair_key().alias("pair"), *(form.pair_slope(n).alias(f"g{n}") for n in terms), axes)
-    pair = pair.groupBy(*by, "pair").agg(*(F.sum(F.col(f"g{n}") * F.col("u")).alias(f"f{n}") for n in terms))
-    rows = _columns(own, by, columns, "emb", F.col("species"), form.k).unionByName(_columns(other, by, columns, "emb", F.col("neigh_species"), form.k)).unionByName(_columns(pair, by, columns, "pair", F.col("pair"), form.k))
-    return rows.groupBy(*by, "col").agg(F.sum("value").alias("value"))
+    rows = with_density(near).select("*", *((F.col("dy") * form.emb_slope(n)).alias(f"e{n}") for n in terms), *(form.pair_slope(n).alias(f"p{n}") for n in terms))
+    part = lambda atom, kind, key, value: F.struct(F.col(atom).alias("atom_index"), F.lit(kind).alias("kind"), key.alias("key"), *((value(n) * F.col(f"u{a}")).alias(f"f{n}{a}") for n in terms for a in AXES))
+    three = [part("centre_id", "emb", F.col("centre_species"), lambda n: F.col(f"e{n}")), part("neigh_index", "emb", F.col("centre_species"), lambda n: -F.col(f"e{n}")), part("centre_id", "pair", pair_key(), lambda n: F.col(f"p{n}"))]
+    spread = rows.select("structure_id", F.inline(F.array(*three)))
+    return spread.groupBy(*ATOM, "kind", "key").agg(*(F.sum(f"f{n}{a}").alias(f"f{n}{a}") for n in terms for a in AXES))
+
+
+def force_design(near: DataFrame, columns: DataFrame, form: Form) -> DataFrame:
+    """(structure_id, atom_index, axis, col, value): forces of each atom that has neighbours."""
+    keyed = force_sums(near, form).join(F.broadcast(columns), ["kind", "key"])
+    cells = [F.struct(F.lit(a).alias("axis"), (F.col("start") + n).cast("int").alias("col"), F.col(f"f{n}{x}").alias("value")) for n in range(form.k) for a, x in enumerate(AXES)]
+    return keyed.select(*ATOM, F.inline(F.array(*cells)))
+
+
+def forces(near: DataFrame, columns: DataFrame, form: Form, weights: list[float]) -> DataFrame:
+    """(structure_id, atom_index, axis, f) at given weights; axes are split after the sums."""
+    keyed = force_sums(near, form).join(F.broadcast(columns), ["kind", "key"]).withColumn("w", F.array(*map(F.lit, weights)))
+    total = [sum((F.element_at("w", F.col("start") + n + 1) * F.col(f"f{n}{x}") for n in range(form.k)), F.lit(0.0)).alias(x) for x in AXES]
+    return by_axis(keyed.select(*ATOM, *total))
+
+
+def by_axis(rows: DataFrame) -> DataFrame:
+    """(structure_id, atom_index, axis, f) from (structure_id, atom_index, x, y, z)."""
+    sums = rows.groupBy(*ATOM).agg(*(F.sum(x).alias(x) for x in AXES))
+    return sums.select(*ATOM, F.posexplode(F.array(*AXES)).alias("axis", "f"))
+
+
+def force_rows(near: DataFrame, atoms: DataFrame, form: Form, blocks: list[tuple[str, str, int]], thirds: bool = False) -> DataFrame:
+    """(phi, t) of every atom and axis for Gram sums, atoms (with fx, fy, fz) without neighbours too, scaled so that the squares of a
+    structure's rows are a mean over its atoms; thirds: so that they are a third of the sum."""
+    names = [f"f{n}{x}" for n in range(form.k) for x in AXES]
+    sums = force_sums(near, form).select(*ATOM, "kind", "key", *names, *(F.lit(None).cast("double").alias(f"t{x}") for x in AXES))
+    every = sums.unionByName(atoms.select(*ATOM, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key"), *(F.lit(0.0).alias(c) for c in names), *(F.col(f"f{x}").alias(f"t{x}") for x in AXES)))
+    own = lambda kind, key, c: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("key") == key), F.col(c))), F.lit(0.0))
+    cells = {(start + n, x): own(kind, key, f"f{n}{x}") for kind, key, start in blocks for n in range(form.k) for x in AXES}
+    wide = every.groupBy(*ATOM).agg(*(c.alias(f"c{i}{x}") for (i, x), c in cells.items()), *(F.max(f"t{x}").alias(f"t{x}") for x in AXES))
+    size = F.lit(3.0**0.5) if thirds else F.sqrt(F.count("*").over(Window.partitionBy("structure_id")))
+    three = [F.struct(F.array(*(F.col(f"c{i}{x}") / F.col("size") for i in sorted({i for i, _ in cells}))).alias("phi"), (F.col(f"t{x}") / F.col("size")).alias("t")) for x in AXES]
+    return wide.withColumn("size", size).select(F.inline(F.array(*three)))
 
 
 def weighted(design: DataFrame, by: list[str], weights: DataFrame, name: str) -> DataFrame:
@@ -115,6 +164,22 @@ def dense(design: DataFrame, by: list[str], n_columns: int) -> DataFrame:
     return design.groupBy(*by).agg(*cells).select(*by, F.array(*(f"c{c}" for c in range(n_columns))).alias("phi"))
 
 
+def distances(pred: DataFrame, target: DataFrame, forces: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(error, force_error, total): the distance of energies (structure_id, y) and targets (structure_id, t), the sum over structures of
+    the mean length of the forces' differences by 3, and both together. forces: (structure_id, atom_index, axis, f)."""
+    energy = pred.join(target, "structure_id").agg(F.sqrt(F.sum(F.pow(F.col("t") - F.col("y"), 2))).alias("error"))
+    one = atoms.select(*ATOM, F.posexplode(F.array("fx", "fy", "fz")).alias("axis", "t")).join(forces, [*ATOM, "axis"], "left")
+    length = one.groupBy(*ATOM).agg(F.sqrt(F.sum(F.pow(F.coalesce("f", F.lit(0.0)) - F.col("t"), 2))).alias("d"))
+    mean = length.groupBy("structure_id").agg(F.avg("d").alias("d")).agg((F.sum("d") / 3).alias("force_error"))
+    return energy.join(mean).withColumn("total", F.col("error") + F.col("force_error"))
+
+
+def log_joint_thirds(w: np.ndarray, alpha: np.ndarray, beta_e: float, beta_f: float, energy: Moments, force: Moments, n_structures: float) -> float:
+    """The other form of log_joint: half of the log precisions, and force moments with weight 1 / 3 for every atom."""
+    fixed = 0.5 * n_structures * (np.log(beta_e) + np.log(beta_f)) + 0.5 * np.log(alpha).sum() - 0.5 * (n_structures + len(w)) * np.log(2 * np.pi)
+    return float(-0.5 * beta_e * energy.sse(w) - 0.5 * beta_f * force.sse(w) - 0.5 * (alpha * w * w).sum() + fixed)
+
+
 def log_joint(w: np.ndarray, alpha: np.ndarray, beta_e: float, beta_f: float, energy: Moments, force: Moments, n_structures: float) -> float:
     """-1/2 w'aw - 1/2 b_e sum dE^2 - 1/2 b_f sum_s mean |dF|^2 + hyper-parameter terms; force moments carry weights 1 / N_s."""
     fixed = 0.5 * (n_structures + len(w)) * np.log(2 * np.pi) + 0.5 * np.log(alpha).sum() + n_structures * (np.log(beta_e) + np.log(beta_f))
@@ -152,13 +217,83 @@ def alternating_fit(energy: Moments, force: Moments | None = None, repetitions:
     return sorted(out, key=lambda x: x["mse"])[:keep]
 
 
-def score(candidates: DataFrame, moments: Moments, weights: list[str]) -> DataFrame:
-    """candidates with sse, from the moments alone: the data are not read again, however many candidates there are."""
+def squared_error(energy: Column, force: Column, penalty: Column) -> Column:
+    return energy
+
+
+def score(candidates: DataFrame, weights: list[str], energy: Moments, force: Moments | None = None, measure=squared_error, name: str = "sse") -> DataFrame:
+    """candidates with a measure from the moments alone: the data are not read again, however many candidates there are.
+
+    measure is a function of three columns: squared errors of energies and of forces (0 without moments) and the sum of squared weights.
+    """
     w = F.array(*weights)
-    quad = [F.aggregate(F.zip_with(w, F.array(*(F.lit(float(x)) for x in row)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for row in moments.gram]
-    b = F.array(*(F.lit(float(x)) for x in moments.xty))
     inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return candidates.withColumn("sse", F.lit(float(moments.tt)) - 2 * inner(w, b) + inner(w, F.array(*quad)))
+    lits = lambda row: F.array(*(F.lit(float(x)) for x in row))
+
+    def sse(m: Moments | None) -> Column:
+        return F.lit(0.0) if m is None else F.lit(float(m.tt)) - 2 * inner(w, lits(m.xty)) + inner(w, F.array(*(inner(w, lits(row)) for row in m.gram)))
+
+    return candidates.withColumn(name, measure(sse(energy), sse(force), inner(w, w)))
+
+
+@dataclass
+class Prepared:
+    """What a fit of embedded atoms needs, from one set of structures."""
+
+    near: DataFrame
+    rho: DataFrame
+    bounds: DataFrame
+    design: DataFrame
+    target: DataFrame
+    groups: DataFrame
+
+
+def observations(structures: DataFrame, atoms: DataFrame, cells: DataFrame, functions: DataFrame, lookup, r_cut: float | None, num_neigh: int | None = None, rules: list | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(structures, atoms, near with y and dy, rho) of the selected structures: neighbours within r_cut or the num_neigh nearest, and
+    densities from functions by lookup(near, functions). Nothing selected, or no atom, is an error."""
+    if (r_cut is None) == (num_neigh is None):
+        raise ValueError("give r_cut or num_neigh")
+    if r_cut is not None and r_cut <= 0 or num_neigh is not None and num_neigh < 1:
+        raise ValueError("r_cut and num_neigh must be positive")
+    chosen = select_structures(structures, rules) if rules else structures
+    own = atoms.join(chosen.select("structure_id"), "structure_id", "left_semi")
+    if own.isEmpty():
+        raise ValueError("no structure with atoms is selected")
+    places = own.select(*ATOM, "species", "u", "v", "w")
+    by = ["structure_id", "centre_id"]
+    near = neighbours(atom_centres(places), places, cells, r_cut) if r_cut is not None else k_nearest(atom_centres(places), places, cells, num_neigh, 3.0, by).drop("rank")
+    near = stored(lookup(near, functions))
+    return chosen, own, near, embedding_density(near, own)
+
+
+def prepare(structures: DataFrame, atoms: DataFrame, cells: DataFrame, functions: DataFrame, lookup, reference: DataFrame, columns: DataFrame, form: Form, r_cut: float | None = None, num_neigh: int | None = None, rules: list | None = None) -> Prepared:
+    """From structures (energy), atoms, cells, tabulated densities and reference energies (species, e_ref) to the rows of a fit."""
+    chosen, own, near, rho = observations(structures, atoms, cells, functions, lookup, r_cut, num_neigh, rules)
+    sums = own.join(F.broadcast(reference), "species").groupBy("structure_id").agg(F.count("*").alias("n"), F.sum("e_ref").alias("ref"))
+    target = sums.join(chosen, "structure_id").select("structure_id", ((F.col("energy") - F.col("ref")) / F.col("n")).alias("t"))
+    return Prepared(near, rho, padded(density_bounds(rho)), energy_design(near, own, columns, form), target, element_groups(own))
+
+
+def group_rows(design: DataFrame, groups: DataFrame, columns: DataFrame, k: int) -> DataFrame:
+    """(grp, structure_id, col, value): the data set of each group of elements; in the mixed group `ALL`, pairs of one species are not
+    free, so their columns are left out."""
+    blocks = columns.select("kind", "key", F.explode(F.sequence(F.col("start"), F.col("start") + k - 1)).alias("col"))
+    like = (F.col("kind") == "pair") & (F.element_at(F.split("key", "-"), 1) == F.element_at(F.split("key", "-"), -1))
+    tagged = design.join(F.broadcast(blocks.select("col", like.alias("like"))), "col").join(groups, "structure_id")
+    return tagged.where(~(F.col("like") & (F.col("grp") == "ALL"))).select("grp", "structure_id", "col", "value")
+
+
+def damped_fourier(r: Column, weights: list[Column], r_cut: float) -> Column:
+    """Sum of w_k cos(k r), damped towards r_cut."""
+    return sum((w * F.cos(k * r) for k, w in enumerate(weights)), F.lit(0.0)) * damping(r - r_cut)
+
+
+def legacy_densities(near_with_y: DataFrame, atoms: DataFrame, triplets: DataFrame, value: Column) -> DataFrame:
+    """rho of every atom from its neighbours and its triplets, of which value is a column's expression."""
+    by = [F.col("structure_id"), F.col("centre_id").alias("atom_index")]
+    three = triplets.select(*by, value.alias("y"))
+    two = near_with_y.select(*by, "y").unionByName(three).unionByName(atoms.select(*ATOM, F.lit(0.0).alias("y")))
+    return two.groupBy(*ATOM).agg(F.sum("y").alias("rho"))
 
 
 def lennard_jones(r: Column, sigma: Column, eps: Column) -> Column:

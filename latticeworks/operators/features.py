@@ -16,6 +16,18 @@ def isotropic(near: DataFrame, by: list[str], basis: Basis, species: str = "neig
     return sums.select(*by, "species", F.posexplode(F.array(*(f"f{k}" for k in range(len(basis))))).alias("k", "value"))
 
 
+def used(near: DataFrame, usage: str | list[str] = "species", column: str = "neigh_species") -> DataFrame:
+    """near by the keys that features are wanted for: `species` each by itself, `all` together under that name, `everything` both, or a
+    list of species."""
+    every = near.withColumn(column, F.lit("all"))
+    if isinstance(usage, str):
+        made = {"species": lambda: near, "all": lambda: every, "everything": lambda: near.withColumn(column, F.explode(F.array(column, F.lit("all"))))}
+        if usage not in made:
+            raise ValueError(f"unknown usage {usage!r}")
+        return made[usage]()
+    return near.where(F.col(column).isin(*usage))
+
+
 def fourier_sc_basis(k: int, scale: float, at: float, width: float) -> Basis:
     cosines = [lambda r, n=n: cos_k(r, n, scale) * taper(r, at, width) for n in range(k)]
     return cosines + [lambda r, n=n: sin_k(r, n, scale) * taper(r, at, width) for n in range(1, k)]
@@ -87,33 +99,33 @@ def harmonics(l: int) -> list[tuple[Column, Column, float]]:  # noqa: E741
     return out
 
 
-def bond_weights(near: DataFrame, by: list[str], kind: str = "uniform", r_cut: float | None = None) -> DataFrame:
-    """near with weight w: uniform 1/n; inverse (1/r) / sum 1/r; linear (1 - r / sum r) normalised and rounded; taper (not normalised)."""
-    group = Window.partitionBy(*by)
-    if kind == "uniform":
-        return near.withColumn("w", 1 / F.count("*").over(group))
-    if kind == "inverse":
-        return near.withColumn("w", 1 / F.col("r")).withColumn("w", F.col("w") / F.sum("w").over(group))
-    if kind == "linear":
-        n, total = F.count("*").over(group), F.sum("r").over(group)
-        return near.withColumn("w", F.when(n == 1, 1.0).otherwise((1 - F.col("r") / total) / (n - 1)))
-    if kind == "taper":
-        t = lambda x: F.when(x > 0, F.pow(2 * x, 4) / (1 + F.pow(2 * x, 4))).otherwise(0.0)
-        return near.withColumn("w", F.pow(r_cut - F.col("r"), 2) * t(F.col("r")) * t(r_cut - F.col("r")))
-    raise ValueError(f"unknown weight {kind!r}")
-
-
-def bond_order(weighted: DataFrame, by: list[str], orders: tuple[int, ...], absolute: bool = False) -> DataFrame:
-    """(by, q4, q6, ..): sqrt(4 pi / (2l+1) sum_m |sum w Y_lm|^2); absolute sums |.| in place of its square."""
-    aggs, made = [], []
+def bond_order(near: DataFrame, by: list[str], orders: tuple[int, ...], kind: str = "uniform", r_cut: float | None = None, absolute: bool = False) -> DataFrame:
+    """(by, q4, q6, ..): sqrt(4 pi / (2l+1) sum_m |sum w Y_lm|^2); absolute sums |.| in place of its square.
+
+    Weights: uniform 1/n; inverse (1/r) / sum 1/r; linear (1 - r / sum r) / (n - 1), 1 for a single neighbour; taper, which is not
+    normalised. All are quotients of sums, so one grouped pass gives them, without a sort.
+    """
+    r, one = F.col("r"), F.lit(1.0)
+    t = lambda x: F.when(x > 0, F.pow(2 * x, 4) / (1 + F.pow(2 * x, 4))).otherwise(0.0)
+    raw = {"uniform": one, "linear": one, "inverse": 1 / r, "taper": F.pow(r_cut - r, 2) * t(r) * t(r_cut - r) if r_cut is not None else None}.get(kind)
+    if raw is None:
+        raise ValueError(f"unknown weight {kind!r}")
+    aggs, made, mean = [F.count("*").alias("n"), F.sum(raw).alias("w"), F.sum(r).alias("total")], [], {}
     for l in orders:  # noqa: E741
         parts = harmonics(l)
         for m, (re, im, _) in enumerate(parts):
-            aggs += [F.sum(F.col("w") * re).alias(f"re{l}_{m}"), F.sum(F.col("w") * im).alias(f"im{l}_{m}")]
-        power = [F.col(f"re{l}_{m}") * F.col(f"re{l}_{m}") + F.col(f"im{l}_{m}") * F.col(f"im{l}_{m}") for m in range(l + 1)]
+            for c, y in (("re", re), ("im", im)):
+                name = f"{c}{l}_{m}"
+                aggs.append(F.sum(raw * y).alias(name))
+                if kind == "linear":
+                    aggs.append(F.sum(r * y).alias(f"{name}r"))
+                    mean[name] = F.when(F.col("n") == 1, F.col(name)).otherwise((F.col(name) - F.col(f"{name}r") / F.col("total")) / (F.col("n") - 1))
+                else:
+                    mean[name] = F.col(name) if kind == "taper" else F.col(name) / F.col("w")
+        power = [F.pow(mean[f"re{l}_{m}"], 2) + F.pow(mean[f"im{l}_{m}"], 2) for m in range(l + 1)]
         terms = [parts[m][2] * (F.sqrt(x) if absolute else x) for m, x in enumerate(power)]
         made.append(F.sqrt(4 * PI / (2 * l + 1) * sum(terms, F.lit(0.0))).alias(f"q{l}"))
-    return weighted.groupBy(*by).agg(*aggs).select(*by, *made)
+    return near.groupBy(*by).agg(*aggs).select(*by, *made)
 
 
 def resultant(near: DataFrame, by: list[str]) -> DataFrame:

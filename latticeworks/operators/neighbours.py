@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeworks.functions.geometry import CELL, angle, cartesian, heights
+from latticeworks.sources.store import stored
 
 AXES = ("i", "j", "k")
 #: Cells of at least so many bins of the cutoff's size are searched bin by bin.
@@ -81,27 +82,37 @@ def ranked(near: DataFrame, by: list[str]) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("r", 8), "neigh_species", "neigh_index", "i", "j", "k")))
 
 
-def k_nearest(centres: DataFrame, atoms: DataFrame, cells: DataFrame, k: int, r_first: float, by: list[str], rounds: int = 6) -> DataFrame:
-    """The k nearest images of each centre, in rank order. Centres with fewer than k in the first radius are searched again with twice
-    the radius, and so on, so that only they pay for a wide search."""
-    todo, found, r = centres, None, r_first
-    for turn in range(rounds):
-        near = ranked(neighbours(todo, atoms, cells, r), by).where(F.col("rank") <= k).persist()
+def k_nearest(centres: DataFrame, atoms: DataFrame, cells: DataFrame, k: int, r_first: float, by: list[str]) -> DataFrame:
+    """The k nearest images of each centre, in rank order.
+
+    Centres with fewer than k in the first radius are searched again with twice the radius, and so on until all are full, so that only
+    they pay for a wide search. A structure with an atom has any number of images within reach; centres of structures without atoms or
+    cell, or without a position, have no neighbours.
+    """
+    whole = atoms.select("structure_id").intersect(cells.select("structure_id"))
+    todo, found, r = centres.where("u + v + w IS NOT NULL").join(whole, "structure_id", "left_semi"), None, r_first
+    while True:
+        near = stored(ranked(neighbours(todo, atoms, cells, r), by).where(F.col("rank") <= k))
         full = near.where(F.col("rank") == k).select(*by)
-        done = near.join(full, by, "left_semi") if turn < rounds - 1 else near
+        done = near.join(full, by, "left_semi")
         found = done if found is None else found.unionByName(done)
         todo = todo.join(full, by, "left_anti")
-        if turn == rounds - 1 or todo.isEmpty():
+        if todo.isEmpty():
             return found
         r *= 2
-    return found
 
 
 def triplets(near: DataFrame, by: list[str], r_ani: float) -> DataFrame:
     """Unordered pairs of a centre's neighbours nearer than r_ani (strict): sp0 <= sp1, their distances and the angle between them.
-    Of two of one species the nearer comes first."""
-    own = ranked(near.where(F.col("r") < r_ani), by).select(*by, *(F.col(c).alias(f"{c}0") for c in ("r", "ux", "uy", "uz", "rank")), F.col("neigh_species").alias("sp0"))
-    other = own.select(*by, *(F.col(f"{c}0").alias(f"{c}1") for c in ("r", "ux", "uy", "uz", "rank")), F.col("sp0").alias("sp1"))
-    pairs = own.join(other, by).where((F.col("sp0") < F.col("sp1")) | ((F.col("sp0") == F.col("sp1")) & (F.col("rank0") < F.col("rank1"))))
-    dot = F.col("ux0") * F.col("ux1") + F.col("uy0") * F.col("uy1") + F.col("uz0") * F.col("uz1")
-    return pairs.select(*by, "sp0", "sp1", "r0", "r1", angle(dot).alias("theta"))
+    Of two of one species the nearer comes first.
+
+    A centre's neighbours within r_ani are few, so they are gathered in order and paired in place; the neighbour table is read once.
+    """
+    order = F.struct(F.round("r", 8).alias("r8"), "neigh_species", "neigh_index", "i", "j", "k", "r", "ux", "uy", "uz")
+    own = near.where(F.col("r") < r_ani).groupBy(*by).agg(F.array_sort(F.collect_list(order)).alias("s")).where(F.size("s") > 1)
+    firsts = own.select(*by, "s", F.posexplode("s").alias("at", "x"))
+    both = firsts.select(*by, "x", F.explode(F.slice("s", F.col("at") + 2, F.size("s"))).alias("y"))
+    swap = F.col("y.neigh_species") < F.col("x.neigh_species")
+    dot = F.col("x.ux") * F.col("y.ux") + F.col("x.uy") * F.col("y.uy") + F.col("x.uz") * F.col("y.uz")
+    pick = lambda f, a, b, name: F.when(swap, F.col(f"{b}.{f}")).otherwise(F.col(f"{a}.{f}")).alias(name)
+    return both.select(*by, pick("neigh_species", "x", "y", "sp0"), pick("neigh_species", "y", "x", "sp1"), pick("r", "x", "y", "r0"), pick("r", "y", "x", "r1"), angle(dot).alias("theta"))

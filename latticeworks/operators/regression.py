@@ -46,13 +46,14 @@ def gram_rows(design: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 @dataclass
 class Moments:
-    """gram = phi' phi, xty = phi' t, tt = t' t, st = sum of t, n rows."""
+    """gram = phi' phi, xty = phi' t, tt = t' t, st = sum of t, n rows, sums of the columns."""
 
     gram: np.ndarray
     xty: np.ndarray
     tt: float
     st: float
     n: float
+    sums: np.ndarray | None = None
 
     @classmethod
     def of(cls, rows: DataFrame) -> Moments:
@@ -61,10 +62,10 @@ class Moments:
         i, j, g = (t.column(k).to_numpy() for k in ("i", "j", "g"))
         full = np.zeros((int(j.max()) + 1,) * 2)
         full[i, j] = full[j, i] = g
-        return cls(full[:-2, :-2], full[:-2, -2], full[-2, -2], full[-2, -1], full[-1, -1])
+        return cls(full[:-2, :-2], full[:-2, -2], full[-2, -2], full[-2, -1], full[-1, -1], full[:-2, -1])
 
     def __add__(self, other: Moments) -> Moments:
-        return Moments(self.gram + other.gram, self.xty + other.xty, self.tt + other.tt, self.st + other.st, self.n + other.n)
+        return Moments(self.gram + other.gram, self.xty + other.xty, self.tt + other.tt, self.st + other.st, self.n + other.n, self.sums + other.sums if self.sums is not None and other.sums is not None else None)
 
     def sse(self, w: np.ndarray) -> float:
         return float(self.tt - 2 * w @ self.xty + w @ self.gram @ w)
@@ -72,6 +73,16 @@ class Moments:
     def variance(self) -> float:
         return self.tt / self.n - (self.st / self.n) ** 2
 
+    def log_likelihood(self, w: np.ndarray, beta: float) -> float:
+        """Of weights under Gaussian noise of precision beta."""
+        return 0.5 * self.n * np.log(beta / (2 * np.pi)) - 0.5 * beta * self.sse(w)
+
+    def centred(self, normalise: bool = False) -> tuple[Moments, np.ndarray]:
+        """Moments of columns and target less their means, and the columns' scales: their norms with normalise, else 1."""
+        g = self.gram - np.outer(self.sums, self.sums) / self.n
+        scale = np.sqrt(np.maximum(np.diag(g), 1e-300)) if normalise else np.ones(len(g))
+        return Moments(g / np.outer(scale, scale), (self.xty - self.sums * self.st / self.n) / scale, self.tt - self.st**2 / self.n, 0.0, self.n, np.zeros(len(g))), scale
+
 
 def ridge(m: Moments, alpha: float | np.ndarray) -> np.ndarray:
     return np.linalg.solve(m.gram + np.diag(np.broadcast_to(alpha, len(m.xty))), m.xty)
@@ -94,7 +105,9 @@ class Rvm:
     """Sparse Bayesian regression on moments. alpha of infinity means that a column is out.
 
     beta_rule: `active` divides N - |active| + sum alpha A by the squared error, `all_columns` N - M + sum alpha A. sequential updates
-    one alpha a step, that with the largest gain of evidence. converged is called with (new weights, old weights, self).
+    one alpha a step, that with the largest gain of evidence. converged is called with (new weights, old weights, self). update_pct is
+    the share of columns, drawn anew each round, whose alpha may change. intercept fits on centred columns (with normalise of norm 1)
+    and gives the weights of the columns as they are, and the intercept.
     """
 
     tol: float = 1e-6
@@ -106,9 +119,18 @@ class Rvm:
     converged: Callable[[np.ndarray, np.ndarray, Rvm], bool] | None = None
     alpha: np.ndarray | Callable[[int], np.ndarray] | None = None
     beta: float | Callable[[Moments], float] | None = None
+    update_pct: float = 1.0
+    seed: int = 0
+    intercept: bool = False
+    normalise: bool = False
     log: list[dict] = field(default_factory=list)
 
     def fit(self, m: Moments) -> Rvm:
+        if not 0 <= self.update_pct <= 1:
+            raise ValueError("update_pct must lie in [0, 1]")
+        whole, rng = m, np.random.default_rng(self.seed)
+        if self.intercept:
+            m, scale = m.centred(self.normalise)
         size = len(m.xty)
         a = self.alpha(size) if callable(self.alpha) else self.alpha
         a = np.where(np.arange(size) == 0, 1.0, np.inf) if a is None else np.array(a, float)
@@ -141,6 +163,9 @@ class Rvm:
                     break
                 a[k] = after[k]
             else:
+                if self.update_pct < 1:
+                    still = rng.permutation(size)[int(size * self.update_pct) :]
+                    after[still] = a[still]
                 if not np.isfinite(after).any():
                     after[int(np.argmax(sq * sq / np.maximum(ss, 1e-300)))] = 1.0
                 a = after
@@ -152,9 +177,12 @@ class Rvm:
                 b = max(m.n - n_out + (a[still] * inner[still]).sum(), 1e-3) / sse
         self.sse, self.weights, self.alpha_, self.beta_, self.cov = best
         self.active = np.flatnonzero(np.isfinite(self.alpha_))
+        self.offset = 0.0
+        if self.intercept:
+            self.weights = self.weights / scale
+            self.offset = float((whole.st - whole.sums @ self.weights) / whole.n)
         return self
 
-
     @staticmethod
     def _best_step(a: np.ndarray, after: np.ndarray, q: np.ndarray, s: np.ndarray) -> tuple[int, float]:
         """The column whose alpha gains most evidence when it alone is set to its best value, and twice that gain."""
@@ -193,6 +221,21 @@ def bayesian_ridge(m: Moments, rounds: int = 100) -> tuple[np.ndarray, float, fl
     return w, alpha, beta
 
 
+def comparison_fits(design: DataFrame, reg: float = 0.01, mix: float = 0.5, epsilon: float = 1.35, rounds: int = 200) -> DataFrame:
+    """(model, col, w) of lasso, elastic net and Huber regression of design (phi, t) by the cluster's own solvers, without an intercept.
+
+    Lasso and elastic net minimise sse / 2n + reg (mix |w|_1 + (1 - mix) |w|^2 / 2), with mix 1 for the lasso; Huber has no penalty.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    spark, rows = design.sparkSession, design.select(array_to_vector("phi").alias("features"), F.col("t").alias("label"))
+    base = {"fitIntercept": False, "standardization": False, "maxIter": rounds, "tol": 1e-10}
+    models = {"lasso": {"regParam": reg, "elasticNetParam": 1.0}, "elastic_net": {"regParam": reg, "elasticNetParam": mix}, "huber": {"loss": "huber", "epsilon": epsilon}}
+    found = [(name, c, float(w)) for name, options in models.items() for c, w in enumerate(LinearRegression(**base, **options).fit(rows).coefficients)]
+    return spark.createDataFrame(found, "model string, col int, w double")
+
+
 def dot(phi: str, weights: np.ndarray) -> F.Column:
     """phi' w as an expression."""
     w = F.array(*(F.lit(float(x)) for x in weights))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeworks.sources.store import stored
+
 
 def shuffled(key: str, seed: int = 13) -> Column:
     """A fixed pseudo-random order of integer keys, in arithmetic that every SQL engine shares."""
@@ -22,10 +24,11 @@ def select_structures(structures: DataFrame, rules: list[tuple[str, tuple]], col
         if how[0] == "uniform":
             if how[2] not in ("absolute", "relative"):
                 raise ValueError(f"not a selection: {how}")
-            # a sample of fixed size is a top-k over shuffled keys: each task keeps its k, no window over the whole group
-            n = F.lit(how[1]) if how[2] == "absolute" else None
-            limit = how[1] if n is not None else int(how[1] * own.count())
-            own = own.orderBy(shuffled("structure_id", seed), "structure_id").limit(limit)
+            if how[2] == "absolute":  # a top-k over shuffled keys: each task keeps its k
+                own = own.orderBy(shuffled("structure_id", seed), "structure_id").limit(how[1])
+            else:  # a share grows with the table: places are given by ranges of the shuffled keys
+                n = int(how[1] * own.count())
+                own = numbered(own.withColumn("_s", shuffled("structure_id", seed)), ["_s", "structure_id"], "_place").where(F.col("_place") <= n).drop("_s", "_place")
         elif how[0] != "all":
             raise ValueError(f"not a selection: {how}")
         picked = own if picked is None else picked.unionByName(own)
@@ -57,17 +60,17 @@ def neighbour_statistics(near: DataFrame, by: list[str]) -> DataFrame:
     return stats.withColumn("species", F.coalesce("neigh_species", F.lit("all"))).drop("neigh_species")
 
 
-def numbered(df: DataFrame, by: str, name: str, prefix: int = 4) -> DataFrame:
-    """df with the place of each row in the order of a column of distinct values, from 1.
+def numbered(df: DataFrame, by: str | list[str], name: str) -> DataFrame:
+    """df with the place of each row in the order of columns of distinct values, from 1.
 
-    Rows are dealt by the first characters of the value, numbered inside their part and moved by the rows of the parts before; the
-    only window over everything is over one row per part.
+    Rows are dealt by ranges of the values, numbered inside their range and moved by the rows of the ranges before; the only window over
+    everything is over one row per range. Ranges are sampled, so they are stored before they are counted.
     """
-    part = F.substring(F.col(by), 1, prefix)
-    sizes = df.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = df.withColumn("part", part).withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy(by)).cast("long"))
-    return inside.join(before, "part").withColumn(name, F.col("row") + F.col("before")).drop("part", "row", "before")
+    by = [by] if isinstance(by, str) else by
+    ranged = stored(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    inside = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_range").orderBy(*by)).cast("long"))
+    return inside.join(F.broadcast(before), "_range").withColumn(name, F.col("_row") + F.col("_before")).drop("_range", "_row", "_before")
 
 
 def virial(atoms: DataFrame, cells: DataFrame) -> DataFrame:

@@ -28,6 +28,21 @@ def linear_pieces(table: DataFrame, by: list[str]) -> DataFrame:
     return sloped.withColumn("slope", F.coalesce("s", F.lag("s").over(w))).drop("s")
 
 
+def differences(table: DataFrame, by: list[str], order: str = "bin") -> DataFrame:
+    """table with dy, the symmetric difference of y over x; at the ends of a function the one-sided one."""
+    w = Window.partitionBy(*by).orderBy(order)
+    ahead, behind = (lambda c: F.coalesce(F.lead(c).over(w), F.col(c))), (lambda c: F.coalesce(F.lag(c).over(w), F.col(c)))
+    return table.withColumn("dy", (ahead("y") - behind("y")) / (ahead("x") - behind("x")))
+
+
+def on_grid(bounds: DataFrame, n: int, basis: Basis, weights: str = "weights") -> DataFrame:
+    """(columns of bounds, bin, x, y): a regressed function of each row of bounds (lo, hi, weights array) at n points from lo on, whose
+    step is a whole number of millionths."""
+    step = F.round((F.col("hi") - F.col("lo")) / n, 6)
+    grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", F.col("lo") + F.col("bin") * step)
+    return grid.withColumn("y", sum((F.element_at(weights, k + 1) * f(F.col("x")) for k, f in enumerate(basis)), F.lit(0.0)))
+
+
 def lookup(df: DataFrame, table: DataFrame, key: Column, x: Column, step: float, n: int, suffix: str = "") -> DataFrame:
     """df with y and dy of the function `key` at x from linear pieces (key, bin, x, y, slope). The table's size is its resolution."""
     small = table.select(F.col("key").alias("_key"), F.col("bin").alias("_bin"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("slope").alias("_s"))
@@ -39,13 +54,22 @@ def lookup(df: DataFrame, table: DataFrame, key: Column, x: Column, step: float,
 
 def cubic_spline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Coefficients (y, c1, c2, c3) of each interval of the not-a-knot cubic spline."""
-    n, h, d = len(x), np.diff(x), np.diff(y) / np.diff(x)
-    a, b = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = 3 * (d[i] - d[i - 1])
-    a[0, :3], a[-1, -3:] = (h[1], -(h[0] + h[1]), h[0]), (h[-1], -(h[-2] + h[-1]), h[-2])
-    c = np.linalg.solve(a, b)
+    h, d = np.diff(x), np.diff(y) / np.diff(x)
+    # inner rows, with the end conditions h1 c0 = (h0 + h1) c1 - h0 c2 put in, are tridiagonal
+    low, mid, up, b = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy(), 3 * np.diff(d)
+    mid[0] += h[0] * (h[0] + h[1]) / h[1]
+    up[0] -= h[0] * h[0] / h[1]
+    mid[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    for i in range(1, len(mid)):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * up[i - 1]
+        b[i] -= f * b[i - 1]
+    c = np.zeros(len(x))
+    for i in range(len(mid) - 1, -1, -1):
+        c[i + 1] = (b[i] - (up[i] * c[i + 2] if i + 1 < len(mid) else 0.0)) / mid[i]
+    c[0] = ((h[0] + h[1]) * c[1] - h[0] * c[2]) / h[1]
+    c[-1] = ((h[-2] + h[-1]) * c[-2] - h[-1] * c[-3]) / h[-2]
     return np.stack([y[:-1], d - h * (2 * c[:-1] + c[1:]) / 3, c[:-1], np.diff(c) / (3 * h)], 1)
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latticeworks.functions import geometry as g
-from latticeworks.functions.basis import damping
+from latticeworks.functions.basis import PI, damping
 from latticeworks.operators import eam as e
+from latticeworks.operators import neighbours as nb
 from latticeworks.operators import regression as rg
 from latticeworks.operators import tables as tb
 
@@ -16,7 +17,8 @@ from . import views as v
 from .density import BINS, RADIAL_SQL, STEP, radial
 from .geometry import KEY, near_atoms
 from .registry import query
-from .views import R_CUT, r6, with_views
+from .regression import solution_sql
+from .views import R_ANI, R_CUT, r6, with_views
 
 K = 3
 FORM = e.Form(K, 12.0, R_CUT, 0.3, 0.3)
@@ -35,13 +37,12 @@ def weights(spark):
 
 
 def near_tabulated(spark, sf_dir):
-    """Neighbours with value and slope of their function (y, dy) and of the centre's (y_centre, dy_centre)."""
-    near = tb.lookup(near_atoms(spark, sf_dir), radial(spark), F.col("neigh_species"), F.col("r"), STEP, BINS)
-    return tb.lookup(near, radial(spark), F.col("centre_species"), F.col("r"), STEP, BINS, "_centre")
+    """Neighbours with value and slope of their function (y, dy)."""
+    return tb.lookup(near_atoms(spark, sf_dir), radial(spark), F.col("neigh_species"), F.col("r"), STEP, BINS)
 
 
 def densities(spark, sf_dir):
-    near = tb.lookup(near_atoms(spark, sf_dir), radial(spark), F.col("neigh_species"), F.col("r"), STEP, BINS)
+    near = near_tabulated(spark, sf_dir)
     return near, e.embedding_density(near, v.atoms(spark, sf_dir))
 
 
@@ -98,8 +99,7 @@ design AS (SELECT structure_id, CAST(col AS INTEGER) AS col, value / n_atoms AS
 
 
 def energy_design(spark, sf_dir):
-    near, rho = densities(spark, sf_dir)
-    return e.energy_design(near, rho, columns(spark), FORM)
+    return e.energy_design(near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), columns(spark), FORM)
 
 
 @query(rho_views(f", {DESIGN_SQL} SELECT structure_id, col, round(value, 5) + 0.0 AS value FROM design"))
@@ -113,29 +113,28 @@ def eam_energy(spark, sf_dir):
     return e.weighted(energy_design(spark, sf_dir), ["structure_id"], weights(spark), "energy").select("structure_id", (F.round("energy", 5) + 0.0).alias("energy"))
 
 
-FORCE_SQL = f"""{COLUMNS_SQL}, terms AS (SELECT unnest(range({K})) AS n),
-axes AS (SELECT structure_id, centre_id, centre_species, neigh_index, neigh_species, r, dy, dy_centre, unnest([0, 1, 2]) AS axis, unnest([ux, uy, uz]) AS u FROM looked),
+FORCE_BODY = f"""axes AS (SELECT structure_id, centre_id, centre_species, neigh_index, neigh_species, r, dy, dy_centre, unnest([0, 1, 2]) AS axis, unnest([ux, uy, uz]) AS u FROM looked),
 own AS (SELECT structure_id, centre_id AS atom_index, axis, sum(dy * u) AS push FROM axes GROUP BY ALL),
 fraw AS (SELECT structure_id, atom_index, axis, start + n AS col, push * {EMB_SLOPE} AS value FROM own JOIN rho USING (structure_id, atom_index) JOIN blocks ON kind = 'emb' AND key = species, terms
  UNION ALL SELECT structure_id, atom_index, axis, start + n, sum(value) FROM (SELECT x.structure_id, x.centre_id AS atom_index, axis, start, n, dy_centre * u * {EMB_SLOPE} AS value FROM axes x JOIN rho r2 ON r2.structure_id = x.structure_id AND r2.atom_index = x.neigh_index JOIN blocks ON kind = 'emb' AND key = neigh_species, terms) GROUP BY ALL
  UNION ALL SELECT structure_id, centre_id, axis, start + n, sum(u * {PAIR_SLOPE}) FROM axes JOIN blocks ON kind = 'pair' AND key = {PAIR_KEY}, terms GROUP BY ALL),
 force AS (SELECT structure_id, atom_index, axis, CAST(col AS INTEGER) AS col, sum(value) AS value FROM fraw GROUP BY ALL)"""
+FORCE_SQL = f"{COLUMNS_SQL}, terms AS (SELECT unnest(range({K})) AS n), {FORCE_BODY}"
 
 
 def force_design(spark, sf_dir):
-    near = near_tabulated(spark, sf_dir)
-    return e.force_design(near, e.embedding_density(near, v.atoms(spark, sf_dir)), columns(spark), FORM)
+    return e.force_design(near_tabulated(spark, sf_dir), columns(spark), FORM)
 
 
 @query(rho_views(f", {FORCE_SQL} SELECT structure_id, atom_index, axis, round(sum(value * w), 4) + 0.0 AS f FROM force JOIN weights USING (col) GROUP BY ALL"))
 def eam_forces(spark, sf_dir):
-    f = e.weighted(force_design(spark, sf_dir), ["structure_id", "atom_index", "axis"], weights(spark), "f")
+    f = e.forces(near_tabulated(spark, sf_dir), columns(spark), FORM, WEIGHTS)
     return f.select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
 
 
-def function_tables(spark):
+def function_tables(spark, values=WEIGHTS):
     """Energy functions of the weights on uniform grids: F_s(rho) and phi_p(r), with their slopes."""
-    w = columns(spark).withColumn("w", F.array(*(F.lit(x) for x in WEIGHTS)))
+    w = columns(spark).withColumn("w", F.array(*(F.lit(float(x)) for x in values)))
     w = w.select("kind", "key", *(F.element_at("w", F.col("start") + n + 1).alias(f"w{n}") for n in range(K)))
     rho = tb.tabulate(w.where("kind = 'emb'"), 400, 0.05, F.lit(0.0))
     rho = rho.withColumn("rho", F.col("x")).withColumn("y", sum((F.col(f"w{n}") * FORM.emb(n) for n in range(K)), F.lit(0.0)))
@@ -153,15 +152,6 @@ def table_sql(kind: str, count: int, step: float, expr: str, var: str) -> str:
 TABLES_SQL = f"{COLUMNS_SQL}, tabs AS ({table_sql('emb', 400, 0.05, EMB, 'rho')} UNION ALL {table_sql('pair', BINS, STEP, PAIR, 'r')}), tpieces AS (SELECT x.kind, x.key, x.bin, x.x, x.y, (y.y - x.y) / (y.x - x.x) AS slope FROM tabs x JOIN tabs y ON x.kind = y.kind AND x.key = y.key AND y.bin = x.bin + 1)"
 
 
-@query(f"WITH {TABLES_SQL} SELECT kind, key, bin, round(y, 6) + 0.0 AS y FROM tabs")
-def potential_table(spark, sf_dir):
-    """The tables that a potential file holds; weights are applied to the column blocks of the given structures' species."""
-    emb, pair = function_tables(spark)
-    seen = v.atoms(spark, sf_dir).select("species").distinct().agg(F.collect_set("species").alias("s"))
-    every = emb.unionByName(pair).join(F.broadcast(seen)).where(F.forall(F.split("key", "-"), lambda x: F.array_contains("s", x)))
-    return every.select("kind", "key", "bin", *r6("y"))
-
-
 def _pieces(table):
     return tb.linear_pieces(table, ["key"]).select("key", "bin", "x", "y", "slope")
 
@@ -175,12 +165,12 @@ SELECT structure_id, round(sum(y) / any_value(n_atoms), 5) + 0.0 AS energy FROM
 def eam_energy_tables(spark, sf_dir):
     """Energies of a finished potential, from its tables."""
     emb, pair = function_tables(spark)
-    near, rho = densities(spark, sf_dir)
-    one = tb.lookup(rho, _pieces(emb), F.col("species"), F.col("rho"), 0.05, 400).select("structure_id", "y")
-    two = tb.lookup(near.drop("y", "dy"), _pieces(pair), e.pair_key(), F.col("r"), STEP, BINS).select("structure_id", (F.col("y") / 2).alias("y"))
-    size = rho.groupBy("structure_id").agg(F.count("*").alias("n"))
-    sums = one.unionByName(two).groupBy("structure_id").agg(F.sum("y").alias("y")).join(size, "structure_id")
-    return sums.select("structure_id", (F.round(F.col("y") / F.col("n"), 5) + 0.0).alias("energy"))
+    near = near_tabulated(spark, sf_dir).select("structure_id", F.col("centre_id").alias("atom_index"), "centre_species", "neigh_species", "r", F.col("y").alias("d"))
+    two = tb.lookup(near, _pieces(pair), e.pair_key(), F.col("r"), STEP, BINS).select("structure_id", "atom_index", F.col("centre_species").alias("species"), "d", (F.col("y") / 2).alias("p"))
+    every = two.unionByName(v.atoms(spark, sf_dir).select("structure_id", "atom_index", "species", F.lit(0.0).alias("d"), F.lit(0.0).alias("p")))
+    rho = every.groupBy("structure_id", "atom_index", "species").agg(F.sum("d").alias("rho"), F.sum("p").alias("p"))
+    one = tb.lookup(rho, _pieces(emb), F.col("species"), F.col("rho"), 0.05, 400)
+    return one.groupBy("structure_id").agg((F.round(F.sum(F.col("y") + F.col("p")) / F.count("*"), 5) + 0.0).alias("energy"))
 
 
 @query(rho_views(f""", {TABLES_SQL}, fp AS (SELECT structure_id, atom_index, p.slope AS ds FROM rho JOIN tpieces p ON p.kind = 'emb' AND p.key = species AND p.bin = {RHO_AT}),
@@ -189,15 +179,14 @@ JOIN fp b ON b.structure_id = l.structure_id AND b.atom_index = l.neigh_index JO
 SELECT structure_id, atom_index, axis, round(sum(u * pull), 4) + 0.0 AS f FROM axes GROUP BY ALL"""))
 def eam_forces_tables(spark, sf_dir):
     emb, pair = function_tables(spark)
-    near = near_tabulated(spark, sf_dir)
-    rho = e.embedding_density(near, v.atoms(spark, sf_dir))
-    slope = tb.lookup(rho, _pieces(emb), F.col("species"), F.col("rho"), 0.05, 400).select("structure_id", "atom_index", F.col("dy").alias("ds"))
-    both = near.select(*KEY, "centre_species", "neigh_index", "neigh_species", "r", "ux", "uy", "uz", F.col("dy").alias("fd"), F.col("dy_centre").alias("fc"))
+    near = e.with_density(near_tabulated(spark, sf_dir))
+    near = near.select(*KEY, "centre_species", "neigh_index", "neigh_species", "r", "ux", "uy", "uz", "rho", F.col("dy").alias("df"))
+    both = tb.lookup(near, _pieces(emb), F.col("centre_species"), F.col("rho"), 0.05, 400, "_emb")
     both = tb.lookup(both, _pieces(pair), e.pair_key(), F.col("r"), STEP, BINS)
-    both = both.join(slope.select("structure_id", F.col("atom_index").alias("centre_id"), F.col("ds").alias("da")), KEY).join(slope.select("structure_id", F.col("atom_index").alias("neigh_index"), F.col("ds").alias("db")), ["structure_id", "neigh_index"])
-    pull = F.col("da") * F.col("fd") + F.col("db") * F.col("fc") + F.col("dy")
-    axes = both.select("structure_id", F.col("centre_id").alias("atom_index"), pull.alias("pull"), F.posexplode(F.array("ux", "uy", "uz")).alias("axis", "u"))
-    return axes.groupBy("structure_id", "atom_index", "axis").agg((F.round(F.sum(F.col("u") * F.col("pull")), 4) + 0.0).alias("f"))
+    push = F.col("dy_emb") * F.col("df")
+    sides = [F.struct(F.col(atom).alias("atom_index"), *((f * F.col(f"u{x}")).alias(x) for x in e.AXES)) for atom, f in (("centre_id", push + F.col("dy")), ("neigh_index", -push))]
+    f = e.by_axis(both.select("structure_id", F.inline(F.array(*sides))))
+    return f.select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
 
 
 def energy_moments(spark, sf_dir) -> rg.Moments:
@@ -206,15 +195,9 @@ def energy_moments(spark, sf_dir) -> rg.Moments:
     return rg.Moments.of(rg.gram_rows(phi.join(target, "structure_id").select("phi", F.col("formation").alias("t"))))
 
 
-def force_moments(spark, sf_dir) -> rg.Moments:
+def force_moments(spark, sf_dir, thirds: bool = False) -> rg.Moments:
     """Of the forces of all atoms on three axes, each with weight 1 / N_s for its structure's atoms; rows without neighbours are zeros."""
-    every = v.atoms(spark, sf_dir)
-    size = every.groupBy("structure_id").agg(F.count("*").alias("n_atoms"))
-    phi = e.dense(force_design(spark, sf_dir), [*e.ATOM, "axis"], N_COLUMNS)
-    target = every.select(*e.ATOM, F.posexplode(F.array("fx", "fy", "fz")).alias("axis", "f")).join(size, "structure_id")
-    weight, zeros = 1 / F.sqrt("n_atoms"), F.array(*[F.lit(0.0)] * N_COLUMNS)
-    rows = target.join(phi, [*e.ATOM, "axis"], "left").select(F.transform(F.coalesce("phi", zeros), lambda x: x * weight).alias("phi"), (F.col("f") * weight).alias("t"))
-    return rg.Moments.of(rg.gram_rows(rows))
+    return rg.Moments.of(rg.gram_rows(e.force_rows(near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), FORM, BLOCKS, thirds)))
 
 
 ERR_SQL = rho_views(f""", {DESIGN_SQL}, target AS (SELECT s.structure_id, round(s.energy / count(*) - sum(e_ref) / count(*), 9) + 0.0 AS t FROM structures s JOIN atoms USING (structure_id) JOIN species_ref USING (species) GROUP BY s.structure_id, s.energy),
@@ -222,19 +205,33 @@ pred AS (SELECT structure_id, sum(value * w) AS y FROM design JOIN weights USING
 """)
 
 
-@query(ERR_SQL + "SELECT round(sqrt(sum((t - y) ** 2)), 3) + 0.0 AS error, round(avg((t - y) ** 2), 4) + 0.0 AS mse, count(*) AS n FROM target JOIN pred USING (structure_id)")
+#: Target and predicted forces of every atom and axis, and the weight of their squares.
+PUSH_SQL = f""", {FORCE_BODY}, fpred AS (SELECT structure_id, atom_index, axis, sum(value * w) AS y FROM force JOIN weights USING (col) GROUP BY ALL),
+fsize AS (SELECT structure_id, count(*) AS n FROM atoms GROUP BY 1), faxes AS (SELECT structure_id, atom_index, unnest([0, 1, 2]) AS axis, unnest([fx, fy, fz]) AS t FROM atoms),
+push AS (SELECT x.structure_id, x.atom_index, x.axis, x.t, coalesce(p.y, 0) AS y, n FROM faxes x JOIN fsize USING (structure_id) LEFT JOIN fpred p ON p.structure_id = x.structure_id AND p.atom_index = x.atom_index AND p.axis = x.axis)
+"""
+
+
+@query(ERR_SQL + PUSH_SQL + """, d AS (SELECT structure_id, atom_index, sqrt(sum((t - y) ** 2)) AS d FROM push GROUP BY ALL), fd AS (SELECT sum(m) / 3 AS f FROM (SELECT avg(d) AS m FROM d GROUP BY structure_id)), en AS (SELECT sqrt(sum((t - y) ** 2)) AS e FROM target JOIN pred USING (structure_id))
+SELECT round(e, 3) + 0.0 AS error, round(f, 1) + 0.0 AS force_error, round(e + f, 1) + 0.0 AS total FROM en, fd""")
 def eam_errors(spark, sf_dir):
-    """Distance of predicted and target energies over all structures."""
-    pred = e.weighted(energy_design(spark, sf_dir), ["structure_id"], weights(spark), "y").join(formation_energy(spark, sf_dir), "structure_id")
-    d2 = F.pow(F.col("formation") - F.col("y"), 2)
-    return pred.agg((F.round(F.sqrt(F.sum(d2)), 3) + 0.0).alias("error"), (F.round(F.avg(d2), 4) + 0.0).alias("mse"), F.count("*").alias("n"))
+    """Distances of predicted energies and forces from their targets over all structures."""
+    near, atoms = near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir)
+    pred = e.weighted(e.energy_design(near, atoms, columns(spark), FORM), ["structure_id"], weights(spark), "y")
+    d = e.distances(pred, formation_energy(spark, sf_dir).withColumnRenamed("formation", "t"), e.forces(near, columns(spark), FORM, WEIGHTS), atoms)
+    return d.select((F.round("error", 3) + 0.0).alias("error"), (F.round("force_error", 1) + 0.0).alias("force_error"), (F.round("total", 1) + 0.0).alias("total"))
 
 
-@query(ERR_SQL + f"SELECT round(-0.5 * {ALPHA} * (SELECT sum(w * w) FROM weights) - 0.5 * {BETA_E} * sum((t - y) ** 2) + 0.5 * (count(*) + 27) * ln(2 * pi()) + 0.5 * 27 * ln({ALPHA}) + count(*) * ln({BETA_E}), 2) + 0.0 AS log_joint FROM target JOIN pred USING (structure_id)")
+@query(ERR_SQL + PUSH_SQL + f"SELECT round(-0.5 * {ALPHA} * (SELECT sum(w * w) FROM weights) - 0.5 * {BETA_E} * sum((t - y) ** 2) - 0.5 * {BETA_F} * (SELECT sum((t - y) ** 2 / n) FROM push) + 0.5 * (count(*) + 27) * ln(2 * pi()) + 0.5 * 27 * ln({ALPHA}) + count(*) * (ln({BETA_E}) + ln({BETA_F})), 1) + 0.0 AS log_joint FROM target JOIN pred USING (structure_id)")
 def eam_log_joint(spark, sf_dir):
     m = energy_moments(spark, sf_dir)
     value = e.log_joint(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, force_moments(spark, sf_dir), m.n)
-    return spark.createDataFrame([(round(value, 2) + 0.0,)], "log_joint double")
+    return spark.createDataFrame([(round(value, 1) + 0.0,)], "log_joint double")
+
+
+def candidates(spark, sf_dir, names):
+    part = v.table(spark, sf_dir, "part")
+    return part.select(F.col("p_partkey").alias("cand_id"), *((((F.col("p_partkey") * (7 + 2 * c) + 3 * c) % 19 - 9) / 30.0).alias(n) for c, n in enumerate(names)))
 
 
 @query(ERR_SQL + """, dt AS (SELECT structure_id, col, value, t FROM design JOIN target USING (structure_id)),
@@ -244,10 +241,8 @@ lin AS (SELECT cand_id, sum(w * b) AS l FROM pop JOIN b USING (i) GROUP BY cand_
 SELECT cand_id, round((SELECT sum(t * t) FROM target) - 2 * l + q, 3) + 0.0 AS sse FROM lin JOIN quad USING (cand_id)""")
 def score_candidates(spark, sf_dir):
     """Every candidate's squared error against all structures, from one set of moments."""
-    part = v.table(spark, sf_dir, "part")
     names = [f"w{c}" for c in range(N_COLUMNS)]
-    cand = part.select(F.col("p_partkey").alias("cand_id"), *((((F.col("p_partkey") * (7 + 2 * c) + 3 * c) % 19 - 9) / 30.0).alias(n) for c, n in enumerate(names)))
-    return e.score(cand, energy_moments(spark, sf_dir), names).select("cand_id", (F.round("sse", 3) + 0.0).alias("sse"))
+    return e.score(candidates(spark, sf_dir, names), names, energy_moments(spark, sf_dir)).select("cand_id", (F.round("sse", 3) + 0.0).alias("sse"))
 
 
 @query("SELECT p_type AS kind, p_partkey AS cand_id, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS place FROM part QUALIFY place <= 5")
@@ -256,31 +251,116 @@ def top_candidates(spark, sf_dir):
     return v.table(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("cand_id"), F.row_number().over(w).cast("long").alias("place")).where("place <= 5")
 
 
-def _residual(spark, g, b):
-    """Largest entries of the normal equations' residual, which a fit brings to 0."""
-    return spark.createDataFrame([(i, round(float(x), 6) + 0.0) for i, x in enumerate(g - b)], "i int, residual double")
+@query(ERR_SQL + PUSH_SQL + f"SELECT round(-0.5 * {ALPHA} * (SELECT sum(w * w) FROM weights) - 0.5 * {BETA_E} * sum((t - y) ** 2) - 0.5 * {BETA_F} * (SELECT sum((t - y) ** 2) / 3 FROM push) + 0.5 * count(*) * (ln({BETA_E}) + ln({BETA_F})) + 0.5 * 27 * ln({ALPHA}) - 0.5 * (count(*) + 27) * ln(2 * pi()), 1) + 0.0 AS log_joint FROM target JOIN pred USING (structure_id)")
+def eam_log_joint_thirds(spark, sf_dir):
+    """The form whose force term is a third of the sum over atoms."""
+    m = energy_moments(spark, sf_dir)
+    value = e.log_joint_thirds(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, force_moments(spark, sf_dir, True), m.n)
+    return spark.createDataFrame([(round(value, 1) + 0.0,)], "log_joint double")
+
+
+GRAM_SQL = ERR_SQL + f""", {FORCE_BODY}, ge AS (SELECT x.col AS i, y.col AS j, sum(x.value * y.value) AS g FROM design x JOIN design y USING (structure_id) GROUP BY ALL),
+be AS (SELECT col AS i, sum(value * t) AS b FROM design JOIN target USING (structure_id) GROUP BY col), fsize AS (SELECT structure_id, count(*) AS n FROM atoms GROUP BY 1),
+gf AS (SELECT x.col AS i, y.col AS j, sum(x.value * y.value / n) AS g FROM force x JOIN force y ON x.structure_id = y.structure_id AND x.atom_index = y.atom_index AND x.axis = y.axis JOIN fsize ON fsize.structure_id = x.structure_id GROUP BY ALL),
+bf AS (SELECT col AS i, sum(value * CASE axis WHEN 0 THEN fx WHEN 1 THEN fy ELSE fz END / n) AS b FROM force JOIN atoms USING (structure_id, atom_index) JOIN fsize USING (structure_id) GROUP BY col),
+cols AS (SELECT unnest(range({N_COLUMNS})) AS i),
+a AS (SELECT x.i, y.i AS j, {BETA_E} * coalesce(ge.g, 0) + {BETA_F} * coalesce(gf.g, 0) + CASE WHEN x.i = y.i THEN {ALPHA} ELSE 0 END AS v FROM cols x, cols y LEFT JOIN ge ON ge.i = x.i AND ge.j = y.i LEFT JOIN gf ON gf.i = x.i AND gf.j = y.i),
+b AS (SELECT i, {BETA_E} * coalesce(be.b, 0) + {BETA_F} * coalesce(bf.b, 0) AS v FROM cols LEFT JOIN be USING (i) LEFT JOIN bf USING (i))
+"""
 
 
-ZEROS = "SELECT CAST(i AS INTEGER) AS i, 0.0::DOUBLE AS residual FROM (SELECT unnest(range({n})) AS i)"
+def _weights(spark, w, columns=None):
+    return spark.createDataFrame([(c, round(float(w[c]), 5) + 0.0) for c in (columns or range(len(w)))], "col int, w double")
 
 
-@query(ZEROS.format(n=N_COLUMNS))
+def map_weights(spark, sf_dir, held=None):
+    """Weights that maximise the log-joint of energies and forces, with some columns held."""
+    return e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, energy_moments(spark, sf_dir), force_moments(spark, sf_dir), held)
+
+
+FIT_SQL = (GRAM_SQL + solution_sql("fit", "a", "b")).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(FIT_SQL + "SELECT CAST(i AS INTEGER) AS col, round(w, 5) + 0.0 AS w FROM fit")
 def eam_map_fit(spark, sf_dir):
-    """Weights that maximise the log-joint, given as the residual of their normal equations."""
-    m = energy_moments(spark, sf_dir)
-    f = force_moments(spark, sf_dir)
-    w = e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, f)
-    return _residual(spark, (BETA_E * m.gram + BETA_F * f.gram) @ w + ALPHA * w, BETA_E * m.xty + BETA_F * f.xty)
+    """Weights that maximise the log-joint."""
+    return _weights(spark, map_weights(spark, sf_dir))
+
+
+POPULATION = "pop AS (SELECT p_partkey AS cand_id, c AS i, ((p_partkey * (7 + 2 * c) + 3 * c) % 19 - 9) / 30::DOUBLE AS w FROM part, (SELECT unnest(range(27)) AS c))"
+
+
+@query(GRAM_SQL + f""", {POPULATION}, tt AS (SELECT {BETA_E} * (SELECT sum(t * t) FROM target) + {BETA_F} * (SELECT sum((fx * fx + fy * fy + fz * fz) / n) FROM atoms JOIN fsize USING (structure_id)) AS v),
+lin AS (SELECT cand_id, sum(w * v) AS l FROM pop JOIN b USING (i) GROUP BY cand_id), quad AS (SELECT x.cand_id, sum(x.w * y.w * v) AS q FROM pop x JOIN a ON a.i = x.i JOIN pop y ON y.cand_id = x.cand_id AND y.i = a.j GROUP BY x.cand_id),
+m AS (SELECT cand_id, (SELECT v FROM tt) - 2 * l + q AS x FROM lin JOIN quad USING (cand_id)) SELECT cand_id, CAST(floor(log10(x)) AS INTEGER) AS exponent, round(x / pow(10, floor(log10(x))), 5) + 0.0 AS mantissa FROM m""")
+def score_candidates_joint(spark, sf_dir):
+    """Candidates by the weighted squared errors of energies and forces and the prior together, in decimal floating point."""
+    names = [f"w{c}" for c in range(N_COLUMNS)]
+    measure = lambda energy, force, penalty: BETA_E * energy + BETA_F * force + ALPHA * penalty
+    made = e.score(candidates(spark, sf_dir, names), names, energy_moments(spark, sf_dir), force_moments(spark, sf_dir), measure, "x").withColumn("exponent", F.floor(F.log10("x")).cast("int"))
+    return made.select("cand_id", "exponent", (F.round(F.col("x") / F.pow(F.lit(10.0), F.col("exponent")), 5) + 0.0).alias("mantissa"))
+
+
+@query(rho_views(f""", {DESIGN_SQL}, k AS (SELECT structure_id, count(DISTINCT species) AS k, min(species) AS one FROM atoms GROUP BY structure_id), g AS (SELECT structure_id, one AS grp FROM k WHERE k = 1 UNION ALL SELECT structure_id, 'ALL' FROM k),
+f AS (SELECT structure_id, s.energy / count(*) - sum(e_ref) / count(*) AS t FROM structures s JOIN atoms USING (structure_id) JOIN species_ref USING (species) GROUP BY s.structure_id, s.energy),
+like_ AS (SELECT start + n AS col FROM blocks, terms WHERE kind = 'pair' AND key[1] = key[3])
+SELECT grp, col, count(*) AS n, round(sum(value), 4) + 0.0 AS total, round(sum(value * t), 4) + 0.0 AS target FROM design JOIN g USING (structure_id) JOIN f USING (structure_id) WHERE NOT (grp = 'ALL' AND col IN (SELECT col FROM like_)) GROUP BY grp, col"""))
+def eam_setup(spark, sf_dir):
+    """The data set of each group of elements from one composed set-up: rows, sums and products with the target by free column."""
+    made = e.prepare(v.structures(spark, sf_dir), v.atoms(spark, sf_dir), v.cells(spark, sf_dir), radial(spark), lambda near, t: tb.lookup(near, t, F.col("neigh_species"), F.col("r"), STEP, BINS), v.species(spark).select("species", "e_ref"), columns(spark), FORM, R_CUT)
+    rows = e.group_rows(made.design, made.groups, columns(spark), K).join(made.target, "structure_id")
+    return rows.groupBy("grp", "col").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"), (F.round(F.sum(F.col("value") * F.col("t")), 4) + 0.0).alias("target"))
+
+
+@query(rho_views(f", {FORCE_SQL} SELECT structure_id, atom_index, axis, round(sum(value * w * CASE WHEN col >= {3 * K} THEN 2 ELSE 1 END), 4) + 0.0 AS f FROM force JOIN weights USING (col) GROUP BY ALL"))
+def legacy_forces(spark, sf_dir):
+    """Forces in the older form, in which a pair's energy counts at both of its ends."""
+    f = e.forces(near_tabulated(spark, sf_dir), columns(spark), FORM, [w * (2 if c >= 3 * K else 1) for c, w in enumerate(WEIGHTS)])
+    return f.select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
+
+
+PAIR_K = [0.3, -0.2, 0.1]
+_DAMP = f"pow(10 * (r - {R_CUT}), 4) / (1 + pow(10 * (r - {R_CUT}), 4))"
+
+
+@query(with_views("near", f"SELECT structure_id, centre_id, round(sum(({' + '.join(f'({w}) * cos({k} * r)' for k, w in enumerate(PAIR_K))}) * {_DAMP}), 5) + 0.0 AS energy FROM near GROUP BY ALL"))
+def pair_energy_fourier(spark, sf_dir):
+    one = e.damped_fourier(F.col("r"), [F.lit(w) for w in PAIR_K], R_CUT)
+    return near_atoms(spark, sf_dir).groupBy(*KEY).agg((F.round(F.sum(one), 5) + 0.0).alias("energy"))
+
+
+TRIPLE = f"0.05 * cos(pi() * r0 / {R_ANI}) * cos(pi() * r1 / {R_ANI}) * cos(theta)"
+
+
+@query(with_views("species triplets", f", {RHO_SQL}, t AS (SELECT structure_id, centre_id AS atom_index, sum({TRIPLE}) AS y FROM triplets GROUP BY ALL) SELECT r.structure_id, r.atom_index, round(rho + coalesce(t.y, 0), 5) + 0.0 AS rho FROM rho r LEFT JOIN t USING (structure_id, atom_index)"))
+def legacy_triplet_density(spark, sf_dir):
+    """Densities with the term of triplets."""
+    near = near_tabulated(spark, sf_dir)
+    three = 0.05 * F.cos(PI * F.col("r0") / R_ANI) * F.cos(PI * F.col("r1") / R_ANI) * F.cos("theta")
+    rho = e.legacy_densities(near, v.atoms(spark, sf_dir), nb.triplets(near, KEY, R_ANI), three)
+    return rho.select("structure_id", "atom_index", (F.round("rho", 5) + 0.0).alias("rho"))
+
+
+_TABS = " UNION ALL ".join((table_sql("emb", 400, 0.05, EMB, "rho"), table_sql("pair", BINS, STEP, PAIR, "r"))).replace("JOIN weights ", "JOIN fitted ")
+
+
+@query(FIT_SQL + f", fitted AS (SELECT i AS col, w FROM fit), tabs AS ({_TABS}) SELECT kind, key, bin, round(y, 4) + 0.0 AS y FROM tabs")
+def potential_table(spark, sf_dir):
+    """The tables that a potential file holds, from the weights that fit the given structures."""
+    emb, pair = function_tables(spark, map_weights(spark, sf_dir))
+    return emb.unionByName(pair).select("kind", "key", "bin", (F.round("y", 4) + 0.0).alias("y"))
+
+
+HELD = {c: WEIGHTS[c] for kind, key, start in BLOCKS if kind == "pair" and key[0] == key[-1] for c in range(start, start + K)}
+FREE = [c for c in range(N_COLUMNS) if c not in HELD]
+_free, _held = ", ".join(map(str, FREE)), ", ".join(map(str, HELD))
 
 
-@query(ZEROS.format(n=N_COLUMNS - 9))
+@query((GRAM_SQL + f", af AS (SELECT * FROM a WHERE i IN ({_free}) AND j IN ({_free})), bfree AS (SELECT b.i, b.v - coalesce((SELECT sum(a.v * w) FROM a JOIN weights ON col = j WHERE a.i = b.i AND j IN ({_held})), 0) AS v FROM b WHERE b.i IN ({_free}))"
+    + solution_sql("fit", "af", "bfree") + "SELECT CAST(i AS INTEGER) AS col, round(w, 5) + 0.0 AS w FROM fit").replace("WITH ", "WITH RECURSIVE ", 1))
 def eam_frozen_fit(spark, sf_dir):
-    """Like-pair weights are held, embedding and unlike pairs are fitted: residuals of the free columns."""
-    m, f = energy_moments(spark, sf_dir), force_moments(spark, sf_dir)
-    held = {c: WEIGHTS[c] for kind, key, start in BLOCKS if kind == "pair" and key[0] == key[-1] for c in range(start, start + K)}
-    w = e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, f, held)
-    free = [c for c in range(N_COLUMNS) if c not in held]
-    return _residual(spark, ((BETA_E * m.gram + BETA_F * f.gram) @ w + ALPHA * w)[free], (BETA_E * m.xty + BETA_F * f.xty)[free])
+    """Like-pair weights are held, embedding and unlike pairs are fitted: the free weights."""
+    return _weights(spark, map_weights(spark, sf_dir, HELD), FREE)
 
 
 @query()
@@ -293,8 +373,6 @@ def eam_hyper_update(spark, sf_dir):
 
 LJ = "4 * sqrt(a.eps * b.eps) * (pow((a.sigma + b.sigma) / 2 / {r}, 12) - pow((a.sigma + b.sigma) / 2 / {r}, 6))"
 NEAR_LJ = "SELECT {cols} FROM near JOIN species_ref a ON a.species = centre_species JOIN species_ref b ON b.species = neigh_species"
-#: The SQL of pair_energy_lj still leaves out pairs nearer than this; the query sums all.
-CORE = 1.5
 
 
 def near_lj(spark, sf_dir):
@@ -305,10 +383,13 @@ def near_lj(spark, sf_dir):
     return near.withColumn("sigma", (F.col("sigma_a") + F.col("sigma_b")) / 2).withColumn("eps", F.sqrt(F.col("eps_a") * F.col("eps_b")))
 
 
-@query(with_views("species near", NEAR_LJ.format(cols=f"structure_id, centre_id, round(sum({LJ.format(r='r')}) / 2, 4) + 0.0 AS energy") + f" WHERE r > {CORE} GROUP BY structure_id, centre_id"))
+@query(with_views("species near", f", e AS ({NEAR_LJ.format(cols=f"structure_id, centre_id, sum({LJ.format(r='r')}) / 2 AS e")} GROUP BY structure_id, centre_id), p AS (SELECT *, CAST(floor(log10(abs(e))) AS INTEGER) AS exponent FROM e) SELECT structure_id, centre_id, exponent, round(e / pow(10, exponent), 6) + 0.0 AS mantissa FROM p"))
 def pair_energy_lj(spark, sf_dir):
+    """Energies of all pairs, in decimal floating point: those of near pairs are many powers of ten larger than others."""
     near = near_lj(spark, sf_dir)
-    return near.groupBy(*KEY).agg((F.round(F.sum(e.lennard_jones(F.col("r"), F.col("sigma"), F.col("eps"))) / 2, 4) + 0.0).alias("energy"))
+    sums = near.groupBy(*KEY).agg((F.sum(e.lennard_jones(F.col("r"), F.col("sigma"), F.col("eps"))) / 2).alias("e"))
+    sums = sums.withColumn("exponent", F.floor(F.log10(F.abs("e"))).cast("int"))
+    return sums.select(*KEY, "exponent", (F.round(F.col("e") / F.pow(F.lit(10.0), F.col("exponent")), 6) + 0.0).alias("mantissa"))
 
 
 DUFF = [(0.31, 2.1), (-0.17, 2.6), (0.05, 2.9)]

@@ -8,6 +8,7 @@ from latticeworks.functions import basis as b
 from latticeworks.operators import features as f
 from latticeworks.operators import neighbours as n
 from latticeworks.operators import structures as st
+from latticeworks.operators import tables as tb
 
 from . import views as v
 from .geometry import KEY, near_atoms
@@ -62,7 +63,7 @@ round(CASE WHEN r > {R_CUT} THEN 0 ELSE 4 * pow((r - {R_CUT}) / 0.3, 3) / (pow(1
 round(CASE WHEN r < 2.0 THEN 0 ELSE pow({X2}, 4) / (1 + pow({X2}, 4)) END, 6) + 0.0 AS x4ge, round(CASE WHEN r > 2.7 THEN 0 WHEN r < 2.0 THEN 1 ELSE 0.5 * (cos(pi() * abs({X2})) + 1) END, 6) + 0.0 AS half,
 round(pow(r, 4) / 625 / (1 + pow(r, 4) / 625) * 1.0, 6) + 0.0 AS damped,
 round(-2 * pi() / {R_CUT} * sin(2 * pi() * r / {R_CUT}) * CASE WHEN r > {R_CUT} THEN 0 ELSE {T4.format(at=R_CUT, w=0.3)} END + cos(2 * pi() * r / {R_CUT}) * CASE WHEN r > {R_CUT} THEN 0 ELSE 4 * pow((r - {R_CUT}) / 0.3, 3) / (pow(1 + pow((r - {R_CUT}) / 0.3, 4), 2) * 0.3) END, 5) + 0.0 AS cos_slope
-FROM near WHERE structure_id % 10 < 5"""))
+FROM near"""))
 def taper_functions(spark, sf_dir):
     r = F.col("r")
     near = near_atoms(spark, sf_dir)
@@ -184,7 +185,7 @@ SPECIES_KEY = [*KEY, "neigh_species"]
 
 
 def bop(spark, sf_dir, kind, digits=4):
-    q = f.bond_order(f.bond_weights(near_atoms(spark, sf_dir), SPECIES_KEY, kind, R_CUT), SPECIES_KEY, ORDERS, kind == "taper")
+    q = f.bond_order(near_atoms(spark, sf_dir), SPECIES_KEY, ORDERS, kind, R_CUT, kind == "taper")
     return q.select(*KEY, F.col("neigh_species").alias("species"), *((F.round(f"q{x}", digits) + 0.0).alias(f"q{x}") for x in ORDERS))
 
 
@@ -214,13 +215,13 @@ SELECT structure_id, centre_id, species, round(sqrt(4 * pi() / 5 * (abs(m0) + 2
 
 @query(with_views("near", taper_sql()))
 def bop_q_taper(spark, sf_dir):
-    q = f.bond_order(f.bond_weights(near_atoms(spark, sf_dir), SPECIES_KEY, "taper", R_CUT), SPECIES_KEY, (2,), absolute=True)
+    q = f.bond_order(near_atoms(spark, sf_dir), SPECIES_KEY, (2,), "taper", R_CUT, absolute=True)
     return q.select(*KEY, F.col("neigh_species").alias("species"), (F.round("q2", 4) + 0.0).alias("q2"))
 
 
 def atom_q(spark, sf_dir):
     near = near_atoms(spark, sf_dir)
-    q = f.bond_order(f.bond_weights(near, KEY, "uniform"), KEY, ORDERS)
+    q = f.bond_order(near, KEY, ORDERS)
     return near, q
 
 
@@ -253,3 +254,25 @@ SELECT structure_id, centre_id, round(q, 6) + 0.0 AS resultant, round(cos(pi() *
 def resultant_feature(spark, sf_dir):
     q = f.resultant(near_atoms(spark, sf_dir), KEY)
     return q.select(*KEY, *r6("resultant"), (F.round(F.cos(b.PI * F.col("resultant")), 5) + 0.0).alias("c1"))
+
+
+@query(with_views("near", f"""SELECT structure_id, centre_id, species, count(*) AS n, round(sum(cos(pi() * r / {R_CUT})), 5) + 0.0 AS c1 FROM (SELECT structure_id, centre_id, r, unnest([neigh_species, 'all']) AS species FROM near) GROUP BY ALL"""))
+def features_everything(spark, sf_dir):
+    """Sums by each species and by all of them together."""
+    near = f.used(near_atoms(spark, sf_dir), "everything")
+    return near.groupBy(*KEY, F.col("neigh_species").alias("species")).agg(F.count("*").alias("n"), (F.round(F.sum(F.cos(b.PI * F.col("r") / R_CUT)), 5) + 0.0).alias("c1"))
+
+
+GRID_Q = 20
+
+
+@query(with_views("near", ", " + bop_sql("1 / count(*) OVER g") + f""", l AS (SELECT species, unnest(['q4', 'q6']) AS tag, unnest([q4, q6]) AS q FROM q),
+f AS (SELECT species, tag, min(q) AS lo, max(q) AS hi, avg(1.0::DOUBLE) AS w0, avg(cos(pi() * q)) AS w1, avg(cos(2 * pi() * q)) AS w2 FROM l GROUP BY ALL), x AS (SELECT *, lo + bin * round((hi - lo) / {GRID_Q}, 6) AS x FROM f, (SELECT unnest(range({GRID_Q})) AS bin))
+SELECT species, tag, CAST(bin AS INTEGER) AS bin, round(x, 5) + 0.0 AS x, round(w0 + w1 * cos(pi() * x) + w2 * cos(2 * pi() * x), 4) + 0.0 AS y FROM x"""))
+def q_functions(spark, sf_dir):
+    """Functions of bond order per species and order, between the bounds that occur; weights are the basis functions' means."""
+    q = f.bond_order(near_atoms(spark, sf_dir), SPECIES_KEY, ORDERS)
+    long = q.select(F.col("neigh_species").alias("species"), F.explode(F.map_from_arrays(F.array(F.lit("q4"), F.lit("q6")), F.array("q4", "q6"))).alias("tag", "q"))
+    basis = [lambda x, k=k: F.cos(k * b.PI * x) for k in range(3)]
+    bounds = long.groupBy("species", "tag").agg(F.min("q").alias("lo"), F.max("q").alias("hi"), F.array(*(F.avg(g(F.col("q"))) for g in basis)).alias("weights"))
+    return tb.on_grid(bounds, GRID_Q, basis).select("species", "tag", "bin", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))

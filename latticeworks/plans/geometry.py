@@ -81,8 +81,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY structure_id, centre_id ORDER BY
 SELECT structure_id, centre_id, rank, neigh_index, round(r, 6) + 0.0 AS r FROM k WHERE rank <= 6""").removeprefix("WITH "))
 def neighbour_knn(spark, sf_dir):
     """Searches: every structure whose id is divisible by 20 asks for the six nearest images of each of its atoms."""
-    atoms = v.atoms(spark, sf_dir).drop("fx", "fy", "fz").where("structure_id % 20 = 0")
-    found = n.k_nearest(n.atom_centres(atoms), atoms, v.cells(spark, sf_dir), 6, R_CUT, KEY)
+    atoms = v.atoms(spark, sf_dir).drop("fx", "fy", "fz")
+    found = n.k_nearest(n.atom_centres(atoms).where("structure_id % 20 = 0"), atoms, v.cells(spark, sf_dir), 6, R_CUT, KEY)
     return found.select(*KEY, F.col("rank").cast("long").alias("rank"), "neigh_index", *r6("r"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from latticeworks.operators import regression as rg
+from latticeworks.sources.store import shared_folder
 from latticeworks.streaming import moments as stream
 
 from . import views as v
@@ -15,7 +18,6 @@ from .views import r6, with_views
 DIM = 64
 #: Fixed weights of the queries that predict and score.
 W = [((c * 29 + 7) % 23 - 11) / 40 for c in range(DIM)]
-ZEROS = "SELECT CAST(i AS INTEGER) AS i, 0.0::DOUBLE AS residual FROM (SELECT unnest(range({n})) AS i)"
 
 
 def moments(spark, sf_dir) -> rg.Moments:
@@ -34,11 +36,12 @@ def gram_matrix(spark, sf_dir):
 
 @query(GRAM_SQL)
 def gram_incremental(spark, sf_dir):
-    """The same from four batches that are appended one after another."""
-    total = None
-    for part in range(4):
-        total = stream.merged(total, rg.gram_rows(v.vectors(spark, sf_dir).where(F.col("obs_id") % 4 == part)))
-    return total.select("i", "j", (F.round("g", 5) + 0.0).alias("g"))
+    """The same from a stream of the table's rows: batches are appended as they come and summed when asked."""
+    folder, rows = f"{shared_folder(spark)}/gram-{uuid.uuid4().hex}", v.vectors(spark, sf_dir)
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    design = source.select(*(F.col(c).cast(rows.schema[n].dataType).alias(n) for c, n in (("vec_id", "obs_id"), ("embedding", "phi"), ("label", "t"))))
+    stream.stream_gram(design, f"{folder}/rows", f"{folder}/log").awaitTermination()
+    return stream.stored_gram(spark, f"{folder}/rows").select("i", "j", (F.round("g", 5) + 0.0).alias("g"))
 
 
 @query(with_views("vectors", "SELECT round(var_pop(t), 6) + 0.0 AS variance, round(1 / var_pop(t), 6) + 0.0 AS beta, count(*) AS n FROM vectors"))
@@ -47,31 +50,54 @@ def target_variance(spark, sf_dir):
     return t.withColumn("beta", 1 / F.col("variance")).select("n", *r6("variance", "beta"))
 
 
-def _residual(spark, x):
-    return spark.createDataFrame([(i, round(float(r), 6) + 0.0) for i, r in enumerate(x)], "i int, residual double")
+def inverse_sql(name: str, a: str) -> str:
+    """, <name>_s AS .., <name>(i, j, v): the inverse of a symmetric positive matrix a(i, j, v) by elimination, in a WITH RECURSIVE."""
+    return f""", {name}_o AS (SELECT i, row_number() OVER (ORDER BY i) AS n FROM (SELECT DISTINCT i FROM {a})),
+{name}_m AS (SELECT list(r ORDER BY n) AS m FROM (SELECT x.n, list_concat(list(a.v ORDER BY y.n), list(CASE WHEN x.n = y.n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY y.n)) AS r FROM {a} a JOIN {name}_o x ON x.i = a.i JOIN {name}_o y ON y.i = a.j GROUP BY x.n)),
+{name}_s(k, m) AS (SELECT 1, m FROM {name}_m UNION ALL SELECT k + 1, list_transform(m, lambda r, n: CASE WHEN n = k THEN list_transform(m[k], lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, c: v - r[k] * m[k][c] / m[k][k]) END) FROM {name}_s WHERE k <= len(m)),
+{name} AS (SELECT x.i, y.i AS j, m[x.n][len(m) + y.n] AS v FROM {name}_s, {name}_o x, {name}_o y WHERE k = len(m) + 1)
+"""
+
+
+def solution_sql(name: str, a: str, b: str) -> str:
+    """.., <name>(i, w): the solution of a w = b(i, v)."""
+    return inverse_sql(f"{name}_inv", a) + f", {name} AS (SELECT x.i, sum(x.v * b.v) AS w FROM {name}_inv x JOIN {b} b ON b.i = x.j GROUP BY x.i) "
+
+
+FULL_SQL = GRAM_SQL.replace("SELECT CAST(a.i AS INTEGER)", ", half AS (SELECT CAST(a.i AS INTEGER)", 1).replace("round(sum(a.x * b.x), 5) + 0.0 AS g", "sum(a.x * b.x) AS g").replace("WITH ", "WITH RECURSIVE ", 1) + f"""),
+full_g AS (SELECT i, j, g FROM half WHERE j < {DIM} UNION ALL SELECT j, i, g FROM half WHERE j < {DIM} AND i < j), b0 AS (SELECT i, g AS v FROM half WHERE i < {DIM} AND j = {DIM}),
+one AS (SELECT max(g) FILTER (i = {DIM} AND j = {DIM}) AS tt, max(g) FILTER (i = {DIM + 1} AND j = {DIM + 1}) AS n FROM half)"""
+
+
+def _ridge_sql(alpha: float) -> str:
+    return FULL_SQL + f", a0 AS (SELECT i, j, g + CASE WHEN i = j THEN {alpha} ELSE 0 END AS v FROM full_g)" + solution_sql("fit", "a0", "b0")
+
+
+def _fitted(spark, *columns, names=("w",)):
+    return spark.createDataFrame([(i, *(round(float(x), 6) + 0.0 for x in row)) for i, row in enumerate(zip(*columns, strict=True))], "i int, " + ", ".join(f"{n} double" for n in names))
 
 
-@query(ZEROS.format(n=DIM))
+@query(_ridge_sql(0.0) + "SELECT CAST(i AS INTEGER) AS i, round(w, 6) + 0.0 AS w FROM fit")
 def linear_ols(spark, sf_dir):
-    """Ordinary least squares from the moments, as the residual of its normal equations."""
-    m = moments(spark, sf_dir)
-    return _residual(spark, m.gram @ rg.ridge(m, 0.0) - m.xty)
+    """Ordinary least squares from the moments."""
+    return _fitted(spark, rg.ridge(moments(spark, sf_dir), 0.0))
 
 
-@query(ZEROS.format(n=DIM))
+@query(_ridge_sql(1.5) + "SELECT CAST(i AS INTEGER) AS i, round(w, 6) + 0.0 AS w FROM fit")
 def linear_ridge(spark, sf_dir):
-    m = moments(spark, sf_dir)
-    w = rg.ridge(m, 1.5)
-    return _residual(spark, m.gram @ w + 1.5 * w - m.xty)
+    return _fitted(spark, rg.ridge(moments(spark, sf_dir), 1.5))
 
 
-@query(ZEROS.format(n=DIM))
+@query(FULL_SQL + ", a0 AS (SELECT i, j, 1.2 * g + CASE WHEN i = j THEN 2.0 ELSE 0 END AS v FROM full_g)" + inverse_sql("c0", "a0") + """, w0 AS (SELECT x.i, 1.2 * sum(x.v * b.v) AS w FROM c0 x JOIN b0 b ON b.i = x.j GROUP BY x.i),
+gamma AS (SELECT w0.i, 1 - 2.0 * c0.v AS g, w FROM w0 JOIN c0 ON c0.i = w0.i AND c0.j = w0.i), sse AS (SELECT (SELECT tt FROM one) - 2 * (SELECT sum(w * v) FROM w0 JOIN b0 USING (i)) + (SELECT sum(x.w * y.w * g) FROM full_g f JOIN w0 x ON x.i = f.i JOIN w0 y ON y.i = f.j) AS s),
+beta AS (SELECT ((SELECT n FROM one) - (SELECT sum(g) FROM gamma)) / s AS b FROM sse), a1 AS (SELECT f.i, f.j, (SELECT b FROM beta) * f.g + CASE WHEN f.i = f.j THEN gamma.g / greatest(gamma.w * gamma.w, 1e-300) ELSE 0 END AS v FROM full_g f JOIN gamma ON gamma.i = f.i)""" + inverse_sql("c1", "a1") + """
+SELECT CAST(w0.i AS INTEGER) AS i, round(any_value(w0.w), 6) + 0.0 AS w, round((SELECT b FROM beta) * sum(c1.v * b0.v), 6) + 0.0 AS w_updated, round(sqrt(any_value(d.v)), 6) + 0.0 AS std_updated FROM w0 JOIN c1 ON c1.i = w0.i JOIN b0 ON b0.i = c1.j JOIN c1 d ON d.i = w0.i AND d.j = w0.i GROUP BY w0.i""")
 def ridge_posterior(spark, sf_dir):
-    """Posterior mean at given hyper-parameters and after one classic update of them, as residuals."""
+    """Posterior mean at given hyper-parameters, and mean and deviation after one classic update of them."""
     m = moments(spark, sf_dir)
-    alpha, beta = rg.mackay_update(m, np.full(DIM, 2.0), 1.2)
-    w, cov = rg.posterior(m, alpha, beta)
-    return _residual(spark, (beta * m.gram @ w + alpha * w - beta * m.xty) + np.abs(cov @ (beta * m.gram + np.diag(alpha)) - np.eye(DIM)).max(1))
+    first, _ = rg.posterior(m, np.full(DIM, 2.0), 1.2)
+    w, cov = rg.posterior(m, *rg.mackay_update(m, np.full(DIM, 2.0), 1.2))
+    return _fitted(spark, first, w, np.sqrt(np.diag(cov)), names=("w", "w_updated", "std_updated"))
 
 
 def _rvm(spark, sf_dir, **options):
@@ -103,6 +129,18 @@ def predict_mean_std(spark, sf_dir):
     return rg.predict(v.vectors(spark, sf_dir), np.array(W), cov, 2.0).select("obs_id", *r6("mean", "std"))
 
 
+@query(with_views("vectors", f"SELECT count(*) AS n, round(0.5 * count(*) * ln(1.3 / (2 * pi())) - 0.65 * sum(pow(t - {PRED}, 2)), 4) + 0.0 AS log_likelihood FROM vectors"))
+def weights_log_likelihood(spark, sf_dir):
+    m = moments(spark, sf_dir)
+    return spark.createDataFrame([(int(m.n), round(float(m.log_likelihood(np.array(W), 1.3)), 4) + 0.0)], "n long, log_likelihood double")
+
+
+@query()
+def comparison_fits(spark, sf_dir):
+    """Lasso, elastic net and Huber regression."""
+    return rg.comparison_fits(v.vectors(spark, sf_dir)).select("model", "col", *r6("w"))
+
+
 def predicted(spark, sf_dir):
     out = rg.predict(v.vectors(spark, sf_dir), np.array(W)).withColumn("model", F.lit("full"))
     return out.unionByName(out.withColumn("mean", F.col("mean") * 0.5 + F.col("t") * 0.3).withColumn("model", F.lit("mixed")))

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NUMBER = r"[-+]?\d+\.?\d*(?:[eEdD][-+]?\d+)?"
+NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eEdD][-+]?\d+)?"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], extensions: list[str] | None = None) -> DataFrame:
-    """(file, name, ext, pos, line): name is the file's up to the first dot, ext what follows, in lower case."""
-    raw = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    """(file, name, ext, pos, line): name is the file's up to the first dot, ext what follows, in lower case.
+
+    Files are read by line and split like any text; a file's lines are numbered by the start of their split and their place in it. All
+    windows over a file stream through one sort that can spill, so no file is ever held whole.
+    """
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     raw = raw.withColumn("name", F.regexp_extract("file", r"^([^.]*)", 1)).withColumn("ext", F.lower(F.regexp_extract("file", r"^[^.]*\.(.*)$", 1)))
     if extensions:
         raw = raw.where(F.col("ext").isin(*extensions))
-    return raw.select("file", "name", "ext", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return raw.select("file", "name", "ext", (F.row_number().over(Window.partitionBy("file").orderBy("start", "id")) - 1).alias("pos"), F.col("value").alias("line"))
 
 
 def numbers(line: Column) -> Column:
@@ -49,6 +53,13 @@ def frames(lines: DataFrame, by: str = "file") -> DataFrame:
     return lines.withColumn("frame", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~blank)
 
 
+def in_order(value: Column, where: Column | None = None, order: str = "pos") -> Column:
+    """An aggregate: the values of the rows that pass, in order, as an array; null where there are none."""
+    pair = F.struct(F.col(order).alias("o"), value.alias("v"))
+    found = F.collect_list(pair if where is None else F.when(where, pair))
+    return F.when(F.size(found) > 0, F.transform(F.array_sort(found), lambda x: x["v"]))
+
+
 def gathered(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
     """(by, name): the values in order as an array; a group is one block of one file."""
     return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(name))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.operators.structures import merge_by_precedence
 
-from .lines import frames, gathered, last_run, numbers, read_lines, tag_blocks, words
+from .lines import frames, gathered, in_order, last_run, numbers, read_lines, tag_blocks, words
 
 #: CODATA 2002 units, as the trajectory files' writer uses them.
 HARTREE, BOHR, GPA = 27.2113845, 0.5291772108, 29421.0124
@@ -22,7 +22,7 @@ HARTREE, BOHR, GPA = 27.2113845, 0.5291772108, 29421.0124
 PRECEDENCE = {"geom": 0, "md": 1, "castep": 2, "den_fmt": 3, "profess": 0, "den": 1, "final.geom": 2, "ion": 3, "xml": 0, "contcar": 1}
 CODES = {"geom": "castep", "md": "castep", "castep": "castep", "den_fmt": "castep", "profess": "profess", "den": "profess", "final.geom": "profess", "ion": "profess", "xml": "vasp", "contcar": "vasp"}
 #: Structure fields that a reader may fill, besides name, ext and files.
-FIELDS = {"cell": "array<array<double>>", "species": "array<string>", "positions": "array<array<double>>", "forces": "array<array<double>>", "stress": "array<array<double>>", "energy": "double", "enthalpy": "double", "spacegroup": "string"}
+FIELDS = {"cell": "array<array<double>>", "species": "array<string>", "positions": "array<array<double>>", "forces": "array<array<double>>", "stress": "array<array<double>>", "energy": "double", "enthalpy": "double", "spacegroup": "string", "grid": "array<int>", "n_points": "bigint"}
 
 
 def _structures(df: DataFrame, ext: str) -> DataFrame:
@@ -30,10 +30,6 @@ def _structures(df: DataFrame, ext: str) -> DataFrame:
     return df.select("name", F.lit(ext).alias("ext"), F.lit(PRECEDENCE[ext]).alias("prec"), F.lit(CODES[ext]).alias("code"), *have, F.array("file").alias("files"))
 
 
-def _join(by: list[str], *parts: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.join(b, by, "full"), parts)
-
-
 def _inverse(cell: Column, x: Column) -> Column:
     """Fractional coordinates of a Cartesian row vector."""
     c = lambda i, j: cell[i % 3][j % 3]
@@ -48,30 +44,66 @@ ENERGIES = {
 }
 
 
+FRACTIONAL = r"^\s*x\s+([A-Z][A-Za-z]?)\s+\d+\s+[-+.\d]+\s+[-+.\d]+\s+[-+.\d]+\s+x"
+PUSH = r"^\s*\*\s+([A-Z][A-Za-z]?)\s+\d+\s+[-+.\d]+\s+[-+.\d]+\s+[-+.\d]+"
+DYNAMICS = "molecular dynamics"
+
+
+def log_blocks(lines: DataFrame) -> DataFrame:
+    """The last calculation of each log as tagged lines with kind, the calculation's, and what a data line holds: v, three numbers, and
+    sp, a species."""
+    run = last_run(lines)
+    line = F.col("line")
+    run = run.withColumn("kind", F.max(F.lower(F.regexp_extract("line", r"type of calculation\s*:\s*(.*\S)", 1))).over(Window.partitionBy("file")))
+    tagged = tag_blocks(run, {"cell": line.contains("Real Lattice(A)"), "atoms": line.contains("Fractional coordinates of atoms"), "forces": line.rlike(r"\*+ (Symmetrised |Constrained |Unconstrained )*Forces \*+"), "stress": line.rlike(r"\*+ (Symmetrised )?Stress Tensor \*+"), "other": line.contains("Lattice parameters(A)") | line.contains("Pressure:")})
+    block, n = F.col("block"), numbers(line)
+    holds = F.when((block == "cell") & F.col("since").between(1, 3), F.slice(n, 1, 3)).when((block == "atoms") & line.rlike(FRACTIONAL), F.slice(n, 2, 3)).when((block == "forces") & line.rlike(PUSH), F.slice(n, 2, 3))
+    holds = holds.when((block == "stress") & line.rlike(r"^\s*\*\s+[xyz]\s+[-+.\d]"), F.slice(n, 1, 3))
+    return tagged.withColumn("v", holds).withColumn("sp", F.regexp_extract("line", FRACTIONAL, 1))
+
+
 def log_structures(lines: DataFrame) -> DataFrame:
-    """The last calculation of each single-point or geometry log; a log of molecular dynamics gives its last step.
+    """The last calculation of each single-point or geometry log, and every step of a log of molecular dynamics (see log_steps).
 
     Energy: the dispersion-corrected 0 K value, or the basis-set correction that follows it; else the 0 K estimate; else the plain
     final energy. Energies of a basis-set convergence run come first and are never the last ones.
     """
-    run = last_run(lines)
+    tagged = log_blocks(lines)
+    one = tagged.where(F.coalesce(F.col("kind") != DYNAMICS, F.lit(True)))
     line = F.col("line")
-    tagged = tag_blocks(run, {"cell": line.contains("Real Lattice(A)"), "atoms": line.contains("Fractional coordinates of atoms"), "forces": line.rlike(r"\*+ (Symmetrised |Constrained |Unconstrained )*Forces \*+"), "stress": line.rlike(r"\*+ (Symmetrised )?Stress Tensor \*+"), "other": line.contains("Lattice parameters(A)") | line.contains("Pressure:")})
-    of = lambda block: tagged.where((F.col("block") == block) & (F.col("since") > 0))
-    newest = Window.partitionBy("file")
-    last = lambda df: df.withColumn("_l", F.max("block_no").over(newest)).where(F.col("block_no") == F.col("_l"))
-    row = r"^\s*x\s+([A-Z][A-Za-z]?)\s+\d+\s+[-\d.]+\s+[-\d.]+\s+[-\d.]+\s+x"
-    cell = gathered(last(of("cell").where(F.col("since") <= 3)).withColumn("v", F.slice(numbers(line), 1, 3)), ["file"], "pos", "v", "cell")
-    atoms = last(of("atoms").where(line.rlike(row))).withColumn("sp", F.regexp_extract("line", row, 1)).withColumn("v", F.slice(numbers(line), 2, 3))
-    push = r"^\s*\*\s+([A-Z][A-Za-z]?)\s+\d+\s+[-\d.]+\s+[-\d.]+\s+[-\d.]+"
-    forces = last(of("forces").where(line.rlike(push))).withColumn("v", F.slice(numbers(line), 2, 3))
-    stress = last(of("stress").where(line.rlike(r"^\s*\*\s+[xyz]\s+[-\d]"))).withColumn("v", F.slice(numbers(line), 1, 3))
+    newest = F.max(F.when(F.col("v").isNotNull(), F.col("block_no"))).over(Window.partitionBy("file", "block"))
+    held = one.withColumn("held", F.col("v").isNotNull() & (F.col("block_no") == newest))
+    of = lambda block: F.col("held") & (F.col("block") == block)
     value = lambda text: F.max_by(F.element_at(numbers(F.regexp_extract("line", r"=(.*)$", 1)), 1), F.when(line.contains(text), F.col("pos")))
-    energy = run.groupBy("file").agg(*(value(t).alias(n) for n, t in ENERGIES.items()), value("Final Enthalpy").alias("enthalpy"), F.max(F.regexp_extract("line", r"Space group of crystal =\s*\d+:\s*([^,]+)", 1)).alias("spacegroup"))
-    energy = energy.withColumn("energy", F.coalesce(F.when(F.col("sedc_zero_k").isNotNull() & F.col("basis").isNotNull(), F.col("basis")), "sedc_zero_k", "zero_k", "plain", "total")).select("file", "energy", "enthalpy", F.nullif("spacegroup", F.lit("")).alias("spacegroup"))
-    names = lines.select("file", "name").distinct()
-    parts = [cell, gathered(atoms, ["file"], "pos", "v", "positions"), gathered(atoms, ["file"], "pos", "sp", "species"), gathered(forces, ["file"], "pos", "v", "forces"), gathered(stress, ["file"], "pos", "v", "stress"), energy]
-    return _structures(_join(["file"], names, *parts), "castep")
+    made = held.groupBy("file", "name").agg(
+        in_order(F.col("v"), of("cell")).alias("cell"), in_order(F.col("v"), of("atoms")).alias("positions"), in_order(F.col("sp"), of("atoms")).alias("species"), in_order(F.col("v"), of("forces")).alias("forces"), in_order(F.col("v"), of("stress")).alias("stress"),
+        *(value(t).alias(n) for n, t in ENERGIES.items()), value("Final Enthalpy").alias("enthalpy"), F.max(F.regexp_extract("line", r"Space group of crystal =\s*\d+:\s*([^,]+)", 1)).alias("spacegroup"),
+    )
+    made = made.withColumn("energy", F.coalesce(F.when(F.col("sedc_zero_k").isNotNull() & F.col("basis").isNotNull(), F.col("basis")), "sedc_zero_k", "zero_k", "plain", "total")).withColumn("spacegroup", F.nullif("spacegroup", F.lit("")))
+    return _structures(made, "castep").unionByName(log_steps(tagged.where(F.col("kind") == DYNAMICS)))
+
+
+def log_steps(tagged: DataFrame) -> DataFrame:
+    """A structure named <file's name>-<n> for each step of the logs of molecular dynamics among log_blocks.
+
+    What is printed before the first step (positions, energies, forces, stress) is dropped, of force blocks that are the same
+    throughout only the last one counts, a single stress belongs to no step, and a single cell belongs to all steps.
+    """
+    line = F.col("line")
+    blocks = tagged.where("v IS NOT NULL").groupBy("file", "name", "block", "block_no").agg(in_order(F.col("v")).alias("v"), in_order(F.col("sp")).alias("sp"))
+    again = F.row_number().over(Window.partitionBy("file", "block", F.when(F.col("block") == "forces", F.xxhash64("v")).otherwise(F.col("block_no"))).orderBy(F.col("block_no").desc()))
+    blocks = blocks.withColumn("again", again).where("again = 1").select("file", "name", "block", "block_no", "v", "sp")
+    order = Window.partitionBy("file", "block")
+    counted = blocks.withColumn("n", F.row_number().over(order.orderBy("block_no")) - 1).withColumn("all", F.count("*").over(order))
+    energy = tagged.select("file", "pos", *(F.when(line.contains(t), F.element_at(numbers(F.regexp_extract("line", r"=(.*)$", 1)), 1)).alias(n) for n, t in (("zero_k", ENERGIES["zero_k"]), ("sedc_zero_k", ENERGIES["sedc_zero_k"]), ("plain", ENERGIES["plain"]))))
+    best = lambda c: energy.where(f"{c} IS NOT NULL").select("file", F.lit(c).alias("c"), F.col(c).alias("e"), (F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1).alias("n"))
+    energies = best("sedc_zero_k").unionAll(best("zero_k")).unionAll(best("plain")).groupBy("file", "n").agg(F.min_by("e", F.when(F.col("c") == "sedc_zero_k", 0).when(F.col("c") == "zero_k", 1).otherwise(2)).alias("energy"))
+    step = lambda block: F.when((F.col("block") == block), F.col("v"))
+    whole = counted.where("n > 0 AND block <> 'cell'").groupBy("file", "name", "n").agg(F.max(step("atoms")).alias("positions"), F.max(F.when(F.col("block") == "atoms", F.col("sp"))).alias("species"), F.max(step("forces")).alias("forces"), F.max(step("stress")).alias("stress")).where("positions IS NOT NULL")
+    cells = counted.where("block = 'cell'")
+    moving, fixed = cells.where("all > 1").select("file", "n", F.col("v").alias("own_cell")), cells.where("all = 1").select("file", F.col("v").alias("one_cell"))
+    made = whole.join(energies, ["file", "n"], "left").join(moving, ["file", "n"], "left").join(fixed, "file", "left").withColumn("cell", F.coalesce("own_cell", "one_cell"))
+    return _structures(made.withColumn("name", F.concat_ws("-", "name", F.col("n").cast("string"))), "castep")
 
 
 def trajectory(lines: DataFrame, ext: str = "md", drop_first: bool = True, last_only: bool = False) -> DataFrame:
@@ -83,11 +115,12 @@ def trajectory(lines: DataFrame, ext: str = "md", drop_first: bool = True, last_
     tag = F.regexp_extract("line", r"<--\s*(\w)\s*$", 1)
     rows = frames(lines).withColumn("tag", tag).where(F.col("tag").isin("E", "h", "S", "R", "F"))
     rows = rows.withColumn("n", numbers(F.col("line"))).withColumn("sp", F.element_at(words(F.col("line")), 1))
-    by = ["file", "name", "frame"]
-    scaled = lambda t, first, factor: rows.where(F.col("tag") == t).withColumn("v", F.transform(F.slice("n", first, 3), lambda x: x * factor))
-    energy = rows.where("tag = 'E'").groupBy(*by).agg((F.min_by(F.element_at("n", 1), "pos") * HARTREE).alias("energy"))
-    atoms = scaled("R", 2, BOHR)
-    made = _join(by, gathered(atoms, by, "pos", "v", "xyz"), gathered(atoms, by, "pos", "sp", "species"), gathered(scaled("h", 1, BOHR), by, "pos", "v", "cell"), gathered(scaled("S", 1, GPA), by, "pos", "v", "stress"), gathered(scaled("F", 2, HARTREE / BOHR), by, "pos", "v", "forces"), energy)
+    scaled = lambda first, factor: F.transform(F.slice("n", first, 3), lambda x: x * factor)
+    of = lambda t: F.col("tag") == t
+    made = rows.groupBy("file", "name", "frame").agg(
+        in_order(scaled(2, BOHR), of("R")).alias("xyz"), in_order(F.col("sp"), of("R")).alias("species"), in_order(scaled(1, BOHR), of("h")).alias("cell"),
+        in_order(scaled(1, GPA), of("S")).alias("stress"), in_order(scaled(2, HARTREE / BOHR), of("F")).alias("forces"), (F.min_by(F.element_at("n", 1), F.when(of("E"), F.col("pos"))) * HARTREE).alias("energy"),
+    )
     made = made.where("xyz IS NOT NULL").withColumn("positions", F.transform("xyz", lambda x: _inverse(F.col("cell"), x)))
     place = F.row_number().over(Window.partitionBy("file").orderBy(F.col("frame").desc() if last_only else F.col("frame")))
     made = made.withColumn("_n", place)
@@ -98,12 +131,15 @@ def trajectory(lines: DataFrame, ext: str = "md", drop_first: bool = True, last_
     return _structures(made, ext)
 
 
+GRID_ROW = r"^\s*\d+\s+\d+\s+\d+\s+[-+.\deEdD]+\s*$"
+
+
 def grid_density(lines: DataFrame) -> DataFrame:
     """(name, file, a, b, c, x, y, z, raw, density, n1, n2, n3, cell) of grid files: x = ((a, b, c) - 1) / n times the cell."""
     tagged = tag_blocks(lines, {"cell": F.col("line").contains("Real Lattice(A)"), "data": F.col("line").contains("END header"), "grid": F.col("line").contains("FFT grid")})
     cell = gathered(tagged.where("block = 'cell' AND since BETWEEN 1 AND 3").withColumn("v", F.slice(numbers(F.col("line")), 1, 3)), ["file"], "pos", "v", "cell")
     size = tagged.where(F.col("line").contains("FFT grid")).select("file", F.slice(numbers(F.col("line")), 1, 3).alias("n"))
-    rows = tagged.where((F.col("block") == "data") & F.col("line").rlike(r"^\s*\d+\s+\d+\s+\d+\s+[-+.\deE]+")).select("file", "name", numbers(F.col("line")).alias("v"))
+    rows = tagged.where((F.col("block") == "data") & F.col("line").rlike(GRID_ROW)).select("file", "name", numbers(F.col("line")).alias("v"))
     both = rows.join(F.broadcast(cell), "file").join(F.broadcast(size), "file")  # one row per file
     f = [(F.col("v")[k] - 1) / F.col("n")[k] for k in range(3)]
     xyz = [sum((f[k] * F.col("cell")[k][d] for k in range(3)), F.lit(0.0)) for d in range(3)]
@@ -121,26 +157,30 @@ def profess_structures(lines: DataFrame) -> DataFrame:
     """Orbital-free logs: final energy, last cell and stress, forces in eV/A."""
     line = F.col("line")
     tagged = tag_blocks(lines, {"energies": line.contains("FINAL ENERGIES"), "forces": line.contains("TOTAL-FORCE (eV/A)"), "cell": line.contains("LATTICE VECTORS"), "stress": line.contains("STRESS (GPa)"), "other": line.contains("TOTAL-FORCE (Hartree/Bohr)") | line.contains("STRESS (a.u.)")})
-    last = lambda df: df.withColumn("_l", F.max("block_no").over(Window.partitionBy("file"))).where(F.col("block_no") == F.col("_l"))
-    of = lambda block, test: last(tagged.where((F.col("block") == block) & line.rlike(test)))
-    energy = of("energies", r"^#\s+TOTAL ENERGY").select("file", F.element_at(numbers(F.regexp_extract("line", r"=(.*)$", 1)), 1).alias("energy"))
-    push = of("forces", r"^:\s*[A-Z][a-z]?\s+\d+\s").withColumn("v", F.slice(numbers(line), 2, 3)).withColumn("sp", F.element_at(words(line), 2))
-    cell = of("cell", r"^\s*LAT\s+\d").withColumn("v", F.slice(numbers(line), 2, 3))
-    stress = of("stress", r"^\s*ST_GPa\s+\d").withColumn("v", F.slice(numbers(line), 2, 3))
-    names = lines.select("file", "name").distinct()
-    return _structures(_join(["file"], names, energy, gathered(push, ["file"], "pos", "v", "forces"), gathered(push, ["file"], "pos", "sp", "species"), gathered(cell, ["file"], "pos", "v", "cell"), gathered(stress, ["file"], "pos", "v", "stress")), "profess")
+    tests = {"energies": r"^#\s+TOTAL ENERGY", "forces": r"^:\s*[A-Z][a-z]?\s+\d+\s", "cell": r"^\s*LAT\s+\d", "stress": r"^\s*ST_GPa\s+\d"}
+    row = F.lit(False)
+    for block, test in tests.items():
+        row = row | ((F.col("block") == block) & line.rlike(test))
+    newest = F.max(F.when(F.col("row"), F.col("block_no"))).over(Window.partitionBy("file", "block"))
+    held = tagged.withColumn("row", F.coalesce(row, F.lit(False))).withColumn("held", F.col("row") & (F.col("block_no") == newest))
+    of = lambda block: F.col("held") & (F.col("block") == block)
+    three = F.slice(numbers(line), 2, 3)
+    made = held.groupBy("file", "name").agg(
+        F.max_by(F.element_at(numbers(F.regexp_extract("line", r"=(.*)$", 1)), 1), F.when(of("energies"), F.col("pos"))).alias("energy"), in_order(three, of("forces")).alias("forces"),
+        in_order(F.element_at(words(line), 2), of("forces")).alias("species"), in_order(three, of("cell")).alias("cell"), in_order(three, of("stress")).alias("stress"),
+    )
+    return _structures(made, "profess")
 
 
 def cell_file(lines: DataFrame, ext: str = "ion") -> DataFrame:
     """%BLOCK sections: the cell, and positions that are fractional or Cartesian."""
     upper = F.upper("line")
     tagged = tag_blocks(lines, {"cell": upper.rlike(r"^\s*%BLOCK LATTICE_CART"), "frac": upper.rlike(r"^\s*%BLOCK POSITIONS_FRAC"), "abs": upper.rlike(r"^\s*%BLOCK POSITIONS_(ABS|CART)"), "other": upper.rlike(r"^\s*%(END)?BLOCK") & ~upper.rlike(r"^\s*%BLOCK (LATTICE_CART|POSITIONS)")})
-    rows = tagged.where((F.col("since") > 0) & (F.trim("line") != "")).withColumn("w", words(F.col("line")))
-    cell = gathered(rows.where("block = 'cell' AND size(w) >= 3").withColumn("v", F.transform(F.slice("w", 1, 3), lambda x: x.cast("double"))), ["file"], "pos", "v", "cell")
-    atoms = rows.where("block IN ('frac', 'abs') AND size(w) >= 4").withColumn("v", F.transform(F.slice("w", 2, 3), lambda x: x.cast("double"))).withColumn("sp", F.element_at("w", 1))
-    kind = atoms.groupBy("file").agg(F.max("block").alias("kind"))
-    names = lines.select("file", "name").distinct()
-    made = _join(["file"], names, cell, gathered(atoms, ["file"], "pos", "v", "xyz"), gathered(atoms, ["file"], "pos", "sp", "species"), kind)
+    rows = tagged.withColumn("w", words(F.col("line"))).withColumn("data", (F.col("since") > 0) & (F.size("w") > 0))
+    place = lambda first: F.transform(F.slice("w", first, 3), lambda x: x.try_cast("double"))
+    cell = F.col("data") & (F.col("block") == "cell") & (F.size("w") >= 3)
+    atom = F.col("data") & F.col("block").isin("frac", "abs") & (F.size("w") >= 4)
+    made = rows.groupBy("file", "name").agg(in_order(place(1), cell).alias("cell"), in_order(place(2), atom).alias("xyz"), in_order(F.element_at("w", 1), atom).alias("species"), F.max(F.when(atom, F.col("block"))).alias("kind"))
     return _structures(made.withColumn("positions", F.when(F.col("kind") == "abs", F.transform("xyz", lambda x: _inverse(F.col("cell"), x))).otherwise(F.col("xyz"))), ext)
 
 
@@ -171,14 +211,37 @@ def companion_cells(structures: DataFrame) -> DataFrame:
     return structures.where("cell IS NOT NULL").groupBy("name").agg(F.min_by("cell", "prec").alias("cell"))
 
 
+def with_cells(grid: DataFrame, structures: DataFrame) -> DataFrame:
+    """Points of flat grids (see flat_grid) with the cell of their companion file and Cartesian places x, y, z; without a companion null."""
+    f = [F.col(c) / F.col(f"n{k + 1}") for k, c in enumerate("uvw")]
+    both = grid.join(companion_cells(structures), "name", "left")
+    return both.select(*grid.columns, "cell", *(sum((f[k] * F.col("cell")[k][d] for k in range(3)), F.lit(0.0)).alias(x) for d, x in enumerate("xyz")))
+
+
+def grid_structures(lines: DataFrame) -> DataFrame:
+    """What grid files say of their structures: cell, grid and number of points."""
+    line = F.col("line")
+    tagged = tag_blocks(lines, {"cell": line.contains("Real Lattice(A)"), "data": line.contains("END header"), "grid": line.contains("FFT grid")})
+    cell = (F.col("block") == "cell") & F.col("since").between(1, 3)
+    size = F.transform(F.slice(numbers(line), 1, 3), lambda x: x.cast("int"))
+    made = tagged.groupBy("file", "name").agg(in_order(F.slice(numbers(line), 1, 3), cell).alias("cell"), F.max_by(size, F.when(line.contains("FFT grid"), F.col("pos"))).alias("grid"), F.count_if((F.col("block") == "data") & line.rlike(GRID_ROW)).alias("n_points"))
+    return _structures(made, "den_fmt")
+
+
+def flat_grid_structures(lines: DataFrame) -> DataFrame:
+    n = numbers(F.col("line"))
+    made = lines.where(F.col("line").contains("x-dimension")).select("file", "name", F.transform(F.slice(n, 1, 3), lambda x: x.cast("int")).alias("grid"), F.greatest(F.size(n) - 4, F.lit(0)).cast("long").alias("n_points"))
+    return _structures(made, "den")
+
+
 XML_DDL = "structure struct<crystal:struct<varray:array<struct<_name:string,v:array<string>>>>,varray:array<struct<_name:string,v:array<string>>>>, varray array<struct<_name:string,v:array<string>>>, energy struct<i:array<struct<_VALUE:double,_name:string>>>, scstep array<struct<energy:struct<i:array<struct<_VALUE:double,_name:string>>>>>"
 
 
-def xml_structures(spark: SparkSession, paths: str | list[str], steps: str | list[int] = "last") -> DataFrame:
+def xml_structures(spark: SparkSession, paths: str | list[str], steps: str | list[int] = "last", glob: str = "*") -> DataFrame:
     """Ionic steps of XML runs: e_fr_energy plus the last electronic step's e_0 - e_fr. steps: last, all, or a list of numbers."""
-    raw = spark.read.format("xml").option("rowTag", "calculation").schema(XML_DDL).load(paths).withColumn("file", F.col("_metadata.file_name"))
+    raw = spark.read.format("xml").option("pathGlobFilter", glob).option("rowTag", "calculation").schema(XML_DDL).load(paths).withColumn("file", F.col("_metadata.file_name"))
     raw = raw.withColumn("at", F.monotonically_increasing_id())
-    kinds = spark.read.format("xml").option("rowTag", "atominfo").schema("array array<struct<_name:string,set:struct<rc:array<struct<c:array<string>>>>>>").load(paths).withColumn("file", F.col("_metadata.file_name"))
+    kinds = spark.read.format("xml").option("pathGlobFilter", glob).option("rowTag", "atominfo").schema("array array<struct<_name:string,set:struct<rc:array<struct<c:array<string>>>>>>").load(paths).withColumn("file", F.col("_metadata.file_name"))
     kinds = kinds.select("file", F.transform(F.filter("array", lambda a: a["_name"] == "atoms")[0]["set"]["rc"], lambda r: F.trim(r["c"][0])).alias("species"))
     rows = lambda a, name: F.transform(F.filter(a, lambda x: x["_name"] == name)[0]["v"], lambda x: F.transform(F.split(F.trim(x), r"\s+"), lambda y: y.cast("double")))
     pick = lambda e, name: F.filter(e, lambda x: x["_name"] == name)[0]["_VALUE"]
@@ -195,15 +258,48 @@ def xml_structures(spark: SparkSession, paths: str | list[str], steps: str | lis
 
 
 def read_directory(spark: SparkSession, paths: str | list[str], merge: bool = True) -> DataFrame:
-    """All structures of one or many folders, one row per name. Files of other extensions are left out; names whose files belong to
-    more than one simulation code have codes > 1. Fields take their first value in order of the files' precedence."""
-    lines = read_lines(spark, paths, list(PRECEDENCE))
+    """All structures of one or many folders, one row per name. Files of other extensions are left out (see unsupported); names whose
+    files belong to more than one simulation code have codes > 1. Fields take their first value in order of the files' precedence."""
+    lines = read_lines(spark, paths, [e for e in PRECEDENCE if e != "xml"])
     of = lambda e: lines.where(F.col("ext") == e)
-    parts = [log_structures(of("castep")), trajectory(of("md")), trajectory(of("geom"), "geom", last_only=True), profess_structures(of("profess")), cell_file(of("ion")), cell_file(of("final.geom"), "final.geom"), coordinate_file(of("contcar"))]
+    parts = [
+        log_structures(of("castep")), trajectory(of("md")), trajectory(of("geom"), "geom", last_only=True), grid_structures(of("den_fmt")), profess_structures(of("profess")), flat_grid_structures(of("den")),
+        cell_file(of("ion")), cell_file(of("final.geom"), "final.geom"), coordinate_file(of("contcar")), xml_structures(spark, paths, glob="*.[xX][mM][lL]"),
+    ]
     every = reduce(DataFrame.unionByName, parts)
     return merge_by_precedence(every, list(FIELDS)) if merge else every
 
 
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """The structures of one file; an extension that no reader takes is an error."""
+    ext = path.rstrip("/").rsplit("/", 1)[-1].partition(".")[2].lower()
+    if ext not in PRECEDENCE:
+        raise ValueError(f"no reader for {path}")
+    return read_directory(spark, path)
+
+
+def read_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(name, file, x, y, z, density, cell) of every grid point of the folders; flat grids take their cells from companion files."""
+    lines = read_lines(spark, paths, [e for e in PRECEDENCE if e != "xml"])
+    of = lambda e: lines.where(F.col("ext") == e)
+    named = reduce(DataFrame.unionByName, [profess_structures(of("profess")), cell_file(of("final.geom"), "final.geom"), cell_file(of("ion"))])
+    columns = ["name", "file", "x", "y", "z", "density", "cell"]
+    return grid_density(of("den_fmt")).select(columns).unionByName(with_cells(flat_grid(of("den")), named).select(columns))
+
+
+def first_of(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """Stored tables of one form, of which a later one overrides an earlier one row by row of the same key: reloaded weights, functions."""
+    ranked = [p.withColumn("_prec", F.lit(-n)) for n, p in enumerate(parts)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
+    others = [c for c in every.columns if c not in (*by, "_prec")]
+    return every.groupBy(*by).agg(F.min_by(F.struct(*others), "_prec").alias("_v")).select(*by, "_v.*")
+
+
+def reload(spark: SparkSession, paths: list[str], by: list[str]) -> DataFrame:
+    """Fitted artefacts (weights, tabulated functions, predictions) saved under several paths; later paths override earlier ones."""
+    return first_of([spark.read.parquet(p) for p in paths], by)
+
+
 def unsupported(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, ext) of the files that no reader takes."""
     return read_lines(spark, paths).where((F.col("pos") == 0) & ~F.col("ext").isin(*PRECEDENCE)).select("file", "ext")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,34 @@ def write_texts(texts: DataFrame, path: str) -> None:
     texts.write.mode("overwrite").partitionBy("name").text(path)
 
 
+def flat_grid_text(grid: DataFrame) -> DataFrame:
+    """(structure_id, text) of whole grids (see grid_report) as one line of dimensions and values, u fastest."""
+    sizes = grid_report(grid).where("complete").select("structure_id", "n_u", "n_v", "n_w")
+    placed = linearised(grid).join(sizes, "structure_id").groupBy("structure_id", "n_u", "n_v", "n_w").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("s"))
+    head = F.format_string("  x-dimension:%12d   y-dimension:%12d   z-dimension:%12d   # of spins: %12d", "n_u", "n_v", "n_w", F.lit(1))
+    return placed.select("structure_id", F.concat(head, F.array_join(F.transform("s", lambda x: F.format_string(" %26.16e", x["value"])), "")).alias("text"))
+
+
+def write_files(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes each text of texts (file, text) to a file of that name in a folder that all executors share; returns (file, bytes). A task
+    that runs twice writes the same files again."""
+
+    def write(batches):
+        place = folder.removeprefix("file://") if folder.startswith("file:") else folder
+        fs, path = (pafs.LocalFileSystem(), place) if "://" not in place else pafs.FileSystem.from_uri(place)
+        fs.create_dir(path, recursive=True)
+        for b in batches:
+            sizes = []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = (text.as_py() or "").encode()
+                with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["file", "bytes"])
+
+    return texts.select("file", "text").mapInArrow(write, "file string, bytes long")
+
+
 def grid_report(grid: DataFrame) -> DataFrame:
     """Per structure of grid points (structure_id, u, v, w, fractional): sizes by distinct values and by the least gap, and whether
     the grid is whole: both sizes agree, no point is missing or double."""

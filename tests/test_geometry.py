@@ -50,7 +50,7 @@ def test_bins_equal_brute_force(spark):
 
 def test_bond_order_of_fcc(spark):
     a, c = fcc(spark, 3)
-    near = ft.bond_weights(nb.neighbours(nb.atom_centres(a), a, c, 3.2), ["structure_id", "centre_id"])
+    near = nb.neighbours(nb.atom_centres(a), a, c, 3.2)
     q = ft.bond_order(near, ["structure_id", "centre_id"], (4, 6)).first()
     assert q.q4 == pytest.approx(0.190941, abs=1e-5) and q.q6 == pytest.approx(0.574524, abs=1e-5)
 

@@ -84,11 +84,12 @@ def test_forces_are_slopes_of_the_energy(spark):
         rows += [(k, i, "AB"[i % 2], *map(float, q)) for i, q in enumerate((p @ np.linalg.inv(cell)) % 1.0)]
     atoms = spark.createDataFrame(rows, "structure_id long, atom_index long, species string, u double, v double, w double")
     near = nb.neighbours(nb.atom_centres(atoms), atoms, cells(spark, [(k, cell) for k in range(len(shifts))]), 3.1)
-    near = near.withColumn("y", f(F.col("r"), F.col("neigh_species"))).withColumn("dy", df(F.col("r"), F.col("neigh_species"))).withColumn("dy_centre", df(F.col("r"), F.col("centre_species")))
-    rho = eam.embedding_density(near, atoms)
+    near = near.withColumn("y", f(F.col("r"), F.col("neigh_species"))).withColumn("dy", df(F.col("r"), F.col("neigh_species")))
     weights = spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "col int, w double")
-    energy = {r.structure_id: r.e * 4 for r in eam.weighted(eam.energy_design(near, rho, blocks, form), ["structure_id"], weights, "e").collect()}
-    force = {(r.atom_index, r.axis): r.f for r in eam.weighted(eam.force_design(near, rho, blocks, form), ["structure_id", "atom_index", "axis"], weights, "f").where("structure_id = 0").collect()}
+    energy = {r.structure_id: r.e * 4 for r in eam.weighted(eam.energy_design(near, atoms, blocks, form), ["structure_id"], weights, "e").collect()}
+    force = {(r.atom_index, r.axis): r.f for r in eam.weighted(eam.force_design(near, blocks, form), ["structure_id", "atom_index", "axis"], weights, "f").where("structure_id = 0").collect()}
+    same = {(r.atom_index, r.axis): r.f for r in eam.forces(near, blocks, form, list(map(float, w))).where("structure_id = 0").collect()}
+    assert same == pytest.approx(force)
     for k in range(1, len(shifts), 2):
         a, d, s = shifts[k]
         assert force[(a, d)] == pytest.approx(-(energy[k] - energy[k + 1]) / (2 * s), abs=1e-4)
@@ -100,3 +101,77 @@ def test_arguments():
         basis_sizes({"like": 3})
     with pytest.raises(ValueError):
         basis_sizes("x")
+
+
+def direct_rvm(x, t, rounds=400):
+    """Sparse Bayesian regression on the rows themselves, one column of evidence at a time."""
+    n, size = x.shape
+    alpha, beta = np.where(np.arange(size) == 0, 1.0, np.inf), 1 / np.var(t)
+    w = np.zeros(size)
+    for _ in range(rounds):
+        on = np.flatnonzero(np.isfinite(alpha))
+        cov = np.linalg.inv(beta * x[:, on].T @ x[:, on] + np.diag(alpha[on]))
+        new = np.zeros(size)
+        new[on] = beta * cov @ x[:, on].T @ t
+        if np.abs(new - w).sum() < 1e-6 and w.any():
+            break
+        w = new
+        c = np.eye(n) / beta + (x[:, on] / alpha[on]) @ x[:, on].T
+        s, q = np.einsum("ni,ni->i", x, np.linalg.solve(c, x)), x.T @ np.linalg.solve(c, t)
+        own = np.isfinite(alpha)
+        f = np.where(own, alpha / np.where(own, alpha - s, 1.0), 1.0) if own.any() else np.ones(size)
+        f[~own] = 1.0
+        s, q = s * f, q * f
+        after = np.where(q * q > s, s * s / np.maximum(q * q - s, 1e-300), np.inf)
+        still = own & np.isfinite(after)
+        gamma = dict(zip(on, np.diag(cov), strict=True))
+        beta = max(n - own.sum() + sum(after[k] * gamma[k] for k in np.flatnonzero(still)), 1e-3) / ((t - x @ new) ** 2).sum()
+        alpha = after
+    return w
+
+
+def test_sparse_fit_equals_the_direct_one(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(120, 8))
+    t = x @ np.array([0, 1.5, 0, 0, -2.0, 0, 0, 0.7]) + 0.3 * rng.normal(size=120)
+    m = rg.Moments(x.T @ x, x.T @ t, t @ t, t.sum(), len(t), x.sum(0))
+    fit = rg.Rvm().fit(m)
+    assert np.allclose(fit.weights, direct_rvm(x, t), atol=1e-3)
+    assert fit.log[-1]["step"] < 299 and np.isclose(fit.sse, ((t - x @ fit.weights) ** 2).sum())
+    assert np.isclose(m.log_likelihood(fit.weights, 2.0), sum(0.5 * np.log(2 / (2 * np.pi)) - (a - b) ** 2 for a, b in zip(t, x @ fit.weights, strict=True)))
+    for options in ({}, {"normalise": True}):
+        with_offset = rg.Rvm(intercept=True, alpha=np.ones(8), **options).fit(rg.Moments(x.T @ x, x.T @ (t + 5), (t + 5) @ (t + 5), (t + 5).sum(), len(t), x.sum(0)))
+        assert abs(with_offset.offset - 5) < 0.2 and np.allclose(with_offset.weights, fit.weights, atol=0.15)
+    assert np.allclose(rg.Rvm(update_pct=0.5, rounds=600).fit(m).weights, fit.weights, atol=0.1)
+    with pytest.raises(ValueError):
+        rg.Rvm(update_pct=2.0).fit(m)
+    calls = []
+    assert rg.Rvm(converged=lambda new, old, model: calls.append(1) or len(calls) == 3, alpha=lambda k: np.ones(k), beta=lambda m: 2.0).fit(m).log[-1]["step"] == 3
+
+
+def test_comparison_fits(spark):
+    """Lasso and elastic net by coordinate descent; Huber ignores an outlier."""
+    x, t, _ = design(spark, 150, 5)
+    t[0] += 500
+    df = spark.createDataFrame([(r.tolist(), float(y)) for r, y in zip(x, t, strict=True)], "phi array<double>, t double")
+    got = {}
+    for r in rg.comparison_fits(df, 0.2, 0.5).collect():
+        got.setdefault(r.model, np.zeros(5))[r.col] = r.w
+    for name, mix in (("lasso", 1.0), ("elastic_net", 0.5)):
+        w = np.zeros(5)
+        for _ in range(500):
+            for k in range(5):
+                rho = x[:, k] @ (t - x @ w + x[:, k] * w[k]) / len(t)
+                w[k] = np.sign(rho) * max(abs(rho) - 0.2 * mix, 0) / (x[:, k] @ x[:, k] / len(t) + 0.2 * (1 - mix))
+        assert np.allclose(got[name], w, atol=1e-3)
+    assert abs(got["huber"][2] - 2) < 0.05 and abs(got["huber"][4] + 1.5) < 0.05
+
+
+def test_setup_checks_its_arguments(spark):
+    atoms = spark.createDataFrame([(1, 0, "A", 0.0, 0.0, 0.0)], "structure_id long, atom_index long, species string, u double, v double, w double")
+    structures, cells_ = atoms.select("structure_id", F.lit("S").alias("name")), atoms.select("structure_id")
+    for r_cut, k in ((None, None), (2.0, 3), (-1.0, None), (None, 0)):
+        with pytest.raises(ValueError):
+            eam.observations(structures, atoms, cells_, atoms, None, r_cut, k)
+    with pytest.raises(ValueError, match="selected"):
+        eam.observations(structures, atoms, cells_, atoms, None, 2.0, None, [("none", ("all",))])

@@ -5,7 +5,7 @@ from conftest import rows
 
 from latticeworks.plans import registry
 
-NO_SQL = {"rvm_fit", "rvm_fit_v1", "rvm_fit_sequential", "eam_hyper_update"}
+NO_SQL = {"rvm_fit", "rvm_fit_v1", "rvm_fit_sequential", "eam_hyper_update", "comparison_fits"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
