@@ -130,7 +130,7 @@ class Rvm:
             raise ValueError("update_pct must lie in [0, 1]")
         whole, rng = m, np.random.default_rng(self.seed)
         if self.intercept:
-            m, scale = m.centred(self.normalise)
+            m, norms = m.centred(self.normalise)
         size = len(m.xty)
         a = self.alpha(size) if callable(self.alpha) else self.alpha
         a = np.where(np.arange(size) == 0, 1.0, np.inf) if a is None else np.array(a, float)
@@ -179,7 +179,7 @@ class Rvm:
         self.active = np.flatnonzero(np.isfinite(self.alpha_))
         self.offset = 0.0
         if self.intercept:
-            self.weights = self.weights / scale
+            self.weights = self.weights / norms
             self.offset = float((whole.st - whole.sums @ self.weights) / whole.n)
         return self
 
@@ -230,8 +230,10 @@ def comparison_fits(design: DataFrame, reg: float = 0.01, mix: float = 0.5, epsi
     from pyspark.ml.regression import LinearRegression
 
     spark, rows = design.sparkSession, design.select(array_to_vector("phi").alias("features"), F.col("t").alias("label"))
-    base = {"fitIntercept": False, "standardization": False, "maxIter": rounds, "tol": 1e-10}
-    models = {"lasso": {"regParam": reg, "elasticNetParam": 1.0}, "elastic_net": {"regParam": reg, "elasticNetParam": mix}, "huber": {"loss": "huber", "epsilon": epsilon}}
+    spread = design.agg(F.stddev_samp("t")).first()[0]  # the solver divides the squared part of the penalty by it
+    both = reg * (mix + (1 - mix) * spread)
+    base = {"solver": "l-bfgs", "fitIntercept": False, "standardization": False, "maxIter": rounds, "tol": 1e-10}
+    models = {"lasso": {"regParam": reg, "elasticNetParam": 1.0}, "elastic_net": {"regParam": both, "elasticNetParam": mix * reg / both}, "huber": {"loss": "huber", "epsilon": epsilon}}
     found = [(name, c, float(w)) for name, options in models.items() for c, w in enumerate(LinearRegression(**base, **options).fit(rows).coefficients)]
     return spark.createDataFrame(found, "model string, col int, w double")
 

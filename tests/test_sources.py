@@ -231,7 +231,7 @@ def test_round_trip(spark, folder, tmp_path):
     wr.write_texts(wr.ion_text(s), str(tmp_path / "out"))
     back = rd.cell_file(ln.read_lines(spark, str(tmp_path / "out" / "name=A1" / "*"))).first()
     assert back.cell == s.first().cell and back.positions == s.first().positions and back.species == s.first().species
-    assert "Ni" in wr.config_text(s).first().text
+    assert "Zn" in wr.config_text(s).first().text
 
 
 def test_grid_report(spark):
