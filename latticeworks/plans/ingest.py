@@ -96,13 +96,20 @@ def grid_thin(spark, sf_dir):
     return grid.groupBy("name").agg(F.count("*").alias("n"), F.sum("raw").cast("long").alias("raw"))
 
 
+#: Values of a line of a flat grid.
+CHUNK = 1000
+
+
 @query(f"WITH {GRID_SQL} SELECT 'G' || user_id AS name, CAST(n % 4 AS INTEGER) AS u, CAST(n // 4 % 3 AS INTEGER) AS v, CAST(n // 12 AS INTEGER) AS w, round(raw * 1.8897259886::DOUBLE ** 3, 4) + 0.0 AS density FROM g")
 def ingest_flat_grid(spark, sf_dir):
-    """Each user's events as one line of dimensions and values."""
-    e = v.table(spark, sf_dir, "events").withColumn("raw", F.floor(F.col("value") * 100).cast("long"))
-    one = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "raw"))), lambda x: x["raw"].cast("string")), " ").alias("t"))
-    one = one.select(F.concat(F.lit("G"), F.col("user_id").cast("string")).alias("name"), F.lit("").alias("file"), F.concat(F.lit("x-dimension: 4 y-dimension: 3 z-dimension: 99 # of spins: 1 "), "t").alias("line"))
-    return rd.flat_grid(one).select("name", "u", "v", "w", (F.round("density", 4) + 0.0).alias("density"))
+    """Each user's events as a line of dimensions and lines of CHUNK values."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = v.table(spark, sf_dir, "events").select("user_id", n.alias("n"), F.floor(F.col("value") * 100).cast("long").alias("raw"))
+    chunk = (F.floor(F.col("n") / CHUNK) * CHUNK).alias("first")
+    body = e.groupBy("user_id", chunk).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "raw"))), lambda x: x["raw"].cast("string")), " ").alias("line"))
+    head = e.select("user_id").distinct().select("user_id", F.lit(None).cast("long").alias("first"), F.lit("x-dimension: 4 y-dimension: 3 z-dimension: 99 # of spins: 1").alias("line"))
+    lines = body.unionByName(head).select(F.concat(F.lit("G"), F.col("user_id").cast("string")).alias("name"), F.lit("").alias("file"), "first", "line")
+    return rd.flat_grid(lines).select("name", "u", "v", "w", (F.round("density", 4) + 0.0).alias("density"))
 
 
 @query(with_views("atoms structures", """, a AS (SELECT structure_id, list(printf('%-5s %-20.6f %-20.6f %-20.6f', species, u, v, w) ORDER BY atom_index) AS t FROM atoms GROUP BY 1)

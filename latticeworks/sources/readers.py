@@ -198,9 +198,16 @@ def coordinate_file(lines: DataFrame) -> DataFrame:
 
 def flat_grid(values: DataFrame) -> DataFrame:
     """(file, name, u, v, w, density) of one-line grids (file, name, line): dimensions and spins, then values with u fastest, in
-    electrons per cubic Bohr. Cells come from companion files (see companion_cells)."""
-    parts = values.select("file", "name", numbers(F.col("line")).alias("n"))
-    parts = parts.select("file", "name", *(F.col("n")[k].cast("int").alias(f"n{k + 1}") for k in range(3)), F.posexplode(F.slice("n", 5, F.size("n"))).alias("pos", "raw"))
+    electrons per cubic Bohr. Cells come from companion files (see with_cells). Of a grid that comes in chunks, column `first` has the
+    place of a chunk's first value, and null for the line of dimensions, which then has no values."""
+    head = F.lit(True) if "first" not in values.columns else F.col("first").isNull()
+    size = [F.col("n")[k].cast("int").alias(f"n{k + 1}") for k in range(3)]
+    parts = values.withColumn("n", numbers(F.col("line")))
+    if "first" in values.columns:
+        sizes = parts.where(head).select("file", "name", *size)  # one row per file
+        parts = parts.where(~head).select("file", "name", F.col("first"), F.posexplode("n").alias("at", "raw")).join(sizes, ["file", "name"]).withColumn("pos", F.col("first") + F.col("at"))
+    else:
+        parts = parts.select("file", "name", *size, F.posexplode(F.slice("n", 5, F.size("n"))).alias("pos", "raw"))
     at = F.col("pos")
     u, v, w = at % F.col("n1"), F.floor(at / F.col("n1")) % F.col("n2"), F.floor(at / (F.col("n1") * F.col("n2")))
     return parts.select("file", "name", u.cast("int").alias("u"), v.cast("int").alias("v"), w.cast("int").alias("w"), "n1", "n2", "n3", (F.col("raw") * 1.8897259886**3).alias("density"))
