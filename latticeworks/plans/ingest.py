@@ -5,12 +5,15 @@ Numbers are rendered as integers, which every engine prints alike; lines keep th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latticeworks.sources import lines as ln
 from latticeworks.sources import readers as rd
 from latticeworks.sources import writers as wr
+from latticeworks.sources.store import shared_folder, stored
 
 from . import views as v
 from .registry import query
@@ -153,3 +156,57 @@ def grid_complete_check(spark, sf_dir):
 @query(f"WITH {SMALL_SQL} SELECT structure_id, point_id, CAST(row_number() OVER (PARTITION BY structure_id ORDER BY round(w, 8), round(v, 8), round(u, 8), point_id) - 1 AS INTEGER) AS place, round(greatest(density, 0) / 1.8897259886::DOUBLE ** 3, 6) + 0.0 AS value FROM small")
 def grid_linearise(spark, sf_dir):
     return wr.linearised(small_grid(spark, sf_dir)).select("structure_id", "point_id", "place", *r6("value"))
+
+
+KINDS = ["castep", "md", "geom", "den_fmt", "profess", "den", "ion", "final.geom", "contcar", "xml"]
+
+
+def rendered(spark, sf_dir):
+    """(file, text): each supplier as a structure of two atoms in a file of one of ten kinds; flat grids have an .ion file beside them.
+
+    Edge a, energy e, first coordinate u of the first atom (0.5 for the second), force g and stress p.
+    """
+    k = F.col("s_suppkey")
+    own = v.table(spark, sf_dir, "supplier").select(k.alias("k"), (k % 10).alias("f"), (3 + k % 5).cast("double").alias("a"), F.floor("s_acctbal").cast("double").alias("e"), (k % 4 / 4.0).alias("u"), (F.col("s_nationkey") + 1).cast("double").alias("g"), (F.col("s_nationkey") - 7).cast("double").alias("p"))
+    t = lambda pattern, *cols: F.format_string(pattern, *(F.col(c) if isinstance(c, str) else c for c in cols))
+    cell = lambda head="", tail="": t("\n".join(head + x + tail for x in ("%.1f 0.0 0.0", "0.0 %.1f 0.0", "0.0 0.0 %.1f")) + "\n", "a", "a", "a")
+    cat = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    log = cat(
+        " Run started: a\n type of calculation : single point energy\n Real Lattice(A)\n", cell(), "\n Lattice parameters(A)\n x Fractional coordinates of atoms x\n", t(" x Cu 1 %.2f 0.25 0.75 x\n x Zn 1 0.50 0.25 0.75 x\n", "u"),
+        t("Final energy, E = 99.0 eV\nNB est. 0K energy (E-0.5TS) = %.1f eV\n", "e"), t(" ******* Forces *******\n * Cu 1 0.0 0.0 %.1f *\n * Zn 1 0.0 0.0 1.0 *\n *****\n", "g"), t(" ***** Stress Tensor *****\n * x %.1f 0.0 0.0 *\n * y 0.0 %.1f 0.0 *\n * z 0.0 0.0 %.1f *\n * Pressure: 1 *\n", "p", "p", "p"),
+    )
+    frame = lambda n: cat(f"\n {n}.0\n", t(" %.1f 0.0 0.0 <-- E\n", F.col("e") + n), cell(" ", " <-- h"), t(" Cu 1 %.4f 0.0 0.0 <-- R\n Zn 1 %.4f 0.0 0.0 <-- R\n Cu 1 0.0 0.0 %.1f <-- F\n Zn 1 0.0 0.0 1.0 <-- F\n", F.col("u") * F.col("a"), F.col("a") * 0.5, "g"))
+    steps = cat(" BEGIN header\n\n END header\n", frame(0), frame(1), frame(2))
+    grid = cat(" BEGIN header\n Real Lattice(A)\n", cell(), "\n 1 ! nspins\n 2 1 1 ! fine FFT grid along <a,b,c>\n END header: data\n\n", t(" 1 1 1 %.1f\n 2 1 1 2.0\n", "g"))
+    free = cat(t("# FINAL ENERGIES #\n# TOTAL ENERGY = %.1f eV #\n TOTAL-FORCE (eV/A)\n: Cu 1 0.0 0.0 %.1f :\n: Zn 1 0.0 0.0 1.0 :\n TOTAL-FORCE (Hartree/Bohr)\n", "e", "g"), " LATTICE VECTORS (Angstrom)\n", cell(" LAT 1 "), " STRESS (GPa)\n", t(" ST_GPa 1 %.1f 0.0 0.0\n ST_GPa 2 0.0 %.1f 0.0\n ST_GPa 3 0.0 0.0 %.1f\n", "p", "p", "p"))
+    flat = t("x-dimension: 2 y-dimension: 2 z-dimension: 1 # of spins: 1 %.1f 1.0 2.0 3.0", "g")
+    head = cat("%BLOCK LATTICE_CART\n", cell(), "%ENDBLOCK LATTICE_CART\n")
+    ion = cat(head, t("%%BLOCK POSITIONS_FRAC\nCu %.2f 0.25 0.75\nZn 0.50 0.25 0.75\n%%ENDBLOCK POSITIONS_FRAC\n", "u"))
+    final = cat(head, t("%%block positions_abs\nCu %.4f 0.0 0.0\nZn %.4f 0.0 0.0\n%%endblock positions_abs\n", F.col("u") * F.col("a"), F.col("a") * 0.5))
+    places = cat("comment\n1.0\n", cell(), t("Cu Zn\n1 1\nDirect\n%.2f 0.25 0.75\n0.50 0.25 0.75\n", "u"))
+    xml = cat(
+        '<modeling><atominfo><array name="atoms"><set><rc><c>Cu</c></rc><rc><c>Zn</c></rc></set></array></atominfo>\n<calculation><scstep><energy><i name="e_fr_energy">1.0</i><i name="e_0_energy">1.0</i></energy></scstep>\n<structure><crystal><varray name="basis">', cell("<v>", "</v>"),
+        t('</varray></crystal><varray name="positions"><v>%.2f 0.25 0.75</v><v>0.50 0.25 0.75</v></varray></structure>\n<varray name="forces"><v>0 0 %.1f</v><v>0 0 1.0</v></varray><energy><i name="e_fr_energy">%.1f</i></energy></calculation></modeling>\n', "u", "g", "e"),
+    )
+    text = F.element_at(F.array(log, steps, steps, grid, free, flat, ion, final, places, xml), (F.col("f") + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("f") + 1).cast("int"))
+    files = own.select(t("S%d.%s", "k", kind).alias("file"), text.alias("text"))
+    return files.unionByName(own.where("f = 5").select(t("S%d.ion", "k").alias("file"), ion.alias("text")))
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 10 AS f, CAST(3 + s_suppkey % 5 AS DOUBLE) AS a, floor(s_acctbal) AS e, (s_suppkey % 4) / 4::DOUBLE AS u, CAST(s_nationkey + 1 AS DOUBLE) AS g, CAST(s_nationkey - 7 AS DOUBLE) AS p FROM supplier),
+n AS (SELECT *, 'S' || k || CASE WHEN f = 1 THEN '-' || n ELSE '' END AS name, CASE WHEN f IN (1, 2) THEN {rd.BOHR} ELSE 1 END AS len FROM s, (VALUES (1), (2)) x(n) WHERE n = 2 OR f = 1)
+SELECT name, CASE WHEN f = 3 THEN NULL ELSE 2 END AS n_atoms, round(CASE WHEN f IN (1, 2) THEN (e + n) * {rd.HARTREE} WHEN f IN (0, 4, 9) THEN e END, 4) + 0.0 AS energy, round(pow(a * len, 3), 4) + 0.0 AS volume,
+CASE WHEN f IN (3, 4) THEN NULL ELSE round(u + 0.5, 5) + 0.0 END AS u, round(CASE WHEN f IN (1, 2) THEN (g + 1) * {rd.HARTREE} / {rd.BOHR} WHEN f IN (0, 4, 9) THEN g + 1 END, 4) + 0.0 AS force, CASE WHEN f IN (0, 4) THEN 3 * p END AS stress,
+CAST(CASE f WHEN 3 THEN 2 WHEN 5 THEN 4 END AS BIGINT) AS n_points, CASE f WHEN 5 THEN 'S' || k || '.den,S' || k || '.ion' ELSE 'S' || k || '.' || CASE f {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(KINDS))} END END AS files FROM n""")
+def ingest_directory(spark, sf_dir):
+    """Files of all ten kinds, written to the shared folder and read back as one directory."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    stored(wr.write_files(rendered(spark, sf_dir), folder))
+    total = lambda c, i: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x[i]), 5) + 0.0
+    diagonal = lambda c: [F.col(c)[i][i] for i in range(3)]
+    x, y, z = diagonal("cell")
+    return rd.read_directory(spark, folder).select(
+        "name", F.when(F.col("species").isNotNull(), F.size("species")).alias("n_atoms"), (F.round("energy", 4) + 0.0).alias("energy"), (F.round(x * y * z, 4) + 0.0).alias("volume"), total("positions", 0).alias("u"),
+        (F.round(F.aggregate("forces", F.lit(0.0), lambda s, q: s + q[2]), 4) + 0.0).alias("force"), sum(diagonal("stress"), F.lit(0.0)).alias("stress"), "n_points", F.array_join("files", ",").alias("files"),
+    )

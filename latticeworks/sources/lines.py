@@ -14,7 +14,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], extensions: list[str
     Files are read by line and split like any text; a file's lines are numbered by the start of their split and their place in it. All
     windows over a file stream through one sort that can spill, so no file is ever held whole.
     """
-    raw = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    reader = spark.read
+    if extensions:  # other files are not even opened
+        either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(map(either, extensions)) + "}")
+    raw = reader.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     raw = raw.withColumn("name", F.regexp_extract("file", r"^([^.]*)", 1)).withColumn("ext", F.lower(F.regexp_extract("file", r"^[^.]*\.(.*)$", 1)))
     if extensions:
         raw = raw.where(F.col("ext").isin(*extensions))

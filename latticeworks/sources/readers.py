@@ -267,8 +267,7 @@ def xml_structures(spark: SparkSession, paths: str | list[str], steps: str | lis
 def read_directory(spark: SparkSession, paths: str | list[str], merge: bool = True) -> DataFrame:
     """All structures of one or many folders, one row per name. Files of other extensions are left out (see unsupported); names whose
     files belong to more than one simulation code have codes > 1. Fields take their first value in order of the files' precedence."""
-    lines = read_lines(spark, paths, [e for e in PRECEDENCE if e != "xml"])
-    of = lambda e: lines.where(F.col("ext") == e)
+    of = lambda e: read_lines(spark, paths, [e])
     parts = [
         log_structures(of("castep")), trajectory(of("md")), trajectory(of("geom"), "geom", last_only=True), grid_structures(of("den_fmt")), profess_structures(of("profess")), flat_grid_structures(of("den")),
         cell_file(of("ion")), cell_file(of("final.geom"), "final.geom"), coordinate_file(of("contcar")), xml_structures(spark, paths, glob="*.[xX][mM][lL]"),
@@ -287,8 +286,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 def read_grids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(name, file, x, y, z, density, cell) of every grid point of the folders; flat grids take their cells from companion files."""
-    lines = read_lines(spark, paths, [e for e in PRECEDENCE if e != "xml"])
-    of = lambda e: lines.where(F.col("ext") == e)
+    of = lambda e: read_lines(spark, paths, [e])
     named = reduce(DataFrame.unionByName, [profess_structures(of("profess")), cell_file(of("final.geom"), "final.geom"), cell_file(of("ion"))])
     columns = ["name", "file", "x", "y", "z", "density", "cell"]
     return grid_density(of("den_fmt")).select(columns).unionByName(with_cells(flat_grid(of("den")), named).select(columns))
