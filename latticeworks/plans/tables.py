@@ -57,11 +57,11 @@ def spline_lookup_cubic(spark, sf_dir):
     return near.groupBy(*KEY).agg(F.sum("y").alias("y"), F.sum("dy").alias("dy")).select(*KEY, (F.round("y", 3) + 0.0).alias("y"), (F.round("dy", 2) + 0.0).alias("dy"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id AS x, value AS y, lead(event_id) OVER w AS x1, lead(value) OVER w AS y1, lag(event_id) OVER w AS x0, lag(value) OVER w AS y0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+@query("""WITH v AS (SELECT user_id, event_id, value * sqrt(2) AS value FROM events), e AS (SELECT user_id, event_id AS x, value AS y, lead(event_id) OVER w AS x1, lead(value) OVER w AS y1, lag(event_id) OVER w AS x0, lag(value) OVER w AS y0 FROM v WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, x, round((coalesce(y1, y) - coalesce(y0, y)) / nullif(coalesce(x1, x) - coalesce(x0, x), 0), 6) + 0.0 AS dy FROM e""")
 def derivative_differences(spark, sf_dir):
-    """Each user's values as a function of the event's number: symmetric differences, null for a single point."""
-    e = v.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), F.col("value").alias("y"))
+    """Each user's values (by an irrational, so that no quotient is a rounding tie) as a function of the event's number: symmetric differences, null for a single point."""
+    e = v.table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), (F.col("value") * F.sqrt(F.lit(2.0))).alias("y"))
     w = F.count("*").over(Window.partitionBy("user_id"))
     made = tb.differences(e.withColumn("n", w).where("n > 1").drop("n"), ["user_id"], "x").unionByName(e.withColumn("n", w).where("n = 1").select("user_id", "x", "y", F.lit(None).cast("double").alias("dy")))
     return made.select("user_id", "x", *r6("dy"))
