@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, ngramlm, ogg, packing, separators, toxicity, urlfilter, warc
+from . import decontaminate, fim, hardneg, langid, neardup, ngramlm, ogg, packing, separators, simhash, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_token_separators": separators.op1_token_separators,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_ogg_media": ogg.op8_ogg_media,
     "op9_lm_scores": ngramlm.op9_lm_scores,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_hard_negatives": hardneg.op13_hard_negatives,
+}
+ORACLE_SQL = {
+    "op2_url_filter": urlfilter.ORACLE,
+    "op3_near_duplicates": neardup.ORACLE,
+    "op6_warc_archive": warc.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_hard_negatives": hardneg.ORACLE,
 }
-ORACLE_SQL = {"op2_url_filter": urlfilter.ORACLE, "op3_near_duplicates": neardup.ORACLE, "op6_warc_archive": warc.ORACLE}
