@@ -35,10 +35,10 @@ def select_structures(structures: DataFrame, rules: list[tuple[str, tuple]], col
     return picked.dropDuplicates(["structure_id"])
 
 
-def merge_by_precedence(parts: DataFrame, columns: list[str], key: str = "name") -> DataFrame:
-    """One row per name: of each column the first non-null value by prec, all files, and the number of codes, which should be 1."""
+def merge_by_precedence(parts: DataFrame, columns: list[str], key: str | list[str] = "name") -> DataFrame:
+    """One row per key: of each column the first non-null value by prec, all files, and the number of codes, which should be 1."""
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("prec"))).alias(c) for c in columns]
-    return parts.groupBy(key).agg(*first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"), F.count_distinct("code").alias("codes"))
+    return parts.groupBy(*([key] if isinstance(key, str) else key)).agg(*first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("files"), F.count_distinct("code").alias("codes"))
 
 
 def element_groups(atoms: DataFrame) -> DataFrame:
