@@ -115,6 +115,16 @@ def ingest_flat_grid(spark, sf_dir):
     return rd.flat_grid(lines).select("name", "u", "v", "w", (F.round("density", 4) + 0.0).alias("density"))
 
 
+@query(f"WITH {GRID_SQL} SELECT 'G' || user_id AS name, CAST(n % 4 AS INTEGER) AS u, CAST(n // 4 % 3 AS INTEGER) AS v, CAST(n // 12 AS INTEGER) AS w, round(raw * 1.8897259886::DOUBLE ** 3, 4) + 0.0 AS density FROM g")
+def ingest_flat_grid_files(spark, sf_dir):
+    """Each user's events as a file of one line, written to the shared folder and read back by number."""
+    e = v.table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") * 100).cast("long").alias("raw"))
+    text = F.concat(F.lit("  x-dimension: 4   y-dimension: 3   z-dimension: 99   # of spins: 1  "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "raw"))), lambda x: x["raw"].cast("string")), "  "))
+    folder = f"{shared_folder(spark)}/grids-{uuid.uuid4().hex}"
+    stored(wr.write_files(e.groupBy("user_id").agg(text.alias("text")).select(F.format_string("G%d.den", "user_id").alias("file"), "text"), folder))
+    return rd.read_flat_grid(spark, folder).select("name", "u", "v", "w", (F.round("density", 4) + 0.0).alias("density"))
+
+
 @query(with_views("atoms structures", """, a AS (SELECT structure_id, list(printf('%-5s %-20.6f %-20.6f %-20.6f', species, u, v, w) ORDER BY atom_index) AS t FROM atoms GROUP BY 1)
 SELECT name, '%BLOCK LATTICE_CART' || chr(10) || printf('%-20.6f %-20.6f %-20.6f', a, 0.0::DOUBLE, 0.0::DOUBLE) || chr(10) || printf('%-20.6f %-20.6f %-20.6f', 0.1 * a, a, 0.0::DOUBLE) || chr(10) || printf('%-20.6f %-20.6f %-20.6f', 0.0::DOUBLE, 0.2 * a, a)
 || chr(10) || '%ENDBLOCK LATTICE_CART' || chr(10) || chr(10) || '%BLOCK POSITIONS_FRAC' || chr(10) || array_to_string(t, chr(10)) || chr(10) || '%ENDBLOCK POSITIONS_FRAC' || chr(10) AS text FROM a JOIN structures USING (structure_id)"""))
