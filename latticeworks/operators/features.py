@@ -128,6 +128,61 @@ def bond_order(near: DataFrame, by: list[str], orders: tuple[int, ...], kind: st
     return near.groupBy(*by).agg(*aggs).select(*by, *made)
 
 
+def own_order(near: DataFrame, orders: tuple[int, ...], by: tuple[str, str] = ("structure_id", "centre_id"), digits: int = 6) -> DataFrame:
+    """(by, species, q4, q6, ..): every atom's bond order among its neighbours of each species, and of all of them as `all`, rounded."""
+    q = bond_order(used(near, "everything"), [*by, "neigh_species"], orders)
+    return q.select(*by, F.col("neigh_species").alias("species"), *(F.round(f"q{x}", digits).alias(f"q{x}") for x in orders))
+
+
+def neighbour_orders(near: DataFrame, own: DataFrame, orders: tuple[int, ...], by: tuple[str, str] = ("structure_id", "centre_id")) -> DataFrame:
+    """near by species key (see used), with the neighbour's own bond order for that key: 0 where it has no neighbour of the key's species.
+
+    An image has its home atom's values, so atoms are met by structure, index and key.
+    """
+    table = own.select(by[0], F.col(by[1]).alias("neigh_index"), F.col("species").alias("neigh_species"), *(f"q{x}" for x in orders))
+    met = used(near, "everything").join(table, [by[0], "neigh_index", "neigh_species"], "left")
+    return met.withColumns({f"q{x}": F.coalesce(F.col(f"q{x}"), F.lit(0.0)) for x in orders}).withColumnRenamed("neigh_species", "species")
+
+
+def neighbour_average(met: DataFrame, orders: tuple[int, ...], by: tuple[str, str] = ("structure_id", "centre_id")) -> DataFrame:
+    """(by, species, q4, q6, ..) of neighbour_orders: means of the neighbours' own orders with weights 1 - r / sum r. As these sum to n - 1,
+    the mean is a quotient of sums; a single neighbour counts whole."""
+    sums = met.groupBy(*by, "species").agg(F.count("*").alias("n"), F.sum("r").alias("total"), *(F.sum(f"q{x}").alias(f"s{x}") for x in orders), *(F.sum(F.col("r") * F.col(f"q{x}")).alias(f"t{x}") for x in orders))
+    mean = lambda x: F.when(F.col("n") == 1, F.col(f"s{x}")).otherwise((F.col(f"s{x}") - F.col(f"t{x}") / F.col("total")) / (F.col("n") - 1))
+    return sums.select(*by, "species", *(mean(x).alias(f"q{x}") for x in orders))
+
+
+def own_reference(near: DataFrame, orders: tuple[int, ...], by: tuple[str, str] = ("structure_id", "centre_id"), digits: int = 6) -> DataFrame:
+    """(by, species, ref4, ref6, ..): the centre's own linearly weighted bond order for each key, which -ref features are counted from."""
+    q = bond_order(used(near, "everything"), [*by, "neigh_species"], orders, "linear")
+    return q.select(*by, F.col("neigh_species").alias("species"), *(F.round(f"q{x}", digits).alias(f"ref{x}") for x in orders))
+
+
+def order_pairs(met: DataFrame, reference: DataFrame, orders: tuple[int, ...], by: tuple[str, str] = ("structure_id", "centre_id")) -> DataFrame:
+    """(by, species, neigh_index, r, d4, d6, ..): of every neighbour its distance and own order less the centre's reference for its
+    species. The pairs of all species together are those of each, so key `all` repeats them."""
+    pairs = met.where("species <> 'all'").join(reference, [*by, "species"])
+    pairs = pairs.select(*by, "species", "neigh_index", "r", *((F.col(f"q{x}") - F.col(f"ref{x}")).alias(f"d{x}") for x in orders))
+    return pairs.withColumn("species", F.explode(F.array("species", F.lit("all"))))
+
+
+def order_features(q: DataFrame, orders: tuple[int, ...], k: int, sines: bool = False, by: tuple[str, str] = ("structure_id", "centre_id")) -> DataFrame:
+    """(by, l, kind, species, k, value) of a table of orders: cos(pi n q), and with sines sin(pi n q), for n < k."""
+    kinds = ["cos", "sin"] if sines else ["cos"]
+    wave = {"cos": lambda x, n: F.cos(x * n * PI), "sin": lambda x, n: F.sin(x * n * PI)}
+    cells = F.array(*(F.struct(F.lit(x).alias("l"), F.lit(kind).alias("kind"), F.lit(n).alias("k"), wave[kind](F.col(f"q{x}"), n).alias("value")) for x in orders for kind in kinds for n in range(k)))
+    return q.select(*by, "species", F.explode(cells).alias("c")).select(*by, "c.l", "c.kind", "species", "c.k", "c.value")
+
+
+def pair_features(pairs: DataFrame, orders: tuple[int, ...], k: int, r_scale: float, r_cut: float, smooth: float, by: tuple[str, str] = ("structure_id", "centre_id")) -> DataFrame:
+    """(by, l, species, k, value) of order_pairs: sums of cos(pi a r / r_scale) cos(pi b d) and r's taper; column a k + b for a, b < k."""
+    r = F.col("r")
+    term = lambda x, a, b: cos_k(r, a, r_scale) * F.cos(F.col(f"d{x}") * b * PI) * taper(r, r_cut, smooth)
+    sums = pairs.groupBy(*by, "species").agg(*(F.sum(term(x, a, b)).alias(f"f{x}_{a * k + b}") for x in orders for a in range(k) for b in range(k)))
+    cells = F.array(*(F.struct(F.lit(x).alias("l"), F.lit(n).alias("k"), F.col(f"f{x}_{n}").alias("value")) for x in orders for n in range(k * k)))
+    return sums.select(*by, "species", F.explode(cells).alias("c")).select(*by, "c.l", "species", "c.k", "c.value")
+
+
 def resultant(near: DataFrame, by: list[str]) -> DataFrame:
     """sqrt(1 + (0.1 |sum r u|)^2) of each centre."""
     sums = near.groupBy(*by).agg(*(F.sum(F.col("r") * F.col(f"u{d}")).alias(d) for d in "xyz"))

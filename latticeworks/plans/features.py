@@ -9,6 +9,7 @@ from latticeworks.operators import features as f
 from latticeworks.operators import neighbours as n
 from latticeworks.operators import structures as st
 from latticeworks.operators import tables as tb
+from latticeworks.sources.store import stored
 
 from . import views as v
 from .geometry import KEY, near_atoms
@@ -227,20 +228,96 @@ def atom_q(spark, sf_dir):
 
 ATOM_Q_SQL = bop_sql("1 / count(*) OVER g", "structure_id, centre_id", False)
 
+# orders of neighbours: by key (each species and all), rounded own orders, the neighbours' own orders, and the centre's reference
+KEYED_SQL = f"""nk AS (SELECT * EXCLUDE (neigh_species), unnest([neigh_species, 'all']) AS neigh_species FROM near), {bop_sql("1 / count(*) OVER g", src="nk")},
+own AS (SELECT structure_id, centre_id, species, round(q4, 6) AS q4, round(q6, 6) AS q6 FROM q)"""
+MET_SQL = KEYED_SQL + """, met AS (SELECT n.structure_id, n.centre_id, n.neigh_species AS species, n.neigh_index, n.r, coalesce(o.q4, 0) AS q4, coalesce(o.q6, 0) AS q6
+FROM nk n LEFT JOIN own o ON o.structure_id = n.structure_id AND o.centre_id = n.neigh_index AND o.species = n.neigh_species),
+weighted AS (SELECT *, CASE WHEN count(*) OVER g = 1 THEN 1 ELSE 1 - r / sum(r) OVER g END AS w FROM met WINDOW g AS (PARTITION BY structure_id, centre_id, species)),
+mean AS (SELECT structure_id, centre_id, species, sum(w * q4) / sum(w) AS q4, sum(w * q6) / sum(w) AS q6 FROM weighted GROUP BY ALL)"""
+_LINEAR = bop_sql("CASE WHEN count(*) OVER g = 1 THEN 1 ELSE (1 - r / sum(r) OVER g) / (count(*) OVER g - 1) END", src="nk")
+REF_SQL = MET_SQL + ", " + _LINEAR.replace("wn ", "wn2 ").replace("dots", "dots2").replace("q AS (", "q2 AS (") + """,
+ref AS (SELECT structure_id, centre_id, species, round(q4, 6) AS ref4, round(q6, 6) AS ref6 FROM q2)"""
+PAIR_SQL = REF_SQL + """, pairs AS (SELECT m.structure_id, m.centre_id, m.neigh_index, m.r, m.q4 - f.ref4 AS d4, m.q6 - f.ref6 AS d6, unnest([m.species, 'all']) AS species
+FROM met m JOIN ref f USING (structure_id, centre_id, species) WHERE m.species <> 'all')"""
 
-@query(with_views("near", f", {ATOM_Q_SQL} SELECT structure_id, centre_id, round(q4, 4) + 0.0 AS q4, round(q6, 4) + 0.0 AS q6 FROM q"))
+
+def r4(x):
+    """Rounded after a shift that no rounded order lies on, so that no engine sees a tie."""
+    return F.round(x + 1e-9, 4) + 0.0
+
+
+def keyed_orders(spark, sf_dir):
+    """(near, neighbours with their own orders): the neighbour table is found once and stored, as three passes read it."""
+    near = stored(near_atoms(spark, sf_dir))
+    return near, f.neighbour_orders(near, f.own_order(near, ORDERS), ORDERS)
+
+
+@query(with_views("near", f", {KEYED_SQL} SELECT structure_id, centre_id, species, round(q4 + 1e-9, 4) + 0.0 AS q4, round(q6 + 1e-9, 4) + 0.0 AS q6 FROM own"))
 def atom_q_table(spark, sf_dir):
-    return atom_q(spark, sf_dir)[1].select(*KEY, *((F.round(f"q{x}", 4) + 0.0).alias(f"q{x}") for x in ORDERS))
+    """Every atom's own bond order by species key and for all of its neighbours."""
+    q = f.own_order(near_atoms(spark, sf_dir), ORDERS)
+    return q.select(*KEY, "species", *(r4(F.col(f"q{x}")).alias(f"q{x}") for x in ORDERS))
 
 
-@query(with_views("near", f", {ATOM_Q_SQL} SELECT n.structure_id, n.centre_id, round(avg(q.q4), 4) + 0.0 AS q4, round(avg(q.q4 - 0.19), 4) + 0.0 AS q4_ref, round(sum(cos(pi() * n.r / {R_CUT}) * cos(pi() * (q.q6 - 0.57))), 3) + 0.0 AS ref2 FROM near n JOIN q ON q.structure_id = n.structure_id AND q.centre_id = n.neigh_index GROUP BY ALL"))
+@query(with_views("near", f", {REF_SQL} SELECT structure_id, centre_id, species, round(q4 + 1e-9, 4) + 0.0 AS q4, round(q6 + 1e-9, 4) + 0.0 AS q6, round(q4 - ref4 + 1e-9, 4) + 0.0 AS q4_ref, round(q6 - ref6 + 1e-9, 4) + 0.0 AS q6_ref FROM mean JOIN ref USING (structure_id, centre_id, species)"))
 def bop_atom_average(spark, sf_dir):
-    """Averages of the neighbours' own q, less a reference value, and sums over (r, q - reference) pairs."""
-    near, q = atom_q(spark, sf_dir)
-    both = near.join(q.withColumnRenamed("centre_id", "neigh_index"), ["structure_id", "neigh_index"])
-    pairs = F.cos(b.PI * F.col("r") / R_CUT) * F.cos(b.PI * (F.col("q6") - 0.57))
-    out = both.groupBy(*KEY).agg(F.avg("q4").alias("q4"), F.avg(F.col("q4") - 0.19).alias("q4_ref"), F.sum(pairs).alias("ref2"))
-    return out.select(*KEY, (F.round("q4", 4) + 0.0).alias("q4"), (F.round("q4_ref", 4) + 0.0).alias("q4_ref"), (F.round("ref2", 3) + 0.0).alias("ref2"))
+    """Weighted means of the neighbours' own orders by key, and the same less the centre's own order."""
+    near, met = keyed_orders(spark, sf_dir)
+    both = f.neighbour_average(met, ORDERS).join(f.own_reference(near, ORDERS), [*KEY, "species"])
+    made = {f"q{x}": F.col(f"q{x}") for x in ORDERS} | {f"q{x}_ref": F.col(f"q{x}") - F.col(f"ref{x}") for x in ORDERS}
+    return both.select(*KEY, "species", *(r4(c).alias(n) for n, c in made.items()))
+
+
+@query(with_views("near", f", {PAIR_SQL} SELECT structure_id, centre_id, species, count(*) AS n, round(min(d4) + 1e-9, 4) + 0.0 AS d4_min, round(max(d4) + 1e-9, 4) + 0.0 AS d4_max, round(sum(r * d4), 3) + 0.0 AS rd4, round(sum(r * d6), 3) + 0.0 AS rd6 FROM pairs GROUP BY ALL"))
+def bop_neighbour_pairs(spark, sf_dir):
+    """The pairs of distance and order less the reference, summed up by centre and key."""
+    near, met = keyed_orders(spark, sf_dir)
+    pairs = f.order_pairs(met, f.own_reference(near, ORDERS), ORDERS)
+    sums = [(F.round(F.sum(F.col("r") * F.col(f"d{x}")), 3) + 0.0).alias(f"rd{x}") for x in ORDERS]
+    return pairs.groupBy(*KEY, "species").agg(F.count("*").alias("n"), r4(F.min("d4")).alias("d4_min"), r4(F.max("d4")).alias("d4_max"), *sums)
+
+
+#: Functions of an order, and of each index of a pair.
+K_Q, K_PAIR = 3, 2
+
+
+def order_mapper(spark, sf_dir, kinds, size):
+    """Columns by order, kind and key: species first, then all."""
+    species = v.atoms(spark, sf_dir).select(F.col("species")).distinct().select(F.concat(F.lit("0"), "species").alias("o"), "species").unionByName(spark.range(1).select(F.lit("1").alias("o"), F.lit("all").alias("species")))
+    at = F.explode(F.array(*(F.struct(F.lit(100 * x + n).alias("block_order"), F.lit(f"{kind}{x}").alias("name")) for x in ORDERS for n, kind in enumerate(kinds)))).alias("b")
+    blocks = species.select("o", "species", at).select("b.block_order", F.concat_ws("|", "o", "b.name").alias("block_key"))
+    return f.column_blocks(blocks, F.lit(size))
+
+
+def by_columns(rows, mapper, name):
+    key = F.concat_ws("|", F.concat(F.when(F.col("species") == "all", "1").otherwise("0"), F.when(F.col("species") != "all", F.col("species")).otherwise("")), name)
+    return f.design_rows(rows, mapper, KEY, key)
+
+
+def order_blocks_sql(kinds: str, size: int) -> str:
+    return f"""blocks AS (SELECT species, kind, l, {size} * (row_number() OVER (ORDER BY l, kind_no, species = 'all', species) - 1) AS start
+FROM (SELECT DISTINCT species FROM atoms UNION ALL SELECT 'all'), (VALUES {kinds}) k(kind, kind_no), (VALUES (4), (6)) o(l))"""
+
+
+@query(with_views("near", f""", {MET_SQL}, {order_blocks_sql("('cos', 0), ('sin', 1)", K_Q)}, long AS (SELECT structure_id, centre_id, species, unnest([4, 6]) AS l, unnest([q4, q6]) AS q FROM mean)
+SELECT structure_id, centre_id, CAST(start + n AS INTEGER) AS col, round(CASE kind WHEN 'cos' THEN cos(n * pi() * q) ELSE sin(n * pi() * q) END, 3) + 0.0 AS value FROM long JOIN blocks USING (species, l), (SELECT unnest(range({K_Q})) AS n)"""))
+def bop_average_features(spark, sf_dir):
+    """cos and sin of the averaged orders in the mapper's columns."""
+    rows = f.order_features(f.neighbour_average(keyed_orders(spark, sf_dir)[1], ORDERS), ORDERS, K_Q, sines=True)
+    made = by_columns(rows, order_mapper(spark, sf_dir, ["cos", "sin"], K_Q), F.concat("kind", F.col("l").cast("string")))
+    return made.select(*KEY, "col", (F.round("value", 3) + 0.0).alias("value"))
+
+
+@query(with_views("near", f""", {PAIR_SQL}, {order_blocks_sql("('pair', 0)", K_PAIR**2)}, long AS (SELECT structure_id, centre_id, species, r, unnest([4, 6]) AS l, unnest([d4, d6]) AS d FROM pairs)
+SELECT structure_id, centre_id, CAST(start + x * {K_PAIR} + y AS INTEGER) AS col, round(sum(cos(x * pi() * r / {R_CUT}) * cos(y * pi() * d) * {PTAPER}), 3) + 0.0 AS value
+FROM long JOIN blocks USING (species, l), (SELECT unnest(range({K_PAIR})) AS x), (SELECT unnest(range({K_PAIR})) AS y) GROUP BY ALL"""))
+def bop_pair_features(spark, sf_dir):
+    """Products of functions of distance and of the neighbour's order less the reference, summed by key, in the mapper's columns."""
+    near, met = keyed_orders(spark, sf_dir)
+    rows = f.pair_features(f.order_pairs(met, f.own_reference(near, ORDERS), ORDERS), ORDERS, K_PAIR, R_CUT, R_CUT, SMOOTH)
+    made = by_columns(rows, order_mapper(spark, sf_dir, ["pair"], K_PAIR**2), F.concat(F.lit("pair"), F.col("l").cast("string")))
+    return made.select(*KEY, "col", (F.round("value", 3) + 0.0).alias("value"))
 
 
 @query(with_views("near", f", {ATOM_Q_SQL} SELECT structure_id, centre_id, CAST(n AS INTEGER) AS k, round(CASE WHEN n < 3 THEN cos(n * pi() * q4) ELSE sin((n - 2) * pi() * q4) END, 3) + 0.0 AS value FROM q, (SELECT unnest(range(5)) AS n)"))
