@@ -15,7 +15,8 @@ Similar means 100 * |intersection| >= 75 * |union|. A pair at exactly 0.75 share
 4e-6 (1 - 0.75^ROWS)^BANDS, one at 0.8 of about 4e-9; everything after the buckets is exact but for a signature bound of 0.58,
 five standard deviations below 0.75.
 
-Defined results: texts without words are linked with nothing; rows that share a doc_id are one document, whose classes join; a
+Defined results: texts without words are linked with nothing; rows that share a doc_id are one document, whose classes join: where
+their sets differ, each set becomes a node of its own for the search (see one_set_each), and the nodes of a document are linked; a
 null doc_id is linked with nothing, has a null component and is kept. Other columns play no part.
 """
 
@@ -256,12 +257,39 @@ def leftovers(entries: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     return found
 
 
+def _sets_of(batches):
+    """(doc_id, set_id, text) of documents."""
+    for b in batches:
+        ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(b.column(1), WIDTH)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), b.column(1)], ["doc_id", "set_id", "text"])
+
+
+def one_set_each(docs: DataFrame, sigs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(docs, sigs, nodes): documents with several sets give way to a node for each set, whose id no document has.
+
+    nodes (doc_id, set_id, node) names them; None where every document has one set. Nodes have ids above all others, or below them where
+    ids come near the greatest long.
+    """
+    twice = work.put(sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return docs, sigs, None
+    least, most = sigs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    at = F.monotonically_increasing_id()
+    made = sigs.join(twice, "doc_id", "left_semi").select("doc_id", "set_id").distinct()
+    nodes = work.put(made.withColumn("node", F.lit(most + 1) + at if most < 1 << 62 else F.lit(least - 1) - at), "nodes")
+    known = sigs.join(nodes, ["doc_id", "set_id"], "left").withColumn("doc_id", F.coalesce("node", "doc_id")).select(*sigs.columns)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = own.join(twice, "doc_id", "left_semi").mapInArrow(_sets_of, "doc_id long, set_id binary, text string").join(nodes, ["doc_id", "set_id"]).select(F.col("node").alias("doc_id"), "text")
+    return own.join(twice, "doc_id", "left_anti").unionByName(work.put(parts, "parts")), work.put(known, "known"), nodes
+
+
 def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text). The result reads tables of `work`."""
     work = work or Workspace(docs.sparkSession, "neardup")
     sigs = work.put(signatures(docs), "signatures")
-    classes = work.put(sigs.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sigs.join(classes, (sigs.set_id == classes.set_id) & (sigs.doc_id == classes.rep), "left_semi")
+    texts, known, nodes = one_set_each(docs, sigs, work)
+    classes = work.put(known.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = known.join(classes, (known.set_id == classes.set_id) & (known.doc_id == classes.rep), "left_semi")
     reps = work.put(reps.where("length(packed) > 0").select("doc_id", "packed", "compact"), "reps")
     centres = work.put(reps.mapInArrow(_spread(), "doc_id long, key long").groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
     shared = sieve_of(centres, "key")
@@ -269,13 +297,13 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     if shared is not None:
         shared.destroy()
     stars = work.put(entries.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n")), "stars")
-    links = confirm(stars, reps, docs, work, "star")
-    twice = work.put(sigs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y").select("doc_id"), "twice")
-    if not twice.isEmpty():  # rows of one document id with several sets: their classes join
-        same = sigs.join(twice, "doc_id", "left_semi").join(classes, "set_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = confirm(stars, reps, texts, work, "star")
+    if nodes is not None:  # a document's sets are one document; a class stands for its nodes
+        own = nodes.join(classes, "set_id").select("doc_id", "rep")
+        same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
         links = work.put(links.unionAll(same), "links")
     first = components(links, work, "first")
-    rest = leftovers(entries, first, reps, docs, work)
+    rest = leftovers(entries, first, reps, texts, work)
     # the few links found last join whole components
     a, b = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     raised = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -283,6 +311,10 @@ def near_duplicates(docs: DataFrame, work: Workspace | None = None) -> DataFrame
     last = first.select("node", F.col("component").alias("c")).unionAll(top.select("node", F.col("node").alias("c"))).join(top.select(F.col("node").alias("c"), F.col("component").alias("t")), "c", "left")
     last = last.groupBy("node").agg(F.min(F.coalesce("t", "c")).alias("component"))
     named = work.put(classes.join(last, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id")), "named")
+    if nodes is not None:  # a component is known by its smallest document: of a class the representative, or the documents of its nodes
+        real = classes.join(nodes.select(F.col("node").alias("rep")), "rep", "left_anti").select("set_id", F.col("rep").alias("d"))
+        least = real.unionAll(nodes.select("set_id", "doc_id")).join(named, "set_id").groupBy("component_id").agg(F.min("d").alias("d"))
+        named = work.put(named.join(least, "component_id", "left").select("set_id", F.coalesce("d", "component_id").alias("component_id")), "renamed")
     work.drop("reps", "entries", "centres", "stars")
     out = sigs.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -9,9 +9,9 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from test_operators import LOW, ODD, WORD, docs
+from test_operators import LOW, ODD, WORD, docs, words
 
-from latticeworks.llm import fim, hardneg, simhash
+from latticeworks.llm import fim, hardneg, neardup, simhash
 from latticeworks.llm.store import Workspace
 
 # --- 11 ---
@@ -204,3 +204,42 @@ def test_intervals_hold_and_filter(monkeypatch):
         if size == 64:
             out = estimate + far < 0.45 * a.norm[:, None] * a.norm[:, None]
             assert out[5:].mean() > 0.9
+
+
+# --- 3: documents with several sets ---
+
+
+def similar(x, y):
+    return bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+
+
+def plain_components(rows):
+    sets = {}
+    for d, t in rows:
+        w = words(t)
+        if d is not None:
+            sets.setdefault(d, []).append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return reachable(list(sets), lambda a, b: any(similar(x, y) for x in sets[a] for y in sets[b]))
+
+
+def story(seed, n=60):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(10_000)}" for _ in range(n)]
+
+
+def edited(text):
+    return [*text[:-3], "a", "b", "c"]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+@pytest.mark.parametrize("shift", [0, (1 << 62) + 5])
+def test_documents_with_several_sets(spark, turn, shift):
+    """Links of every set of a document count, whatever the order of rows."""
+    a, b, c, d, e = (story(k) for k in range(5))
+    s = " ".join
+    rows = [(1, s(a)), (2, s(b)), (5, s(edited(a))), (5, s(edited(b))), (11, s(c)), (11, s(d)), (12, s(edited(c))), (13, s(edited(d))), (20, s(e)), (20, None), (20, s(e)), (21, ""), (22, s(story(9))), (22, s(story(10))), (40, s(edited(e)))]
+    rows = [(k + shift, t) for k, t in rows][::turn]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = plain_components(rows)
+    assert got == {(k, c, k == c) for k, c in want.items()}
+    assert {k - shift: c - shift for k, c in want.items()} == {1: 1, 2: 1, 5: 1, 11: 11, 12: 11, 13: 11, 20: 20, 21: 21, 22: 22, 40: 20}
