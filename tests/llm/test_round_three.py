@@ -243,3 +243,33 @@ def test_documents_with_several_sets(spark, turn, shift):
     want = plain_components(rows)
     assert got == {(k, c, k == c) for k, c in want.items()}
     assert {k - shift: c - shift for k, c in want.items()} == {1: 1, 2: 1, 5: 1, 11: 11, 12: 11, 13: 11, 20: 20, 21: 21, 22: 22, 40: 20}
+
+
+# --- 2: tags ---
+
+
+def test_tags_by_attribute(spark):
+    """What only looks like a link is none; quotes hold >; rules see every URL as written. The SQL agrees."""
+    import duckdb
+
+    from latticeworks.llm import urlfilter
+
+    bad = "http://z.org/es/5"
+    htmls = {
+        1: (f'<link rel="stylesheet" data-rel="canonical" href="{bad}">', "allow"), 2: (f"<!-- <link rel=canonical href='{bad}'> -->", "allow"), 3: (f"<link title='a>b' rel='canonical' href='{bad}'>", "block"),
+        4: (f'<LINK HREF="{bad}" REL="alternate Canonical"/>', "block"), 5: (f"<link rel=canonical data-href='http://q.edu/' href={bad}>", "block"), 6: (f"<link title=\"rel='canonical'\" href='{bad}'>", "allow"),
+        7: (f"<script>var a = \"<link rel='canonical' href='{bad}'>\";</script>", "allow"), 8: (f"<link rel=canonical><link rel=canonical href='{bad}'>", "block"), 9: (f"<linker rel=canonical href='{bad}'>", "allow"),
+        10: (f"<!-- open <link rel=canonical href='{bad}'>", "allow"), 11: (f"<meta content='5; URL=\"{bad}\"' http-equiv='Refresh'>", "block"), 12: (f"<meta http-equiv=refresh content='text url={bad}'>", "allow"),
+        13: (f"<link rel='canonical' rel='x' href=\"{bad}\" href='http://q.edu/'>", "block"), 14: (f"<link rel\n=\n'canonical'\nhref = '{bad}'\n>", "block"), 15: ("<link rel=canonical href='http://z&#46;org/'>", "allow"),
+        16: ("<link rel='canonical' href='http://k.edu/a?x=1&amp;y=2'>", "block"), 17: (f"<link rel=canonical href='http://k.edu/a'><link rel=canonical href='{bad}'>", "block"), 18: (f"<link rel=canonical {'x' * 200_000} {'a=b ' * 30_000} href='{bad}'>", "block"), 19: ("<link rel=canonical href=''>", "allow"),
+    }
+    rows = [(k, f"http://host{k}.edu/p", h) for k, (h, _) in htmls.items()]
+    rows += [(50, "http://k.edu/a", f"<link rel=canonical href='{bad}'>")]
+    # a page as written is allowed, its node is not named by a rule
+    rows += [(60, "http://a.net/de/../x", f"<link rel=canonical href='{bad}7'>"), (61, "http://o.edu/y", "<link rel=canonical href='http://a.net/x'>"), (62, None, "x"), (63, "none", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages).collect()}
+    assert {r[0]: r[4] for r in got} == {k: v for k, (_, v) in htmls.items()} | {50: "block", 60: "allow", 61: "allow", 62: "allow", 63: "allow"}
+    c = duckdb.connect()
+    c.register("pages", pages.toArrow())
+    assert set(c.sql(urlfilter.ORACLE).fetchall()) == got
