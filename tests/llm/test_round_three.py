@@ -273,3 +273,61 @@ def test_tags_by_attribute(spark):
     c = duckdb.connect()
     c.register("pages", pages.toArrow())
     assert set(c.sql(urlfilter.ORACLE).fetchall()) == got
+
+
+# --- 5: short questions, classes, names in any case, several passes ---
+
+
+def test_short_questions_with_other_values(spark, monkeypatch):
+    from latticeworks.llm import decontaminate
+
+    items = [(1, "What is 7 times 8?"), (2, "Solve 2 + 3 x = 11"), (3, "What is 5 times 9?"), (4, "so Anna has 3 apples and Bob has 6 apples and then they both eat one apple each day"), (5, "What is 4 times 4?"), (6, "3 5 7 9")]
+    docs = [
+        (1, "Let us see. What is 12 times 13? That is easy."), (2, "Now.\nSolve 4 + 5 x = 19\nand so on"), (3, "So anna has 4 apples and bob has 8 apples and then they both eat one apple each day or so"), (4, "What is it and 4 times more of 13 he said"), (5, "What is 9 times 9?"),
+        (6, "before it: what is 7 times 8 and more"), (7, "1 2 3 4 5 6"), (8, "Solve 4 + 4 x = 19"), (9, None),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(1, 1, True, 1), (2, 2, True, 2), (3, 4, True, 4), (5, 5, True, 5), (6, 1, False, 1)}
+    for bits in (decontaminate.MOST_BITS, 1 << 7):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)  # few bits: several passes
+        got = {(r.doc_id, r.item_id, r.changed, r.class_id) for r in decontaminate.contaminated(rows, table).collect()}
+        assert got == want
+    assert {tuple(r) for r in decontaminate.template_classes(table).collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 6)}
+
+
+def brute_templates(item, text):
+    """Of a template the copies in a text by loops: {value: value} of each place where the words fit and values are bound one to one."""
+    units, word = set(__import__("latticeworks.llm.decontaminate", fromlist=["UNITS"]).UNITS), re.compile(r"[^\s]+")
+
+    def slots(t):
+        out = []
+        for m in word.finditer(t):
+            w = m.group().strip(".,!?:;\"'()") or m.group()
+            opening = not out or t[: m.start()].rstrip(" ")[-1:] in ".!?:;\n\"([{"
+            kind = 1 if w[0].isdigit() else 3 if out and out[-1][0] == 1 and w.lower() in units else 2 if w[0].isupper() and not opening and len(w) > 1 and not w[1].isupper() else 0
+            out.append((kind, w.lower()))
+        return out
+
+    q, d, found = slots(item), slots(text), []
+    for i in range(len(d) - len(q) + 1):
+        here = d[i : i + len(q)]
+        if all(a[0] == b[0] and (a[0] or a[1] == b[1]) for a, b in zip(q, here, strict=True)):
+            pairs = {(a[1], b[1]) for a, b in zip(q, here, strict=True) if a[0]}
+            if len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs):
+                found.append(dict(pairs))
+    return found
+
+
+def test_copies_with_other_values_by_loops(spark):
+    """Whole copies with values bound one to one, and those whose values are not, of items of 4 to 7 words."""
+    from latticeworks.llm import decontaminate
+
+    rng = random.Random(4)
+    forms = ["Take {} of {}", "Add {} and {} to {}", "How many is {} less {}", "Give {n} the {} then {}", "We saw {n} buy {} more pens", "Put {} km beside {} km now", "The sum of {} with {} equals {}"]
+    fill = lambda f: re.sub(r"\{n?\}", lambda m: rng.choice(["Anna", "Bert", "Clara"]) if m.group() == "{n}" else str(rng.randrange(3, 8)), f)
+    items = [(k, fill(f)) for k, f in enumerate(forms)]
+    docs = [(100 + k, f"A first line.\n{fill(rng.choice(forms))}.\nA last line.") for k in range(120)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i) for d, t in docs for i, q in items if brute_templates(q, t)}
+    assert got == want and 20 < len(want) < 120
