@@ -29,8 +29,8 @@ BUCKETS, ORDER, PER_LANG, SAMPLE_BYTES, CALIBRATION = 1 << 16, 3, 700, 200_000,
 #: Scale of a feature; learning rate, its offset, L1 and L2 of the regression; passes over the sample.
 SCALE, ALPHA, BETA, L1, L2, EPOCHS = 20.0, 0.5, 1.0, 0.02, 0.01, 4
 UNKNOWN = "und"
-#: How far the score of an accepted text is from chance (0) towards certainty (1) at least, and the number of letters from which on it is asked for.
-LEAST_MARGIN, SURE_LETTERS = 1 / 3, 100
+#: How far the score of a long accepted text is from chance (0) towards certainty (1) at least, and the letters of a text of which half of that is asked.
+LEAST_MARGIN, HALF_LETTERS = 1 / 3, 75
 
 
 @lru_cache(maxsize=1)
@@ -116,13 +116,18 @@ def fit_sample(sample: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray
     rows = sorted(sample, key=lambda s: (s[2], len(s[0]), blake2b(s[0].tobytes() + s[1].tobytes(), digest_size=16).digest()))
     data = [(np.append(i, np.int32(BUCKETS)), np.append(c / c.sum() * idf[i] * SCALE, 1.0).astype(np.float32), langs.index(lang)) for i, c, lang in rows]
     order = np.random.default_rng(seed).permutation(len(data))
-    held = [data[k] for k in order[::CALIBRATION]] if len(data) >= 50 else data
-    train = [data[k] for j, k in enumerate(order) if len(data) < 50 or j % CALIBRATION]
+    # of each language every so-manieth example is left out for the temperature, whatever their number
+    seen, train, held = [0] * len(langs), [], []
+    for k in order:
+        seen[data[k][2]] += 1
+        (train if seen[data[k][2]] % CALIBRATION else held).append(data[k])
     ftrl = Ftrl(BUCKETS + 1, len(langs))
     for _ in range(EPOCHS):
         for example in train:
             ftrl.step(*example)
     w = ftrl.weights()
+    if not held:  # nothing left out, nothing to calibrate by
+        return Model(langs, (w[:BUCKETS] * idf[:, None] * SCALE).astype(np.float32), w[BUCKETS], 1.0)
     logits, labels = np.array([x @ w[i] for i, x, _ in held]), np.array([y for *_, y in held])
     # targets are smoothed by one document of each language, so that a few separable ones do not make every score certain
     target = (np.eye(len(langs))[labels] * len(labels) + 1) / (len(labels) + len(langs))
@@ -202,13 +207,13 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     return own.mapInArrow(run, StructType([*own.schema.fields, *(StructField(c, t()) for c, t in zip(made, (StringType, DoubleType, LongType), strict=True))]))
 
 
-def accepted(model: Model, lang: str = "lang_pred", score: str = "score", letters: str = "letters", langs: list[str] | None = None, margin: float = LEAST_MARGIN, sure: int = SURE_LETTERS) -> Column:
-    """Whether a text is of one of the languages langs (default: any learned one): not `und`, and, from `sure` letters on, with a score
-    that is `margin` of the way from chance to certainty (0.5 for four languages). A shorter text gives too little evidence to be
-    rejected for its score."""
+def accepted(model: Model, lang: str = "lang_pred", score: str = "score", letters: str = "letters", langs: list[str] | None = None, margin: float = LEAST_MARGIN, half: int = HALF_LETTERS) -> Column:
+    """Whether a text is of one of the languages langs (default: any learned one): not `und`, and with a score that is far enough from
+    chance. A long text must go `margin` of the way from chance to certainty (0.5 for four languages), one of n letters n / (n + half) of
+    that, as fewer letters give less evidence; so a text of any length is judged by its score."""
     named = F.col(lang).isin(*langs) if langs is not None else F.col(lang) != UNKNOWN
     chance = 1 / max(1, len(model.langs))
-    return named & ((F.col(letters) < sure) | (F.col(score) >= chance + (1 - chance) * margin))
+    return named & (F.col(score) >= chance + (1 - chance) * margin * F.col(letters) / (F.col(letters) + half))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

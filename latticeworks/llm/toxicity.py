@@ -60,6 +60,7 @@ class Model:
     thresholds: np.ndarray = field(default_factory=lambda: np.zeros(1))
     slope: float = 1.0
     trained: bool = True
+    borrowed: list[int] = field(default_factory=list)  # languages with the threshold of all
 
     def embed(self, words: np.ndarray) -> np.ndarray:
         return sum(t[words[:, k]] for k, t in enumerate(self.tables))
@@ -194,14 +195,17 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s
 
 
 def calibrate(model: Model, lang: np.ndarray, z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> None:
-    """Sets a model's thresholds and slope from counts of both labels by language and score."""
+    """Sets a model's thresholds and slope from counts of both labels by language and score. A language with fewer than LEAST_OF_LABEL
+    documents of a label has the threshold of all languages, and is named in model.borrowed."""
     names = max(1, model.langs.shape[1])
     overall = best_threshold(z, toxic, clean) if toxic.sum() and clean.sum() else 0.0
-    model.thresholds = np.full(names, overall)
+    model.thresholds, model.borrowed = np.full(names, overall), []
     for k in range(names):
         on = lang == k
         if min(toxic[on].sum(), clean[on].sum()) >= LEAST_OF_LABEL:
             model.thresholds[k] = best_threshold(z[on], toxic[on], clean[on])
+        else:
+            model.borrowed.append(k)
     d = np.clip(np.geomspace(0.1, 10, 41)[:, None] * (z - model.thresholds[lang]), -40, 40)
     losses = (np.log1p(np.exp(-d)) * toxic + np.log1p(np.exp(d)) * clean).sum(1)
     model.slope = float(np.geomspace(0.1, 10, 41)[losses.argmin()])
@@ -222,9 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = CLASS_ROWS) -> Model:
     counts = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
         return untrained
-    few = counts[0] + counts[1] < 40  # then the same documents give weights and thresholds
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30))
-    apart = F.lit(few) | (F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(CALIBRATION)) > 0)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(CALIBRATION)) > 0
     share = F.when(F.col("toxic") == 1, F.lit(1.6 * rows / counts[1])).otherwise(F.lit(1.6 * rows / counts[0]))
     marked = marked.withColumn("weighs", apart & (draw < share * (1 << 30)))
     chosen = marked.where("weighs").select("doc_id", "toxic").limit(4 * rows)  # bounded, so it can be broadcast
@@ -252,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = CLASS_ROWS) -> Model:
     model = train([x[0] for x in found], y, [x[2] for x in found])
     del found, sample
     give_back()
-    _thresholds(model, own.where("doc_id IS NOT NULL"), marked.where(F.lit(few) | ~F.col("weighs")).select("doc_id", "toxic"))
+    _thresholds(model, own.where("doc_id IS NOT NULL"), marked.where(~F.col("weighs")).select("doc_id", "toxic"))
     return model
 
 
