@@ -15,7 +15,7 @@ from latticeworks.llm.store import Workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without text or letters, and those of many letters whose score is too near chance: other scripts, encoded
+    """Rejects documents without text or letters, and those whose score is too near chance for their letters: other scripts, encoded
     data, mixtures. Without any labelled document only the letters decide."""
     model = langid.fit(docs.where(~langid.is_held_out(0, 5)))
     if not model.langs:
