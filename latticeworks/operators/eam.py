@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.functions.basis import PI, cos_k, damping, sin_k, taper, taper_slope
 from latticeworks.operators.neighbours import atom_centres, k_nearest, neighbours
-from latticeworks.operators.regression import Moments
+from latticeworks.operators.regression import Moments, quadratic
 from latticeworks.operators.structures import element_groups, select_structures
 from latticeworks.sources.store import stored
 
@@ -226,14 +226,11 @@ def score(candidates: DataFrame, weights: list[str], energy: Moments, force: Mom
 
     measure is a function of three columns: squared errors of energies and of forces (0 without moments) and the sum of squared weights.
     """
-    w = F.array(*weights)
-    inner = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    lits = lambda row: F.array(*(F.lit(float(x)) for x in row))
-
-    def sse(m: Moments | None) -> Column:
-        return F.lit(0.0) if m is None else F.lit(float(m.tt)) - 2 * inner(w, lits(m.xty)) + inner(w, F.array(*(inner(w, lits(row)) for row in m.gram)))
-
-    return candidates.withColumn(name, measure(sse(energy), sse(force), inner(w, w)))
+    forms = {"_e": (energy.gram, -2 * energy.xty, float(energy.tt)), "_w": (np.eye(len(weights)), None, 0.0)}
+    if force is not None:
+        forms["_f"] = (force.gram, -2 * force.xty, float(force.tt))
+    made = quadratic(candidates.withColumn("_x", F.array(*(F.col(c).cast("double") for c in weights))), "_x", forms)
+    return made.withColumn(name, measure(F.col("_e"), F.col("_f") if force is not None else F.lit(0.0), F.col("_w"))).drop("_x", *forms)
 
 
 @dataclass

@@ -12,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .quantiles import quantiles
 
 GRAM_DDL = "i int, j int, g double"
 
@@ -238,19 +241,41 @@ def comparison_fits(design: DataFrame, reg: float = 0.01, mix: float = 0.5, epsi
     return spark.createDataFrame(found, "model string, col int, w double")
 
 
-def dot(phi: str, weights: np.ndarray) -> F.Column:
-    """phi' w as an expression."""
-    w = F.array(*(F.lit(float(x)) for x in weights))
-    return F.aggregate(F.zip_with(F.col(phi), w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def quadratic(rows: DataFrame, column: str, forms: dict[str, tuple[np.ndarray | None, np.ndarray | None, float]]) -> DataFrame:
+    """rows with, for each name, x'Ax + b'x + c of an array column x; forms has A, b (None: zero) and c.
+
+    The matrices are of the model's size; they are broadcast once, and a task multiplies a batch at a time. The plan does not grow with them.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in forms]
+    shared = rows.sparkSession.sparkContext.broadcast(forms)
+    at = [f.name for f in kept].index(column)
+
+    def make(batches):
+        for b in batches:
+            x = b.column(at)
+            flat = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float)
+            full = np.diff(np.asarray(x.offsets)) > 0 if len(b) else np.zeros(0, bool)
+            full &= ~np.asarray(x.is_null()) if len(b) else full
+            x = flat.reshape(int(full.sum()), -1) if full.any() else np.zeros((0, 0))
+            out = []
+            for a, v, c in shared.value.values():
+                y = np.full(len(b), np.nan)
+                if full.any():
+                    y[full] = c + (((x @ a) * x).sum(1) if a is not None else 0.0) + (x @ v if v is not None else 0.0)
+                out.append(pa.array(y, mask=~full))
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *shared.value])
+
+    own = rows.select(*(f.name for f in kept))
+    return own.mapInArrow(make, StructType([*kept, *(StructField(n, DoubleType()) for n in forms)]))
 
 
 def predict(design: DataFrame, weights: np.ndarray, cov: np.ndarray | None = None, beta: float | None = None) -> DataFrame:
-    """design with mean and, given the covariance, std = sqrt(phi' cov phi + 1 / beta)."""
-    out = design.withColumn("mean", dot("phi", weights))
-    if cov is None:
-        return out
-    rows = [dot("phi", r) for r in cov]
-    return out.withColumn("std", F.sqrt(F.aggregate(F.zip_with("phi", F.array(*rows), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) + 1 / beta))
+    """design with mean and, given the covariance, std = sqrt(phi' cov phi + 1 / beta). A null or empty phi has null for both."""
+    forms = {"mean": (None, np.asarray(weights, float), 0.0)}
+    if cov is not None:
+        forms["std"] = (np.asarray(cov, float), None, 1 / beta)
+    out = quadratic(design, "phi", forms)
+    return out if cov is None else out.withColumn("std", F.sqrt("std"))
 
 
 def scatter(columns: DataFrame, weights: DataFrame) -> DataFrame:
@@ -259,16 +284,18 @@ def scatter(columns: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def fit_quality(df: DataFrame, by: list[str], t: str, mean: str) -> DataFrame:
+    """Counts and moments of residuals by group; the median is exact and found by counting (see quantiles)."""
     e = F.col(t) - F.col(mean)
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(e * e).alias("tse"), F.avg(e * e).alias("mse"), F.pow(F.percentile(e, F.lit(0.5)), 2).alias("median2"),
-        F.min(e).alias("e_min"), F.max(e).alias("e_max"), F.avg(e).alias("e_mean"), F.stddev_samp(e).alias("e_std"),
+    sums = df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(e * e).alias("tse"), F.avg(e * e).alias("mse"), F.min(e).alias("e_min"), F.max(e).alias("e_max"), F.avg(e).alias("e_mean"), F.stddev_samp(e).alias("e_std")
     )
+    return sums.join(quantiles(df, by, {"median": (e, 0.5)}), by, "left").withColumn("median2", F.pow("median", 2)).drop("median")
 
 
 def regression_metrics(df: DataFrame, by: list[str], t: str, mean: str) -> DataFrame:
     e, y = F.col(t) - F.col(mean), F.col(t)
-    sums = df.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"), F.var_pop(e).alias("ve"), F.var_pop(y).alias("vy"))
+    sums = df.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop(e).alias("ve"), F.var_pop(y).alias("vy"))
+    sums = sums.join(quantiles(df, by, {"median_ae": (F.abs(e), 0.5)}), by, "left")
     return sums.select(*by, "mse", "mae", "median_ae", (1 - F.col("mse") / F.col("vy")).alias("r2"), (1 - F.col("ve") / F.col("vy")).alias("explained_variance"))
 
 

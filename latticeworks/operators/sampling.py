@@ -1,10 +1,21 @@
-"""Choice of sample points: reproducible draws from integer hashes, and points near atoms."""
+"""Choice of sample points: reproducible draws from integer hashes, and points near atoms.
+
+A group (a structure's points) may be larger than a task: places are counted by ranges of the key, the first n of a group are found
+among the first n of its shares, and nearness is searched by bins.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeworks.functions.geometry import CELL, cartesian, heights, volume
+from latticeworks.sources.lines import places
+from latticeworks.sources.store import stored
+
+#: Keys of a range, shares of a group.
+RANGE, SHARES = 1 << 16, 64
+
 
 def uniform(key: Column, seed: int = 0) -> Column:
     """A value in (0, 1) fixed by an integer key, in arithmetic that every SQL engine shares."""
@@ -14,46 +25,92 @@ def uniform(key: Column, seed: int = 0) -> Column:
 def with_replacement(points: DataFrame, by: str, order: str, n: int, seed: int = 0) -> DataFrame:
     """n draws (capped at the group's size) of each group's points, with replacement: draw d takes the row at floor(u * size).
 
-    Rows are counted and numbered within a group, then draws are joined to them.
+    Rows are numbered by ranges of the key (an integer column), then the draws are joined to them.
     """
-    numbered = points.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    ranged = points.withColumn("_range", F.floor(F.col(order) / RANGE))
+    numbered = places(ranged, [by], "_range", [order], "_at").withColumn("_at", F.col("_at") - 1).drop("_range")
     draws = points.groupBy(by).agg(F.count("*").alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("_n")).cast("int") - 1)))
-    draws = draws.withColumn("_at", F.floor(uniform(F.col("draw") * 31 + F.col(by), seed) * F.col("_n")).cast("int")).drop("_n")
+    draws = draws.withColumn("_at", F.floor(uniform(F.col("draw") * 31 + F.col(by), seed) * F.col("_n"))).drop("_n")
     return draws.join(numbered, [by, "_at"]).drop("_at")
 
 
+def first_of_group(rows: DataFrame, by: list[str], order: list, n: int, shares: int = SHARES) -> DataFrame:
+    """The n first rows of each group: those of the n first of each of its shares. What meets in a task is n rows a share, not a group."""
+    dealt = rows.withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.lit(shares)))
+    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_share").orderBy(*order))).where(F.col("_r") <= n)
+    return local.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_share", "_r")
+
+
 def by_importance(points: DataFrame, by: str, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
-    """n points of each group without replacement, likelier the larger weight - min(weight) is: the n least -ln(u) / w."""
-    low = F.min(weight).over(Window.partitionBy(by))
-    w = F.col(weight) - low
+    """n points of each group without replacement, likelier the larger weight - min(weight) is: the n least -ln(u) / w, a reservoir that
+    merges."""
+    low = points.groupBy(by).agg(F.min(weight).alias("_low"))
+    w = F.col(weight) - F.col("_low")
     score = F.when(w > 0, F.round(-F.log(uniform(F.col(key), seed)) / w, 9)).otherwise(F.lit(float("inf")))
-    ranked = points.withColumn("_s", score).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_s", key)))
-    return ranked.where(F.col("_r") <= n).drop("_s", "_r")
+    return first_of_group(points.join(low, by).withColumn("_s", score).drop("_low"), [by], ["_s", key], n).drop("_s")
 
 
 def subsample(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> DataFrame:
     """At most n rows of each group, in a fixed pseudo-random order."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy((F.col(key) * 7919 + seed) % 1000003, key))).where(F.col("_r") <= n).drop("_r")
-
+    return first_of_group(rows, [by], [(F.col(key) * 7919 + seed) % 1000003, F.col(key)], n)
 
-def distances(points: DataFrame, atoms: DataFrame, cells: DataFrame) -> DataFrame:
-    """(structure_id, point_id, atom_index, r) of the points and atoms of a home cell, without images."""
-    from latticeworks.functions.geometry import cartesian
 
-    both = points.join(atoms.select("structure_id", "atom_index", *(F.col(c).alias(f"n{c}") for c in "uvw")), "structure_id").join(cells, "structure_id")
-    d = cartesian(*(F.col(f"n{c}") - F.col(c) for c in "uvw"))
-    return both.select("structure_id", "point_id", "atom_index", F.sqrt(sum((x * x for x in d), F.lit(0.0))).alias("r"))
+def within_reach(points: DataFrame, atoms: DataFrame, cells: DataFrame) -> DataFrame:
+    """(structure_id, point_id, atom_index, r) of points and atoms of a home cell, without images, at most the structure's reach apart.
 
-
-def near_atoms(dist: DataFrame, r: float) -> DataFrame:
-    return dist.where(F.col("r") <= r).select("structure_id", "point_id").distinct()
-
-
-def nearest_of_atoms(dist: DataFrame, n: int, ties: bool = False) -> DataFrame:
-    """The n nearest points of each atom; with ties, all points as near as the nearest."""
-    w = Window.partitionBy("structure_id", "atom_index").orderBy(*([F.round("r", 8)] if ties else [F.round("r", 8), "point_id"]))
-    place = (F.rank() if ties else F.row_number()).over(w)
-    return dist.withColumn("_p", place).where(F.col("_p") <= n).select("structure_id", "point_id").distinct()
+    cells carries reach. Space is cut into bins at least as wide as the reach, and an atom meets the points of its own and the 26 bins
+    around, so that work follows the points near atoms and one large structure spreads over many tasks.
+    """
+    count = [F.greatest(F.lit(1.0), F.floor(F.least(h / F.col("reach"), F.lit(1e6)))) for h in heights()]
+    geo = cells.select("structure_id", "reach", *CELL, *(c.alias(f"n{x}") for c, x in zip(count, "uvw", strict=True)))
+    key = ["structure_id", "bu", "bv", "bw"]
+    at = lambda x: F.floor(F.col(x) * F.col(f"n{x}")).cast("long")
+    homes = points.select("structure_id", "point_id", "u", "v", "w").join(geo.select("structure_id", "nu", "nv", "nw"), "structure_id")
+    homes = homes.select("structure_id", "point_id", "u", "v", "w", *(at(x).alias(f"b{x}") for x in "uvw"))
+    around = atoms.select("structure_id", "atom_index", "u", "v", "w").join(geo, "structure_id")
+    for x in "uvw":
+        around = around.withColumn(f"b{x}", F.explode(F.sequence(at(x) - 1, at(x) + 1)))
+    around = around.select(*key, "atom_index", "reach", *CELL, *(F.col(x).alias(f"a{x}_") for x in "uvw"))
+    both = homes.join(around, key)
+    d = cartesian(*(F.col(f"a{x}_") - F.col(x) for x in "uvw"))
+    found = both.select("structure_id", "point_id", "atom_index", "reach", F.sqrt(sum((x * x for x in d), F.lit(0.0))).alias("r"))
+    return found.where(F.col("r") <= F.col("reach"))
+
+
+def near_atoms(points: DataFrame, atoms: DataFrame, cells: DataFrame, r: float) -> DataFrame:
+    """(structure_id, point_id) of the points within r of an atom of the home cell."""
+    return within_reach(points, atoms, cells.withColumn("reach", F.lit(float(r)))).select("structure_id", "point_id").distinct()
+
+
+def nearest_of_atoms(points: DataFrame, atoms: DataFrame, cells: DataFrame, n: int, ties: bool = False) -> DataFrame:
+    """(structure_id, point_id) of the n nearest points of each atom; with ties, all points as near as the nearest.
+
+    A structure's first reach is that of a ball with some times n points at its mean density. Atoms that have fewer within it are searched
+    again with twice the reach, until it spans the cell; so only they pay for a wide search. The nearest of an atom are merged from the
+    nearest of tasks (a window with a group limit).
+    """
+    sizes = points.groupBy("structure_id").agg(F.count("*").alias("_n"))
+    ball = F.pow(F.lit(4.0 * n) * volume() * 3 / (4 * 3.141592653589793 * F.col("_n")), 1 / 3)
+    across = sum((F.sqrt(sum((F.col(f"{p}{d}") * F.col(f"{p}{d}") for d in "xyz"), F.lit(0.0))) for p in "abc"), F.lit(0.0))
+    spread = points.groupBy("structure_id").agg(F.max(F.greatest(*(F.abs(x) for x in "uvw"))).alias("_p"))
+    wide = atoms.groupBy("structure_id").agg(F.max(F.greatest(*(F.abs(x) for x in "uvw"))).alias("_a"))
+    geo = cells.join(sizes, "structure_id").join(spread, "structure_id").join(wide, "structure_id")
+    geo = geo.withColumn("_most", across * (F.col("_p") + F.col("_a") + 1)).withColumn("reach", F.least("_most", F.greatest(ball, F.col("_most") * 1e-6))).where("reach > 0")
+    geo = stored(geo.select("structure_id", *CELL, "reach", "_most"))
+    todo, found = atoms.select("structure_id", "atom_index", "u", "v", "w").join(geo.select("structure_id"), "structure_id", "left_semi"), None
+    order = Window.partitionBy("structure_id", "atom_index").orderBy(*([F.round("r", 8)] if ties else [F.round("r", 8), "point_id"]))
+    while True:
+        near = within_reach(points, todo, geo).withColumn("_p", (F.rank() if ties else F.row_number()).over(order)).where(F.col("_p") <= (1 if ties else n))
+        near = stored(near.join(geo.select("structure_id", "_most"), "structure_id"))
+        # what lies at the very edge of the reach may have a tie beyond it
+        full = near.groupBy("structure_id", "atom_index").agg(F.count_if(F.col("r") < F.col("reach") - 1e-7).alias("_c"), F.max(F.col("reach") >= F.col("_most")).alias("_all"))
+        full = full.where(F.col("_all") | (F.col("_c") >= (1 if ties else n))).select("structure_id", "atom_index")
+        done = near.join(full, ["structure_id", "atom_index"], "left_semi").select("structure_id", "point_id")
+        found = done if found is None else found.unionByName(done)
+        todo = stored(todo.join(full, ["structure_id", "atom_index"], "left_anti").join(geo.where("reach < _most").select("structure_id"), "structure_id", "left_semi"))
+        if todo.isEmpty():
+            return found.distinct()
+        geo = geo.withColumn("reach", F.least(F.col("reach") * 2, F.col("_most")))
 
 
 def shift_positive(df: DataFrame, column: str, margin: float = 1e-6) -> DataFrame:

@@ -47,23 +47,23 @@ d AS (SELECT structure_id, point_id, atom_index, sqrt((a * du + 0.1 * a * dv) **
 """)
 
 
-def _distances(spark, sf_dir):
-    return s.distances(_points(spark, sf_dir), v.atoms(spark, sf_dir), v.cells(spark, sf_dir))
+def _all_three(spark, sf_dir):
+    return _points(spark, sf_dir), v.atoms(spark, sf_dir), v.cells(spark, sf_dir)
 
 
 @query(DIST_SQL + "SELECT DISTINCT structure_id, point_id FROM d WHERE r <= 1.5013")
 def points_near_atoms(spark, sf_dir):
-    return s.near_atoms(_distances(spark, sf_dir), 1.5013)
+    return s.near_atoms(*_all_three(spark, sf_dir), 1.5013)
 
 
 @query(DIST_SQL + "SELECT DISTINCT structure_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY structure_id, atom_index ORDER BY round(r, 8), point_id) AS n FROM d) WHERE n <= 3")
 def points_knn_atoms(spark, sf_dir):
-    return s.nearest_of_atoms(_distances(spark, sf_dir), 3)
+    return s.nearest_of_atoms(*_all_three(spark, sf_dir), 3)
 
 
 @query(DIST_SQL + "SELECT DISTINCT structure_id, point_id FROM (SELECT *, rank() OVER (PARTITION BY structure_id, atom_index ORDER BY round(r, 8)) AS n FROM d) WHERE n = 1")
 def points_nearest_atom(spark, sf_dir):
-    return s.nearest_of_atoms(_distances(spark, sf_dir), 1, ties=True)
+    return s.nearest_of_atoms(*_all_three(spark, sf_dir), 1, ties=True)
 
 
 @query(with_views("points", "SELECT structure_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY (point_id * 7919) % 1000003, point_id) AS n FROM points) WHERE n <= 3"))
