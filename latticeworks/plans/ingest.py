@@ -220,3 +220,27 @@ def ingest_directory(spark, sf_dir):
         "name", F.when(F.col("species").isNotNull(), F.size("species")).alias("n_atoms"), (F.round("energy", 4) + 0.0).alias("energy"), (F.round(x * y * z, 4) + 0.0).alias("volume"), total("positions", 0).alias("u"),
         (F.round(F.aggregate("forces", F.lit(0.0), lambda s, q: s + q[2]), 4) + 0.0).alias("force"), sum(diagonal("stress"), F.lit(0.0)).alias("stress"), "n_points", F.array_join("files", ",").alias("files"),
     )
+
+
+#: How a file of each kind is damaged (a pattern and what takes its place), and the reason for which it is rejected.
+DAMAGE = {
+    "castep": (r"^", "Warning: electronic minimisation did not converge when finding ground state.\n", "electronic cycles did not converge"), "md": ("<-- h", "<-- q", "no cell"), "geom": (r" Zn 1 [^\n]*<-- R\n", "", "forces do not match species"),
+    "den_fmt": (r" 2 1 1 2\.0\n", "", "grid is not whole"), "profess": (r"\(Angstrom\)", "(Bohr)", "length unit is not read"), "den": ("# of spins: 1", "# of spins: 2", "more than one spin"), "ion": (r"Zn 0\.50", "Zn what", "positions do not match species"),
+    "final.geom": ("LATTICE_CART", "LATTICE_OTHER", "no cell"), "contcar": (r"1 1\nDirect", "1 x\nDirect", "no positions"), "xml": ("</calculation>", "", "no cell"),
+}
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 10 AS f, s_suppkey % 3 = 0 AS bad FROM supplier)
+SELECT 'reject' AS what, 'S' || k || '.' || CASE f {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(KINDS))} END AS name, CASE f {' '.join(f"WHEN {i} THEN '{DAMAGE[x][2]}'" for i, x in enumerate(KINDS))} END AS reason FROM s WHERE bad
+UNION ALL SELECT 'structure', 'S' || k || CASE WHEN f = 1 THEN '-' || n ELSE '' END, NULL FROM s, (VALUES (1), (2)) x(n) WHERE (n = 2 OR f = 1) AND (NOT bad OR f = 5)""")
+def ingest_rejects(spark, sf_dir):
+    """Files of all ten kinds, every third damaged: the structures of the others, and a reason for each damaged file."""
+    files = rendered(spark, sf_dir).withColumn("kind", F.regexp_extract("file", r"^[^.]*\.(.*)$", 1)).withColumn("own", F.regexp_extract("file", r"^S(\d+)", 1).cast("long"))
+    text = F.col("text")
+    for kind, (pattern, put, _) in DAMAGE.items():
+        # the companion of a flat grid stays whole
+        text = F.when((F.col("kind") == kind) & (F.col("own") % 3 == 0) & (F.col("own") % 10 == KINDS.index(kind)), F.regexp_replace("text", pattern, put)).otherwise(text)
+    folder = f"{shared_folder(spark)}/damaged-{uuid.uuid4().hex}"
+    stored(wr.write_files(files.select("file", text.alias("text")), folder))
+    good, rejects = rd.read_checked(spark, folder)
+    return rejects.select(F.lit("reject").alias("what"), F.col("file").alias("name"), "reason").unionByName(good.select(F.lit("structure").alias("what"), "name", F.lit(None).cast("string").alias("reason")))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from latticeworks.operators.structures import merge_by_precedence
 
 from .lines import frames, gathered, in_order, in_splits, nth, numbers, places, read_lines, scan_text, tag_blocks, words
+from .store import stored
 
 #: CODATA 2002 units, as the trajectory files' writer uses them.
 HARTREE, BOHR, GPA = 27.2113845, 0.5291772108, 29421.0124
@@ -369,7 +370,70 @@ def quality(structures: DataFrame) -> DataFrame:
     return checked(structures, [(a, F.coalesce(b, F.lit(False))) for a, b in rules])
 
 
+#: Units that are read, by what a log or an orbital-free log prints them for.
+UNITS = {"length": "A", "energy": "eV", "force": "eV/A", "pressure": "GPa"}
+#: What a structure from a file of each kind must have.
+NEEDS = {"castep": "cell positions energy", "md": "cell positions energy", "geom": "cell positions energy", "den_fmt": "cell grid", "profess": "energy cell", "den": "grid", "ion": "cell positions", "final.geom": "cell positions", "contcar": "cell positions", "xml": "cell positions energy"}
+
+
 def unconverged(lines: DataFrame) -> DataFrame:
     """(file, reason) of logs whose electronic or geometry cycles did not converge."""
-    reason = F.when(F.col("line").contains("SCF cycles performed but system has not reached the groundstate"), "electronic").when(F.lower("line").contains("failed to converge"), "geometry")
+    line = F.col("line")
+    electronic = line.contains("SCF cycles performed but system has not reached the groundstate") | line.contains("electronic minimisation did not converge")
+    reason = F.when(electronic, "electronic").when(F.lower("line").contains("failed to converge"), "geometry")
     return lines.select("file", reason.alias("reason")).where("reason IS NOT NULL").distinct()
+
+
+def line_faults(logs: DataFrame, free: DataFrame) -> DataFrame:
+    """(file, reason) of faults that a file states: cycles that did not converge, a relaxation that did nothing, units that are not read."""
+    line = F.col("line")
+    stopped = unconverged(logs).select("file", F.concat("reason", F.lit(" cycles did not converge")).alias("reason"))
+    told = F.regexp_extract(line, r"^\s*output\s+(length|energy|force|pressure) unit\s*:\s*(\S+)", 1)
+    unit, right = F.regexp_extract(line, r"unit\s*:\s*(\S+)", 1), F.coalesce(*(F.when(told == k, F.lit(u)) for k, u in UNITS.items()))
+    units = logs.where((told != "") & (unit != right)).select("file", F.concat(told, F.lit(" unit is not read")).alias("reason"))
+    idle = logs.where(line.contains("there is nothing to optimise")).select("file", F.lit("nothing was optimised").alias("reason"))
+    cell = F.lower(F.regexp_extract(line, r"LATTICE VECTORS\s*\(([^)]*)\)", 1))
+    energy = F.lower(F.regexp_extract(line, r"^#\s+TOTAL ENERGY\s*=\s*\S+\s+([A-Za-z]+)", 1))
+    other = F.when((cell != "") & (cell != "angstrom"), "length unit is not read").when((energy != "") & (energy != "ev"), "energy unit is not read")
+    return reduce(DataFrame.unionByName, [stopped, units, idle, free.select("file", other.alias("reason")).where("reason IS NOT NULL")]).distinct()
+
+
+def row_fault() -> Column:
+    """Of a reader's row (before merging) the first rule that it breaks, or null. What is no number was read as null."""
+    n, cell = F.size("species"), F.col("cell")
+    needs = lambda what: F.coalesce(*(F.when(F.col("ext") == e, F.lit(what in have.split())) for e, have in NEEDS.items()))
+    bad = lambda c: F.exists(c, lambda r: r.isNull() | (F.size(r) != 3) | F.exists(r, lambda x: x.isNull() | F.isnan(x)))
+    c = lambda i, j: nth(nth(cell, i), j % 3)
+    det = sum((c(0, i) * (c(1, i + 1) * c(2, i + 2) - c(1, i + 2) * c(2, i + 1)) for i in range(3)), F.lit(0.0))
+    rules = [
+        ("no cell", needs("cell") & cell.isNull()), ("cell is not 3 x 3 numbers", cell.isNotNull() & ((F.size("cell") != 3) | bad("cell"))), ("cell is flat", cell.isNotNull() & (det == 0)), ("no grid", needs("grid") & (F.col("grid").isNull() | F.exists("grid", lambda x: x.isNull()))),
+        ("no positions", needs("positions") & F.col("positions").isNull()), ("positions do not match species", F.col("positions").isNotNull() & (F.col("species").isNull() | (F.size("positions") != n) | bad("positions"))),
+        ("no energy", needs("energy") & (F.col("energy").isNull() | F.isnan("energy"))), ("forces do not match species", F.col("forces").isNotNull() & F.col("species").isNotNull() & ((F.size("forces") != n) | bad("forces"))), ("stress is not 3 x 3 numbers", F.col("stress").isNotNull() & ((F.size("stress") != 3) | bad("stress"))),
+        ("grid is not whole", F.col("grid").isNotNull() & (F.col("n_points") != F.aggregate("grid", F.lit(1).cast("long"), lambda p, x: p * x))),
+    ]
+    out = F.lit(None).cast("string")
+    for reason, broken in reversed(rules):
+        out = F.when(F.coalesce(broken, F.lit(False)), reason).otherwise(out)
+    return out
+
+
+def read_checked(spark: SparkSession, paths: str | list[str], merge: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(structures as from read_directory, rejects) of files that may be damaged.
+
+    rejects (folder, file, ext, reason) has one row for every file with a fault: what it states itself (see line_faults), else the first
+    rule that one of its structures breaks, else that nothing could be read from it. Structures of a file that states a fault, and others
+    that break a rule, are left out; all others are kept. Files that no reader takes are no rejects (see unsupported).
+    """
+    path = F.concat_ws("/", F.nullif("folder", F.lit("")), F.col("files")[0])
+    rows = stored(read_directory(spark, paths, merge=False).withColumn("path", path).withColumn("reason", row_fault()))  # both tables read it
+    of = lambda e: scan_text(spark, paths, [e])
+    spins = flat_numbers(spark, paths).where("n = 4 AND x <> 1").select("file", F.lit("more than one spin").alias("reason"))
+    told = line_faults(of("castep"), of("profess")).unionByName(spins).select(F.col("file").alias("path"), "reason").groupBy("path").agg(F.min("reason").alias("told"))
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"))  # no content is read
+    listed = listed.withColumn("file", F.regexp_extract("path", r"([^/]*)$", 1)).withColumn("ext", F.lower(F.regexp_extract("file", r"^[^.]*\.(.*)$", 1))).where(F.col("ext").isin(*PRECEDENCE))
+    seen = rows.groupBy("path").agg(F.min("reason").alias("broken"))
+    every = listed.join(told, "path", "left").join(seen.withColumn("seen", F.lit(True)), "path", "left")
+    reason = F.coalesce("told", "broken", F.when(F.col("seen").isNull(), F.lit("nothing could be read")))
+    rejects = every.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "file", "ext", reason.alias("reason")).where("reason IS NOT NULL")
+    good = rows.where("reason IS NULL").join(told, "path", "left_anti").drop("path", "reason")
+    return merge_by_precedence(good, list(FIELDS), ["folder", "name"]) if merge else good, rejects
