@@ -226,7 +226,7 @@ def ingest_directory(spark, sf_dir):
 DAMAGE = {
     "castep": (r"^", "Warning: electronic minimisation did not converge when finding ground state.\n", "electronic cycles did not converge"), "md": ("<-- h", "<-- q", "no cell"), "geom": (r" Zn 1 [^\n]*<-- R\n", "", "forces do not match species"),
     "den_fmt": (r" 2 1 1 2\.0\n", "", "grid is not whole"), "profess": (r"\(Angstrom\)", "(Bohr)", "length unit is not read"), "den": ("# of spins: 1", "# of spins: 2", "more than one spin"), "ion": (r"Zn 0\.50", "Zn what", "positions do not match species"),
-    "final.geom": ("LATTICE_CART", "LATTICE_OTHER", "no cell"), "contcar": (r"1 1\nDirect", "1 x\nDirect", "no positions"), "xml": ("</calculation>", "", "no cell"),
+    "final.geom": ("LATTICE_CART", "LATTICE_OTHER", "no cell"), "contcar": (r"1 1\nDirect", "1 x\nDirect", "positions do not match species"), "xml": ("</calculation>", "", "no cell"),
 }
 
 

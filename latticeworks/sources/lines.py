@@ -73,6 +73,11 @@ def words(line: Column) -> Column:
     return F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != "")
 
 
+def leading(line: Column, n: int = 3) -> Column:
+    """The first n words of a line as numbers; null in place of a word that is none."""
+    return F.transform(F.slice(words(line), 1, n), lambda x: F.regexp_replace(x, "[dD]", "E").try_cast("double"))
+
+
 def last_run(lines: DataFrame, marker: str = "Run started", by: str = "file") -> DataFrame:
     """The lines from a file's last marker on; all of them where there is none."""
     rows = in_splits(lines)

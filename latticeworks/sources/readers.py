@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.operators.structures import merge_by_precedence
 
-from .lines import frames, gathered, in_order, in_splits, nth, numbers, places, read_lines, scan_text, tag_blocks, words
+from .lines import frames, gathered, in_order, in_splits, leading, nth, numbers, places, read_lines, scan_text, tag_blocks, words
 from .store import stored
 
 #: CODATA 2002 units, as the trajectory files' writer uses them.
@@ -63,7 +63,7 @@ def log_blocks(lines: DataFrame) -> DataFrame:
     rows = rows.join(told, key).where("_start IS NULL OR pos >= _start").withColumn("kind", F.when(F.col("_start").isNull() | (F.col("_told.pos") >= F.col("_start")), F.col("_told._kind")))
     tagged = tag_blocks(rows.drop("_run", "_kind", "_start", "_told"), {"cell": line.contains("Real Lattice(A)"), "atoms": line.contains("Fractional coordinates of atoms"), "forces": line.rlike(r"\*+ (Symmetrised |Constrained |Unconstrained )*Forces \*+"), "stress": line.rlike(r"\*+ (Symmetrised )?Stress Tensor \*+"), "other": line.contains("Lattice parameters(A)") | line.contains("Pressure:")})
     block, n = F.col("block"), numbers(line)
-    holds = F.when((block == "cell") & F.col("since").between(1, 3), F.slice(n, 1, 3)).when((block == "atoms") & line.rlike(FRACTIONAL), F.slice(n, 2, 3)).when((block == "forces") & line.rlike(PUSH), F.slice(n, 2, 3))
+    holds = F.when((block == "cell") & F.col("since").between(1, 3), leading(line)).when((block == "atoms") & line.rlike(FRACTIONAL), F.slice(n, 2, 3)).when((block == "forces") & line.rlike(PUSH), F.slice(n, 2, 3))
     holds = holds.when((block == "stress") & line.rlike(r"^\s*\*\s+[xyz]\s+[-+.\d]"), F.slice(n, 1, 3))
     return tagged.withColumn("v", holds).withColumn("sp", F.regexp_extract("line", FRACTIONAL, 1))
 
@@ -144,7 +144,7 @@ def grid_density(lines: DataFrame) -> DataFrame:
     """(name, file, a, b, c, x, y, z, raw, density, n1, n2, n3, cell) of grid files: x = ((a, b, c) - 1) / n times the cell."""
     lines = in_splits(lines)
     tagged = tag_blocks(lines, {"cell": F.col("line").contains("Real Lattice(A)"), "data": F.col("line").contains("END header"), "grid": F.col("line").contains("FFT grid")})
-    row = F.slice(numbers(F.col("line")), 1, 3)
+    row = leading(F.col("line"))
     cell = (F.col("block") == "cell") & F.col("since").between(1, 3)
     head = tagged.where(cell | F.col("line").contains("FFT grid")).groupBy("file").agg(in_order(row, cell).alias("cell"), F.max_by(row, F.when(F.col("line").contains("FFT grid"), F.col("pos"))).alias("n")).where("cell IS NOT NULL AND n IS NOT NULL")
     rows = tagged.where((F.col("block") == "data") & F.col("line").rlike(GRID_ROW)).select("file", "name", "split", numbers(F.col("line")).alias("v"))
@@ -206,7 +206,7 @@ def coordinate_file(lines: DataFrame) -> DataFrame:
     selective = F.lower(F.substring(after, 1, 1)) == "s"
     mode = F.when(selective, F.when(named, F.col("l8")).otherwise(F.col("l7"))).otherwise(after)
     kinds = F.when(named, words(F.col("l5"))).otherwise(F.transform(F.sequence(F.lit(1), F.size(counts)), lambda x: x.cast("string")))
-    scale, vectors = F.col("l1").try_cast("double"), [F.slice(numbers(F.col(f"l{k}")), 1, 3) for k in (2, 3, 4)]
+    scale, vectors = F.col("l1").try_cast("double"), [leading(F.col(f"l{k}")) for k in (2, 3, 4)]
     head = head.select("file", "name", F.array(*vectors).alias("raw"), scale.alias("scale"), kinds.alias("kinds"), counts.alias("counts"), F.lower(F.substring(mode, 1, 1)).alias("mode"), (F.lit(7) + F.coalesce(named, F.lit(True)).cast("int") + F.coalesce(selective, F.lit(False)).cast("int")).alias("from"))
     c = lambda i, j: nth(nth(F.col("raw"), i), j % 3)
     minor = lambda i: c(1, i + 1) * c(2, i + 2) - c(1, i + 2) * c(2, i + 1)
@@ -287,7 +287,7 @@ def grid_structures(lines: DataFrame) -> DataFrame:
     tagged = tag_blocks(lines, {"cell": line.contains("Real Lattice(A)"), "data": line.contains("END header"), "grid": line.contains("FFT grid")})
     cell = (F.col("block") == "cell") & F.col("since").between(1, 3)
     size = F.transform(F.slice(numbers(line), 1, 3), lambda x: x.try_cast("int"))
-    made = tagged.groupBy("file", "name").agg(in_order(F.slice(numbers(line), 1, 3), cell).alias("cell"), F.max_by(size, F.when(line.contains("FFT grid"), F.col("pos"))).alias("grid"), F.count_if((F.col("block") == "data") & line.rlike(GRID_ROW)).alias("n_points"))
+    made = tagged.groupBy("file", "name").agg(in_order(leading(line), cell).alias("cell"), F.max_by(size, F.when(line.contains("FFT grid"), F.col("pos"))).alias("grid"), F.count_if((F.col("block") == "data") & line.rlike(GRID_ROW)).alias("n_points"))
     return _structures(made, "den_fmt")
 
 
@@ -421,7 +421,7 @@ def read_checked(spark: SparkSession, paths: str | list[str], merge: bool = True
     """(structures as from read_directory, rejects) of files that may be damaged.
 
     rejects (folder, file, ext, reason) has one row for every file with a fault: what it states itself (see line_faults), else the first
-    rule that one of its structures breaks, else that nothing could be read from it. Structures of a file that states a fault, and others
+    rule that one of its structures breaks, else that nothing could be read from it (an empty file has no row anywhere). Structures of a file that states a fault, and others
     that break a rule, are left out; all others are kept. Files that no reader takes are no rejects (see unsupported).
     """
     path = F.concat_ws("/", F.nullif("folder", F.lit("")), F.col("files")[0])

@@ -141,3 +141,27 @@ def test_forms_of_coordinate_files(spark, tmp_path):
     for name, (_, species, place) in FORMS.items():
         assert (got[name].species, got[name].positions) == (species, [place, [0.0, 0.0, 0.0]]), name
     assert got["volume"].cell[0] == pytest.approx([3.0, 0.0, 0.0]) and got["broken"].cell is None and got["broken"].positions is None
+
+
+def test_rejects_in_two_folders(spark, tmp_path):
+    """Damaged and whole files of each kind: the whole ones are read, each damaged one has one reason."""
+    whole = {"A1.castep": LOG, "run.md": MD, "A1.den_fmt": DEN_FMT, "B2.ion": ION, "B2.profess": PROFESS, "C3.contcar": CONTCAR, "D4.xml": XML, "F6.geom": MD, "G7.final.geom": ION, "H8.castep": STEPS, "B2.den": "x-dimension: 2 y-dimension: 1 z-dimension: 1 # of spins: 1 1.0 2.0", "notes.txt": "x"}
+    damaged = {
+        "A1.castep": (LOG + "Warning: electronic minimisation did not converge when finding ground state.\n", "electronic cycles did not converge"), "U.castep": (" output        length unit  : Bohr\n" + LOG, "length unit is not read"), "V.castep": ("\n", "no cell"),
+        "W.castep": (LOG.replace("  2.5  0.0  0.0", "  2.5  what  0.0"), "cell is not 3 x 3 numbers"), "X.castep": (LOG.replace(" * Zn  1   -0.1   -0.2   0.3 *\n", ""), "forces do not match species"),
+        "run.md": (MD.replace(" Al 1 1.0 0.5 0.0 <-- R\n", ""), None), "z.md": (MD.replace(" -3.0 -1.0 0.0 <-- E\n", ""), "no energy"), "A1.den_fmt": (DEN_FMT + "  3 1 1 4.0\n", "grid is not whole"), "n.den_fmt": (DEN_FMT.replace("FFT grid", "no grid"), "no grid"),
+        "B2.ion": (ION.replace("0.0 2.0 0.0", "2.0 0.0 0.0"), "cell is flat"), "B2.profess": (PROFESS.replace("-3.25E+01 eV", "-3.25E+01 Ha"), "energy unit is not read"), "C3.contcar": (CONTCAR.replace("1.0 1.0 1.0\n0.5 0.0 0.0\n", ""), "positions do not match species"),
+        "D4.xml": (XML.replace("-4.0", "x"), None), "B2.den": ("x-dimension: 2 y-dimension: 2 z-dimension: 1 # of spins: 1 1.0 2.0", "grid is not whole"), "S.den": ("x-dimension: 1 y-dimension: 1 z-dimension: 1 # of spins: 2 1.0", "more than one spin"), "E.den": ("no numbers", "nothing could be read"),
+    }
+    for folder, files in (("good", whole), ("bad", {k: t for k, (t, _) in damaged.items()})):
+        (tmp_path / folder).mkdir()
+        for name, text in files.items():
+            (tmp_path / folder / name).write_text(text)
+    structures, rejects = rd.read_checked(spark, [str(tmp_path / "good"), str(tmp_path / "bad")])
+    got = {(r.folder.rsplit("/", 1)[1], r.file): r.reason for r in rejects.collect()}
+    fixed = {("bad", k): why for k, (_, why) in damaged.items() if why}
+    assert {k: v for k, v in got.items() if k in fixed} == fixed
+    assert set(got) - set(fixed) <= {("bad", "run.md"), ("bad", "D4.xml")} and rejects.count() == len(got)
+    names = {(r.folder.rsplit("/", 1)[1], r.name) for r in structures.collect()}
+    assert {n for f, n in names if f == "good"} == {r.name for r in rd.read_directory(spark, str(tmp_path / "good")).collect()}
+    assert {n for f, n in names if f == "bad"} <= {"run-1", "z-1", "D4"} and ("bad", "z-1") in names
