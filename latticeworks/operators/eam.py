@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.functions.basis import PI, cos_k, damping, sin_k, taper, taper_slope
 from latticeworks.operators.neighbours import atom_centres, k_nearest, neighbours
-from latticeworks.operators.regression import Moments, quadratic
+from latticeworks.operators.regression import Moments, gram_rows, quadratic
 from latticeworks.operators.structures import element_groups, select_structures
 from latticeworks.sources.store import stored
 
@@ -280,6 +280,38 @@ def group_rows(design: DataFrame, groups: DataFrame, columns: DataFrame, k: int)
     return tagged.where(~(F.col("like") & (F.col("grp") == "ALL"))).select("grp", "structure_id", "col", "value")
 
 
+def group_moments(design: DataFrame, target: DataFrame, groups: DataFrame, n_columns: int) -> dict[str, Moments]:
+    """The moments of each group of elements (see element_groups), from one pass: a structure's row counts in every group that it is in.
+
+    design (structure_id, col, value), target (structure_id, t). Tasks sum a matrix for each group; the driver gets one for each element
+    and one for all.
+    """
+    rows = dense(design, ["structure_id"], n_columns).join(target, "structure_id").join(groups, "structure_id")
+    sums = gram_rows(rows.select("grp", "phi", "t"), ["grp"]).toArrow()
+    grp = np.array(sums.column("grp").to_pylist())
+    return {g: Moments.of_table(sums.filter(grp == g)) for g in sorted(set(grp))}
+
+
+def chained_fit(moments: dict[str, Moments], blocks: list[tuple[str, str, int]], k: int, alpha: np.ndarray, beta: float, mixed: str = "ALL") -> list[dict]:
+    """The whole weight vector as (col, w, source): the fit of each element's own structures gives the weights of its like pair, which
+    are held in the fit of all structures; that gives embedding and unlike pairs. An element without structures of its own has like-pair
+    weights of zero, as its prior says."""
+    size, held, out = len(alpha), {}, []
+    span = lambda start: range(start, start + k)
+    for _, key, start in (b for b in blocks if b[0] == "pair"):
+        one, other = key.split("-")
+        if one != other:
+            continue
+        w = np.zeros(size)
+        if one in moments:
+            free = {*span(start), *(c for kind, name, at in blocks if kind == "emb" and name == one for c in span(at))}
+            w = map_weights(alpha, beta, 1.0, moments[one], frozen={c: 0.0 for c in range(size) if c not in free})
+        held |= {c: float(w[c]) for c in span(start)}
+        out += [{"col": c, "w": held[c], "source": one} for c in span(start)]
+    w = map_weights(alpha, beta, 1.0, moments[mixed], frozen=held)
+    return sorted(out + [{"col": c, "w": float(w[c]), "source": mixed} for c in range(size) if c not in held], key=lambda r: r["col"])
+
+
 def damped_fourier(r: Column, weights: list[Column], r_cut: float) -> Column:
     """Sum of w_k cos(k r), damped towards r_cut."""
     return sum((w * F.cos(k * r) for k, w in enumerate(weights)), F.lit(0.0)) * damping(r - r_cut)

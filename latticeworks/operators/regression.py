@@ -61,8 +61,11 @@ class Moments:
     @classmethod
     def of(cls, rows: DataFrame) -> Moments:
         """From gram_rows: a matrix of the number of columns, whatever the number of rows."""
-        t = rows.select("i", "j", "g").toArrow()
-        i, j, g = (t.column(k).to_numpy() for k in ("i", "j", "g"))
+        return cls.of_table(rows.select("i", "j", "g").toArrow())
+
+    @classmethod
+    def of_table(cls, t: pa.Table) -> Moments:
+        i, j, g = (t.column(k).combine_chunks().to_numpy() for k in ("i", "j", "g"))
         full = np.zeros((int(j.max()) + 1,) * 2)
         full[i, j] = full[j, i] = g
         return cls(full[:-2, :-2], full[:-2, -2], full[-2, -2], full[-2, -1], full[-1, -1], full[:-2, -1])

@@ -363,6 +363,38 @@ def eam_frozen_fit(spark, sf_dir):
     return _weights(spark, map_weights(spark, sf_dir, HELD), FREE)
 
 
+def _chained_sql() -> str:
+    """Pure-element solves, their like-pair weights in the solve of all structures, and all weights together."""
+    def matrix(name: str, grp: str, cols: list[int]) -> str:
+        own = ", ".join(map(str, cols))
+        return f""", a{name} AS (SELECT x.i, y.i AS j, {BETA_E} * coalesce(g.g, 0) + CASE WHEN x.i = y.i THEN {ALPHA} ELSE 0 END AS v FROM cols x, cols y LEFT JOIN gg g ON g.grp = '{grp}' AND g.i = x.i AND g.j = y.i WHERE x.i IN ({own}) AND y.i IN ({own})),
+b{name} AS (SELECT cols.i, {BETA_E} * coalesce(gb.b, 0) AS v FROM cols LEFT JOIN gb ON gb.grp = '{grp}' AND gb.i = cols.i WHERE cols.i IN ({own}))"""
+
+    start = {(kind, key): at for kind, key, at in BLOCKS}
+    span = lambda at: list(range(at, at + K))
+    body, pure = "", []
+    for s in "ANR":
+        like = span(start["pair", f"{s}-{s}"])
+        body += matrix(s, s, span(start["emb", s]) + like) + solution_sql(f"fit{s}", f"a{s}", f"b{s}")
+        pure.append(f"SELECT i AS col, w, '{s}' AS source FROM fit{s} WHERE i IN ({', '.join(map(str, like))})")
+    body += f", pure AS ({' UNION ALL '.join(pure)})" + matrix("every", "ALL", list(range(N_COLUMNS)))
+    body += f", af AS (SELECT * FROM aevery WHERE i IN ({_free}) AND j IN ({_free})), bf AS (SELECT b.i, b.v - coalesce((SELECT sum(a.v * w) FROM aevery a JOIN pure ON col = j WHERE a.i = b.i), 0) AS v FROM bevery b WHERE b.i IN ({_free}))"
+    groups = f""", k AS (SELECT structure_id, count(DISTINCT species) AS k, min(species) AS one FROM atoms GROUP BY structure_id), grp AS (SELECT structure_id, one AS grp FROM k WHERE k = 1 UNION ALL SELECT structure_id, 'ALL' FROM k), cols AS (SELECT unnest(range({N_COLUMNS})) AS i),
+gg AS (SELECT grp, x.col AS i, y.col AS j, sum(x.value * y.value) AS g FROM design x JOIN design y USING (structure_id) JOIN grp USING (structure_id) GROUP BY ALL), gb AS (SELECT grp, col AS i, sum(value * t) AS b FROM design JOIN target USING (structure_id) JOIN grp USING (structure_id) GROUP BY ALL)"""
+    last = solution_sql("fit", "af", "bf") + "SELECT CAST(col AS INTEGER) AS col, round(w, 5) + 0.0 AS w, source FROM pure UNION ALL SELECT CAST(i AS INTEGER), round(w, 5) + 0.0, 'ALL' FROM fit"
+    return (ERR_SQL + groups + body + last).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_chained_sql())
+def eam_group_fit(spark, sf_dir):
+    """Fits by groups of elements from one pass over the data, chained to one weight vector."""
+    atoms = v.atoms(spark, sf_dir)
+    target = formation_energy(spark, sf_dir).withColumnRenamed("formation", "t")
+    moments = e.group_moments(energy_design(spark, sf_dir), target, e.element_groups(atoms), N_COLUMNS)
+    fit = e.chained_fit(moments, BLOCKS, K, np.full(N_COLUMNS, ALPHA), BETA_E)
+    return spark.createDataFrame([(r["col"], round(r["w"], 5) + 0.0, r["source"]) for r in fit], "col int, w double, source string")
+
+
 @query()
 def eam_hyper_update(spark, sf_dir):
     """Noise and prior that maximise the log-joint at the fitted weights, over alternating rounds."""
