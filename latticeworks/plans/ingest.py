@@ -244,3 +244,21 @@ def ingest_rejects(spark, sf_dir):
     stored(wr.write_files(files.select("file", text.alias("text")), folder))
     good, rejects = rd.read_checked(spark, folder)
     return rejects.select(F.lit("reject").alias("what"), F.col("file").alias("name"), "reason").unionByName(good.select(F.lit("structure").alias("what"), "name", F.lit(None).cast("string").alias("reason")))
+
+
+#: Points of a grid along each axis, values of a part.
+SHAPE, PART_VALUES = (3, 2, 4), 7
+
+
+@query(f"""WITH g AS (SELECT s_suppkey AS structure_id, k, floor(s_acctbal) + k * (s_suppkey % 7) AS d FROM supplier, (SELECT unnest(range({SHAPE[0] * SHAPE[1] * SHAPE[2]})) AS k))
+SELECT 'S' || structure_id AS name, CAST(k % {SHAPE[0]} AS INTEGER) AS u, CAST(k // {SHAPE[0]} % {SHAPE[1]} AS INTEGER) AS v, CAST(k // {SHAPE[0] * SHAPE[1]} AS INTEGER) AS w, round(greatest(d, 0), 6) + 0.0 AS density, {107 + 27 * SHAPE[0] * SHAPE[1] * SHAPE[2]} AS bytes FROM g""")
+def export_flat_grid(spark, sf_dir):
+    """Each supplier's grid in parts, joined to a file by the manifest, and read back."""
+    nu, nv, nw = SHAPE
+    k = F.col("k")
+    grid = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("structure_id"), F.floor("s_acctbal").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nu * nv * nw - 1))).alias("k"))
+    grid = grid.select("structure_id", k.alias("point_id"), (k % nu / nu).alias("u"), (F.floor(k / nu) % nv / nv).alias("v"), (F.floor(k / (nu * nv)) / nw).alias("w"), (F.col("b") + k * (F.col("structure_id") % 7)).cast("double").alias("density"))
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    made = stored(wr.join_parts(stored(wr.write_parts(wr.grid_parts(grid, PART_VALUES), f"{folder}/parts")), f"{folder}/whole"))
+    sizes = made.select(F.concat(F.lit("S"), F.col("structure_id").cast("string")).alias("name"), F.col("bytes").cast("int").alias("bytes"))
+    return rd.read_flat_grid(spark, f"{folder}/whole").select("name", "u", "v", "w", *r6("density")).join(sizes, "name").select("name", "u", "v", "w", "density", "bytes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
@@ -50,8 +52,7 @@ def write_files(texts: DataFrame, folder: str) -> DataFrame:
     that runs twice writes the same files again."""
 
     def write(batches):
-        place = folder.removeprefix("file://") if folder.startswith("file:") else folder
-        fs, path = (pafs.LocalFileSystem(), place) if "://" not in place else pafs.FileSystem.from_uri(place)
+        fs, path = _place(folder)
         fs.create_dir(path, recursive=True)
         for b in batches:
             sizes = []
@@ -84,6 +85,85 @@ def linearised(grid: DataFrame) -> DataFrame:
     return grid.withColumn("place", place).withColumn("value", F.greatest("density", F.lit(0.0)) / 1.8897259886**3)
 
 
+#: Values of a part of a grid's file, width of a value, bytes that are copied at once.
+PART, VALUE, COPY = 1 << 16, " %26.16e", 1 << 20
+
+
+def grid_places(grid: DataFrame) -> DataFrame:
+    """(structure_id, n_u, n_v, n_w, place, value) of whole grids (see grid_report): place counts u fastest, value is as in linearised.
+
+    A point's place follows from where its coordinates stand among the distinct ones of each axis, so no grid is sorted as a whole.
+    """
+    sizes = grid_report(grid).where("complete").select("structure_id", "n_u", "n_v", "n_w")
+    out = grid.join(sizes, "structure_id")
+    for c in "uvw":
+        axis = grid.select("structure_id", F.round(c, 8).alias(f"_{c}")).distinct()  # an axis has few values
+        axis = axis.withColumn(f"i_{c}", F.row_number().over(Window.partitionBy("structure_id").orderBy(f"_{c}")).cast("long") - 1)
+        out = out.withColumn(f"_{c}", F.round(c, 8)).join(axis, ["structure_id", f"_{c}"])
+    place = (F.col("i_w") * F.col("n_v") + F.col("i_v")) * F.col("n_u") + F.col("i_u")
+    return out.select("structure_id", "n_u", "n_v", "n_w", place.alias("place"), (F.greatest("density", F.lit(0.0)) / 1.8897259886**3).alias("value"))
+
+
+def grid_parts(grid: DataFrame, part: int = PART) -> DataFrame:
+    """(structure_id, part, offset, text): the file of a grid (see flat_grid_text) in parts of so many values; values have one width, so
+    the first byte of a part is known without those before it. The first part begins with the dimensions."""
+    placed = grid_places(grid).withColumn("part", F.floor(F.col("place") / part))
+    pair = F.struct("place", F.format_string(VALUE, "value").alias("t"))
+    made = placed.groupBy("structure_id", "n_u", "n_v", "n_w", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["t"]), "").alias("text"))
+    head = F.format_string("  x-dimension:%12d   y-dimension:%12d   z-dimension:%12d   # of spins: %12d", "n_u", "n_v", "n_w", F.lit(1))
+    first = F.col("part") == 0
+    return made.select("structure_id", "part", F.when(first, 0).otherwise(F.length(head) + F.col("part") * part * len(VALUE % 0.0)).alias("offset"), F.when(first, F.concat(head, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def _place(folder: str) -> tuple[pafs.FileSystem, str]:
+    plain = folder.removeprefix("file://") if folder.startswith("file:") else folder
+    return (pafs.LocalFileSystem(), plain) if "://" not in plain else pafs.FileSystem.from_uri(plain)
+
+
+def write_parts(parts: DataFrame, folder: str) -> DataFrame:
+    """Writes each part of grid_parts to a file of its own; the manifest (structure_id, part, offset, bytes, path), which must be stored
+    before it is read twice: names are those of an attempt, so what a lost attempt leaves behind is in no manifest."""
+
+    def write(batches):
+        fs, path = _place(folder)
+        fs.create_dir(path, recursive=True)
+        for b in batches:
+            names, sizes = [], []
+            for key, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                names.append(f"{path}/{key}-{part}-{uuid.uuid4().hex}.part")
+                raw = text.as_py().encode()
+                with fs.open_output_stream(names[-1], compression=None) as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), pa.array(sizes, pa.int64()), pa.array(names)], ["structure_id", "part", "offset", "bytes", "path"])
+
+    own = parts.select(F.col("structure_id").cast("long").alias("structure_id"), F.col("part").cast("long").alias("part"), F.col("offset").cast("long").alias("offset"), "text")
+    return own.mapInArrow(write, "structure_id long, part long, offset long, bytes long, path string")
+
+
+def join_parts(manifest: DataFrame, folder: str) -> DataFrame:
+    """(structure_id, file, bytes): the parts of each manifest entry one after the other in <folder>/S<structure_id>.den. A task copies a
+    file in pieces of COPY bytes; parts that do not follow each other are an error."""
+
+    def join(table: pa.Table) -> pa.Table:
+        fs, path = _place(folder)
+        fs.create_dir(path, recursive=True)
+        table, at = table.sort_by("offset"), 0
+        key = table.column("structure_id")[0].as_py()
+        name = f"{path}/S{key}.den"
+        with fs.open_output_stream(name, compression=None) as out:
+            for offset, size, part in zip(table.column("offset").to_pylist(), table.column("bytes").to_pylist(), table.column("path").to_pylist(), strict=True):
+                if offset != at:
+                    raise ValueError(f"{name}: byte {at} is missing")
+                with fs.open_input_stream(part, compression=None) as source:
+                    while piece := source.read(COPY):
+                        out.write(piece)
+                at += size
+        return pa.table({"structure_id": pa.array([key], pa.int64()), "file": [f"S{key}.den"], "bytes": pa.array([at], pa.int64())})
+
+    return manifest.groupBy("structure_id").applyInArrow(join, "structure_id long, file string, bytes long")
+
+
 def potential_text(tables: DataFrame) -> DataFrame:
     """(text): blocks of tables (kind, key, bin, y) in the order of kind, key and bin, one value a line; sorted, not gathered."""
     return tables.orderBy("kind", "key", "bin").select(F.concat(F.when(F.col("bin") == 0, F.concat("kind", F.lit(" "), "key", F.lit("\n"))).otherwise(F.lit("")), F.format_string("%24.16e", "y")).alias("text"))
