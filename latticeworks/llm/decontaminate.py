@@ -40,8 +40,9 @@ WINDOW, LITERALS, FEW, SHORTEST, ANYWHERE, SHARE = 8, 4, 2, 4, 4, 0.3
 #: Kinds of windows: of template words, of own words, of own words that are whole lines, of words with placeholders for numbers and units.
 TEMPLATE, OWN, LINE, NUMERIC = 0, 1, 2, 3
 NO_ID = -(1 << 63)
-#: Bits for each window of the filter that keeps windows of no item inside the task, bits of it at most; more windows take more passes.
-PER_WINDOW, MOST_BITS = 16, 1 << 28
+#: Of the filter that keeps windows of no item inside the task: bits for each window, so many that few others pass, the least of them,
+#: the least and the most bits of a filter; more windows than that take more passes.
+PER_WINDOW, LEAST_PER_WINDOW, LEAST_BITS, MOST_BITS = 1024, 64, 1 << 24, 1 << 28
 #: Units of measure and currency.
 UNITS = "mm cm m km g mg kg t l ml s ms min h hour hours minute minutes second seconds day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds ton tons liter liters litre litres meter meters metre metres gram grams kilogram kilograms dollar dollars euro euros cent cents percent degree degrees kmh mph watt watts volt volts joule joules newton newtons pascal hz khz mhz ghz kb mb gb tb usd eur gbp".split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA1, 0xB2, 0xC3))
@@ -203,8 +204,8 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE, work:
     index = work.put(index.withColumn("rare", place <= F.col("windows") - F.greatest(F.lit(1), F.ceil(F.col("windows") * share)) + 1).drop("often"), "index")
     sorts = sorted((r.kind, r.width) for r in index.select("kind", "width").distinct().collect())
     count = index.count()
-    bits = min(max(1 << 16, 1 << max(PER_WINDOW * count - 1, 1).bit_length()), MOST_BITS)
-    passes = max(1, -(-PER_WINDOW * count // MOST_BITS))
+    bits = min(max(LEAST_BITS, 1 << max(PER_WINDOW * count - 1, 1).bit_length()), MOST_BITS)
+    passes = max(1, -(-LEAST_PER_WINDOW * count // MOST_BITS))
 
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     hits = None
