@@ -30,14 +30,14 @@ def volume(prefix: str = "") -> Column:
 
 
 def fractional(x: Column, y: Column, z: Column, prefix: str = "") -> tuple[Column, Column, Column]:
-    """The inverse of cartesian() by cofactors."""
+    """The inverse of cartesian() by cofactors; null for a flat cell."""
     det = determinant(prefix)
-    return tuple((x * p + y * q + z * r) / det for p, q, r in (_cross("b", "c", prefix), _cross("c", "a", prefix), _cross("a", "b", prefix)))
+    return tuple(F.try_divide(x * p + y * q + z * r, det) for p, q, r in (_cross("b", "c", prefix), _cross("c", "a", prefix), _cross("a", "b", prefix)))
 
 
 def heights(prefix: str = "") -> tuple[Column, Column, Column]:
-    """Distances between the opposite faces of a cell."""
-    return tuple(volume(prefix) / F.sqrt(sum((x * x for x in _cross(p, q, prefix)), F.lit(0.0))) for p, q in ("bc", "ca", "ab"))
+    """Distances between the opposite faces of a cell; null for a flat one."""
+    return tuple(F.try_divide(F.nullif(volume(prefix), F.lit(0.0)), F.sqrt(sum((x * x for x in _cross(p, q, prefix)), F.lit(0.0)))) for p, q in ("bc", "ca", "ab"))
 
 
 def wrapped(u: Column) -> Column:

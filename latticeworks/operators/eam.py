@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.functions.basis import PI, cos_k, damping, sin_k, taper, taper_slope
 from latticeworks.operators.neighbours import atom_centres, k_nearest, neighbours
-from latticeworks.operators.regression import Moments, gram_rows, quadratic
+from latticeworks.operators.regression import GRAM_DDL, Moments, gram_rows, quadratic, triangle
 from latticeworks.operators.structures import element_groups, select_structures
 from latticeworks.sources.store import stored
 
@@ -139,18 +139,40 @@ def by_axis(rows: DataFrame) -> DataFrame:
     return sums.select(*ATOM, F.posexplode(F.array(*AXES)).alias("axis", "f"))
 
 
-def force_rows(near: DataFrame, atoms: DataFrame, form: Form, blocks: list[tuple[str, str, int]], thirds: bool = False) -> DataFrame:
-    """(phi, t) of every atom and axis for Gram sums, atoms (with fx, fy, fz) without neighbours too, scaled so that the squares of a
-    structure's rows are a mean over its atoms; thirds: so that they are a third of the sum."""
-    names = [f"f{n}{x}" for n in range(form.k) for x in AXES]
-    sums = force_sums(near, form).select(*ATOM, "kind", "key", *names, *(F.lit(None).cast("double").alias(f"t{x}") for x in AXES))
-    every = sums.unionByName(atoms.select(*ATOM, F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("key"), *(F.lit(0.0).alias(c) for c in names), *(F.col(f"f{x}").alias(f"t{x}") for x in AXES)))
-    own = lambda kind, key, c: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("key") == key), F.col(c))), F.lit(0.0))
-    cells = {(start + n, x): own(kind, key, f"f{n}{x}") for kind, key, start in blocks for n in range(form.k) for x in AXES}
-    wide = every.groupBy(*ATOM).agg(*(c.alias(f"c{i}{x}") for (i, x), c in cells.items()), *(F.max(f"t{x}").alias(f"t{x}") for x in AXES))
-    size = F.lit(3.0**0.5) if thirds else F.sqrt(F.count("*").over(Window.partitionBy("structure_id")))
-    three = [F.struct(F.array(*(F.col(f"c{i}{x}") / F.col("size") for i in sorted({i for i, _ in cells}))).alias("phi"), (F.col(f"t{x}") / F.col("size")).alias("t")) for x in AXES]
-    return wide.withColumn("size", size).select(F.inline(F.array(*three)))
+def force_gram(near: DataFrame, atoms: DataFrame, form: Form, blocks: list[tuple[str, str, int]], thirds: bool = False) -> DataFrame:
+    """(i, j, g) as from gram_rows, of the rows of every atom and axis, atoms (with fx, fy, fz) without neighbours too, scaled so that the
+    squares of a structure's rows are a mean over its atoms; thirds: so that they are a third of the sum.
+
+    An atom's sums by block are few; they stay together as a list and become rows inside the task that sums their products.
+    """
+    names, size = [f"f{n}{x}" for n in range(form.k) for x in AXES], form.k * len(blocks)
+    start = F.coalesce(*(F.when((F.col("kind") == kind) & (F.col("key") == key), F.lit(at)) for kind, key, at in blocks))
+    sums = force_sums(near, form).withColumn("start", start).where("start IS NOT NULL").select(*ATOM, F.struct("start", *names).alias("s"), *(F.lit(None).cast("double").alias(f"t{x}") for x in AXES))
+    every = sums.unionByName(atoms.select(*ATOM, F.lit(None).cast(sums.schema["s"].dataType).alias("s"), *(F.col(f"f{x}").alias(f"t{x}") for x in AXES)))
+    own = every.groupBy(*ATOM).agg(F.collect_list("s").alias("s"), *(F.max(f"t{x}").alias(f"t{x}") for x in AXES))
+    if thirds:
+        own = own.withColumn("size", F.lit(3.0**0.5))
+    else:
+        counts = atoms.groupBy("structure_id").agg(F.sqrt(F.count("*").cast("double")).alias("size"))
+        own = own.join(counts, "structure_id")
+
+    def make(batches):
+        for b in batches:
+            lists, n = b.column(0), len(b)
+            held, of = lists.flatten(), np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+            scale = b.column(4).to_numpy()
+            x = np.zeros((n, 3, size + 2))
+            at = held.field(0).to_numpy(zero_copy_only=False)
+            for c, name in enumerate(names):
+                x[of, c % 3, at + c // 3] = held.field(1 + c).to_numpy(zero_copy_only=False)
+            for a in range(3):
+                x[:, a, size] = b.column(1 + a).to_numpy(zero_copy_only=False)
+            x[:, :, : size + 1] /= scale[:, None, None]
+            x[:, :, size + 1] = 1
+            if n:
+                yield triangle(x.reshape(3 * n, size + 2))
+
+    return own.select("s", *(f"t{x}" for x in AXES), "size").mapInArrow(make, GRAM_DDL).groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def weighted(design: DataFrame, by: list[str], weights: DataFrame, name: str) -> DataFrame:

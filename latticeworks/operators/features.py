@@ -43,7 +43,7 @@ def triplet_taper(r_ani: float, smooth: float, smooth_low: float = 0.1) -> Colum
 def triplet_sums(triplets: DataFrame, by: list[str], r_ani: float, k_r: int, k_theta: int, smooth: float, kind: str = "cos") -> DataFrame:
     """(by, sp0, sp1, k, value): sums over triplets of g(r0) g(r1) h(theta) and tapers.
 
-    Like pairs use one index for both distances, unlike pairs one for each; k counts indices in row-major order. kind: `cos`;
+    Like pairs use one index for both distances, unlike pairs one for each, so one pass gives both; k counts indices in row-major order. kind: `cos`;
     `sin+cos`, which adds sin(k theta) after each cos(k theta); `poly`, powers of r / r_ani and theta / pi.
     """
     r0, r1, theta = F.col("r0"), F.col("r1"), F.col("theta")
@@ -54,14 +54,12 @@ def triplet_sums(triplets: DataFrame, by: list[str], r_ani: float, k_r: int, k_t
         if kind == "sin+cos":
             angular.append(F.sin(theta * n))
     cut = triplet_taper(r_ani, smooth)
-    like = [radial(r0, a) * radial(r1, a) * h * cut for a in range(k_r) for h in angular]
-    unlike = [radial(r0, a) * radial(r1, b) * h * cut for a in range(k_r) for b in range(k_r) for h in angular]
-    out = None
-    for test, terms in ((F.col("sp0") == F.col("sp1"), like), (F.col("sp0") != F.col("sp1"), unlike)):
-        sums = triplets.where(test).groupBy(*by, "sp0", "sp1").agg(*(F.sum(t).alias(f"f{k}") for k, t in enumerate(terms)))
-        part = sums.select(*by, "sp0", "sp1", F.posexplode(F.array(*(f"f{k}" for k in range(len(terms))))).alias("k", "value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    terms = [radial(r0, a) * radial(r1, b) * h * cut for a in range(k_r) for b in range(k_r) for h in angular]
+    sums = triplets.groupBy(*by, "sp0", "sp1").agg(*(F.sum(t).alias(f"f{k}") for k, t in enumerate(terms)))
+    every = [f"f{k}" for k in range(len(terms))]
+    same = [every[(a * k_r + a) * len(angular) + h] for a in range(k_r) for h in range(len(angular))]  # the diagonal of the two distances' indices
+    values = F.when(F.col("sp0") == F.col("sp1"), F.array(*same)).otherwise(F.array(*every))
+    return sums.select(*by, "sp0", "sp1", F.posexplode(values).alias("k", "value"))
 
 
 def column_blocks(kinds: DataFrame, size: Column) -> DataFrame:

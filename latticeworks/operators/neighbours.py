@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeworks.functions.geometry import CELL, angle, cartesian, heights
+from latticeworks.functions.geometry import CELL, angle, cartesian, heights, volume
 from latticeworks.sources.store import stored
 
 AXES = ("i", "j", "k")
@@ -36,7 +36,8 @@ def neighbours(centres: DataFrame, atoms: DataFrame, cells: DataFrame, r_cut: fl
     neigh_species, i, j, k, r and the unit vector ux, uy, uz. Pairs of at most self_below apart are left out.
 
     Positions must lie in [0, 1). Small cells are joined whole by structure, with exactly the images that can be near; cells of
-    MANY_BINS bins or more are joined by structure and bin, so that work follows the atoms and no structure lands in one task.
+    MANY_BINS bins or more are joined by structure and bin, so that work follows the atoms and no structure lands in one task. A flat cell
+    has no neighbours.
     """
     h = heights()
     bins = [F.greatest(F.lit(1), F.floor(x / r_cut)).cast("int") for x in h]
@@ -87,9 +88,9 @@ def k_nearest(centres: DataFrame, atoms: DataFrame, cells: DataFrame, k: int, r_
 
     Centres with fewer than k in the first radius are searched again with twice the radius, and so on until all are full, so that only
     they pay for a wide search. A structure with an atom has any number of images within reach; centres of structures without atoms or
-    cell, or without a position, have no neighbours.
+    cell, of a flat cell, or without a position, have no neighbours.
     """
-    whole = atoms.select("structure_id").intersect(cells.select("structure_id"))
+    whole = atoms.select("structure_id").intersect(cells.where(volume() > 0).select("structure_id"))
     todo, found, r = centres.where("u + v + w IS NOT NULL").join(whole, "structure_id", "left_semi"), None, r_first
     while True:
         near = stored(ranked(neighbours(todo, atoms, cells, r), by).where(F.col("rank") <= k))

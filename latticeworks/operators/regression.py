@@ -19,6 +19,12 @@ from .quantiles import quantiles
 GRAM_DDL = "i int, j int, g double"
 
 
+def triangle(x: np.ndarray) -> pa.RecordBatch:
+    """(i, j, g): entries i <= j of x'x."""
+    i, j = np.triu_indices(x.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array((x.T @ x)[i, j])], ["i", "j", "g"])
+
+
 def gram_rows(design: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, i, j, g) of design (phi array<double>, t double): entries i <= j of the Gram matrix of [phi, t, 1].
 

@@ -12,6 +12,7 @@ from latticeworks.operators import eam as e
 from latticeworks.operators import neighbours as nb
 from latticeworks.operators import regression as rg
 from latticeworks.operators import tables as tb
+from latticeworks.sources.store import stored
 
 from . import views as v
 from .density import BINS, RADIAL_SQL, STEP, radial
@@ -98,8 +99,8 @@ size AS (SELECT structure_id, count(*) AS n_atoms FROM atoms GROUP BY 1),
 design AS (SELECT structure_id, CAST(col AS INTEGER) AS col, value / n_atoms AS value FROM raw JOIN size USING (structure_id))"""
 
 
-def energy_design(spark, sf_dir):
-    return e.energy_design(near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), columns(spark), FORM)
+def energy_design(spark, sf_dir, near=None):
+    return e.energy_design(near if near is not None else near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), columns(spark), FORM)
 
 
 @query(rho_views(f", {DESIGN_SQL} SELECT structure_id, col, round(value, 5) + 0.0 AS value FROM design"))
@@ -189,15 +190,22 @@ def eam_forces_tables(spark, sf_dir):
     return f.select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
 
 
-def energy_moments(spark, sf_dir) -> rg.Moments:
-    phi = e.dense(energy_design(spark, sf_dir), ["structure_id"], N_COLUMNS)
+def energy_moments(spark, sf_dir, near=None) -> rg.Moments:
+    phi = e.dense(energy_design(spark, sf_dir, near), ["structure_id"], N_COLUMNS)
     target = formation_energy(spark, sf_dir)
     return rg.Moments.of(rg.gram_rows(phi.join(target, "structure_id").select("phi", F.col("formation").alias("t"))))
 
 
-def force_moments(spark, sf_dir, thirds: bool = False) -> rg.Moments:
+def force_moments(spark, sf_dir, thirds: bool = False, near=None) -> rg.Moments:
     """Of the forces of all atoms on three axes, each with weight 1 / N_s for its structure's atoms; rows without neighbours are zeros."""
-    return rg.Moments.of(rg.gram_rows(e.force_rows(near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), FORM, BLOCKS, thirds)))
+    near = near if near is not None else near_tabulated(spark, sf_dir)
+    return rg.Moments.of(e.force_gram(near, v.atoms(spark, sf_dir), FORM, BLOCKS, thirds))
+
+
+def both_moments(spark, sf_dir, thirds: bool = False) -> tuple[rg.Moments, rg.Moments]:
+    """Of energies and forces; neighbours are found once."""
+    near = stored(near_tabulated(spark, sf_dir))
+    return energy_moments(spark, sf_dir, near), force_moments(spark, sf_dir, thirds, near)
 
 
 ERR_SQL = rho_views(f""", {DESIGN_SQL}, target AS (SELECT s.structure_id, round(s.energy / count(*) - sum(e_ref) / count(*), 9) + 0.0 AS t FROM structures s JOIN atoms USING (structure_id) JOIN species_ref USING (species) GROUP BY s.structure_id, s.energy),
@@ -224,8 +232,8 @@ def eam_errors(spark, sf_dir):
 
 @query(ERR_SQL + PUSH_SQL + f"SELECT round(-0.5 * {ALPHA} * (SELECT sum(w * w) FROM weights) - 0.5 * {BETA_E} * sum((t - y) ** 2) - 0.5 * {BETA_F} * (SELECT sum((t - y) ** 2 / n) FROM push) + 0.5 * (count(*) + 27) * ln(2 * pi()) + 0.5 * 27 * ln({ALPHA}) + count(*) * (ln({BETA_E}) + ln({BETA_F})), 1) + 0.0 AS log_joint FROM target JOIN pred USING (structure_id)")
 def eam_log_joint(spark, sf_dir):
-    m = energy_moments(spark, sf_dir)
-    value = e.log_joint(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, force_moments(spark, sf_dir), m.n)
+    m, n = both_moments(spark, sf_dir)
+    value = e.log_joint(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, n, m.n)
     return spark.createDataFrame([(round(value, 1) + 0.0,)], "log_joint double")
 
 
@@ -254,8 +262,8 @@ def top_candidates(spark, sf_dir):
 @query(ERR_SQL + PUSH_SQL + f"SELECT round(-0.5 * {ALPHA} * (SELECT sum(w * w) FROM weights) - 0.5 * {BETA_E} * sum((t - y) ** 2) - 0.5 * {BETA_F} * (SELECT sum((t - y) ** 2) / 3 FROM push) + 0.5 * count(*) * (ln({BETA_E}) + ln({BETA_F})) + 0.5 * 27 * ln({ALPHA}) - 0.5 * (count(*) + 27) * ln(2 * pi()), 1) + 0.0 AS log_joint FROM target JOIN pred USING (structure_id)")
 def eam_log_joint_thirds(spark, sf_dir):
     """The form whose force term is a third of the sum over atoms."""
-    m = energy_moments(spark, sf_dir)
-    value = e.log_joint_thirds(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, force_moments(spark, sf_dir, True), m.n)
+    m, n = both_moments(spark, sf_dir, True)
+    value = e.log_joint_thirds(np.array(WEIGHTS), np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, m, n, m.n)
     return spark.createDataFrame([(round(value, 1) + 0.0,)], "log_joint double")
 
 
@@ -275,7 +283,7 @@ def _weights(spark, w, columns=None):
 
 def map_weights(spark, sf_dir, held=None):
     """Weights that maximise the log-joint of energies and forces, with some columns held."""
-    return e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, energy_moments(spark, sf_dir), force_moments(spark, sf_dir), held)
+    return e.map_weights(np.full(N_COLUMNS, ALPHA), BETA_E, BETA_F, *both_moments(spark, sf_dir), held)
 
 
 FIT_SQL = (GRAM_SQL + solution_sql("fit", "a", "b")).replace("WITH ", "WITH RECURSIVE ", 1)
@@ -297,7 +305,7 @@ def score_candidates_joint(spark, sf_dir):
     """Candidates by the weighted squared errors of energies and forces and the prior together, in decimal floating point."""
     names = [f"w{c}" for c in range(N_COLUMNS)]
     measure = lambda energy, force, penalty: BETA_E * energy + BETA_F * force + ALPHA * penalty
-    made = e.score(candidates(spark, sf_dir, names), names, energy_moments(spark, sf_dir), force_moments(spark, sf_dir), measure, "x").withColumn("exponent", F.floor(F.log10("x")).cast("int"))
+    made = e.score(candidates(spark, sf_dir, names), names, *both_moments(spark, sf_dir), measure, "x").withColumn("exponent", F.floor(F.log10("x")).cast("int"))
     return made.select("cand_id", "exponent", (F.round(F.col("x") / F.pow(F.lit(10.0), F.col("exponent")), 5) + 0.0).alias("mantissa"))
 
 
@@ -398,8 +406,8 @@ def eam_group_fit(spark, sf_dir):
 @query()
 def eam_hyper_update(spark, sf_dir):
     """Noise and prior that maximise the log-joint at the fitted weights, over alternating rounds."""
-    m = energy_moments(spark, sf_dir)
-    rows = [(r["run"], k, float(r["w"][k]), float(r["beta_e"]), float(r["mse"])) for r in e.alternating_fit(m, force_moments(spark, sf_dir), keep=2) for k in range(N_COLUMNS)]
+    m, n = both_moments(spark, sf_dir)
+    rows = [(r["run"], k, float(r["w"][k]), float(r["beta_e"]), float(r["mse"])) for r in e.alternating_fit(m, n, keep=2) for k in range(N_COLUMNS)]
     return spark.createDataFrame(rows, "run int, col int, w double, beta_e double, mse double")
 
 

@@ -164,7 +164,7 @@ unlike AS (SELECT structure_id, centre_id, sp0 || '-' || sp1 AS block_key, (x *
 SELECT structure_id, centre_id, CAST(start + k AS INTEGER) AS col, round(value, 5) + 0.0 AS value FROM (SELECT * FROM iso UNION ALL SELECT * FROM like_ UNION ALL SELECT * FROM unlike) JOIN blocks USING (block_key)"""))
 def design_matrix_ani(spark, sf_dir):
     """Isotropic and triplet features of every atom by the mapper's columns."""
-    near = near_atoms(spark, sf_dir)
+    near = stored(near_atoms(spark, sf_dir))  # pairs and triplets read it
     iso = f.isotropic(near, KEY, b.cosine_basis(K_ISO, R_CUT, R_CUT, SMOOTH)).select(*KEY, F.col("species").alias("block"), "k", "value")
     ani = f.triplet_sums(n.triplets(near, KEY, R_ANI), KEY, R_ANI, K_R, K_THETA, 0.1).select(*KEY, F.concat_ws("-", "sp0", "sp1").alias("block"), "k", "value")
     return f.design_rows(iso.unionByName(ani), mapper(spark, sf_dir), KEY, F.col("block")).select(*KEY, "col", (F.round("value", 5) + 0.0).alias("value"))
