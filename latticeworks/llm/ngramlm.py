@@ -3,8 +3,10 @@
 Counts of words and word pairs are quantised to powers of two; a gram of level q is held as q entries (gram, 1) ... (gram, q) of a
 Bloom filter, and its count is read back by probing level after level until one is missing. Filters are built in parts, one per
 hash range, by tasks that each see a bounded number of grams, and grow with the number of grams, so that the error rate is the same
-at every size. The filter of words is broadcast to the workers, who score whole texts; that of pairs is kept as a table and broadcast
-in slices of at most MOST_BITS, one pass over the texts for each, and scores are summed by document.
+at every size. Both filters are tables, broadcast to the workers in slices of at most MOST_BITS, with one pass over the texts for each
+slice. Where words need several slices, each pass over the texts adds the levels of its own words (a byte for each token) to the table
+of texts, and pairs are scored with the finished levels; where one slice holds all words, the pass that scores looks them up itself.
+The results are the same. Scores of the slices of pairs are summed by document.
 
     p(w | h) = (c(h w) + MU * p(w)) / (c(h) + MU),   p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),   counts from the filter
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .store import Workspace
 from .text import hashed_words, mix
 
-#: Words whose exact counts are broadcast at most (16 bytes each), grams of a filter part, hash functions, bits of a slice of pairs that is broadcast at once.
+#: Words whose exact counts are broadcast at most (16 bytes each), grams of a filter part, hash functions, bits of a slice of a filter that is broadcast at once.
 HEAD, PART, HASHES, MOST_BITS = 1 << 20, 1 << 19, 4, 1 << 31
 #: Weight of the unigram estimate, grams that a task holds before it passes them on.
 MU, HOLD = 200.0, 1_500_000
@@ -103,8 +105,9 @@ def build_filter(grams: DataFrame, parts: int, hashes: int = HASHES) -> DataFram
     return grams.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).groupBy("part").applyInArrow(build, "part int, bits long, raw binary")
 
 
-def load_filter(built: DataFrame, parts: int, hashes: int = HASHES) -> CountFilter:
-    made = built.toArrow()
+def load_filter(built: DataFrame, parts: int, span: tuple[int, int], hashes: int = HASHES) -> CountFilter:
+    """The parts in span; grams of other parts count as absent."""
+    made = built.where(F.col("part").between(span[0], span[1] - 1)).toArrow()
     return CountFilter.of(parts, list(zip(*(made.column(k).to_pylist() for k in ("part", "bits", "raw")), strict=True)), hashes)
 
 
@@ -136,7 +139,7 @@ class CountFilter:
             bits[part], start[part], at = n, at, at + len(raw)
         return cls(parts, bits, start, b"".join([b"\0", *(raw for *_, raw in made)]), hashes)
 
-    def count(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray) -> np.ndarray:
         raw = np.frombuffer(self.raw, np.uint8)
         part = (h.view(np.int64) % self.parts).astype(np.int64)
         start, bits = self.start[part], self.bits[part]
@@ -147,19 +150,31 @@ class CountFilter:
                 live = live[(raw[start[live] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1]
             level[live] += 1
             live = live[level[live] < 60]
-        return np.where(level > 0, np.where(level > 1, 2.0 ** (level - 0.5), 1.0), 0.0)  # middle of a level's range
+        return level
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        return middle(self.levels(h))
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of its range."""
+    return np.where(level > 0, np.where(level > 1, 2.0 ** (level - 0.5), 1.0), 0.0)
 
 
-def score_tokens(words: CountFilter, pairs: CountFilter, span: tuple[int, int], tokens: np.ndarray, before: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 p of each token after the one before it; 0 where the pair is not of the parts in span."""
+def word_levels(words: CountFilter, tokens: np.ndarray) -> np.ndarray:
+    kinds, at = np.unique(tokens, return_inverse=True)
+    return words.levels(kinds).astype(np.uint8)[at]
+
+
+def score_tokens(level: np.ndarray, start: int, pairs: CountFilter, span: tuple[int, int], tokens: np.ndarray, before: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 p of each token after the one before it, from the levels of the tokens and that of a text's start; 0 where the pair is not
+    of the parts in span."""
     out = np.zeros(len(tokens))
     grams = pair(before, tokens)
     own = np.flatnonzero((grams.view(np.int64) % pairs.parts >= span[0]) & (grams.view(np.int64) % pairs.parts < span[1]))
-    grams, tokens, before = grams[own], tokens[own], before[own]
-    kinds, at = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-    c = words.count(kinds)
-    cw, ch = c[at[: len(tokens)]], c[at[len(tokens) :]]
-    ch[before == START] = words.count(np.array([START]))[0]
+    shifted = np.concatenate([[0], level[:-1]])
+    shifted[before == START] = start
+    grams, cw, ch = grams[own], middle(level[own].astype(np.int64)), middle(shifted[own].astype(np.int64))
     grams, back = np.unique(grams, return_inverse=True)
     both = pairs.count(grams)[back]
     both = np.where((cw > 0) & (ch > 0), np.minimum(both, np.minimum(cw, ch)), 0)  # a pair is no more frequent than its words
@@ -167,6 +182,31 @@ def score_tokens(words: CountFilter, pairs: CountFilter, span: tuple[int, int],
     return out
 
 
+def leveled(words: CountFilter | None, texts: pa.Array, held: pa.Array):
+    """token_rows with the level of each token: from the filter of words, or, where that came in slices, as held for each text."""
+    flat, at = None if words is not None else np.frombuffer(b"".join(held.to_pylist()), np.uint8), 0
+    for tokens, before, rows in token_rows(texts):
+        yield tokens, before, rows, word_levels(words, tokens) if flat is None else flat[at : at + len(tokens)]
+        at += len(tokens)
+
+
+def add_levels(words):
+    """Over (.., text, uid, level): adds the levels of the words in a broadcast slice to those of each text."""
+
+    def run(batches):
+        for b in batches:
+            at, texts, held = b.schema.get_field_index("level"), b.column("text"), b.column("level").to_pylist()
+            made = []
+            for tokens, _, rows in token_rows(texts):
+                level = word_levels(words.value, tokens)
+                for i, j in zip(rows[:-1], rows[1:], strict=True):
+                    old = held[len(made)]
+                    made.append((level[i:j] if old is None else level[i:j] + np.frombuffer(old, np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()) if k == at else b.column(k) for k in range(b.num_columns)], b.schema.names)
+
+    return run
+
+
 def score_documents(docs: DataFrame, train: DataFrame, hashes: int = HASHES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for docs (doc_id, held_out, text), counts from train (text)."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "lm")
@@ -184,9 +224,12 @@ def score_documents(docs: DataFrame, train: DataFrame, hashes: int = HASHES) ->
     order = np.argsort(h)
     word_parts, parts = max(1, -(-v // PART)), max(1, -(-n // PART))
     starts = count_starts(train)
-    single = load_filter(build_filter(words.unionAll(spark.createDataFrame([(int(START.view(np.int64)), starts)] if starts else [], "h long, c long")), word_parts, hashes), word_parts, hashes)
+    start = int(levels(np.array([starts]))[0]) if starts else 0
+    singles = work.put(build_filter(words, word_parts, hashes), "singles", "uncompressed")
+    word_spans = part_ranges(singles, word_parts)
     built = work.put(build_filter(count_grams(train, True), parts, hashes), "pairs", "uncompressed")
     spans = part_ranges(built, parts)
+    single = load_filter(singles, word_parts, word_spans[0], hashes) if len(word_spans) == 1 else None
     shared = spark.sparkContext.broadcast((h[order], c[order], single))
     floor = n + 0.5 * (v + 1)
     whole = not cut
@@ -196,11 +239,11 @@ def score_documents(docs: DataFrame, train: DataFrame, hashes: int = HASHES) ->
         pairs = first.value
         for b in batches:
             size, known, base, score, rest = [], [], [], [], []
-            for tokens, before, rows in token_rows(b.column(2)):
+            for tokens, before, rows, level in leveled(single, b.column(2), b.column(4)):
                 at = np.minimum(np.searchsorted(heads, tokens.view(np.int64)), max(len(heads) - 1, 0))
                 found = heads[at] == tokens.view(np.int64) if len(heads) else np.zeros(len(tokens), bool)
                 logs = np.log10(((counts[at] if len(heads) else 0) * found + 0.5) / floor)
-                model = score_tokens(single, pairs, spans[0], tokens, before, n, v)
+                model = score_tokens(level, start, pairs, spans[0], tokens, before, n, v)
                 size.append(np.diff(rows))
                 known.append(np.add.reduceat(found.astype(np.int64), rows[:-1]))
                 base.append(np.add.reduceat(np.where(found | whole, logs, 0.0), rows[:-1]))
@@ -218,17 +261,24 @@ def score_documents(docs: DataFrame, train: DataFrame, hashes: int = HASHES) ->
         def run(batches):
             _, _, single = shared.value
             for b in batches:
-                made = [np.add.reduceat(score_tokens(single, pairs.value, span, tokens, before, n, v), rows[:-1]) for tokens, before, rows in token_rows(b.column(1))]
+                made = [np.add.reduceat(score_tokens(level, start, pairs.value, span, tokens, before, n, v), rows[:-1]) for tokens, before, rows, level in leveled(single, b.column(1), b.column(2))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(made) if made else np.zeros(0))], ["uid", "score"])
 
         return run
 
     def slice_of(span):
-        return spark.sparkContext.broadcast(load_filter(built.where(F.col("part").between(span[0], span[1] - 1)), parts, hashes))
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
-    if len(spans) > 1:
-        own = work.put(own, "texts")  # the same uid in every pass
+        return spark.sparkContext.broadcast(load_filter(built, parts, span, hashes))
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"), F.lit(None).cast("binary").alias("level"))
+    if len(spans) > 1 or single is None:
+        own = work.put(own, "texts0")  # the same uid in every pass
+    last = "texts0"
+    for k, span in enumerate(word_spans if single is None else []):
+        slice_ = spark.sparkContext.broadcast(load_filter(singles, word_parts, span, hashes))
+        own = work.put(own.mapInArrow(add_levels(slice_), own.schema), f"texts{k + 1}")
+        slice_.destroy()
+        work.drop(last)
+        last = f"texts{k + 1}"
     first = slice_of(spans[0])
     done = work.put(own.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<bigint>"), "scored")
     first.destroy()
@@ -236,13 +286,12 @@ def score_documents(docs: DataFrame, train: DataFrame, hashes: int = HASHES) ->
         passes = None
         for k, span in enumerate(spans[1:]):
             pairs = slice_of(span)
-            made = work.put(own.select("uid", "text").mapInArrow(rest_of(span, pairs), "uid long, score double"), f"pass{k}")
+            made = work.put(own.select("uid", "text", "level").mapInArrow(rest_of(span, pairs), "uid long, score double"), f"pass{k}")
             pairs.destroy()
             passes = made if passes is None else passes.unionAll(made)
-        work.drop("texts")
         done = done.join(passes.groupBy("uid").agg(F.sum("score").alias("more")), "uid").withColumn("score", F.col("score") + F.col("more")).drop("more")
     shared.destroy()
-    work.drop("pairs")
+    work.drop("pairs", "singles", last)
     columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"]
     if whole:
         return done.select(*columns)
