@@ -3,7 +3,8 @@
 `mux` lays packets of logical streams into Ogg pages (RFC 3533), `demux` does the reverse: it verifies page checksums,
 reassembles packets from lacing values, separates logical streams and derives times from granule positions.
 `media_column` stores each text of a table as an Ogg file of two interleaved streams of 8-bit samples in a binary column,
-and `media_features` reads such a column back.
+and `media_features` reads such a column back. `packet_times` gives the start and end of every packet: a page's granule position is
+the end of the last packet that ends on it, and those before it on the page end where the next one begins.
 
 Defined results: a null text is an empty payload (192 blanks after padding); equal texts give equal bytes, whatever their row;
 a page whose checksum fails is skipped and counted, and the packets that it cuts are dropped: features are then those of the samples
@@ -90,6 +91,16 @@ class Stream:
         """The time at the last granule position."""
         return max((g for g in self.granules if g >= 0), default=0) / rate
 
+    def ends(self, length) -> list[int | None]:
+        """The granule position at the end of each packet, whose duration is length(packet): as its page says, else counted back from the
+        packet after it on the page. None where no page says."""
+        out, after = [], None
+        for packet, granule in zip(reversed(self.packets), reversed(self.granules), strict=True):
+            end = granule if granule >= 0 else after
+            out.append(end)
+            after = None if end is None else end - length(packet)
+        return out[::-1]
+
 
 def demux(data: bytes) -> tuple[list[Stream], int]:
     """(logical streams by first appearance, pages with a wrong checksum or cut off)."""
@@ -109,7 +120,7 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
         if number != s._next or not flags & CONTINUED:
             s._part = None  # what was open before lost its end
         skip = bool(flags & CONTINUED) and s._part is None
-        body, part = at + HEAD.size + n, s._part or []
+        body, part, kept = at + HEAD.size + n, s._part or [], False
         for v in table:
             part.append(data[body : body + v])
             body += v
@@ -117,8 +128,8 @@ def demux(data: bytes) -> tuple[list[Stream], int]:
                 if not skip:
                     s.packets.append(b"".join(part))
                     s.granules.append(-1)
-                part, skip = [], False
-        if s.packets and granule >= 0:
+                part, skip, kept = [], False, not skip
+        if kept and granule >= 0:  # a page that ends nothing but a cut packet has no packet for its position
             s.granules[-1] = granule
         s._part, s._next, s.pages, s.ended = (part if n and table[-1] == 255 and not skip else None), number + 1, s.pages + 1, bool(flags & LAST)
         at = end
@@ -138,12 +149,29 @@ def store_samples(payload: bytes) -> bytes:
     return mux(streams)
 
 
+def is_intro(packet: bytes) -> bool:
+    return len(packet) == INTRO.size and packet[:8] == MAGIC
+
+
+def sample_times(media: bytes) -> list[tuple[int, int, int, float | None, float | None]]:
+    """(stream, packet, samples, start and end in ms) of the packets of a file from store_samples; packets are counted from 0 among those
+    that are left of the stream. A stream without its first packet has no known place or rate and is left out."""
+    out = []
+    for s in demux(media)[0]:
+        if s.packets and is_intro(s.packets[0]):
+            _, rate, place, _, _ = INTRO.unpack(s.packets[0])
+            ms = lambda t: None if t is None else t * 1000 / rate  # noqa: B023, E731
+            for k, (packet, end) in enumerate(zip(s.packets[1:], s.ends(lambda p: 0 if is_intro(p) else len(p))[1:], strict=True)):
+                out.append((place, k, len(packet), ms(None if end is None else end - len(packet)), ms(end)))
+    return sorted(out, key=lambda r: r[:2])
+
+
 def load_samples(media: bytes) -> tuple[bytes, str]:
     """(samples, description) of a file from store_samples, from nothing but its bytes; of a damaged one what is left."""
     streams, bad = demux(media)
     by, rate = {}, RATE
     for s in streams:
-        if s.packets and len(s.packets[0]) == INTRO.size and s.packets[0][:8] == MAGIC:
+        if s.packets and is_intro(s.packets[0]):
             _, rate, place, _, _ = INTRO.unpack(s.packets[0])
             by.setdefault(place, s)
     a, b = (by[k].packets[1:] if k in by else [] for k in (0, 1))
@@ -194,6 +222,22 @@ def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
     return media.select(key, "n_bytes", "media").mapInArrow(read, f"{key} long, {FEATURES}")
 
 
+def packet_times(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, stream, packet, samples, start_ms, end_ms): a row for each packet of samples in each stored file; see sample_times. Null files,
+    and files without a readable stream, have no row."""
+    names = [key, "stream", "packet", "samples", "start_ms", "end_ms"]
+
+    def read(batches):
+        for b in batches:
+            for doc, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = sample_times(m.as_py()) if m.is_valid else []
+                if rows:
+                    types = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names)
+
+    return media.select(F.col(key).cast("long").alias(key), "media").mapInArrow(read, f"{key} long, stream int, packet long, samples long, start_ms double, end_ms double")
+
+
 def op8_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = Workspace(spark, "ogg").put(media_column(docs), "media")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from test_operators import LOW, ODD, WORD, docs, words
 
-from latticeworks.llm import fim, hardneg, neardup, simhash
+from latticeworks.llm import fim, hardneg, neardup, ngramlm, ogg, simhash
 from latticeworks.llm.store import Workspace
 
 # --- 11 ---
@@ -331,3 +331,62 @@ def test_copies_with_other_values_by_loops(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = {(d, i) for d, t in docs for i, q in items if brute_templates(q, t)}
     assert got == want and 20 < len(want) < 120
+
+
+# --- 8 ---
+
+
+def test_packet_times(spark):
+    """Every packet of a file has the time at which its samples lie; of a damaged one those that are left keep theirs."""
+    payload = bytes(k * 7 % 251 for k in range(ogg.PACKET * 41 + 384))
+    whole = ogg.store_samples(payload)
+    want = []
+    for k, at in enumerate(range(0, len(payload), ogg.PACKET)):
+        stream, packet, n = k % 2, k // 2, len(payload[at : at + ogg.PACKET])
+        start = packet * ogg.PACKET
+        want.append((stream, packet, n, start * 1000 / ogg.RATE, (start + n) * 1000 / ogg.RATE))
+    pages = [m.start() for m in re.finditer(b"OggS", whole)]
+    torn = bytearray(whole)
+    torn[pages[6] + 40] ^= 1
+    rows = [(1, whole), (2, bytes(torn)), (3, None), (4, b""), (1, whole)]
+    media = spark.createDataFrame(rows, "doc_id long, media binary").withColumn("stream", F.lit("clash"))
+    got = [tuple(r) for r in ogg.packet_times(media).collect()]
+    assert sorted(r[1:] for r in got if r[0] == 1) == sorted(2 * want) and {r[0] for r in got} == {1, 2}
+    left = [r[1:] for r in got if r[0] == 2]
+    assert 0 < len(left) < len(want) and {(r[0], *r[2:]) for r in left} <= {(r[0], *r[2:]) for r in want}
+    assert ogg.packet_times(media.limit(0)).count() == 0
+
+
+def test_page_that_ends_a_cut_packet():
+    """Its position is that of the cut packet, not of the last one that was kept."""
+    packets, ends = [b"first", bytes(300), bytes(255 * 90), bytes(10)], [0, 300, 300 + 255 * 90, 310 + 255 * 90]
+    pages = list(ogg.stream_pages(1, packets, ends, segments=64))
+    lost = b"".join(pages[:1] + pages[2:])
+    (stream,), _ = ogg.demux(lost)
+    assert stream.packets == [packets[0], packets[3]] and stream.granules == [0, ends[3]]
+    (stream,), _ = ogg.demux(b"".join(pages[:1]) + b"".join(pages[1:2]))
+    assert stream.packets == packets[:2] and stream.ends(len) == [0, 300]
+
+
+# --- 9 ---
+
+
+def test_lm_words_in_slices(spark, monkeypatch):
+    """Scores do not depend on how many slices the filters of words and pairs come in."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(rng.randrange(50)))) for i in range(90)] + [(500, None), (501, ""), (502, "w1 Unseen w2"), (502, "w1 Unseen w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).withColumn("level", F.lit("clash")).coalesce(2)
+    monkeypatch.setattr(ngramlm, "PART", 64)
+    loaded, got = [], []
+    load = ngramlm.load_filter
+    monkeypatch.setattr(ngramlm, "load_filter", lambda built, parts, span, hashes: loaded.append((parts, span)) or load(built, parts, span, hashes))
+    for bits in (1 << 31, 1024):
+        monkeypatch.setattr(ngramlm, "MOST_BITS", bits)
+        made = ngramlm.score_documents(df, df.where("doc_id % 3 <> 0")).collect()
+        got.append(sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in made))
+        if bits > 1024:
+            assert len(loaded) == 2 and loaded[0][0] < loaded[1][0]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    words, pairs = loaded[0][0], loaded[1][0]
+    spans = [span for parts, span in loaded[2:] if parts == words]
+    assert len(spans) > 1 and [a for a, _ in spans[1:]] == [b for _, b in spans[:-1]] and sum(parts == pairs for parts, _ in loaded[2:]) > 1
