@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeworks.functions.basis import PI, cos_k, damping, sin_k, taper, taper_slope
+from latticeworks.functions.basis import PI, cos_k, damping, damping_slope, sin_k, taper, taper_slope
 from latticeworks.operators.neighbours import atom_centres, k_nearest, neighbours
 from latticeworks.operators.regression import GRAM_DDL, Moments, gram_rows, quadratic, triangle
 from latticeworks.operators.structures import element_groups, select_structures
@@ -339,6 +339,68 @@ def damped_fourier(r: Column, weights: list[Column], r_cut: float) -> Column:
     return sum((w * F.cos(k * r) for k, w in enumerate(weights)), F.lit(0.0)) * damping(r - r_cut)
 
 
+@dataclass(frozen=True)
+class DampedSeries:
+    """The older form of a potential: a cosine series of an atom's density, damped at density 0, and one of a pair's distance, damped at
+    r_cut. emb: weights by species, pair: weights by pair of species (see pair_key); a key without weights gives nothing."""
+
+    emb: dict[str, list[float]]
+    pair: dict[str, list[float]]
+    r_cut: float
+
+    def embedding(self) -> Column:
+        return self._by(self.emb, "species", lambda w: damping(F.col("rho")) * _cosines(F.col("rho"), w))
+
+    def embedding_slope(self) -> Column:
+        rho = F.col("rho")
+        return self._by(self.emb, "species", lambda w: damping_slope(rho) * _cosines(rho, w) - damping(rho) * _sines(rho, w))
+
+    def pairs(self) -> Column:
+        return self._by(self.pair, "pair", lambda w: damping(F.col("r") - self.r_cut) * _cosines(F.col("r"), w))
+
+    def pairs_slope(self) -> Column:
+        r, at = F.col("r"), F.col("r") - self.r_cut
+        return self._by(self.pair, "pair", lambda w: damping_slope(at) * _cosines(r, w) - damping(at) * _sines(r, w))
+
+    @staticmethod
+    def _by(weights: dict[str, list[float]], column: str, value) -> Column:
+        return F.coalesce(*(F.when(F.col(column) == key, value(w)) for key, w in sorted(weights.items())), F.lit(0.0))
+
+
+def _cosines(x: Column, weights: list[float]) -> Column:
+    return sum((w * F.cos(k * x) for k, w in enumerate(weights)), F.lit(0.0))
+
+
+def _sines(x: Column, weights: list[float]) -> Column:
+    return sum((k * w * F.sin(k * x) for k, w in enumerate(weights)), F.lit(0.0))
+
+
+def legacy_atom_energies(near: DataFrame, atoms: DataFrame, form: DampedSeries) -> DataFrame:
+    """(structure_id, atom_index, embedding, pair, energy): the embedding of each atom's density and half of its pairs' energies, from one
+    sum over near (with y, the value of the neighbour's function). An atom without neighbours has energy 0."""
+    rows = near.withColumn("pair", pair_key()).select("structure_id", F.col("centre_id").alias("atom_index"), F.col("centre_species").alias("species"), "y", (0.5 * form.pairs()).alias("e"))
+    every = rows.unionByName(atoms.select(*ATOM, "species", F.lit(0.0).alias("y"), F.lit(0.0).alias("e")))
+    sums = every.groupBy(*ATOM, "species").agg(F.sum("y").alias("rho"), F.sum("e").alias("pair"))
+    return sums.select(*ATOM, form.embedding().alias("embedding"), "pair", (form.embedding() + F.col("pair")).alias("energy"))
+
+
+def legacy_structure_energies(near: DataFrame, atoms: DataFrame, form: DampedSeries) -> DataFrame:
+    """(structure_id, n_atoms, embedding, pair, energy): means over the atoms of a structure."""
+    means = [F.avg(c).alias(c) for c in ("embedding", "pair", "energy")]
+    return legacy_atom_energies(near, atoms, form).groupBy("structure_id").agg(F.count("*").alias("n_atoms"), *means)
+
+
+def legacy_forces(near: DataFrame, form: DampedSeries) -> DataFrame:
+    """(structure_id, atom_index, axis, f) of the older form, for atoms that have neighbours; near as in force_sums.
+
+    A pair of species counts once at each of its ends. What a neighbour's embedding does to the centre is taken from the mirrored pair.
+    """
+    rows = with_density(near).withColumn("pair", pair_key()).withColumn("species", F.col("centre_species"))
+    push = rows.select("structure_id", "centre_id", "neigh_index", *(f"u{a}" for a in AXES), (F.col("dy") * form.embedding_slope()).alias("e"), form.pairs_slope().alias("p"))
+    part = lambda atom, value: F.struct(F.col(atom).alias("atom_index"), *((value * F.col(f"u{a}")).alias(a) for a in AXES))
+    return by_axis(push.select("structure_id", F.inline(F.array(part("centre_id", F.col("e") + F.col("p")), part("neigh_index", -F.col("e"))))))
+
+
 def legacy_densities(near_with_y: DataFrame, atoms: DataFrame, triplets: DataFrame, value: Column) -> DataFrame:
     """rho of every atom from its neighbours and its triplets, of which value is a column's expression."""
     by = [F.col("structure_id"), F.col("centre_id").alias("atom_index")]

@@ -320,11 +320,42 @@ def eam_setup(spark, sf_dir):
     return rows.groupBy("grp", "col").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total"), (F.round(F.sum(F.col("value") * F.col("t")), 4) + 0.0).alias("target"))
 
 
-@query(rho_views(f", {FORCE_SQL} SELECT structure_id, atom_index, axis, round(sum(value * w * CASE WHEN col >= {3 * K} THEN 2 ELSE 1 END), 4) + 0.0 AS f FROM force JOIN weights USING (col) GROUP BY ALL"))
+SERIES = e.DampedSeries({s: [0.3 - 0.1 * n, -0.2 + 0.05 * n, 0.1] for n, s in enumerate("ANR")}, {key: [0.2 - 0.05 * n, 0.1 + 0.02 * n, -0.08] for n, (kind, key, _) in enumerate(b for b in BLOCKS if b[0] == "pair")}, R_CUT)
+
+
+def _series_sql() -> str:
+    values = lambda made: ", ".join(f"('{key}', {k}, {w!r}::DOUBLE)" for key, ws in made.items() for k, w in enumerate(ws))
+    return f"""wemb(key, turn, w) AS (VALUES {values(SERIES.emb)}), wpair(key, turn, w) AS (VALUES {values(SERIES.pair)})"""
+
+
+_DAMPED = "(pow(10 * ({x}), 4) / (1 + pow(10 * ({x}), 4)))"
+_DAMPED_SLOPE = "(40 * pow(10 * ({x}), 3) / pow(1 + pow(10 * ({x}), 4), 2))"
+_AT = f"r - {R_CUT}"
+OLD_ENERGY_SQL = f"""{_series_sql()}, demb AS (SELECT structure_id, atom_index, sum(w * cos(turn * rho)) * {_DAMPED.format(x="max(rho)")} AS embedding FROM rho JOIN wemb ON key = species GROUP BY ALL),
+dpair AS (SELECT structure_id, centre_id AS atom_index, sum(w * cos(turn * r) * {_DAMPED.format(x=_AT)}) / 2 AS pair FROM near JOIN wpair ON key = {PAIR_KEY} GROUP BY ALL),
+olden AS (SELECT structure_id, atom_index, embedding, coalesce(pair, 0) AS pair FROM demb LEFT JOIN dpair USING (structure_id, atom_index))"""
+
+
+@query(rho_views(f", {OLD_ENERGY_SQL} SELECT structure_id, atom_index, round(embedding, 5) + 0.0 AS embedding, round(pair, 5) + 0.0 AS pair, round(embedding + pair, 5) + 0.0 AS energy FROM olden"))
+def legacy_atom_energy(spark, sf_dir):
+    made = e.legacy_atom_energies(near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), SERIES)
+    return made.select("structure_id", "atom_index", *((F.round(c, 5) + 0.0).alias(c) for c in ("embedding", "pair", "energy")))
+
+
+@query(rho_views(f", {OLD_ENERGY_SQL} SELECT structure_id, count(*) AS n_atoms, round(avg(embedding), 5) + 0.0 AS embedding, round(avg(pair), 5) + 0.0 AS pair, round(avg(embedding + pair), 5) + 0.0 AS energy FROM olden GROUP BY structure_id"))
+def legacy_structure_energy(spark, sf_dir):
+    made = e.legacy_structure_energies(near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir), SERIES)
+    return made.select("structure_id", "n_atoms", *((F.round(c, 5) + 0.0).alias(c) for c in ("embedding", "pair", "energy")))
+
+
+@query(rho_views(f""", {_series_sql()}, slopes AS (SELECT structure_id, atom_index, sum(w * cos(turn * rho)) * {_DAMPED_SLOPE.format(x="max(rho)")} - sum(w * turn * sin(turn * rho)) * {_DAMPED.format(x="max(rho)")} AS s FROM rho JOIN wemb ON key = species GROUP BY ALL),
+bonds AS (SELECT row_number() OVER () AS bond, l.*, {PAIR_KEY} AS key FROM looked l),
+bent AS (SELECT bond, sum(w * cos(turn * r)) * {_DAMPED_SLOPE.format(x="max(" + _AT + ")")} - sum(w * turn * sin(turn * r)) * {_DAMPED.format(x="max(" + _AT + ")")} AS p FROM bonds JOIN wpair USING (key) GROUP BY bond),
+pushed AS (SELECT b.structure_id, b.centre_id, unnest([0, 1, 2]) AS axis, unnest([ux, uy, uz]) * (dy * c.s + dy_centre * n.s + p) AS f FROM bonds b JOIN bent USING (bond) JOIN slopes c ON c.structure_id = b.structure_id AND c.atom_index = b.centre_id JOIN slopes n ON n.structure_id = b.structure_id AND n.atom_index = b.neigh_index)
+SELECT structure_id, centre_id AS atom_index, CAST(axis AS INTEGER) AS axis, round(sum(f), 4) + 0.0 AS f FROM pushed GROUP BY ALL"""))
 def legacy_forces(spark, sf_dir):
-    """Forces in the older form, in which a pair's energy counts at both of its ends."""
-    f = e.forces(near_tabulated(spark, sf_dir), columns(spark), FORM, [w * (2 if c >= 3 * K else 1) for c, w in enumerate(WEIGHTS)])
-    return f.select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
+    """Forces in the older form of damped series; a pair counts once at each of its ends."""
+    return e.legacy_forces(near_tabulated(spark, sf_dir), SERIES).select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
 
 
 PAIR_K = [0.3, -0.2, 0.1]
