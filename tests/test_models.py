@@ -95,6 +95,42 @@ def test_forces_are_slopes_of_the_energy(spark):
         assert force[(a, d)] == pytest.approx(-(energy[k] - energy[k + 1]) / (2 * s), abs=1e-4)
 
 
+def test_forces_of_the_older_form_are_slopes_of_its_energy(spark):
+    """With atoms that are their own neighbours' images; energies against plain loops, an atom without neighbours has none."""
+    from latticeworks.operators import neighbours as nb
+    from test_geometry import cells
+
+    rng = np.random.default_rng(9)
+    cut, pos, cell = 3.1, rng.random((4, 3)), np.array([[3.2, 0, 0], [0.3, 3.4, 0], [0, 0.4, 2.9]])
+    draw = lambda: [float(x) for x in rng.normal(size=3)]
+    form = eam.DampedSeries({"A": draw(), "B": draw()}, {"A-A": draw(), "A-B": draw()}, cut)  # B-B gives nothing
+    shifts = [(0, 0, 0.0)] + [(a, d, s) for a in range(2) for d in range(3) for s in (1e-4, -1e-4)]
+    rows, alone = [], len(shifts)
+    for k, (a, d, s) in enumerate(shifts):
+        p = pos @ cell
+        p[a, d] += s
+        rows += [(k, i, "AB"[i % 2], *map(float, q)) for i, q in enumerate((p @ np.linalg.inv(cell)) % 1.0)]
+    atoms = spark.createDataFrame([*rows, (alone, 0, "A", 0.5, 0.5, 0.5)], "structure_id long, atom_index long, species string, u double, v double, w double")
+    near = nb.neighbours(nb.atom_centres(atoms), atoms, cells(spark, [*((k, cell) for k in range(alone)), (alone, 9 * np.eye(3))]), cut)
+    near = near.withColumn("y", F.when(F.col("neigh_species") == "A", 0.07).otherwise(0.02) * F.exp(-0.8 * F.col("r"))).withColumn("dy", -0.8 * F.col("y"))
+    whole = {r.structure_id: r for r in eam.legacy_structure_energies(near, atoms, form).collect()}
+    force = {(r.atom_index, r.axis): r.f for r in eam.legacy_forces(near, form).where("structure_id = 0").collect()}
+    for k in range(1, alone, 2):
+        a, d, s = shifts[k]
+        assert force[a, d] == pytest.approx(-4 * (whole[k].energy - whole[k + 1].energy) / (2 * s), abs=2e-4)
+    damp = lambda x: (10 * x) ** 4 / (1 + (10 * x) ** 4)
+    series = lambda w, x: sum(c * np.cos(k * x) for k, c in enumerate(w))
+    rho, pair = dict.fromkeys(range(4), 0.0), dict.fromkeys(range(4), 0.0)
+    for r in near.where("structure_id = 0").collect():
+        rho[r.centre_id] += r.y
+        pair[r.centre_id] += damp(r.r - cut) * series(form.pair.get("-".join(sorted((r.centre_species, r.neigh_species))), []), r.r) / 2
+    own = {r.atom_index: r for r in eam.legacy_atom_energies(near, atoms, form).where("structure_id = 0").collect()}
+    for i in range(4):
+        assert (own[i].embedding, own[i].pair) == (pytest.approx(damp(rho[i]) * series(form.emb["AB"[i % 2]], rho[i])), pytest.approx(pair[i]))
+    assert whole[0].energy == pytest.approx(sum(r.energy for r in own.values()) / 4) and whole[0].n_atoms == 4
+    assert (whole[alone].n_atoms, whole[alone].energy) == (1, 0.0)
+
+
 def test_arguments():
     assert basis_sizes(3) == {k: {"r": 3, "theta": 3} for k in ("like", "unlike")}
     with pytest.raises(ValueError):
