@@ -100,6 +100,24 @@ def ridge(m: Moments, alpha: float | np.ndarray) -> np.ndarray:
     return np.linalg.solve(m.gram + np.diag(np.broadcast_to(alpha, len(m.xty))), m.xty)
 
 
+def replicated(design: DataFrame, alpha: float = 0.0) -> DataFrame:
+    """(run, i, w): the ridge weights of every run of design (run, phi, t), whose rows are the same observations with fresh noise or others.
+
+    Runs are reduced to matrices in one pass over all rows; each is then solved by itself, so a task holds one matrix of the columns.
+    """
+
+    def solve(t: pa.Table) -> pa.Table:
+        w = ridge(Moments.of_table(t), alpha)
+        return pa.table({"run": pa.array([t.column("run")[0].as_py()] * len(w), t.schema.field("run").type), "i": pa.array(np.arange(len(w)), pa.int32()), "w": pa.array(w)})
+
+    return gram_rows(design, ["run"]).groupBy("run").applyInArrow(solve, f"run {design.schema['run'].dataType.simpleString()}, i int, w double")
+
+
+def replicate_summary(fits: DataFrame) -> DataFrame:
+    """(i, runs, mean, spread) of each column over the runs of replicated: mean and twice the sample deviation, which one run has not."""
+    return fits.groupBy("i").agg(F.count("*").alias("runs"), F.avg("w").alias("mean"), (2 * F.stddev_samp("w")).alias("spread"))
+
+
 def posterior(m: Moments, alpha: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of the weights."""
     cov = np.linalg.inv(beta * m.gram + np.diag(alpha))

@@ -221,3 +221,16 @@ def replicate_fits(spark, sf_dir):
     fits = rg.gram_rows(design, ["run"]).groupBy("run").applyInPandas(solve, "run int, slope double, intercept double")  # a group is one small matrix
     r5 = lambda c, a: (F.round(c, 5) + 0.0).alias(a)
     return fits.agg(r5(F.avg("slope"), "slope"), r5(2 * F.stddev_samp("slope"), "slope_2s"), r5(F.avg("intercept"), "intercept"), r5(2 * F.stddev_samp("intercept"), "intercept_2s"))
+
+
+@query(FULL_SQL + ", a0 AS (SELECT i, j, g + CASE WHEN i = j THEN 0.5 ELSE 0 END AS v FROM full_g)" + inverse_sql("inv", "a0") + f""", runs AS (SELECT unnest(range(5)) AS run),
+noisy AS (SELECT obs_id, run, t + ((obs_id * 7919 + run * 104729) % 1009) / 1009::DOUBLE - 0.5 AS y FROM vectors, runs),
+br AS (SELECT run, e.i, sum(e.x * y) AS v FROM e JOIN noisy USING (obs_id) WHERE e.i < {DIM} GROUP BY run, e.i), fr AS (SELECT run, x.i, sum(x.v * br.v) AS w FROM inv x JOIN br ON br.i = x.j GROUP BY run, x.i)
+SELECT CAST(i AS INTEGER) AS i, count(*) AS runs, round(avg(w), 5) + 0.0 AS mean, round(2 * stddev_samp(w), 5) + 0.0 AS spread FROM fr GROUP BY i""")
+def replicate_fits_columns(spark, sf_dir):
+    """Five ridge fits of all columns to the target with fresh noise: mean of each weight and twice its deviation."""
+    runs = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("run")
+    noise = ((F.col("obs_id") * 7919 + F.col("run") * 104729) % 1009) / 1009.0 - 0.5
+    design = v.vectors(spark, sf_dir).select("*", runs).withColumn("t", F.col("t") + noise)
+    made = rg.replicate_summary(rg.replicated(design, 0.5))
+    return made.select("i", "runs", *((F.round(c, 5) + 0.0).alias(c) for c in ("mean", "spread")))

@@ -131,6 +131,22 @@ def test_forces_of_the_older_form_are_slopes_of_its_energy(spark):
     assert (whole[alone].n_atoms, whole[alone].energy) == (1, 0.0)
 
 
+def test_repeated_fits(spark):
+    """Every run against numpy, runs of unequal size and any name; one run has no spread."""
+    rng = np.random.default_rng(3)
+    data = {k: (rng.normal(size=(n, 3)), rng.normal(size=n)) for k, n in (("a", 40), ("b", 7), ("c", 3))}
+    rows = [(k, x.tolist(), float(t)) for k, (xs, ts) in data.items() for x, t in zip(xs, ts, strict=True)]
+    design = spark.createDataFrame(rows, "run string, phi array<double>, t double").repartition(5)
+    fits = rg.replicated(design, 0.2)
+    want = {k: np.linalg.solve(x.T @ x + 0.2 * np.eye(3), x.T @ t) for k, (x, t) in data.items()}
+    assert {(r.run, r.i): r.w for r in fits.collect()} == pytest.approx({(k, i): w[i] for k, w in want.items() for i in range(3)})
+    all_ = np.array(list(want.values()))
+    got = {r.i: r for r in rg.replicate_summary(fits).collect()}
+    assert [got[i].mean for i in range(3)] == pytest.approx(all_.mean(0)) and [got[i].spread for i in range(3)] == pytest.approx(2 * all_.std(0, ddof=1)) and got[0].runs == 3
+    assert [r.spread for r in rg.replicate_summary(fits.where("run = 'a'")).collect()] == [None] * 3
+    assert rg.replicated(design.limit(0)).count() == 0
+
+
 def test_arguments():
     assert basis_sizes(3) == {k: {"r": 3, "theta": 3} for k in ("like", "unlike")}
     with pytest.raises(ValueError):
