@@ -12,7 +12,6 @@ from latticeworks.operators import eam as e
 from latticeworks.operators import neighbours as nb
 from latticeworks.operators import regression as rg
 from latticeworks.operators import tables as tb
-from latticeworks.sources.store import stored
 
 from . import views as v
 from .density import BINS, RADIAL_SQL, STEP, radial
@@ -42,6 +41,13 @@ def near_tabulated(spark, sf_dir):
     return tb.lookup(near_atoms(spark, sf_dir), radial(spark), F.col("neigh_species"), F.col("r"), STEP, BINS)
 
 
+def near_dense(spark, sf_dir):
+    """near_tabulated with rho of the centre: a search for the densities, then one whose centres carry them."""
+    atoms = v.atoms(spark, sf_dir).drop("fx", "fy", "fz")
+    near = nb.neighbours(e.dense_centres(near_tabulated(spark, sf_dir), atoms), atoms, v.cells(spark, sf_dir), R_CUT)
+    return tb.lookup(near, radial(spark), F.col("neigh_species"), F.col("r"), STEP, BINS)
+
+
 def densities(spark, sf_dir):
     near = near_tabulated(spark, sf_dir)
     return near, e.embedding_density(near, v.atoms(spark, sf_dir))
@@ -124,12 +130,12 @@ FORCE_SQL = f"{COLUMNS_SQL}, terms AS (SELECT unnest(range({K})) AS n), {FORCE_B
 
 
 def force_design(spark, sf_dir):
-    return e.force_design(near_tabulated(spark, sf_dir), columns(spark), FORM)
+    return e.force_design(near_dense(spark, sf_dir), columns(spark), FORM)
 
 
 @query(rho_views(f", {FORCE_SQL} SELECT structure_id, atom_index, axis, round(sum(value * w), 4) + 0.0 AS f FROM force JOIN weights USING (col) GROUP BY ALL"))
 def eam_forces(spark, sf_dir):
-    f = e.forces(near_tabulated(spark, sf_dir), columns(spark), FORM, WEIGHTS)
+    f = e.forces(near_dense(spark, sf_dir), columns(spark), FORM, WEIGHTS)
     return f.select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
 
 
@@ -180,7 +186,7 @@ JOIN fp b ON b.structure_id = l.structure_id AND b.atom_index = l.neigh_index JO
 SELECT structure_id, atom_index, axis, round(sum(u * pull), 4) + 0.0 AS f FROM axes GROUP BY ALL"""))
 def eam_forces_tables(spark, sf_dir):
     emb, pair = function_tables(spark)
-    near = e.with_density(near_tabulated(spark, sf_dir))
+    near = near_dense(spark, sf_dir)
     near = near.select(*KEY, "centre_species", "neigh_index", "neigh_species", "r", "ux", "uy", "uz", "rho", F.col("dy").alias("df"))
     both = tb.lookup(near, _pieces(emb), F.col("centre_species"), F.col("rho"), 0.05, 400, "_emb")
     both = tb.lookup(both, _pieces(pair), e.pair_key(), F.col("r"), STEP, BINS)
@@ -196,16 +202,14 @@ def energy_moments(spark, sf_dir, near=None) -> rg.Moments:
     return rg.Moments.of(rg.gram_rows(phi.join(target, "structure_id").select("phi", F.col("formation").alias("t"))))
 
 
-def force_moments(spark, sf_dir, thirds: bool = False, near=None) -> rg.Moments:
+def force_moments(spark, sf_dir, thirds: bool = False) -> rg.Moments:
     """Of the forces of all atoms on three axes, each with weight 1 / N_s for its structure's atoms; rows without neighbours are zeros."""
-    near = near if near is not None else near_tabulated(spark, sf_dir)
-    return rg.Moments.of(e.force_gram(near, v.atoms(spark, sf_dir), FORM, BLOCKS, thirds))
+    return rg.Moments.of(e.force_gram(near_dense(spark, sf_dir), v.atoms(spark, sf_dir), FORM, BLOCKS, thirds))
 
 
 def both_moments(spark, sf_dir, thirds: bool = False) -> tuple[rg.Moments, rg.Moments]:
-    """Of energies and forces; neighbours are found once."""
-    near = stored(near_tabulated(spark, sf_dir))
-    return energy_moments(spark, sf_dir, near), force_moments(spark, sf_dir, thirds, near)
+    """Of energies and forces; each pass finds the neighbours, as a stored table of pairs is many times the atoms."""
+    return energy_moments(spark, sf_dir), force_moments(spark, sf_dir, thirds)
 
 
 ERR_SQL = rho_views(f""", {DESIGN_SQL}, target AS (SELECT s.structure_id, round(s.energy / count(*) - sum(e_ref) / count(*), 9) + 0.0 AS t FROM structures s JOIN atoms USING (structure_id) JOIN species_ref USING (species) GROUP BY s.structure_id, s.energy),
@@ -226,7 +230,7 @@ def eam_errors(spark, sf_dir):
     """Distances of predicted energies and forces from their targets over all structures."""
     near, atoms = near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir)
     pred = e.weighted(e.energy_design(near, atoms, columns(spark), FORM), ["structure_id"], weights(spark), "y")
-    d = e.distances(pred, formation_energy(spark, sf_dir).withColumnRenamed("formation", "t"), e.forces(near, columns(spark), FORM, WEIGHTS), atoms)
+    d = e.distances(pred, formation_energy(spark, sf_dir).withColumnRenamed("formation", "t"), e.forces(near_dense(spark, sf_dir), columns(spark), FORM, WEIGHTS), atoms)
     return d.select((F.round("error", 3) + 0.0).alias("error"), (F.round("force_error", 1) + 0.0).alias("force_error"), (F.round("total", 1) + 0.0).alias("total"))
 
 
@@ -355,7 +359,7 @@ pushed AS (SELECT b.structure_id, b.centre_id, unnest([0, 1, 2]) AS axis, unnest
 SELECT structure_id, centre_id AS atom_index, CAST(axis AS INTEGER) AS axis, round(sum(f), 4) + 0.0 AS f FROM pushed GROUP BY ALL"""))
 def legacy_forces(spark, sf_dir):
     """Forces in the older form of damped series; a pair counts once at each of its ends."""
-    return e.legacy_forces(near_tabulated(spark, sf_dir), SERIES).select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
+    return e.legacy_forces(near_dense(spark, sf_dir), SERIES).select("structure_id", "atom_index", "axis", (F.round("f", 4) + 0.0).alias("f"))
 
 
 PAIR_K = [0.3, -0.2, 0.1]
