@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.operators import neighbours as n
 from latticeworks.plans import registry
+from latticeworks.plans import views as v
 
 SEARCH = "explode(sequence("
 
@@ -55,6 +56,21 @@ def test_loops_are_small_enough_to_be_compiled(spark, sf_dir, name):
     assert sizes and min(sizes) < 8000
 
 
+def filters(df) -> list[str]:
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in line]
+
+
+def test_atoms_are_not_filtered_by_formulas_of_cells(spark, sf_dir):
+    """No filter that is moved down to the tables computes a cell's size, also where there are cells of both kinds."""
+    atoms = spark.range(40).select((F.col("id") % 4).alias("structure_id"), F.col("id").alias("atom_index"), F.lit("A").alias("species"), *((F.col("id") * p % 11 / 11.0).alias(c) for p, c in ((3, "u"), (5, "v"), (7, "w"))))
+    cells = spark.range(4).select(F.col("id").alias("structure_id"), *v.sheared(2.0 + F.col("id") * 3.0))
+    mixed = n.neighbours(n.atom_centres(atoms), atoms, cells, 2.5)
+    assert "Union" in mixed._jdf.queryExecution().optimizedPlan().toString()
+    for df in (registry.QUERIES["neighbour_list"](spark, sf_dir), mixed):
+        found = [line for line in filters(df) if "<= 2." not in line]
+        assert found and not any(word in line for line in found for word in ("transform(", "abs(", "SQRT("))
+
+
 def test_large_and_small_cells_in_one_search(spark):
     """Small, large and flat cells, atoms without a position: pairs against brute force, with what is told of the neighbour."""
     rng = np.random.default_rng(3)
