@@ -71,6 +71,17 @@ def test_atoms_are_not_filtered_by_formulas_of_cells(spark, sf_dir):
         assert found and not any(word in line for line in found for word in ("transform(", "abs(", "SQRT("))
 
 
+def test_atoms_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
+    """More atoms make more tasks, also of the sums over their pairs, whatever number of partitions a session has."""
+    monkeypatch.setattr(v, "ATOMS_A_TASK", 100)
+    atoms = v.atoms(spark, sf_dir)
+    least = atoms.count() / 100
+    assert least > 5
+    assert atoms.rdd.getNumPartitions() >= least
+    assert registry.QUERIES["bop_q"](spark, sf_dir).rdd.getNumPartitions() >= least
+    assert atoms.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("structure_id").alias("s")).select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").isEmpty()
+
+
 def test_large_and_small_cells_in_one_search(spark):
     """Small, large and flat cells, atoms without a position: pairs against brute force, with what is told of the neighbour."""
     rng = np.random.default_rng(3)
