@@ -82,6 +82,13 @@ def test_atoms_of_a_task_are_bounded(spark, sf_dir, monkeypatch):
     assert atoms.groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("structure_id").alias("s")).select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").isEmpty()
 
 
+@pytest.mark.parametrize("name", ["features_everything", "eam_energy_tables", "basis_fourier_r", "bop_q_linr"])
+def test_distances_are_computed_in_the_loop(spark, sf_dir, name):
+    """A pair's distance is plain arithmetic: a higher-order function would be interpreted for every pair."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert SEARCH in plan and "aggregate(array(" not in plan
+
+
 def test_densities_are_rescaled_with_one_search(spark, sf_dir):
     """Both the largest density and the rows are read from stored densities."""
     plan = registry.QUERIES["density_rescale"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
