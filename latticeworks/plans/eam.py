@@ -44,7 +44,7 @@ def near_tabulated(spark, sf_dir):
 def near_dense(spark, sf_dir):
     """near_tabulated with rho of the centre: a search for the densities, then one whose centres carry them."""
     atoms = v.atoms(spark, sf_dir).drop("fx", "fy", "fz")
-    near = nb.neighbours(e.dense_centres(near_tabulated(spark, sf_dir), atoms), atoms, v.cells(spark, sf_dir), R_CUT)
+    near = nb.neighbours(e.dense_centres(near_tabulated(spark, sf_dir), atoms), atoms, v.dealt_cells(spark, sf_dir), R_CUT)
     return tb.lookup(near, radial(spark), F.col("neigh_species"), F.col("r"), STEP, BINS)
 
 

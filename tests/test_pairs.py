@@ -119,6 +119,19 @@ def test_distances_are_computed_in_the_loop(spark, sf_dir, name):
     assert SEARCH in plan and "aggregate(array(" not in plan
 
 
+def test_cells_are_dealt_out_as_one_number(spark, sf_dir):
+    """The exchange of cells holds their key and size, not what is made of them, and meets the atoms without a second one."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["features_everything"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 3 and all("REPARTITION_BY_NUM" in plan[k] for k in dealt)
+    cells = next(k for k in dealt if "o_orderkey" in plan[k + 1])
+    assert plan[cells + 1].split("Project [")[1].count(" AS ") == 2
+
+
 def test_densities_are_rescaled_with_one_search(spark, sf_dir):
     """Both the largest density and the rows are read from stored densities."""
     plan = registry.QUERIES["density_rescale"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
