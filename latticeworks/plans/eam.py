@@ -227,10 +227,14 @@ push AS (SELECT x.structure_id, x.atom_index, x.axis, x.t, coalesce(p.y, 0) AS y
 @query(ERR_SQL + PUSH_SQL + """, d AS (SELECT structure_id, atom_index, sqrt(sum((t - y) ** 2)) AS d FROM push GROUP BY ALL), fd AS (SELECT sum(m) / 3 AS f FROM (SELECT avg(d) AS m FROM d GROUP BY structure_id)), en AS (SELECT sqrt(sum((t - y) ** 2)) AS e FROM target JOIN pred USING (structure_id))
 SELECT round(e, 3) + 0.0 AS error, round(f, 1) + 0.0 AS force_error, round(e + f, 1) + 0.0 AS total FROM en, fd""")
 def eam_errors(spark, sf_dir):
-    """Distances of predicted energies and forces from their targets over all structures."""
-    near, atoms = near_tabulated(spark, sf_dir), v.atoms(spark, sf_dir)
-    pred = e.weighted(e.energy_design(near, atoms, columns(spark), FORM), ["structure_id"], weights(spark), "y")
-    d = e.distances(pred, formation_energy(spark, sf_dir).withColumnRenamed("formation", "t"), e.forces(near_dense(spark, sf_dir), columns(spark), FORM, WEIGHTS), atoms)
+    """Distances of predicted energies and forces from their targets over all structures: two searches of one exchange of the atoms."""
+    atoms, cells, table = v.atoms(spark, sf_dir, whole=True), v.dealt_cells(spark, sf_dir), radial(spark)
+    places = atoms.drop("fx", "fy", "fz")
+    near = lambda centres: tb.lookup(nb.neighbours(centres, places, cells, R_CUT, None), table, F.col("neigh_species"), F.col("r"), STEP, BINS)
+    centres = e.embedded_centres(near(e.placed_centres(places)), columns(spark), FORM, WEIGHTS)
+    errors = e.structure_errors(e.atom_sums(near(centres), columns(spark), FORM, WEIGHTS), atoms, v.species(spark))
+    target = F.round(F.col("energy") / F.col("n") - F.col("e_ref") / F.col("n"), 9) + 0.0
+    d = e.distances(errors, v.dealt_energies(spark, sf_dir), target)
     return d.select((F.round("error", 3) + 0.0).alias("error"), (F.round("force_error", 1) + 0.0).alias("force_error"), (F.round("total", 1) + 0.0).alias("total"))
 
 
