@@ -15,6 +15,8 @@ from latticeworks.sources.store import stored
 
 #: Keys of a range, shares of a group.
 RANGE, SHARES = 1 << 16, 64
+#: Structures whose keys and cells are broadcast.
+FEW = 1 << 16
 
 
 def uniform(key: Column, seed: int = 0) -> Column:
@@ -55,31 +57,53 @@ def subsample(rows: DataFrame, by: str, key: str, n: int, seed: int = 0) -> Data
     return first_of_group(rows, [by], [(F.col(key) * 7919 + seed) % 1000003, F.col(key)], n)
 
 
-def within_reach(points: DataFrame, atoms: DataFrame, cells: DataFrame) -> DataFrame:
-    """(structure_id, point_id, atom_index, r) of points and atoms of a home cell, without images, at most the structure's reach apart.
+def _binned(points: DataFrame, atoms: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """(points by bin, atoms by bin with reach, the conditions under which a point lies within an atom's reach).
 
-    cells carries reach. Space is cut into bins at least as wide as the reach, and an atom meets the points of its own and the 26 bins
-    around, so that work follows the points near atoms and one large structure spreads over many tasks.
+    cells carries reach. Space is cut into bins at least twice as wide as the reach, so that an atom goes to the two bins along an axis that
+    its reach can meet, eight in all. An axis that has room for one bin only is not cut: no atom is copied along it.
     """
-    count = [F.greatest(F.lit(1.0), F.floor(F.least(h / F.col("reach"), F.lit(1e6)))) for h in heights()]
-    geo = cells.select("structure_id", "reach", *CELL, *(c.alias(f"n{x}") for c, x in zip(count, "uvw", strict=True)))
+    count = [F.greatest(F.lit(1.0), F.floor(F.least(F.coalesce(h / (2 * F.col("reach")), F.lit(1.0)), F.lit(1e6)))) for h in heights()]
+    side = [F.coalesce(F.col("reach") / h, F.lit(0.0)) for h in heights()]
+    geo = cells.select("structure_id", "reach", *CELL, *(c.alias(f"n{x}") for c, x in zip(count, "uvw", strict=True)), *(c.alias(f"s{x}") for c, x in zip(side, "uvw", strict=True)))
     key = ["structure_id", "bu", "bv", "bw"]
-    at = lambda x: F.floor(F.col(x) * F.col(f"n{x}")).cast("long")
+    at = lambda x, shift=0.0: F.when(F.col(f"n{x}") > 1, F.floor((F.col(x) + shift) * F.col(f"n{x}"))).otherwise(F.lit(0)).cast("long")
     homes = points.select("structure_id", "point_id", "u", "v", "w").join(geo.select("structure_id", "nu", "nv", "nw"), "structure_id")
     homes = homes.select("structure_id", "point_id", "u", "v", "w", *(at(x).alias(f"b{x}") for x in "uvw"))
-    around = atoms.select("structure_id", "atom_index", "u", "v", "w").join(geo, "structure_id")
+    around = atoms.join(geo, "structure_id")
     for x in "uvw":
-        around = around.withColumn(f"b{x}", F.explode(F.sequence(at(x) - 1, at(x) + 1)))
-    around = around.select(*key, "atom_index", "reach", *CELL, *(F.col(x).alias(f"a{x}_") for x in "uvw"))
-    both = homes.join(around, key)
-    d = cartesian(*(F.col(f"a{x}_") - F.col(x) for x in "uvw"))
-    found = both.select("structure_id", "point_id", "atom_index", "reach", F.sqrt(sum((x * x for x in d), F.lit(0.0))).alias("r"))
-    return found.where(F.col("r") <= F.col("reach"))
+        around = around.withColumn(f"b{x}", F.explode(F.sequence(at(x, -F.col(f"s{x}") - 1e-9), at(x, F.col(f"s{x}") + 1e-9))))
+    around = around.select(*(F.col(k).alias(f"{k}_") for k in key), *(c for c in atoms.columns if c not in ("structure_id", "u", "v", "w")), "reach", *CELL, *(F.col(x).alias(f"a{x}_") for x in "uvw"))
+    return homes, around, [*(F.col(k) == F.col(f"{k}_") for k in key), _distance() <= F.col("reach")]
+
+
+def _distance() -> Column:
+    return F.sqrt(sum((x * x for x in cartesian(*(F.col(f"a{x}_") - F.col(x) for x in "uvw"))), F.lit(0.0)))
+
+
+def within_reach(points: DataFrame, atoms: DataFrame, cells: DataFrame) -> DataFrame:
+    """(structure_id, point_id, atom_index, reach, r) of points and atoms of a home cell, without images, at most the structure's reach apart.
+
+    cells carries reach. Points and atoms meet by bins, so that work follows the points near atoms and one large structure spreads over
+    many tasks.
+    """
+    homes, around, met = _binned(points, atoms.select("structure_id", "atom_index", "u", "v", "w"), cells)
+    return homes.join(around, met).select("structure_id", "point_id", "atom_index", "reach", _distance().alias("r"))
 
 
 def near_atoms(points: DataFrame, atoms: DataFrame, cells: DataFrame, r: float) -> DataFrame:
-    """(structure_id, point_id) of the points within r of an atom of the home cell."""
-    return within_reach(points, atoms, cells.withColumn("reach", F.lit(float(r)))).select("structure_id", "point_id").distinct()
+    """(structure_id, point_id) of the points within r of an atom of the home cell. A point is kept for the first atom that is near it; pairs
+    are not made.
+
+    Where at most FEW structures have points, the atoms of all others are dropped where they are read.
+    """
+    own = points.select("structure_id").distinct()
+    atoms, cells = atoms.select("structure_id", "u", "v", "w"), cells.withColumn("reach", F.lit(float(r)))
+    if own.limit(FEW + 1).count() <= FEW:
+        atoms, cells = (t.join(F.broadcast(own), "structure_id", "left_semi") for t in (atoms, cells))
+        cells = F.broadcast(cells)
+    homes, around, met = _binned(points, atoms, cells)
+    return homes.join(around, met, "left_semi").select("structure_id", "point_id").distinct()
 
 
 def nearest_of_atoms(points: DataFrame, atoms: DataFrame, cells: DataFrame, n: int, ties: bool = False) -> DataFrame:

@@ -53,7 +53,7 @@ def _all_three(spark, sf_dir):
 
 @query(DIST_SQL + "SELECT DISTINCT structure_id, point_id FROM d WHERE r <= 1.5013")
 def points_near_atoms(spark, sf_dir):
-    return s.near_atoms(*_all_three(spark, sf_dir), 1.5013)
+    return s.near_atoms(_points(spark, sf_dir), v.places(spark, sf_dir), v.cells(spark, sf_dir), 1.5013)
 
 
 @query(DIST_SQL + "SELECT DISTINCT structure_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY structure_id, atom_index ORDER BY round(r, 8), point_id) AS n FROM d) WHERE n <= 3")
